@@ -90,14 +90,38 @@ def norms(df: DataFrame, specs: Sequence[tuple[str, str, str]]) -> DataFrame:
     return df.withColumns({n: euclidean_norm(a, b) for a, b, n in specs})
 
 
-def safe_ratios(df: DataFrame, specs: Sequence[tuple[str, str, str]]) -> DataFrame:
+def raw_ratios(df: DataFrame, specs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """name = a / b with x/0 and 0/0 as NULL (not yet filled)."""
+    return df.withColumns({n: safe_div(a, b) for a, b, n in specs})
+
+
+def safe_ratios(df: DataFrame, specs: Sequence[tuple[str, str, str]],
+                stats: Column | None = None) -> DataFrame:
     """ARI2: name = a / b; +-inf and NaN (x/0, 0/0) become the mean of the
-    finite ratios of the whole table."""
+    finite ratios of the whole table.  `stats` (from `table_stats`) lets a
+    chain fit every statistic in one pass."""
     if not specs:
         return df
-    raw = df.withColumns({n: safe_div(a, b) for a, b, n in specs})
-    means = raw.select(F.struct(*[F.avg(n).alias(n) for _, _, n in specs])).scalar()
-    return raw.withColumns({n: F.coalesce(F.col(n), means[n]) for _, _, n in specs})
+    raw = raw_ratios(df, specs)
+    if stats is None:
+        stats = raw.select(F.struct(*[F.avg(n).alias(n) for _, _, n in specs])).scalar()
+    return raw.withColumns({n: F.coalesce(F.col(n), stats[n]) for _, _, n in specs})
+
+
+def fill_ratios(df: DataFrame, names: Sequence[str], stats: Column) -> DataFrame:
+    return df.withColumns({n: F.coalesce(F.col(n), stats[n]) for n in names})
+
+
+def table_stats(df: DataFrame, mean_cols: Sequence[str] = (),
+                moment_cols: Sequence[str] = ()) -> Column:
+    """One scalar subquery with every whole-table statistic a chain needs:
+    field `c` = avg(c) for mean_cols, field `z_c` = struct(m, s) (mean, sample
+    std) for moment_cols."""
+    return df.select(F.struct(
+        *[F.avg(c).alias(c) for c in mean_cols],
+        *[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"z_{c}")
+          for c in moment_cols],
+    )).scalar()
 
 
 # --- table-level fitted transforms -----------------------------------------
@@ -128,15 +152,14 @@ def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
 
 
 def zscores(df: DataFrame, cols: Sequence[str], suffix: str = "_zscore",
-            fit_on: DataFrame | None = None) -> DataFrame:
+            fit_on: DataFrame | None = None, stats: Column | None = None) -> DataFrame:
     """STD1: (x - mean) / sample std over the whole table (or `fit_on`);
     zero or undefined spread gives NULL."""
-    src = fit_on if fit_on is not None else df
-    st = src.select(F.struct(*[
-        F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols
-    ])).scalar()
+    if stats is None:
+        stats = table_stats(fit_on if fit_on is not None else df, moment_cols=cols)
     return df.withColumns({
-        f"{c}{suffix}": F.try_divide(F.col(c) - st[c]["m"], st[c]["s"]) for c in cols
+        f"{c}{suffix}": F.try_divide(F.col(c) - stats[f"z_{c}"]["m"], stats[f"z_{c}"]["s"])
+        for c in cols
     })
 
 

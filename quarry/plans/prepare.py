@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from quarry.operators import profile as P
 from quarry.operators import scale as SC
 from quarry.operators import split as SP
 from quarry.operators import validate as V
+from quarry.session import checkpoint_dir
 
 # fixed values: 3-class raw names -> short names, class codes -> species
 CLASS_RENAME = {
@@ -80,8 +80,10 @@ def class_chain(df: DataFrame, spec: ClassSpec | None = None) -> DataFrame:
     out = X.rename(df, s.rename)
     out = out.withColumn(s.label_name, X.map_values(s.label_col, s.label_map))
     out = X.products(out, s.area_pairs)
-    out = X.safe_ratios(out, [s.ratio])
-    return X.zscores(out, s.zscore_cols)
+    out = X.raw_ratios(out, [s.ratio])
+    stats = X.table_stats(out, [s.ratio[2]], s.zscore_cols)
+    out = X.fill_ratios(out, [s.ratio[2]], stats)
+    return X.zscores(out, s.zscore_cols, stats=stats)
 
 
 def regression_chain(df: DataFrame, spec: RegressionSpec | None = None) -> DataFrame:
@@ -90,11 +92,15 @@ def regression_chain(df: DataFrame, spec: RegressionSpec | None = None) -> DataF
     s = spec or RegressionSpec()
     out = X.iqr_clip(df, list(s.clip_cols))
     out = X.products(out, s.products)
-    out = X.safe_ratios(out, s.ratios)
+    out = X.raw_ratios(out, s.ratios)
     out = X.squares(out, s.squares)
     out = X.norms(out, s.norms)
     out = X.products(out, s.interactions)
-    out = X.zscores(out, s.zscore_cols)
+    # every later statistic is fitted on the clipped table in ONE pass
+    ratio_names = [n for _, _, n in s.ratios]
+    stats = X.table_stats(out, ratio_names, s.zscore_cols)
+    out = X.fill_ratios(out, ratio_names, stats)
+    out = X.zscores(out, s.zscore_cols, stats=stats)
     return X.bucketize(out, s.bucket_col, s.bucket_edges, s.bucket_labels, s.bucket_name)
 
 
@@ -118,7 +124,7 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
             regression_spec: RegressionSpec | None = None,
             required_columns: Sequence[str] = (),
             allowed_targets: Sequence | None = None) -> Prepared:
-    """validate -> (stop if invalid) -> preprocess -> persist -> profile ->
+    """validate -> (stop if invalid) -> preprocess -> checkpoint -> profile ->
     split -> scale.  `kind` is "class" or "regression"; anything else is an
     error.  Only the validity verdict is collected (one boolean)."""
     if kind not in ("class", "regression"):
@@ -134,7 +140,10 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
     else:
         processed = regression_chain(df, regression_spec)
         strat = None
-    processed = processed.persist(StorageLevel.MEMORY_AND_DISK)
+    # reused by profile, split and scale: cut the lineage once (reliable
+    # checkpoint in the shared checkpoint folder, survives executor loss)
+    checkpoint_dir(df.sparkSession)
+    processed = processed.checkpoint(eager=True)
     summary = P.numeric_summary(processed)
     if strat is not None:
         tagged = SP.stratified_split(processed, key, strat, test_size, seed)
