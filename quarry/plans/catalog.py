@@ -33,6 +33,7 @@ def load_all() -> None:
         q_rules,
         q_split,
         q_serving,
+        q_series,
     )
 
 
