@@ -28,6 +28,8 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so their @register calls run."""
     from quarry.plans import (  # noqa: F401
+        q_drift,
+        q_evaluate,
         q_features,
         q_profile,
         q_rules,
