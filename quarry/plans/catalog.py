@@ -34,6 +34,7 @@ def load_all() -> None:
         q_profile,
         q_rules,
         q_split,
+        q_train,
         q_serving,
         q_series,
     )

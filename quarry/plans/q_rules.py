@@ -130,6 +130,7 @@ def job_requests(spark, sf_dir):
         F.col("event_id").alias("request_id"), "ts",
         F.element_at(models, (F.col("user_id") % len(_MODEL_CYCLE) + 1).cast("int")).alias("model_name"),
         F.element_at(trig, (F.col("event_id") % len(_TRIGGER_CYCLE) + 1).cast("int")).alias("trigger_type"),
+        "event_type", "value",
     )
 
 
@@ -137,7 +138,7 @@ def _job_requests_sql() -> str:
     m = ", ".join(f"'{x}'" for x in _MODEL_CYCLE)
     t = ", ".join(f"'{x}'" for x in _TRIGGER_CYCLE)
     return (f"SELECT event_id AS request_id, ts, [{m}][user_id % {len(_MODEL_CYCLE)} + 1] AS model_name, "
-            f"[{t}][event_id % {len(_TRIGGER_CYCLE)} + 1] AS trigger_type FROM events")
+            f"[{t}][event_id % {len(_TRIGGER_CYCLE)} + 1] AS trigger_type, event_type, value FROM events")
 
 
 @register("enum_rules", f"""
