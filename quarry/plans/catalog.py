@@ -31,6 +31,7 @@ def load_all() -> None:
         q_drift,
         q_evaluate,
         q_features,
+        q_io,
         q_profile,
         q_rules,
         q_split,
