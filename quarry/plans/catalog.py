@@ -38,6 +38,7 @@ def load_all() -> None:
         q_train,
         q_serving,
         q_series,
+        q_stream,
     )
 
 
