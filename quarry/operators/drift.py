@@ -98,6 +98,12 @@ def drift_report(ref: DataFrame, cur: DataFrame, model_name: str,
     threshold, features with p below it, recommendation text.  No shared
     numeric feature -> score NULL and not detected."""
     feats, skipped = shared_numeric_features(ref, cur)
+    if not feats:  # nothing to compare: score undefined, not detected
+        return ref.sparkSession.createDataFrame(
+            [(model_name, False, None, "", "No action needed", ",".join(skipped), float(threshold))],
+            "model_name string, drift_detected boolean, drift_score double, "
+            "features_with_drift string, recommendation string, skipped_features string, "
+            "threshold double")
     per = ks_pvalue(ks_statistic(ref, cur, feats))
     t = F.lit(float(threshold))
     score = F.avg("p_value")
