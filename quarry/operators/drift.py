@@ -52,8 +52,8 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None
         F.count_if(F.col("side") == "ref").alias("c_ref"),
         F.count_if(F.col("side") == "cur").alias("c_cur"))
     cum = running_totals(counts, ["feature"], "value", ["c_ref", "c_cur"], ["cum_ref", "cum_cur"])
-    sizes = counts.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"),
-                                          F.sum("c_cur").alias("n_cur"))
+    sizes = cum.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"),
+                                       F.sum("c_cur").alias("n_cur"))
     gap = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))
     return cum.join(sizes, "feature").groupBy("feature", "n_ref", "n_cur").agg(
         F.max(gap).alias("ks_d"))

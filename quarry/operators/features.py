@@ -1,9 +1,11 @@
 """Feature operators (PRJ, MAP, ARI, OUT, STD, BIN).
 
-Table-level statistics (ratio means, quartile bounds, mean/std) are computed
-once as a scalar subquery returning one struct, so the plan stays lazy, no
-1-row table is joined to every row, and Spark reuses the subquery for every
-column that reads it.
+Table-level statistics (ratio means, quartile bounds, mean/std) follow the
+estimator / transformer pattern: one distributed aggregate *fits* them, the
+result — one value per column, so its size is bounded by the schema, not the
+data — comes back as a single row, and *applying* them is a plain projection
+with literals (no join, no per-row subquery, nothing re-fitted when the
+output is read twice).
 """
 from __future__ import annotations
 
@@ -104,7 +106,7 @@ def safe_ratios(df: DataFrame, specs: Sequence[tuple[str, str, str]],
         return df
     raw = raw_ratios(df, specs)
     if stats is None:
-        stats = raw.select(F.struct(*[F.avg(n).alias(n) for _, _, n in specs])).scalar()
+        stats = table_stats(raw, [n for _, _, n in specs])
     return raw.withColumns({n: F.coalesce(F.col(n), stats[n]) for _, _, n in specs})
 
 
@@ -112,16 +114,25 @@ def fill_ratios(df: DataFrame, names: Sequence[str], stats: Column) -> DataFrame
     return df.withColumns({n: F.coalesce(F.col(n), stats[n]) for n in names})
 
 
+def _lit(v) -> Column:
+    return F.lit(v).cast("double")
+
+
 def table_stats(df: DataFrame, mean_cols: Sequence[str] = (),
                 moment_cols: Sequence[str] = ()) -> Column:
-    """One scalar subquery with every whole-table statistic a chain needs:
+    """Fit every whole-table statistic a chain needs in ONE aggregate pass:
     field `c` = avg(c) for mean_cols, field `z_c` = struct(m, s) (mean, sample
-    std) for moment_cols."""
-    return df.select(F.struct(
+    std) for moment_cols.  Returned as a struct of literals."""
+    row = df.agg(
         *[F.avg(c).alias(c) for c in mean_cols],
-        *[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"z_{c}")
+        *[F.avg(c).alias(f"m_{c}") for c in moment_cols],
+        *[F.stddev_samp(c).alias(f"s_{c}") for c in moment_cols],
+    ).first()
+    return F.struct(
+        *[_lit(row[c]).alias(c) for c in mean_cols],
+        *[F.struct(_lit(row[f"m_{c}"]).alias("m"), _lit(row[f"s_{c}"]).alias("s")).alias(f"z_{c}")
           for c in moment_cols],
-    )).scalar()
+    )
 
 
 # --- table-level fitted transforms -----------------------------------------
@@ -139,15 +150,11 @@ def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """OUT1: cap every column to [Q1 - k IQR, Q3 + k IQR]; rows kept, NULL kept."""
     if not cols:
         return df
-    b = iqr_bounds(df, cols, k)
-    wide = b.agg(*[
-        F.struct(F.max(F.when(F.col("feature") == c, F.col("lower"))).alias("lo"),
-                 F.max(F.when(F.col("feature") == c, F.col("upper"))).alias("hi")).alias(c)
-        for c in cols
-    ])
-    bounds = wide.select(F.struct(*cols)).scalar()
+    # fitted bounds: two numbers per column
+    bounds = {row["feature"]: (row["lower"], row["upper"]) for row in iqr_bounds(df, cols, k).collect()}
     return df.withColumns({
-        c: clip(F.col(c).cast("double"), bounds[c]["lo"], bounds[c]["hi"]) for c in cols
+        c: clip(F.col(c).cast("double"), *[None if v is None else _lit(v) for v in bounds.get(c, (None, None))])
+        for c in cols
     })
 
 

@@ -36,7 +36,8 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
     cum = running_totals(counts, key_cols, "_v", ["_cnt"], ["_cum"])
-    sizes = counts.groupBy(*key_cols).agg(F.sum("_cnt").alias("_n"))
+    # sizes from the frozen (checkpointed) counts: no second pass over the source
+    sizes = cum.groupBy(*key_cols).agg(F.sum("_cnt").alias("_n"))
     targets = (
         sizes.select(*key_cols, "_n",
                      F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))

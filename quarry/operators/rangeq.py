@@ -87,28 +87,43 @@ def bucket_rate_long(wide: DataFrame, labels: Sequence[str],
         .select(*labels, "bin", "step_ts", "p.le", "p.rate")
 
 
-def histogram_quantile(wide: DataFrame, labels: Sequence[str], q: float,
-                       buckets: Sequence[float] = DEFAULT_BUCKETS) -> DataFrame:
-    """TS12: quantile from cumulative bucket rates (wide form of
+def histogram_quantile(wide: DataFrame, labels: Sequence[str], q: float | Sequence[float],
+                       buckets: Sequence[float] = DEFAULT_BUCKETS,
+                       names: Sequence[str] | None = None) -> DataFrame:
+    """TS12: quantile(s) from cumulative bucket rates (wide form of
     `bucket_rate`): rank = q * total; first bucket reaching the rank; linear
     interpolation inside it (lower bound 0 for the first bucket); a rank in
-    the +Inf bucket returns the highest finite bound; no data -> NULL."""
+    the +Inf bucket returns the highest finite bound; no data -> NULL.
+    Several quantiles are computed in the same projection."""
+    qs = [q] if isinstance(q, (int, float)) else list(q)
+    names = list(names) if names is not None else (["quantile"] if len(qs) == 1 else
+                                                     [f"q{x}" for x in qs])
     bounds = [float(x) for x in buckets]
     arr = F.array(*[F.struct(F.lit(x).alias("le"), F.col(f"b{i}").cast("double").alias("c"))
                     for i, x in enumerate(bounds)],
                   F.struct(F.lit(float("inf")).alias("le"), F.col("b_inf").cast("double").alias("c")))
     total = F.col("b_inf").cast("double")
-    rank = F.lit(float(q)) * total
-    idx = F.array_position(F.transform(arr, lambda e: e["c"] >= rank), True)  # 1-based
-    hit = F.element_at(arr, idx.cast("int"))
-    prev = F.when(idx > 1, F.element_at(arr, (idx - 1).cast("int")))
-    lower = F.coalesce(prev["le"], F.lit(0.0))
-    prev_c = F.coalesce(prev["c"], F.lit(0.0))
-    interp = lower + (hit["le"] - lower) * F.try_divide(rank - prev_c, hit["c"] - prev_c)
-    value = (F.when(total.isNull() | (total <= 0), F.lit(None).cast("double"))
-             .when(idx == F.lit(len(bounds) + 1), F.lit(bounds[-1]))
-             .otherwise(F.coalesce(interp, hit["le"])))
-    return wide.select(*labels, "bin", "step_ts", value.alias("quantile"))
+    # staged columns: each intermediate is computed once per row (a nested
+    # expression would repeat the array search for every reference)
+    out = wide.withColumn("_arr", arr)
+    for i, qv in enumerate(qs):
+        rank = F.lit(float(qv)) * total
+        out = out.withColumn(f"_idx{i}", F.array_position(
+            F.transform(F.col("_arr"), lambda e: e["c"] >= rank), True))  # 1-based
+        out = out.withColumn(f"_hit{i}", F.element_at(F.col("_arr"), F.col(f"_idx{i}").cast("int")))
+        out = out.withColumn(f"_prev{i}", F.when(F.col(f"_idx{i}") > 1, F.element_at(
+            F.col("_arr"), (F.col(f"_idx{i}") - 1).cast("int"))))
+    vals = []
+    for i, qv in enumerate(qs):
+        rank = F.lit(float(qv)) * total
+        hit, prev, idx = F.col(f"_hit{i}"), F.col(f"_prev{i}"), F.col(f"_idx{i}")
+        lower = F.coalesce(prev["le"], F.lit(0.0))
+        prev_c = F.coalesce(prev["c"], F.lit(0.0))
+        interp = lower + (hit["le"] - lower) * F.try_divide(rank - prev_c, hit["c"] - prev_c)
+        vals.append((F.when(total.isNull() | (total <= 0), F.lit(None).cast("double"))
+                     .when(idx == F.lit(len(bounds) + 1), F.lit(bounds[-1]))
+                     .otherwise(F.coalesce(interp, hit["le"]))).alias(names[i]))
+    return out.select(*labels, "bin", "step_ts", *vals)
 
 
 def range_grid(events: DataFrame, labels: Sequence[str], as_of, lookback_s: int = 3600,

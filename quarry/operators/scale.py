@@ -1,7 +1,8 @@
 """Feature scaling (SCL1-2): fit on one table, apply to any table.
 
-Fitted parameters are a small long table (feature, center, scale) that can be
-stored with a model; applying reads it through one scalar subquery.
+Fitted parameters are a small long table (feature, center, scale) — one row
+per feature — that can be stored with a model; applying collects those rows
+(bounded by the feature count) and projects with literals.
 Standard scaling uses the population std (ddof=0); robust scaling uses the
 exact median and IQR; a zero spread scales by 1.
 """
@@ -39,15 +40,10 @@ def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard")
 def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
     """x -> (x - center) / scale for the fitted features `cols`."""
     cols = [c for c in cols if c in df.columns]
-    feats = params.agg(*[
-        F.struct(F.max(F.when(F.col("feature") == c, F.col("center"))).alias("center"),
-                 F.max(F.when(F.col("feature") == c, F.col("scale"))).alias("scale")).alias(c)
-        for c in cols
-    ])
-    p = feats.select(F.struct(*cols)).scalar()
+    fitted = {r["feature"]: (r["center"], r["scale"])
+              for r in params.where(F.col("feature").isin(cols)).collect()}
     return df.withColumns({
-        c: F.when(p[c]["scale"].isNotNull(),
-                  (F.col(c).cast("double") - p[c]["center"]) / p[c]["scale"])
-        .otherwise(F.col(c))
-        for c in cols
+        c: (F.col(c).cast("double") - F.lit(fitted[c][0]).cast("double"))
+        / F.lit(fitted[c][1]).cast("double")
+        for c in cols if c in fitted
     })

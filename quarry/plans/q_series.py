@@ -239,10 +239,8 @@ FROM p50v a JOIN p95v b ON a.model_name = b.model_name AND a.bin = b.bin""")
 def histogram_quantile(spark, sf_dir):
     p = _log(spark, sf_dir).withColumn("v", F.col("processing_time_ms") / 1000.0)
     wide = RQ.bucket_rate(p, ["model_name"], "v")
-    q50 = RQ.histogram_quantile(wide, ["model_name"], 0.5).withColumnRenamed("quantile", "p50")
-    q95 = RQ.histogram_quantile(wide, ["model_name"], 0.95).withColumnRenamed("quantile", "p95")
-    return q50.join(q95, ["model_name", "bin", "step_ts"]).select(
-        "model_name", "bin", "step_ts", r("p50", 6).alias("p50"), r("p95", 6).alias("p95"))
+    q = RQ.histogram_quantile(wide, ["model_name"], [0.5, 0.95], names=["p50", "p95"])
+    return q.select("model_name", "bin", "step_ts", r("p50", 6).alias("p50"), r("p95", 6).alias("p95"))
 
 
 @register("range_grid", f"""WITH {P_SQL},
