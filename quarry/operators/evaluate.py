@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_dir
+
 
 def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """EVL1-2: rmse, mae, r2_score, mape (%), samples_evaluated; rows with
@@ -32,11 +34,19 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     )
 
 
-def pair_counts(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """(actual, predicted, n) for every observed pair, labels as strings."""
-    return df.groupBy(F.col(y).cast("string").alias("actual"),
-                      F.col(yhat).cast("string").alias("predicted")).agg(
+def pair_counts(df: DataFrame, y: str, yhat: str, freeze: bool = True) -> DataFrame:
+    """(actual, predicted, n) for every observed pair, labels as strings.
+
+    The table has at most classes^2 rows; with `freeze` it is checkpointed
+    (reliable, shared folder) so the several metrics derived from it do not
+    each re-scan the scored table."""
+    counts = df.groupBy(F.col(y).cast("string").alias("actual"),
+                        F.col(yhat).cast("string").alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
+    if freeze:
+        checkpoint_dir(df.sparkSession)
+        counts = counts.checkpoint(eager=True)
+    return counts
 
 
 def per_class(counts: DataFrame) -> DataFrame:

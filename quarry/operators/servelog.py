@@ -30,10 +30,16 @@ def as_of_value(log: DataFrame, as_of=None, ts_col: str = "ts") -> Column:
 
 
 def trailing(log: DataFrame, hours: float = 24, as_of=None, ts_col: str = "ts") -> DataFrame:
+    """Rows with ts in (as_of - hours, as_of].  A log stored partitioned by
+    `event_date` also gets a partition predicate, so only the days inside the
+    window are listed and read."""
     bound = as_of_value(log, as_of, ts_col) - F.make_interval(
         secs=F.lit(float(hours) * 3600.0)
     )
-    return log.where(F.col(ts_col) > bound)
+    out = log.where(F.col(ts_col) > bound)
+    if "event_date" in log.columns:
+        out = out.where(F.col("event_date") >= F.to_date(bound))
+    return out
 
 
 def _stats_columns() -> list[Column]:

@@ -38,6 +38,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "quarry", f"{name}-{stamp}")
 
 
+def tune_for_scale(spark: SparkSession, shuffle_partitions: int | None = None,
+                   max_partition_bytes: str = "256m") -> None:
+    """Runtime settings for large inputs: AQE re-plans joins and partition
+    counts from observed sizes, splits skewed shuffle partitions, and
+    broadcasts a join side only when its measured size is under the
+    threshold.  Call once per session on a cluster."""
+    conf = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.files.maxPartitionBytes": max_partition_bytes,
+        "spark.sql.session.timeZone": "UTC",
+    }
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def local_session(cores: int = 8, partitions: int = 8, app: str = "quarry") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
