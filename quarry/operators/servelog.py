@@ -33,10 +33,9 @@ def trailing(log: DataFrame, hours: float = 24, as_of=None, ts_col: str = "ts")
     """Rows with ts in (as_of - hours, as_of].  A log stored partitioned by
     `event_date` also gets a partition predicate, so only the days inside the
     window are listed and read."""
-    bound = as_of_value(log, as_of, ts_col) - F.make_interval(
-        secs=F.lit(float(hours) * 3600.0)
-    )
-    out = log.where(F.col(ts_col) > bound)
+    end = as_of_value(log, as_of, ts_col)
+    bound = end - F.make_interval(secs=F.lit(float(hours) * 3600.0))
+    out = log.where((F.col(ts_col) > bound) & (F.col(ts_col) <= end))
     if "event_date" in log.columns:
         out = out.where(F.col("event_date") >= F.to_date(bound))
     return out
