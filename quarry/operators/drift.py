@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.prefix import running_totals
+from quarry.operators.quantiles import feature_name, unpivot_ids
 
 EXACT_MAX_N = 10_000
 SERIES_TERMS = 100
@@ -38,25 +39,24 @@ def shared_numeric_features(ref: DataFrame, cur: DataFrame) -> tuple[list[str],
     return num, [c for c in shared if c not in num]
 
 
-def _long(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
-    cast = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return cast.unpivot([], list(cols), "feature", "value").where(
-        F.col("value").isNotNull() & ~F.isnan("value")).withColumn("side", F.lit(side))
+def _long(df: DataFrame, cols: Sequence[str], is_ref: bool) -> DataFrame:
+    return unpivot_ids(df, cols).where(
+        F.col("value").isNotNull() & ~F.isnan("value")).withColumn("is_ref", F.lit(is_ref))
 
 
 def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """DRF1: (feature, n_ref, n_cur, ks_d) per shared numeric feature."""
     feats = list(features) if features is not None else shared_numeric_features(ref, cur)[0]
-    both = _long(ref, feats, "ref").unionByName(_long(cur, feats, "cur"))
-    counts = both.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == "ref").alias("c_ref"),
-        F.count_if(F.col("side") == "cur").alias("c_cur"))
-    cum = running_totals(counts, ["feature"], "value", ["c_ref", "c_cur"], ["cum_ref", "cum_cur"])
-    sizes = cum.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"),
-                                       F.sum("c_cur").alias("n_cur"))
+    both = _long(ref, feats, True).unionByName(_long(cur, feats, False))
+    counts = both.groupBy("fid", "value").agg(
+        F.count_if(F.col("is_ref")).alias("c_ref"),
+        F.count_if(~F.col("is_ref")).alias("c_cur"))
+    cum = running_totals(counts, ["fid"], "value", ["c_ref", "c_cur"], ["cum_ref", "cum_cur"])
+    sizes = cum.groupBy("fid").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
     gap = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))
-    return cum.join(sizes, "feature").groupBy("feature", "n_ref", "n_cur").agg(
-        F.max(gap).alias("ks_d"))
+    return cum.join(sizes, "fid").groupBy("fid", "n_ref", "n_cur").agg(
+        F.max(gap).alias("ks_d")).select(feature_name("fid", feats).alias("feature"),
+                                         "n_ref", "n_cur", "ks_d")
 
 
 def _exact_equal_n(n: Column, d: Column) -> Column:

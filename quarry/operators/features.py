@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.numeric import bucket_right_closed, clip, euclidean_norm, safe_div
-from quarry.operators.quantiles import quantiles_wide, unpivot_numeric
+from quarry.operators.quantiles import column_quantiles
 
 
 # --- projections -----------------------------------------------------------
@@ -139,8 +139,7 @@ def table_stats(df: DataFrame, mean_cols: Sequence[str] = (),
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """(feature, q1, q3, lower, upper) per column, exact quartiles."""
-    q = quantiles_wide(unpivot_numeric(df, cols), ["feature"], "value", [0.25, 0.75],
-                       ["q1", "q3"])
+    q = column_quantiles(df, cols, [0.25, 0.75], ["q1", "q3"])
     iqr = F.col("q3") - F.col("q1")
     return q.select("feature", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
                     (F.col("q3") + k * iqr).alias("upper"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.numeric import is_missing
-from quarry.operators.quantiles import quantiles_wide, unpivot_numeric
+from quarry.operators.quantiles import column_quantiles, quantiles_wide
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -41,8 +41,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     """AGG1: describe() per numeric column: count, mean, std, min, 25/50/75 %, max."""
     cols = list(cols or numeric_columns(df))
     moments = _long_moments(df, cols)
-    quart = quantiles_wide(unpivot_numeric(df, cols), ["feature"], "value",
-                           [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    quart = column_quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     return moments.join(quart, "feature", "left").select(
         "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.prefix import running_totals
@@ -76,3 +76,24 @@ def unpivot_numeric(df: DataFrame, cols: Sequence[str], key: str = "feature",
     """Long (feature, value) form of numeric columns, cast to double."""
     cast = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
     return cast.unpivot(list(keep), list(cols), key, value)
+
+
+def unpivot_ids(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Long (fid, value) form with a small integer feature id instead of the
+    name: hashing and shuffling an int key is cheaper than a string key
+    for every one of the rows x columns long rows."""
+    arr = F.array(*[F.struct(F.lit(i).alias("fid"), F.col(c).cast("double").alias("value"))
+                    for i, c in enumerate(cols)])
+    return df.select(*keep, F.inline(arr))
+
+
+def feature_name(fid: Column | str, cols: Sequence[str]) -> Column:
+    fid = F.col(fid) if isinstance(fid, str) else fid
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), fid + 1)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     names: Sequence[str]) -> DataFrame:
+    """(feature, <one column per probability>) for numeric columns."""
+    q = quantiles_wide(unpivot_ids(df, cols), ["fid"], "value", probs, names)
+    return q.select(feature_name("fid", cols).alias("feature"), *names)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import zero_spread_to_one
-from quarry.operators.quantiles import quantiles_wide, unpivot_numeric
+from quarry.operators.quantiles import column_quantiles
 
 
 def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard") -> DataFrame:
@@ -27,8 +27,7 @@ def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard")
         ])
         params = wide.unpivot([], cols, "_k", "s").select("s.*")
     elif method == "robust":
-        q = quantiles_wide(unpivot_numeric(train, cols), ["feature"], "value",
-                           [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        q = column_quantiles(train, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
         params = q.select("feature", F.col("median").alias("center"),
                           (F.col("q3") - F.col("q1")).alias("scale"))
     else:
