@@ -16,9 +16,19 @@ from pyspark.sql import functions as F
 from quarry.sources.tables import as_wall_clock
 
 
-def as_of_value(log: DataFrame, as_of=None, ts_col: str = "ts") -> Column:
-    """`as_of` literal if given, otherwise max(ts) of the log (scalar subquery)."""
+def as_of_value(log: DataFrame, as_of=None, ts_col: str = "ts", resolve: bool = True) -> Column:
+    """`as_of` literal if given, otherwise the newest ts of the log.
+
+    With `resolve` the newest ts is fetched first (one aggregate over the ts
+    column, one number back) and used as a literal: time predicates built on
+    it then reach the parquet scan (row-group skipping) and the event_date
+    partition filter prunes statically.  Without it, a lazy scalar subquery
+    is used (evaluated at run time, not pushed down)."""
     if as_of is None:
+        if resolve:
+            micros = log.select(F.unix_micros(F.max(ts_col))).first()[0]
+            if micros is not None:
+                return F.timestamp_micros(F.lit(micros))
         return log.select(F.max(ts_col)).scalar()
     if isinstance(as_of, Column):
         return as_of
