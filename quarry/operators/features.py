@@ -65,6 +65,14 @@ def map_values(c: Column | str, mapping: Mapping) -> Column:
     return F.try_element_at(_literal_map(mapping), c)
 
 
+def map_values_table(df: DataFrame, col: str, mapping: DataFrame, key: str, value: str,
+                     name: str) -> DataFrame:
+    """MAP1 for large dictionaries: left join on the code (Spark picks a
+    broadcast only when AQE measures the mapping side as small)."""
+    m = mapping.select(F.col(key).alias("_map_key"), F.col(value).alias(name))
+    return df.join(m, df[col] == m["_map_key"], "left").drop("_map_key")
+
+
 def map_with_fallback(c: Column | str, mapping: Mapping[int, str], prefix: str = "class_") -> Column:
     """MAP2: integer code -> label, else `class_{code}`; a non-integer value is
     kept as its text."""
@@ -149,8 +157,12 @@ def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """OUT1: cap every column to [Q1 - k IQR, Q3 + k IQR]; rows kept, NULL kept."""
     if not cols:
         return df
-    # fitted bounds: two numbers per column
-    bounds = {row["feature"]: (row["lower"], row["upper"]) for row in iqr_bounds(df, cols, k).collect()}
+    return clip_with(df, iqr_bounds(df, cols, k), cols)
+
+
+def clip_with(df: DataFrame, bounds_df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Apply fitted (feature, lower, upper) bounds: two numbers per column."""
+    bounds = {row["feature"]: (row["lower"], row["upper"]) for row in bounds_df.collect()}
     return df.withColumns({
         c: clip(F.col(c).cast("double"), *[None if v is None else _lit(v) for v in bounds.get(c, (None, None))])
         for c in cols

@@ -104,6 +104,33 @@ def regression_chain(df: DataFrame, spec: RegressionSpec | None = None) -> DataF
     return X.bucketize(out, s.bucket_col, s.bucket_edges, s.bucket_labels, s.bucket_name)
 
 
+def chain_fitted_on(tagged: DataFrame, chain, kind: str, class_spec, regression_spec) -> DataFrame:
+    """Fit the chain's statistics on the rows with is_test = false and apply
+    them to every row of `tagged`."""
+    train = tagged.where(~F.col("is_test"))
+    if kind == "class":
+        s = class_spec or ClassSpec()
+        out = X.rename(tagged, s.rename)
+        out = out.withColumn(s.label_name, X.map_values(s.label_col, s.label_map))
+        out = X.raw_ratios(X.products(out, s.area_pairs), [s.ratio])
+        fit = X.raw_ratios(X.products(X.rename(train, s.rename), s.area_pairs), [s.ratio])
+        stats = X.table_stats(fit, [s.ratio[2]], s.zscore_cols)
+        return X.zscores(X.fill_ratios(out, [s.ratio[2]], stats), s.zscore_cols, stats=stats)
+    s = regression_spec or RegressionSpec()
+    bounds = X.iqr_bounds(train, list(s.clip_cols))
+    out = X.clip_with(tagged, bounds, list(s.clip_cols))
+    out = X.products(out, s.products)
+    out = X.raw_ratios(out, s.ratios)
+    out = X.squares(out, s.squares)
+    out = X.norms(out, s.norms)
+    out = X.products(out, s.interactions)
+    ratio_names = [n for _, _, n in s.ratios]
+    stats = X.table_stats(out.where(~F.col("is_test")), ratio_names, s.zscore_cols)
+    out = X.fill_ratios(out, ratio_names, stats)
+    out = X.zscores(out, s.zscore_cols, stats=stats)
+    return X.bucketize(out, s.bucket_col, s.bucket_edges, s.bucket_labels, s.bucket_name)
+
+
 # ---------------------------------------------------------------------------
 # PIP3: the prepare job
 # ---------------------------------------------------------------------------
@@ -123,10 +150,17 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
             class_spec: ClassSpec | None = None,
             regression_spec: RegressionSpec | None = None,
             required_columns: Sequence[str] = (),
-            allowed_targets: Sequence | None = None) -> Prepared:
+            allowed_targets: Sequence | None = None, fit_on: str = "all") -> Prepared:
     """validate -> (stop if invalid) -> preprocess -> checkpoint -> profile ->
     split -> scale.  `kind` is "class" or "regression"; anything else is an
-    error.  Only the validity verdict is collected (one boolean)."""
+    error.  Only the validity verdict is collected (one boolean).
+
+    fit_on="all" fits the chain's statistics (clip bounds, ratio means,
+    z-scores) on every row before the split, as the source pipeline did;
+    fit_on="train" fits them on the training side only and applies them to
+    both sides (no test-set leakage)."""
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on must be 'all' or 'train'")
     if kind not in ("class", "regression"):
         raise ValueError(f"unknown dataset kind {kind!r}")
     checks = V.table_checks(df, required_columns=required_columns, target=target,
@@ -134,18 +168,25 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
     valid = V.table_is_valid(checks).first()["valid"]
     if not valid:
         return Prepared(checks, None, None, None, None, None)
-    if kind == "class":
-        processed = class_chain(df, class_spec)
-        strat = (class_spec or ClassSpec()).label_col
+    chain = (lambda d: class_chain(d, class_spec)) if kind == "class" else \
+        (lambda d: regression_chain(d, regression_spec))
+    strat = (class_spec or ClassSpec()).label_col if kind == "class" else None
+    if fit_on == "train":
+        # split the raw rows first; the chain is fitted on the train side
+        raw = (SP.stratified_split(df, key, strat, test_size, seed) if strat
+               else SP.hash_split(df, key, test_size, seed))
+        processed = chain_fitted_on(raw, chain, kind, class_spec, regression_spec)
     else:
-        processed = regression_chain(df, regression_spec)
-        strat = None
+        processed = chain(df)
     # reused by profile, split and scale: cut the lineage once (reliable
     # checkpoint in the shared checkpoint folder, survives executor loss)
     checkpoint_dir(df.sparkSession)
     processed = processed.checkpoint(eager=True)
-    summary = P.numeric_summary(processed)
-    if strat is not None:
+    summary = P.numeric_summary(processed.drop("is_test") if "is_test" in processed.columns
+                                else processed)
+    if "is_test" in processed.columns:
+        tagged = processed
+    elif strat is not None:
         tagged = SP.stratified_split(processed, key, strat, test_size, seed)
     else:
         tagged = SP.hash_split(processed, key, test_size, seed)

@@ -144,20 +144,10 @@ def _evaluate_all_sql() -> str:
 
 
 def _rounded_all(spark, sf_dir):
-    parts = []
-    for name, kind, df, y, yhat in _all_jobs(spark, sf_dir):
-        if kind == "regression":
-            w = _round_reg(E.regression_metrics(df, y, yhat)).drop("mape_undefined")
-            parts.append(E.long_metrics(w, name, ["rmse", "mae", "r2_score", "mape",
-                                                  "samples_evaluated"]))
-        else:
-            w = _round_cls(E.classification_metrics(df, y, yhat))
-            parts.append(E.long_metrics(w, name, ["accuracy", "precision", "recall", "f1_score",
-                                                  "samples_evaluated"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """EVL6 over the three scored tables; values rounded per metric."""
+    m = E.evaluate_all(_all_jobs(spark, sf_dir))
+    four = F.col("metric").isin("rmse", "mae")
+    return m.withColumn("value", F.when(four, F.round("value", 4)).otherwise(F.round("value", 6)))
 
 
 @register("evaluate_all", _evaluate_all_sql() + "\nSELECT model_name, metric, value FROM M")

@@ -74,3 +74,28 @@ def test_trailing_window_is_strict(spark):
     assert row.error_rate_percent == 50.0 and row.avg_processing_time_ms == 10.0
     empty = S.prediction_stats(log, hours=24, as_of="2023-01-01 00:00:00").first()
     assert empty.total_predictions == 0 and empty.error_rate_percent == 0.0
+
+
+def test_prepare_fit_on_train(spark):
+    from quarry.plans import prepare as PP
+    from quarry.plans.q_features import H_SPEC
+    from quarry.sources.tables import regression_table
+    from conftest import SF
+    h = regression_table(spark, SF).withColumn(
+        "row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    a = PP.prepare(h, "regression", "row_key", "l_extendedprice", regression_spec=H_SPEC)
+    b = PP.prepare(h, "regression", "row_key", "l_extendedprice", regression_spec=H_SPEC,
+                   fit_on="train")
+    assert a.train.count() == b.train.count() and a.test.count() == b.test.count()
+    assert a.train.count() + a.test.count() == h.count()
+    # train-fitted z-scores have mean 0 on the train side
+    m = b.processed.where(~F.col("is_test")).agg(F.avg("l_quantity_zscore")).first()[0]
+    assert abs(m) < 1e-9
+
+
+def test_score_checks_features(spark):
+    import pytest
+    df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    model = TR.linear_regression("y", ["x"]).fit(df)
+    with pytest.raises(ValueError):
+        TR.score(model, df.drop("x"))
