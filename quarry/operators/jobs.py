@@ -109,7 +109,8 @@ def _event(spark: SparkSession, job_id: str, model: str, trigger: str, status: s
 
 def retrain(spark: SparkSession, registry, events_path: str, model_name: str, trigger_type: str,
             load_data: Callable[[], DataFrame], label: str, key: str, kind: str,
-            candidates: list[TR.Candidate], test_size: float = 0.2, seed: int = 42) -> str:
+            candidates: list[TR.Candidate], test_size: float = 0.2, seed: int = 42,
+            params: dict | None = None) -> str:
     """RTR1: started event -> load data -> split -> fit candidates -> pick
     best -> log runs -> register -> terminal event (completed or failed with
     the error text).  Returns the job id."""
@@ -127,7 +128,7 @@ def retrain(spark: SparkSession, registry, events_path: str, model_name: str, tr
         data = SP.hash_split(load_data(), key, test_size, seed)
         train = data.where(~F.col("is_test"))
         test = data.where(F.col("is_test"))
-        res = TR.train_candidates(train, test, label, kind, candidates)
+        res = TR.train_candidates(train, test, label, kind, candidates, params)
         if not res.models:
             raise RuntimeError(f"every candidate failed: {res.failures}")
         metric, higher = ("rmse", False) if kind == "regression" else ("accuracy", True)
@@ -135,7 +136,8 @@ def retrain(spark: SparkSession, registry, events_path: str, model_name: str, tr
         for run_id, m in res.models.items():
             rows = res.scores.where(F.col("run_id") == run_id)
             name = rows.select(F.first("run_name")).first()[0]
-            registry.log_run(run_id, name, model, {"trigger": trigger_type, "seed": seed},
+            registry.log_run(run_id, name, model,
+                             {"trigger": trigger_type, "seed": seed, **(params or {})},
                              rows.select("metric", "value"), m)
         registry.register(REGISTERED_NAMES[model], best)
         _event(spark, job_id, model, trigger_type, "completed",

@@ -34,6 +34,22 @@ def csv_roundtrip(spark, sf_dir):
         IO.read_csv(spark, proc_p, NATION_SCHEMA).withColumn("copy", F.lit("processed")))
 
 
+@register("csv_or_default", """
+SELECT n_nationkey, n_name, n_regionkey, 'default' AS source FROM nation
+UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'csv' FROM nation""")
+def csv_or_default(spark, sf_dir):
+    """SRC2 (retraining input): a missing path falls back to the default
+    dataset; an existing CSV path is read with the declared schema."""
+    nation = read_table(spark, sf_dir, "nation")
+    root = scratch_path(spark, "input")
+    nation.write.mode("overwrite").option("header", True).csv(f"{root}/nation_csv")
+    default = lambda: read_table(spark, sf_dir, "nation")
+    missing = IO.read_or_default(spark, f"{root}/does_not_exist", NATION_SCHEMA, default)
+    present = IO.read_or_default(spark, f"{root}/nation_csv", NATION_SCHEMA, default)
+    return missing.withColumn("source", F.lit("default")).unionByName(
+        present.withColumn("source", F.lit("csv")))
+
+
 @register("log_append_readback", f"""WITH {P_CTE}
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, model_name, status, count(*) AS n,
        round(sum(processing_time_ms), 4) AS total_ms

@@ -166,7 +166,7 @@ def retrain_jobs(spark, sf_dir):
                           lambda: TR.random_forest_regressor(H_LABEL, H_FEATURES, numTrees=20,
                                                              maxDepth=8))]
     J.retrain(spark, reg, events, "housing", "manual", lambda: _h(spark, sf_dir), H_LABEL,
-              "row_key", "regression", cands)
+              "row_key", "regression", cands, params={"maxIter": 50})
     c = TR.with_vector(class_table(spark, sf_dir), "embedding").withColumn(
         "label", F.col("label").cast("double"))
     ccands = [TR.Candidate("LogisticRegression",
