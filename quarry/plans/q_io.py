@@ -87,10 +87,10 @@ def json_report(spark, sf_dir):
 SELECT 'nation' AS dataset,
   CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), '\N'),
        coalesce(n_name, '\N'), coalesce(CAST(n_regionkey AS VARCHAR), '\N'))), 1, 8)) AS BIGINT))
-       AS BIGINT) AS hash_sum,
+       AS VARCHAR) AS hash_sum,
   count(*) AS n_rows,
   CAST(sum(length(concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), '\N'),
-       coalesce(n_name, '\N'), coalesce(CAST(n_regionkey AS VARCHAR), '\N')))) AS BIGINT) AS n_chars
+       coalesce(n_name, '\N'), coalesce(CAST(n_regionkey AS VARCHAR), '\N')))) AS VARCHAR) AS n_chars
 FROM nation""")
 def dataset_fingerprint(spark, sf_dir):
     return IO.dataset_fingerprint(read_table(spark, sf_dir, "nation"), "nation")

@@ -78,15 +78,16 @@ def dataset_fingerprint(df: DataFrame, name: str) -> DataFrame:
     """FPR1: order-independent content fingerprint of a table: per-row md5 of
     the '|'-joined values (NULL as \\N), first 8 hex digits as an integer,
     summed; plus the row count and the total text length.  Equal tables give
-    equal fingerprints regardless of partitioning or row order."""
+    equal fingerprints regardless of partitioning or row order.  Sums are
+    exact decimals (a long would overflow past ~2e9 rows) reported as text."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
     row = F.concat_ws("|", *cols)
-    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(38,0)")
     return df.agg(
         F.lit(name).alias("dataset"),
-        F.sum(h).alias("hash_sum"),
+        F.sum(h).cast("string").alias("hash_sum"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.length(row)).alias("n_chars"),
+        F.sum(F.length(row).cast("decimal(38,0)")).cast("string").alias("n_chars"),
     )
 
 
