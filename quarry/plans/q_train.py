@@ -54,7 +54,7 @@ def regression_candidates():
                      lambda: TR.decision_tree_regressor(H_LABEL, H_FEATURES, maxDepth=10)),
         TR.Candidate("RandomForestRegressor",
                      lambda: TR.random_forest_regressor(H_LABEL, H_FEATURES, numTrees=100,
-                                                        maxDepth=8)),
+                                                        maxDepth=6)),
     ]
 
 
@@ -64,7 +64,7 @@ def class_candidates(n_rows: int):
                      lambda: TR.logistic_regression("label", None, n_rows=n_rows)),
         TR.Candidate("RandomForestClassifier",
                      lambda: TR.random_forest_classifier("label", None, numTrees=100)),
-        TR.Candidate("LinearSVC", lambda: TR.linear_svc_ovr("label", None)),
+        TR.Candidate("LinearSVC", lambda: TR.linear_svc_ovr("label", None, maxIter=10)),
     ]
 
 

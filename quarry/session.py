@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,8 +35,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     if base.startswith("file:"):
         base = base[len("file:"):]
-    stamp = tempfile.mktemp(prefix="", dir="").strip("/")
-    return os.path.join(base, "quarry", f"{name}-{stamp}")
+    return os.path.join(base, "quarry", f"{name}-{uuid.uuid4().hex}")
 
 
 def tune_for_scale(spark: SparkSession, shuffle_partitions: int | None = None,

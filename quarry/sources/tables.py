@@ -86,14 +86,3 @@ def regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class table C: embeddings (vec_id, embedding array<float>, label 0..9)."""
     return read_table(spark, sf_dir, "embeddings")
-
-
-def class_features(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """C with the first `n` embedding dimensions as named double columns
-    (f0..f{n-1}) so row-wise feature operators can address them."""
-    c = class_table(spark, sf_dir)
-    return c.select(
-        "vec_id",
-        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)],
-        "label",
-    )
