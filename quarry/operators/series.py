@@ -116,6 +116,46 @@ def request_pairs(starts: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
+# --- long series form: (metric, labels map<string,string>, ts, value) -------------
+
+def to_series(df: DataFrame, metric: str, label_cols: Sequence[str], value: Column | str,
+              ts: str = "ts") -> DataFrame:
+    """Rows of one metric family in the long series form."""
+    kv = []
+    for c in label_cols:
+        kv += [F.lit(c), F.col(c).cast("string")]
+    v = F.col(value) if isinstance(value, str) else value
+    return df.select(F.lit(metric).alias("metric"), F.create_map(*kv).alias("labels"),
+                     F.col(ts).alias("ts"), v.cast("double").alias("value"))
+
+
+def label_key(labels: Column | str = "labels") -> Column:
+    """Canonical text of a label map (sorted k=v pairs) — a map cannot be a
+    grouping key, its canonical text can."""
+    m = F.col(labels) if isinstance(labels, str) else labels
+    return F.array_join(F.array_sort(F.transform(
+        F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+
+
+def series_counter(series: DataFrame) -> DataFrame:
+    """TS1-5 on the long form: value per (metric, label set)."""
+    return series.groupBy("metric", label_key().alias("series")).agg(
+        F.sum("value").alias("value"))
+
+
+def relabel_map(series: DataFrame, source: str, target: str, regex: str,
+                replacement: str) -> DataFrame:
+    """LBL1 on the label map: full match of labels[source] writes
+    labels[target] (map_concat, last key wins); no match leaves the map."""
+    anchored = f"^(?:{regex})$"
+    repl = replacement.replace("${", "$").replace("}", "")
+    src = F.element_at("labels", F.lit(source))
+    new = F.map_concat(
+        F.map_filter("labels", lambda k, v: k != F.lit(target)),
+        F.create_map(F.lit(target), F.regexp_replace(src, F.lit(anchored), F.lit(repl))))
+    return series.withColumn("labels", F.when(src.rlike(anchored), new).otherwise(F.col("labels")))
+
+
 def relabel(df: DataFrame, source: str, target: str, regex: str, replacement: str) -> DataFrame:
     """LBL1: when `source` fully matches `regex`, write the expanded
     replacement to `target`; otherwise `target` keeps its value (or NULL).

@@ -269,3 +269,27 @@ FROM P""")
 def relabel(spark, sf_dir):
     series = _log(spark, sf_dir).select(*REQ_LABELS).distinct()
     return SR.relabel(series, "endpoint", "model", "/predict/(h.*)", "${1}")
+
+
+@register("series_long", f"""WITH {P_SQL}
+SELECT 'ml_api_requests_total' AS metric,
+       'endpoint=' || endpoint || ',method=' || method || ',status=' || status AS series,
+       CAST(count(*) AS DOUBLE) AS value
+FROM P GROUP BY ALL
+UNION ALL
+SELECT 'ml_model_predictions_total',
+       CASE WHEN regexp_full_match(endpoint, '/predict/(.*)')
+            THEN 'model=' || regexp_replace(endpoint, '^(?:/predict/(.*))$', '\\1') || ',' ELSE '' END
+       || 'model_name=' || model_name || ',status=' || status,
+       CAST(count(*) AS DOUBLE)
+FROM P GROUP BY ALL""")
+def series_long(spark, sf_dir):
+    """Long series form (metric, labels map, ts, value): request counter and
+    a relabelled prediction counter, counted per canonical label set."""
+    log = _log(spark, sf_dir)
+    req = SR.to_series(log, "ml_api_requests_total", REQ_LABELS, F.lit(1.0))
+    pred = SR.to_series(log, "ml_model_predictions_total", ["model_name", "status", "endpoint"],
+                        F.lit(1.0))
+    pred = SR.relabel_map(pred, "endpoint", "model", "/predict/(.*)", "${1}")
+    pred = pred.withColumn("labels", F.map_filter("labels", lambda k, v: k != F.lit("endpoint")))
+    return SR.series_counter(req.unionByName(pred))

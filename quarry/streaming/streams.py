@@ -62,8 +62,9 @@ def ingest(log: DataFrame, rules: Sequence[Rule], valid_path: str, quarantine_pa
     def write(batch: DataFrame, _epoch: int) -> None:
         checked = V.apply_rules(batch, rules)
         ok, bad = V.route(checked)
-        ok.write.mode("append").parquet(valid_path)
-        bad.write.mode("append").parquet(quarantine_path)
+        part = ["event_date"] if "event_date" in batch.columns else []
+        ok.write.mode("append").partitionBy(*part).parquet(valid_path)
+        bad.write.mode("append").partitionBy(*part).parquet(quarantine_path)
 
     q = (log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
