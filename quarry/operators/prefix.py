@@ -40,10 +40,13 @@ def running_totals(
     `order_col` within `group_cols`."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group_cols = list(group_cols)
+    keys = [*[F.col(c) for c in group_cols], F.col(order_col)]
+    # without an explicit count the range exchange uses the session's shuffle
+    # partitions and AQE may merge small ranges (ids stay in key order)
     ranged = (
-        df.repartitionByRange(n, *[F.col(c) for c in group_cols], F.col(order_col))
+        (df.repartitionByRange(num_partitions, *keys) if num_partitions
+         else df.repartitionByRange(*keys))
         .withColumn(PID, F.spark_partition_id())
         .checkpoint(eager=True)
     )
