@@ -60,14 +60,22 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None
 
 
 def _exact_equal_n(n: Column, d: Column) -> Column:
+    """One pass over i = 0..n-1 keeping the running ratio
+    C(2n, n-k) / C(2n, n) = prod_{i<k} (n-i) / (n+1+i) and adding the signed
+    term each time k is a multiple of h: O(n) work per feature."""
     h = F.round(d * n).cast("int")
-    ratio = lambda k: F.aggregate(  # noqa: E731  C(2n, n-k) / C(2n, n)
-        F.sequence(F.lit(0), k - 1), F.lit(1.0),
-        lambda acc, i: acc * (n - i).cast("double") / (n + 1 + i).cast("double"))
-    terms = F.transform(
-        F.sequence(F.lit(1), F.floor(n / h).cast("int")),
-        lambda j: F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) * ratio(j * h))
-    p = 2.0 * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    init = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
+
+    def step(acc, i):
+        p = acc["p"] * (n - i).cast("double") / (n + 1 + i).cast("double")
+        k = i + 1
+        j = (k / h).cast("int")
+        sign = F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+        add = F.when(k % h == 0, sign * p).otherwise(F.lit(0.0))
+        return F.struct(p.alias("p"), (acc["s"] + add).alias("s"))
+
+    res = F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), init, step)
+    p = 2.0 * res["s"]
     return F.when(h <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 

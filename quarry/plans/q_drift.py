@@ -1,8 +1,9 @@
 """Drift queries (DRF1-4).
 
 Reference / current tables: lineitem shipped before / from 1998-01-01
-(unequal sizes), and the events table split by event-id parity (equal sizes,
-so the exact p-value law applies).
+(unequal sizes), and every event against the same events with latency
+inflated by 5 % and user ids shifted by 3 (equal sizes, so the exact p-value
+law applies).
 """
 from __future__ import annotations
 
@@ -26,10 +27,10 @@ def h_halves(spark, sf_dir):
             h.where(ship >= F.lit(CUT).cast("timestamp")).select(*cols))
 
 
-def event_halves(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events").select("event_id", "value", "user_id")
-    even = (F.col("event_id") % 2) == 0
-    return ev.where(even).drop("event_id"), ev.where(~even).drop("event_id")
+def event_shift(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("value", "user_id")
+    cur = ev.select((F.col("value") * 1.05).alias("value"), (F.col("user_id") + 3).alias("user_id"))
+    return ev, cur
 
 
 def _ks_sql(ref_sql: str, cur_sql: str, feats: list[str]) -> str:
@@ -52,8 +53,8 @@ S AS (SELECT feature, CAST(max(n_ref) AS BIGINT) AS n_ref, CAST(max(n_cur) AS BI
 
 _H_REF = f"SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}'"
 _H_CUR = f"SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '{CUT}'"
-_E_REF = "SELECT * FROM events WHERE event_id % 2 = 0"
-_E_CUR = "SELECT * FROM events WHERE event_id % 2 = 1"
+_E_REF = "SELECT value, user_id FROM events"
+_E_CUR = "SELECT value * 1.05 AS value, user_id + 3 AS user_id FROM events"
 
 _P_SQL = """P AS (SELECT S.*,
   CASE WHEN n_ref = n_cur AND n_ref <= 10000 THEN 'exact' ELSE 'asymptotic' END AS p_method,
@@ -85,7 +86,7 @@ def ks_statistic(spark, sf_dir):
           "\nSELECT feature, n_ref, n_cur, round(ks_d, 8) AS ks_d, round(p_value, 6) AS p_value, "
           "p_method FROM PV")
 def ks_pvalue(spark, sf_dir):
-    ref, cur = event_halves(spark, sf_dir)
+    ref, cur = event_shift(spark, sf_dir)
     p = D.ks_pvalue(D.ks_statistic(ref, cur))
     return p.select("feature", "n_ref", "n_cur", r("ks_d", 8).alias("ks_d"),
                     r("p_value", 6).alias("p_value"), "p_method")
@@ -108,7 +109,7 @@ SELECT 'housing' AS model_name, coalesce(avg(p_value) < 0.05, false) AS drift_de
          AS features_with_drift,
        CASE WHEN coalesce(avg(p_value) < 0.05, false) THEN 'Retrain model' ELSE 'No action needed' END
          AS recommendation,
-       'l_returnflag' AS skipped_features, 0.05 AS threshold
+       'l_returnflag' AS skipped_features, CAST(0.05 AS DOUBLE) AS threshold
 FROM PV""")
 def drift_report(spark, sf_dir):
     ref, cur = h_halves(spark, sf_dir)
@@ -129,7 +130,7 @@ LAST AS (SELECT max(day) AS d FROM DS),
 H AS (SELECT model_name, arg_max(value, day) AS historical FROM DS, LAST WHERE day < LAST.d GROUP BY model_name),
 C AS (SELECT model_name, value AS current FROM DS, LAST WHERE day = LAST.d)
 SELECT C.model_name, 'accuracy' AS metric, round(current, 6) AS current, round(historical, 6) AS historical,
-       0.05 AS threshold, coalesce(historical - current > 0.05, false) AS dropped
+       CAST(0.05 AS DOUBLE) AS threshold, coalesce(historical - current > 0.05, false) AS dropped
 FROM C LEFT JOIN H USING (model_name)""")
 def performance_drop(spark, sf_dir):
     """History = daily success share per model before the last day; current =

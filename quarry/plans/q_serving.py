@@ -19,7 +19,7 @@ _STATS_SQL = """count(*) AS total_predictions,
 
 @register("serving_stats", f"""
 WITH {P_CTE}
-SELECT {_STATS_SQL}, 24.0 AS time_window_hours
+SELECT {_STATS_SQL}, CAST(24.0 AS DOUBLE) AS time_window_hours
 FROM P WHERE ts > {AS_OF} - INTERVAL 24 HOURS""")
 def serving_stats(spark, sf_dir):
     return S.prediction_stats(prediction_log(spark, sf_dir), hours=24)
@@ -27,7 +27,7 @@ def serving_stats(spark, sf_dir):
 
 @register("serving_stats_model", f"""
 WITH {P_CTE}
-SELECT {_STATS_SQL}, 6.0 AS time_window_hours
+SELECT {_STATS_SQL}, CAST(6.0 AS DOUBLE) AS time_window_hours
 FROM P WHERE ts > {AS_OF} - INTERVAL 6 HOURS AND model_name = 'iris'""")
 def serving_stats_model(spark, sf_dir):
     return S.prediction_stats(prediction_log(spark, sf_dir), model_name="iris", hours=6)
@@ -35,7 +35,7 @@ def serving_stats_model(spark, sf_dir):
 
 @register("serving_stats_rollup", f"""
 WITH {P_CTE}
-SELECT model_name, CAST(grouping(model_name) AS INTEGER) AS grouping_level, {_STATS_SQL},
+SELECT model_name, CAST(grouping(model_name) AS BIGINT) AS grouping_level, {_STATS_SQL},
        CASE WHEN grouping(model_name) = 1 THEN 'overall' ELSE 'model' END AS scope
 FROM P WHERE ts > {AS_OF} - INTERVAL 24 HOURS
 GROUP BY ROLLUP (model_name)""")
