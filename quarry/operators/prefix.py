@@ -28,45 +28,64 @@ from quarry.session import checkpoint_dir
 PID = "_range_pid"
 
 
-def running_totals(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_col: str,
-    weight_cols: Sequence[str],
-    out_cols: Sequence[str],
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """Add inclusive running sums `out_cols[i]` of `weight_cols[i]` ordered by
-    `order_col` within `group_cols`."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    group_cols = list(group_cols)
+def frozen_ranges(df: DataFrame, group_cols: Sequence[str], order_col: str,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Range-partition by (group, order), tag each row with its partition id
+    and freeze the result with a reliable checkpoint (shared folder)."""
+    checkpoint_dir(df.sparkSession)
     keys = [*[F.col(c) for c in group_cols], F.col(order_col)]
     # without an explicit count the range exchange uses the session's shuffle
     # partitions and AQE may merge small ranges (ids stay in key order)
-    ranged = (
-        (df.repartitionByRange(num_partitions, *keys) if num_partitions
-         else df.repartitionByRange(*keys))
-        .withColumn(PID, F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    return ranged.withColumn(PID, F.spark_partition_id()).checkpoint(eager=True)
+
+
+def block_offsets(ranged: DataFrame, group_cols: Sequence[str],
+                  weight_cols: Sequence[str]) -> DataFrame:
+    """(pid, group..., _tot_i, _off_i): weight total of every (partition,
+    group) block and the exclusive prefix of the blocks before it — at most
+    #partitions + #groups rows."""
     totals = ranged.groupBy(PID, *group_cols).agg(
         *[F.sum(w).alias(f"_tot_{i}") for i, w in enumerate(weight_cols)]
     )
     before = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = totals.select(
-        PID, *group_cols,
+    return totals.select(
+        PID, *group_cols, *[f"_tot_{i}" for i in range(len(weight_cols))],
         *[F.coalesce(F.sum(f"_tot_{i}").over(before), F.lit(0)).alias(f"_off_{i}")
           for i in range(len(weight_cols))],
     )
+
+
+def local_running(blocks_rows: DataFrame, group_cols: Sequence[str], order_col: str,
+                  weight_cols: Sequence[str], out_cols: Sequence[str],
+                  keep: Sequence[str]) -> DataFrame:
+    """offset + running sum inside each (partition, group) block."""
     local = Window.partitionBy(PID, *group_cols).orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    joined = ranged.join(offsets, [PID, *group_cols], "inner")
-    return joined.select(
-        *[c for c in df.columns],
+    return blocks_rows.select(
+        *keep,
         *[(F.col(f"_off_{i}") + F.sum(w).over(local)).alias(o)
           for i, (w, o) in enumerate(zip(weight_cols, out_cols))],
     )
+
+
+def running_totals(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_col: str,
+    weight_cols: Sequence[str],
+    out_cols: Sequence[str],
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add inclusive running sums `out_cols[i]` of `weight_cols[i]` ordered by
+    `order_col` within `group_cols`."""
+    group_cols = list(group_cols)
+    ranged = frozen_ranges(df, group_cols, order_col, num_partitions)
+    offsets = block_offsets(ranged, group_cols, weight_cols).drop(
+        *[f"_tot_{i}" for i in range(len(weight_cols))])
+    joined = ranged.join(offsets, [PID, *group_cols], "inner")
+    return local_running(joined, group_cols, order_col, weight_cols, out_cols, df.columns)

@@ -3,9 +3,11 @@
 a whole column.
 
 Rows are first reduced to (key, value, count) — a value that holds a third of
-the table becomes one row — then running counts come from the two-level
-prefix sum, and each requested rank is found with an equi-join on the key
-plus a range predicate (linear in the distinct values).
+the table becomes one row — and range-partitioned by (key, value) into frozen
+blocks (see prefix.py).  Block totals give every block its rank interval, so
+a requested rank k is located in its block from a table of #blocks rows; only
+the blocks that hold a requested rank are read again and ranked inside (a
+selection, not a full prefix sum over the data).
 """
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.prefix import running_totals
+from quarry.operators.prefix import PID, block_offsets, frozen_ranges, local_running
 
 
 def exact_quantiles(
@@ -35,9 +37,9 @@ def exact_quantiles(
         .groupBy(*key_cols, v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    cum = running_totals(counts, key_cols, "_v", ["_cnt"], ["_cum"])
-    # sizes from the frozen (checkpointed) counts: no second pass over the source
-    sizes = cum.groupBy(*key_cols).agg(F.sum("_cnt").alias("_n"))
+    ranged = frozen_ranges(counts, key_cols, "_v")
+    blocks = block_offsets(ranged, key_cols, ["_cnt"])          # #blocks rows
+    sizes = blocks.groupBy(*key_cols).agg(F.sum("_tot_0").alias("_n"))
     targets = (
         sizes.select(*key_cols, "_n",
                      F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
@@ -45,6 +47,13 @@ def exact_quantiles(
         .withColumn("_klo", F.floor("_h"))
         .withColumn("_khi", F.ceil("_h"))
     )
+    # blocks whose rank interval [off, off + tot) holds a requested rank
+    inside = lambda k: (F.col("_off_0") <= F.col(k)) & (
+        F.col(k) < F.col("_off_0") + F.col("_tot_0"))
+    hit_blocks = blocks.join(targets.select(*key_cols, "_klo", "_khi"), key_cols).where(
+        inside("_klo") | inside("_khi")).select(PID, *key_cols, "_off_0").distinct()
+    cum = local_running(ranged.join(hit_blocks, [PID, *key_cols]), key_cols, "_v", ["_cnt"],
+                        ["_cum"], [*key_cols, "_v", "_cnt"])
     lo_start = F.col("_cum") - F.col("_cnt")
     hits = cum.join(targets, key_cols, "inner").where(
         (lo_start <= F.col("_khi")) & (F.col("_klo") < F.col("_cum"))
