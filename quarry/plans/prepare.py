@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import rules as R
 from quarry.operators import features as X
 from quarry.operators import profile as P
 from quarry.operators import scale as SC
@@ -198,5 +197,5 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
                     SC.apply_scaler(test, params, feats), params)
 
 
-__all__ = ["class_chain", "regression_chain", "prepare", "ClassSpec", "RegressionSpec",
-           "R"]
+__all__ = ["class_chain", "regression_chain", "prepare", "chain_fitted_on", "ClassSpec",
+           "RegressionSpec"]

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import r
 from quarry.operators import features as X
-from quarry.operators import profile as P
 from quarry.plans import prepare as PP
 from quarry.plans.catalog import register
 from quarry.sources.tables import as_wall_clock, class_table, read_table, regression_table
@@ -104,7 +103,7 @@ def _clip_sql(table: str, cols: list[str], key_cols: str) -> str:
     return f"WITH B AS (SELECT {b} FROM {table})\nSELECT {key_cols}, {sel} FROM {table}, B"
 
 
-@register("iqr_clip", _clip_sql("orders", ["o_totalprice"], "o_orderkey") + "")
+@register("iqr_clip", _clip_sql("orders", ["o_totalprice"], "o_orderkey"))
 def iqr_clip(spark, sf_dir):
     o = X.iqr_clip(read_table(spark, sf_dir, "orders"), ["o_totalprice"])
     return o.select("o_orderkey", r("o_totalprice", 6).alias("o_totalprice"))
@@ -253,5 +252,3 @@ def prepare_report(spark, sf_dir):
     return summ.withColumn("test_rows", prep.test.select(F.count(F.lit(1))).scalar()) \
                .withColumn("train_rows", prep.train.select(F.count(F.lit(1))).scalar())
 
-
-_ = P  # profile operators are used through prepare
