@@ -101,6 +101,31 @@ def stream_pairs(spark, sf_dir):
                       r("duration_s", 6).alias("duration_s"))
 
 
+@register("stream_pairs_expiry", f"""WITH {P_CTE}
+SELECT id AS request_id, ts AS start_ts, {_END_TS} AS end_ts,
+       round((epoch_us({_END_TS}) - epoch_us(ts)) / 1e6, 6) AS duration_s, 'closed' AS state
+FROM P WHERE status = 'success'
+UNION ALL
+SELECT id, ts, NULL, NULL, 'expired' FROM P
+WHERE status = 'error'
+  AND ts + INTERVAL 60 SECOND < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_pairs_expiry(spark, sf_dir):
+    """STR4 (stateful form): errors never send an end event, so their starts
+    expire one minute (event time) after they began, once the watermark has
+    passed that point; starts still waiting at the end stay in state."""
+    base, s = _staged(spark, sf_dir)
+    log = ST.log_stream(s, watermark=False)
+    starts = log.select(F.col("id").alias("request_id"), "ts")
+    end = F.timestamp_micros(F.unix_micros("ts") + (F.col("processing_time_ms") * 1000).cast("long"))
+    ends = log.where(F.col("status") == "success").select(F.col("id").alias("request_id"),
+                                                          end.alias("ts"))
+    ST.run_available_now(ST.pair_with_expiry(starts, ends), f"{base}/out", f"{base}/ck")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("request_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
+                      F.col("end_ts").cast("timestamp_ntz").alias("end_ts"),
+                      r("duration_s", 6).alias("duration_s"), "state")
+
+
 LOG_RULES = [R.bounds("processing_time_ms", gt=0, le=300),
              R.bounds("confidence", ge=0.0, le=1.0, required=False)]
 

@@ -107,6 +107,77 @@ def pair_stream(starts: DataFrame, ends: DataFrame, max_gap: str = "1 hour") ->
                     ((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6).alias("duration_s"))
 
 
+PAIR_STATE_SCHEMA = "start_us long"
+PAIR_OUT_SCHEMA = ("request_id long, start_us long, end_us long, duration_s double, "
+                   "state string")
+
+
+def _pair_with_expiry(timeout_ms: int):
+    """Per request id: remember the start, emit `closed` when the end
+    arrives, `unmatched_end` (duration 0) for an end without a start, and
+    `expired` when the event-time timer passes start + timeout."""
+    import pandas as pd
+
+    def row(rid, start, end, dur, st):
+        return pd.DataFrame({"request_id": [rid], "start_us": [start], "end_us": [end],
+                             "duration_s": [dur], "state": [st]})
+
+    def fn(key, pdfs, state):
+        rid = int(key[0])
+        if state.hasTimedOut:
+            (start,) = state.get
+            state.remove()
+            yield row(rid, start, None, None, "expired")
+            return
+        start = state.get[0] if state.exists else None
+        end = None
+        for pdf in pdfs:
+            for kind, us in zip(pdf["kind"], pdf["us"]):
+                us = int(us)
+                if kind == "start":
+                    start = us if start is None else min(start, us)
+                else:
+                    end = us if end is None else max(end, us)
+        if end is not None:
+            if state.exists:
+                state.remove()
+            if start is None:
+                yield row(rid, None, end, 0.0, "unmatched_end")
+            else:
+                yield row(rid, start, end, (end - start) / 1e6, "closed")
+        elif start is not None:
+            state.update((start,))
+            wm = state.getCurrentWatermarkMs()
+            state.setTimeoutTimestamp(max(start // 1000 + timeout_ms, wm + 1))
+
+    return fn
+
+
+def pair_with_expiry(starts: DataFrame, ends: DataFrame, timeout: str = "60 seconds") -> DataFrame:
+    """STR4 with explicit expiry: starts and ends (request_id, ts) of one
+    stream are grouped by request id through a stateful pandas function with
+    an event-time timeout; state per id is one number and is dropped when the
+    request closes or expires."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    timeout_ms = _interval_ms(timeout)
+    ev = starts.select("request_id", "ts", F.lit("start").alias("kind")).unionByName(
+        ends.select("request_id", "ts", F.lit("end").alias("kind")))
+    ev = ev.withWatermark("ts", WATERMARK).withColumn("us", F.unix_micros("ts"))
+    out = ev.groupBy("request_id").applyInPandasWithState(
+        _pair_with_expiry(timeout_ms), PAIR_OUT_SCHEMA, PAIR_STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return out.select("request_id", F.timestamp_micros("start_us").alias("start_ts"),
+                      F.timestamp_micros("end_us").alias("end_ts"), "duration_s", "state")
+
+
+def _interval_ms(text: str) -> int:
+    n, unit = text.split()
+    scale = {"second": 1000, "seconds": 1000, "minute": 60000, "minutes": 60000,
+             "hour": 3600000, "hours": 3600000}[unit]
+    return int(float(n) * scale)
+
+
 def dedupe(log: DataFrame, key: str = "id") -> DataFrame:
     """STR7: drop repeated request ids delivered again within the watermark."""
     return log.dropDuplicatesWithinWatermark([key])

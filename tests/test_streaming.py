@@ -23,3 +23,21 @@ def test_dedupe_and_late_rows(spark, tmp_path):
     ST.run_available_now(d, str(tmp_path / "out"), str(tmp_path / "ck"))
     ids = sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert ids == [1, 2]  # duplicate dropped; row 40 min behind the watermark dropped
+
+
+def test_pair_with_expiry(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 12, 0, 0)
+    s_rows = [(1, t), (2, t + dt.timedelta(seconds=5)), (9, t + dt.timedelta(hours=1))]
+    e_rows = [(1, t + dt.timedelta(seconds=2)), (3, t + dt.timedelta(seconds=7))]
+    sp, ep = str(tmp_path / "s"), str(tmp_path / "e")
+    spark.createDataFrame(s_rows, "request_id long, ts timestamp").coalesce(1).write.parquet(sp)
+    spark.createDataFrame(e_rows, "request_id long, ts timestamp").coalesce(1).write.parquet(ep)
+    starts = spark.readStream.schema("request_id long, ts timestamp").parquet(sp)
+    ends = spark.readStream.schema("request_id long, ts timestamp").parquet(ep)
+    ST.run_available_now(ST.pair_with_expiry(starts, ends), str(tmp_path / "out"),
+                         str(tmp_path / "ck"))
+    got = {r.request_id: (r.state, r.duration_s)
+           for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # 2 never ends -> expired once the watermark (13:00 - 10 min) passes 12:01:05;
+    # 9 is still inside its timeout window and stays in state
+    assert got == {1: ("closed", 2.0), 2: ("expired", None), 3: ("unmatched_end", 0.0)}
