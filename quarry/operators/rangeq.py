@@ -89,7 +89,8 @@ def bucket_rate_long(wide: DataFrame, labels: Sequence[str],
 
 def histogram_quantile(wide: DataFrame, labels: Sequence[str], q: float | Sequence[float],
                        buckets: Sequence[float] = DEFAULT_BUCKETS,
-                       names: Sequence[str] | None = None) -> DataFrame:
+                       names: Sequence[str] | None = None,
+                       keep: Sequence[str] = ("bin", "step_ts")) -> DataFrame:
     """TS12: quantile(s) from cumulative bucket rates (wide form of
     `bucket_rate`): rank = q * total; first bucket reaching the rank; linear
     interpolation inside it (lower bound 0 for the first bucket); a rank in
@@ -123,7 +124,7 @@ def histogram_quantile(wide: DataFrame, labels: Sequence[str], q: float | Sequen
         vals.append((F.when(total.isNull() | (total <= 0), F.lit(None).cast("double"))
                      .when(idx == F.lit(len(bounds) + 1), F.lit(bounds[-1]))
                      .otherwise(F.coalesce(interp, hit["le"]))).alias(names[i]))
-    return out.select(*labels, "bin", "step_ts", *vals)
+    return out.select(*labels, *keep, *vals)
 
 
 def range_grid(events: DataFrame, labels: Sequence[str], as_of, lookback_s: int = 3600,

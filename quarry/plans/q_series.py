@@ -210,7 +210,9 @@ def bucket_rate(spark, sf_dir):
     return RQ.bucket_rate_long(wide, ["model_name"]).withColumn("rate", r("rate", 6))
 
 
-def _hq_sql() -> str:
+def hq_sql_from(prefix: str, step_ts_sql: str) -> str:
+    """Histogram-quantile oracle over a CTE chain `prefix` that ends with
+    W(model_name, bin, b0.., b_inf); p50 and p95 per (model_name, bin)."""
     bounds = [float(b) for b in SR.DEFAULT_BUCKETS]
     parts = [f"SELECT model_name, bin, {i} AS k, {b!r} AS le, b{i} AS c, b_inf AS total FROM W"
              for i, b in enumerate(bounds)]
@@ -228,13 +230,18 @@ def _hq_sql() -> str:
               * ({q} * x.total - coalesce(lp.c, 0.0)) / (h.c - coalesce(lp.c, 0.0)) END AS v
   FROM {name} x JOIN L h ON h.model_name = x.model_name AND h.bin = x.bin AND h.k = x.k
   LEFT JOIN L lp ON lp.model_name = x.model_name AND lp.bin = x.bin AND lp.k = x.k - 1)""")
-    return (_bucket_cte("processing_time_ms / 1000.0") + ",\nL AS (" + "\nUNION ALL\n".join(parts)
-            + "),\n" + ",\n".join(qs) + """
-SELECT a.model_name, a.bin, make_timestamp((a.bin + 1) * 10000000) AS step_ts,
+    return (prefix + ",\nL AS (" + "\nUNION ALL\n".join(parts)
+            + "),\n" + ",\n".join(qs) + f"""
+SELECT a.model_name, a.bin, {step_ts_sql} AS step_ts,
        round(a.v, 6) AS p50, round(b.v, 6) AS p95
 FROM p50v a JOIN p95v b ON a.model_name = b.model_name AND a.bin = b.bin""")
 
 
+def _hq_sql() -> str:
+    return hq_sql_from(_bucket_cte("processing_time_ms / 1000.0"),
+                       "make_timestamp((a.bin + 1) * 10000000)")
+
+
 @register("histogram_quantile", _hq_sql())
 def histogram_quantile(spark, sf_dir):
     p = _log(spark, sf_dir).withColumn("v", F.col("processing_time_ms") / 1000.0)

@@ -1,12 +1,16 @@
 """Streaming queries (STR1-7): each runs a Structured Streaming job with
 `Trigger.AvailableNow` over event files staged from the `events` table, then
-reads the sink back.  Oracles are the batch twins (closed windows only)."""
+reads the sink back.  Oracles are the batch twins (closed windows only).
+
+Staging the files is the test harness only: in production the stream reads
+the folder the serving log lands in, and the sinks are the shared tables."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.functions.numeric import r
+from quarry.operators import rangeq as RQ
 from quarry.operators import train as TR
 from quarry.operators.series import DEFAULT_BUCKETS
 from quarry.plans.catalog import register
@@ -62,6 +66,34 @@ def stream_rate_5m(spark, sf_dir):
         *[f"b{i}" for i in range(len(DEFAULT_BUCKETS))])
 
 
+def _stream_quantile_sql() -> str:
+    from quarry.plans.q_series import hq_sql_from
+    buckets = ", ".join(f"count(*) FILTER (WHERE processing_time_ms / 1000.0 <= {float(b)!r}) AS b{i}"
+                        for i, b in enumerate(DEFAULT_BUCKETS))
+    prefix = f"""{_WINDOWS_SQL},
+W AS (SELECT model_name, window_start AS bin, {buckets}, count(*) AS b_inf FROM W0
+      GROUP BY window_start, model_name
+      HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"""
+    sql = hq_sql_from(prefix.replace("W AS (SELECT time_bucket", "W0 AS (SELECT time_bucket"),
+                      "a.bin + INTERVAL 5 MINUTE")
+    return sql.replace("SELECT a.model_name, a.bin,", "SELECT a.model_name, a.bin AS window_start,")\
+              .replace(" AS step_ts,", " AS window_end,")
+
+
+@register("stream_window_quantiles", _stream_quantile_sql())
+def stream_window_quantiles(spark, sf_dir):
+    """STR3: p50 / p95 latency per sliding window, from the bucket counts the
+    windowed stream aggregated (quantiles computed downstream of the sink)."""
+    base, s = _staged(spark, sf_dir)
+    ST.run_available_now(ST.sliding_stats(ST.log_stream(s)), f"{base}/out", f"{base}/ck")
+    wide = _closed(spark.read.parquet(f"{base}/out"), spark, sf_dir).withColumn("b_inf", F.col("n"))
+    q = RQ.histogram_quantile(wide, ["model_name"], [0.5, 0.95], names=["p50", "p95"],
+                              keep=["window_start", "window_end"])
+    return q.select("model_name", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                    r("p50", 6).alias("p50"), r("p95", 6).alias("p95"))
+
+
 @register("stream_counters", f"""WITH {P_CTE},
 T AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS window_start, model_name, status FROM P)
 SELECT window_start, model_name, status, count(*) AS n FROM T
