@@ -98,7 +98,7 @@ def _clip_sql(table: str, cols: list[str], key_cols: str) -> str:
         f"quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS {c}_lo, "
         f"quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS {c}_hi"
         for c in cols)
-    sel = ", ".join(f"round(CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, {c}_lo), {c}_hi) END, 6) AS {c}"
+    sel = ", ".join(f"0.0 + round(CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, {c}_lo), {c}_hi) END, 6) AS {c}"
                     for c in cols)
     return f"WITH B AS (SELECT {b} FROM {table})\nSELECT {key_cols}, {sel} FROM {table}, B"
 
@@ -117,9 +117,9 @@ def iqr_clip_multi(spark, sf_dir):
 
 @register("zscore", """
 SELECT l_orderkey, l_linenumber,
-  round((l_quantity - (SELECT avg(l_quantity) FROM lineitem))
+  0.0 + round((l_quantity - (SELECT avg(l_quantity) FROM lineitem))
         / (SELECT stddev_samp(l_quantity) FROM lineitem), 6) AS l_quantity_zscore,
-  round((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem))
+  0.0 + round((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem))
         / (SELECT stddev_samp(l_extendedprice) FROM lineitem), 6) AS l_extendedprice_zscore
 FROM lineitem""")
 def zscore(spark, sf_dir):
@@ -164,10 +164,10 @@ WITH C AS (
 A AS (SELECT *, sl * sw AS sepal_area, pl * pw AS petal_area,
              CASE WHEN pl * pw <> 0 THEN (sl * sw) / (pl * pw) END AS raw_ratio FROM C)
 SELECT vec_id, target, {_SPECIES_SQL.replace('label', 'target')} AS species,
-       round(sepal_area, 6) AS sepal_area, round(petal_area, 6) AS petal_area,
-       round(coalesce(raw_ratio, (SELECT avg(raw_ratio) FROM A)), 4) AS sepal_petal_ratio,
-       round((sl - (SELECT avg(sl) FROM A)) / (SELECT stddev_samp(sl) FROM A), 6) AS sepal_length_zscore,
-       round((pl - (SELECT avg(pl) FROM A)) / (SELECT stddev_samp(pl) FROM A), 6) AS petal_length_zscore
+       0.0 + round(sepal_area, 6) AS sepal_area, 0.0 + round(petal_area, 6) AS petal_area,
+       0.0 + round(coalesce(raw_ratio, (SELECT avg(raw_ratio) FROM A)), 4) AS sepal_petal_ratio,
+       0.0 + round((sl - (SELECT avg(sl) FROM A)) / (SELECT stddev_samp(sl) FROM A), 6) AS sepal_length_zscore,
+       0.0 + round((pl - (SELECT avg(pl) FROM A)) / (SELECT stddev_samp(pl) FROM A), 6) AS petal_length_zscore
 FROM A""")
 def class_prepare(spark, sf_dir):
     out = PP.class_chain(class_raw(spark, sf_dir))
@@ -212,17 +212,17 @@ R AS (SELECT *, l_quantity * l_discount AS discounted_units,
              CASE WHEN l_discount <> 0 THEN l_extendedprice / l_discount END AS rp,
              CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS rt FROM K)
 SELECT l_orderkey, l_linenumber,
-  round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice,
-  round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax,
-  round(discounted_units, 6) AS discounted_units,
-  round(coalesce(rp, (SELECT avg(rp) FROM R)), 6) AS price_per_discount,
-  round(coalesce(rt, (SELECT avg(rt) FROM R)), 6) AS tax_per_discount,
-  round(pow(l_quantity, 2), 6) AS quantity_squared,
-  round(sqrt(l_discount * l_discount + l_tax * l_tax), 6) AS discount_tax_norm,
-  round(l_discount * l_tax, 6) AS discount_tax_interaction,
-  round((l_quantity - (SELECT avg(l_quantity) FROM R)) / (SELECT stddev_samp(l_quantity) FROM R), 6)
+  0.0 + round(l_quantity, 6) AS l_quantity, 0.0 + round(l_extendedprice, 6) AS l_extendedprice,
+  0.0 + round(l_discount, 6) AS l_discount, 0.0 + round(l_tax, 6) AS l_tax,
+  0.0 + round(discounted_units, 6) AS discounted_units,
+  0.0 + round(coalesce(rp, (SELECT avg(rp) FROM R)), 6) AS price_per_discount,
+  0.0 + round(coalesce(rt, (SELECT avg(rt) FROM R)), 6) AS tax_per_discount,
+  0.0 + round(pow(l_quantity, 2), 6) AS quantity_squared,
+  0.0 + round(sqrt(l_discount * l_discount + l_tax * l_tax), 6) AS discount_tax_norm,
+  0.0 + round(l_discount * l_tax, 6) AS discount_tax_interaction,
+  0.0 + round((l_quantity - (SELECT avg(l_quantity) FROM R)) / (SELECT stddev_samp(l_quantity) FROM R), 6)
     AS l_quantity_zscore,
-  round((l_extendedprice - (SELECT avg(l_extendedprice) FROM R))
+  0.0 + round((l_extendedprice - (SELECT avg(l_extendedprice) FROM R))
         / (SELECT stddev_samp(l_extendedprice) FROM R), 6) AS l_extendedprice_zscore,
   CASE WHEN l_extendedprice > 0 AND l_extendedprice <= 25000 THEN 'Low'
        WHEN l_extendedprice > 25000 AND l_extendedprice <= 50000 THEN 'Medium'

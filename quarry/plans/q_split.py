@@ -45,7 +45,7 @@ def _scale_sql(center: str, scale: str) -> str:
     fit = ", ".join(f"{center.format(c=c)} AS {c}_c, "
                     f"CASE WHEN {scale.format(c=c)} = 0 OR {scale.format(c=c)} IS NULL THEN 1.0 "
                     f"ELSE {scale.format(c=c)} END AS {c}_s" for c in SCALE_COLS)
-    sel = ", ".join(f"round((CAST({c} AS DOUBLE) - {c}_c) / {c}_s, 6) AS {c}" for c in SCALE_COLS)
+    sel = ", ".join(f"0.0 + round((CAST({c} AS DOUBLE) - {c}_c) / {c}_s, 6) AS {c}" for c in SCALE_COLS)
     return f"""WITH S AS ({_SPLIT_SQL.replace('SELECT o_orderkey,', 'SELECT *,')}),
 FIT AS (SELECT {fit} FROM S WHERE NOT is_test)
 SELECT o_orderkey, is_test, {sel} FROM S, FIT"""

@@ -47,7 +47,7 @@ def _sliding_sql() -> str:
 SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, model_name, count(*) AS n,
        count(*) FILTER (WHERE status = 'error') AS errors,
        round(count(*) FILTER (WHERE status = 'error') / count(*), 6) AS error_share,
-       round(avg(processing_time_ms), 4) AS avg_ms, {buckets}
+       round(avg(processing_time_ms), 6) AS avg_ms, {buckets}
 FROM W GROUP BY window_start, model_name
 HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
 
@@ -62,7 +62,7 @@ def stream_rate_5m(spark, sf_dir):
     return out.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "model_name", "n",
-        "errors", r("error_share", 6).alias("error_share"), r("avg_ms", 4).alias("avg_ms"),
+        "errors", r("error_share", 6).alias("error_share"), r("avg_ms", 6).alias("avg_ms"),
         *[f"b{i}" for i in range(len(DEFAULT_BUCKETS))])
 
 
