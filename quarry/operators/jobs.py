@@ -81,9 +81,12 @@ def events_from_requests(requests: DataFrame, duration_s: Column, failed: Column
 def latest_state(job_events: DataFrame) -> DataFrame:
     """RTR3: current state per job (latest event; duration defaults to 0)."""
     last = F.max_by(F.struct("status", "ts", "duration", "error"), F.col("ts"))
-    return job_events.groupBy("job_id", "model_name", "trigger_type").agg(
+    # job attributes fixed at submission travel as grouping keys
+    keys = [c for c in ("job_id", "model_name", "trigger_type", "estimated_minutes")
+            if c in job_events.columns]
+    return job_events.groupBy(*keys).agg(
         last.alias("s"), F.min("ts").alias("start_time")).select(
-        "job_id", "model_name", "trigger_type", "s.status", "start_time",
+        *keys, "s.status", "start_time",
         F.col("s.ts").alias("last_update"), F.coalesce("s.duration", F.lit(0.0)).alias("duration"),
         "s.error")
 

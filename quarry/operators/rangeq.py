@@ -47,7 +47,7 @@ def rate_samples(samples: DataFrame, labels: Sequence[str], value: str = "value"
     """TS10 (sample form): reset-aware rate from sampled counter values."""
     d = counter_deltas(samples, labels, value)
     n = range_s // step_s
-    return d.select(*labels, "bin",
+    return d.select(*labels, "bin", value,
                     (F.sum("delta").over(_range(labels, n)) / F.lit(float(range_s))).alias("rate"))
 
 

@@ -135,7 +135,8 @@ FROM C LEFT JOIN H USING (model_name)""")
 def performance_drop(spark, sf_dir):
     """History = daily success share per model before the last day; current =
     the last day's share."""
-    ds = _daily_success(spark, sf_dir).withColumn("metric", F.lit("accuracy"))
+    # days x models rows: frozen once, read three times
+    ds = _daily_success(spark, sf_dir).withColumn("metric", F.lit("accuracy")).checkpoint(eager=True)
     last = ds.select(F.max("day")).scalar()
     hist = ds.where(F.col("day") < last).select("model_name", "metric", "value",
                                                  F.col("day").alias("ts"))

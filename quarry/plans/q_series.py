@@ -171,8 +171,8 @@ def rate_samples_reset(spark, sf_dir):
     w = Window.partitionBy("model_name", day).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     samples = b.select("model_name", "bin", F.sum("inc").over(w).alias("value"))
     rt = RQ.rate_samples(samples, ["model_name"])
-    return rt.join(samples, ["model_name", "bin"]).select(
-        "model_name", "bin", F.col("value").cast("long").alias("value"), r("rate", 6).alias("rate"))
+    return rt.select("model_name", "bin", F.col("value").cast("long").alias("value"),
+                     r("rate", 6).alias("rate"))
 
 
 @register("success_ratio", f"""WITH {P_SQL},

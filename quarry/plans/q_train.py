@@ -138,10 +138,8 @@ SELECT model_name || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || CAST(request
        CASE model_name WHEN 'housing' THEN 5 WHEN 'iris' THEN 3 ELSE 10 END AS estimated_minutes
 FROM OK""")
 def job_latest_state(spark, sf_dir):
-    ev = derived_job_events(spark, sf_dir)
-    st = J.latest_state(ev)
-    est = ev.groupBy("job_id").agg(F.first("estimated_minutes").alias("estimated_minutes"))
-    return st.join(est, "job_id").select(
+    st = J.latest_state(derived_job_events(spark, sf_dir))
+    return st.select(
         "job_id", "model_name", "trigger_type", "status",
         F.col("start_time").cast("timestamp_ntz").alias("start_time"),
         F.col("last_update").cast("timestamp_ntz").alias("last_update"),
