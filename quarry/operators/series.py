@@ -97,15 +97,20 @@ def inflight(starts: DataFrame, ends: DataFrame, labels: Sequence[str]) -> DataF
 
 
 def request_pairs(starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """TS9: pair start and end events by request id (one shuffle on the id).
-    duration_s = end - start; an end without a start gives 0; a start without
-    an end stays open (duration NULL)."""
-    s = starts.select("request_id", F.col("ts").alias("start_ts"), F.lit(None).cast("timestamp")
-                      .alias("end_ts"))
-    e = ends.select("request_id", F.lit(None).cast("timestamp").alias("start_ts"),
-                    F.col("ts").alias("end_ts"))
-    g = s.unionByName(e).groupBy("request_id").agg(F.min("start_ts").alias("start_ts"),
-                                                    F.max("end_ts").alias("end_ts"))
+    """TS9 from separate start and end tables (request_id, ts)."""
+    ev = starts.select("request_id", "ts", F.lit("start").alias("kind")).unionByName(
+        ends.select("request_id", "ts", F.lit("end").alias("kind")))
+    return request_pairs_events(ev)
+
+
+def request_pairs_events(events: DataFrame) -> DataFrame:
+    """TS9: pair start and end events (request_id, kind, ts) by request id
+    (one shuffle on the id).  duration_s = end - start; an end without a
+    start gives 0; a start without an end stays open (duration NULL)."""
+    is_start = F.col("kind") == "start"
+    g = events.groupBy("request_id").agg(
+        F.min(F.when(is_start, F.col("ts"))).alias("start_ts"),
+        F.max(F.when(~is_start, F.col("ts"))).alias("end_ts"))
     dur = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6
     return g.select(
         "request_id", "start_ts", "end_ts",

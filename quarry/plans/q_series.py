@@ -118,9 +118,14 @@ SELECT id AS request_id, ts AS start_ts,
 FROM P""")
 def request_pairs(spark, sf_dir):
     ev = request_events(_log(spark, sf_dir))
-    starts = ev.select("request_id", F.col("start_ts").alias("ts"))
-    ends = ev.where(F.col("error").isNull()).select("request_id", F.col("end_ts").alias("ts"))
-    p = SR.request_pairs(starts, ends)
+    # one scan: every request yields its start event and, when it finished
+    # without error, its end event
+    both = ev.select("request_id", F.explode(F.array_compact(F.array(
+        F.struct(F.lit("start").alias("kind"), F.col("start_ts").alias("ts")),
+        F.when(F.col("error").isNull(),
+               F.struct(F.lit("end").alias("kind"), F.col("end_ts").alias("ts"))))))
+        .alias("e")).select("request_id", "e.kind", "e.ts")
+    p = SR.request_pairs_events(both)
     return p.select("request_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
                     F.col("end_ts").cast("timestamp_ntz").alias("end_ts"),
                     r("duration_s", 6).alias("duration_s"), "state")
