@@ -92,42 +92,72 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
+def multi_category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """AGG3 for several columns in one pass: (name, label, count)."""
+    arr = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("label"))
+                    for c in cols])
+    return df.select(F.inline(arr)).where(F.col("label").isNotNull()) \
+        .groupBy("name", "label").agg(F.count(F.lit(1)).alias("count"))
+
+
 def profile_report(df: DataFrame, dataset: str, target: str | None = None,
                    categorical: Sequence[str] = ()) -> DataFrame:
     """AGG7: the whole profile bundle as long rows
-    (dataset, section, name, stat, value, label)."""
-    sec = lambda d, s: d.withColumn("section", F.lit(s))
-    parts = []
-    shape = shape_types(df)
-    parts.append(sec(shape.select(F.col("column_name").alias("name"),
-                                  F.lit("ordinal").alias("stat"),
-                                  F.col("ordinal").cast("double").alias("value"),
-                                  F.col("data_type").alias("label")), "columns"))
-    parts.append(sec(shape.limit(1).select(F.lit("table").alias("name"),
-                                           F.lit("rows").alias("stat"),
-                                           F.col("n_rows").cast("double").alias("value"),
-                                           F.lit(None).cast("string").alias("label")), "shape"))
-    parts.append(sec(missing_counts(df).select(
-        F.col("column_name").alias("name"), F.lit("missing").alias("stat"),
-        F.col("missing").cast("double").alias("value"),
-        F.lit(None).cast("string").alias("label")), "missing"))
-    summ = numeric_summary(df)
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    parts.append(sec(summ.select(F.col("feature").alias("name"),
-                                 *[F.col(s).cast("double").alias(s) for s in stats])
-                     .unpivot(["name"], stats, "stat", "value")
-                     .withColumn("label", F.lit(None).cast("string")), "numeric"))
-    for c in categorical:
-        parts.append(sec(category_counts(df, c).select(
-            F.lit(c).alias("name"), F.lit("count").alias("stat"),
-            F.col("count").cast("double").alias("value"),
-            F.col(c).cast("string").alias("label")), "categories"))
-    if target is not None:
-        ts = target_summary(df, target)
-        tcols = ["mean", "median", "std", "min", "max"]
-        parts.append(sec(ts.select(F.lit(target).alias("name"), *tcols)
-                         .unpivot(["name"], tcols, "stat", "value")
-                         .withColumn("label", F.lit(None).cast("string")), "target"))
+    (section, name, stat, value, label, dataset) from three passes over the
+    table: one wide aggregate (row count, missing counts, moments), one
+    exact-quantile pass over every numeric column (the target's median is
+    its p50), one grouped count over all categorical columns."""
+    spark = df.sparkSession
+    num = numeric_columns(df)
+    floating = {f.name for f in df.schema.fields
+                if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    wide = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(is_missing(c) if c in floating else F.col(c).isNull()).alias(f"_miss_{i}")
+          for i, c in enumerate(df.columns)],
+        *[F.struct(F.count(F.col(c)).cast("double").alias("count"),
+                   F.avg(F.col(c).cast("double")).alias("mean"),
+                   F.stddev_samp(F.col(c).cast("double")).alias("std"),
+                   F.min(F.col(c).cast("double")).alias("min"),
+                   F.max(F.col(c).cast("double")).alias("max")).alias(f"_mom_{i}")
+          for i, c in enumerate(num)],
+    )
+    none = F.lit(None).cast("string")
+
+    def rec(section, name, stat, value):
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"),
+                        F.lit(stat).alias("stat"), value.cast("double").alias("value"),
+                        none.alias("label"))
+
+    # every row derived from the one-row aggregate comes out of ONE projection,
+    # so the table is scanned once for all of them
+    recs = [rec("shape", "table", "rows", F.col("_rows"))]
+    recs += [rec("missing", c, "missing", F.col(f"_miss_{i}")) for i, c in enumerate(df.columns)]
+    recs += [rec("numeric", c, st, F.col(f"_mom_{i}.{st}"))
+             for i, c in enumerate(num) for st in ("count", "mean", "std", "min", "max")]
+    has_target = target is not None and target in num
+    if has_target:
+        ti = num.index(target)
+        recs += [rec("target", target, st, F.col(f"_mom_{ti}.{st}"))
+                 for st in ("mean", "std", "min", "max")]
+    from_wide = wide.select(F.inline(F.array(*recs)))
+    q = column_quantiles(df, num, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    qrec = lambda section, stat, col: F.struct(
+        F.lit(section).alias("section"), F.col("feature").alias("name"), F.lit(stat).alias("stat"),
+        F.col(col).alias("value"), none.alias("label"))
+    qrecs = [qrec("numeric", n, n) for n in ("p25", "p50", "p75")]
+    if has_target:
+        qrecs.append(F.when(F.col("feature") == target, qrec("target", "median", "p50")))
+    quart = q.select(F.inline(F.array_compact(F.array(*qrecs))))
+    meta = spark.createDataFrame(
+        [("columns", f.name, "ordinal", float(i), f.dataType.simpleString())
+         for i, f in enumerate(df.schema.fields)],
+        "section string, name string, stat string, value double, label string")
+    parts = [meta, from_wide, quart]
+    if categorical:
+        parts.append(multi_category_counts(df, categorical).select(
+            F.lit("categories").alias("section"), "name", F.lit("count").alias("stat"),
+            F.col("count").cast("double").alias("value"), "label"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
