@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.numeric import is_missing
-from quarry.operators.quantiles import column_quantiles, quantiles_wide
+from quarry.operators.quantiles import column_profile, column_quantiles, quantiles_wide
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -23,27 +23,13 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def _long_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    stats = df.agg(*[
-        F.struct(
-            F.count(F.col(c)).alias("count"),
-            F.avg(F.col(c).cast("double")).alias("mean"),
-            F.stddev_samp(F.col(c).cast("double")).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"),
-            F.max(F.col(c).cast("double")).alias("max"),
-        ).alias(c)
-        for c in cols
-    ])
-    return stats.unpivot([], list(cols), "feature", "s").select("feature", "s.*")
-
-
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """AGG1: describe() per numeric column: count, mean, std, min, 25/50/75 %, max."""
     cols = list(cols or numeric_columns(df))
-    moments = _long_moments(df, cols)
-    quart = column_quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return moments.join(quart, "feature", "left").select(
-        "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    # one pass over the table: moments and quartiles both come from the
+    # frozen (value, count) ranges of every column
+    prof = column_profile(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    return prof.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

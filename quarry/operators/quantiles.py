@@ -31,13 +31,25 @@ def exact_quantiles(
     if not key_cols:  # one global key keeps the rank join an equi-join
         return exact_quantiles(long_df.withColumn("_all", F.lit(0)), ["_all"], value_col,
                                probs).drop("_all")
+    return quantiles_from_ranges(value_ranges(long_df, key_cols, value_col), key_cols, probs)
+
+
+def value_ranges(long_df: DataFrame, key_cols: Sequence[str], value_col: str) -> DataFrame:
+    """(key..., _v, _cnt, pid): distinct values with their counts, range
+    partitioned and frozen — the shared input of exact quantiles and exact
+    moments."""
     v = F.col(value_col).cast("double")
     counts = (
         long_df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*key_cols, v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    ranged = frozen_ranges(counts, key_cols, "_v")
+    return frozen_ranges(counts, list(key_cols), "_v")
+
+
+def quantiles_from_ranges(ranged: DataFrame, key_cols: Sequence[str],
+                          probs: Sequence[float]) -> DataFrame:
+    key_cols = list(key_cols)
     blocks = block_offsets(ranged, key_cols, ["_cnt"])          # #blocks rows
     sizes = blocks.groupBy(*key_cols).agg(F.sum("_tot_0").alias("_n"))
     targets = (
@@ -106,3 +118,30 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """(feature, <one column per probability>) for numeric columns."""
     q = quantiles_wide(unpivot_ids(df, cols), ["fid"], "value", probs, names)
     return q.select(feature_name("fid", cols).alias("feature"), *names)
+
+
+def _wide(q: DataFrame, key_cols: Sequence[str], probs: Sequence[float],
+          names: Sequence[str]) -> DataFrame:
+    return q.groupBy(*key_cols).agg(
+        *[F.first(F.when(F.col("p") == float(p), F.col("q")), ignorenulls=True).alias(n)
+          for p, n in zip(probs, names)])
+
+
+def column_profile(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   names: Sequence[str]) -> DataFrame:
+    """(feature, count, mean, std, min, max, <quantiles>) for numeric columns
+    from ONE pass over the table: the frozen (value, count) ranges give the
+    quantiles, and the moments are weighted sums over the same small table
+    (the sample std in two passes over it — mean first, then squared
+    deviations — so large means do not cancel)."""
+    ranged = value_ranges(unpivot_ids(df, cols), ["fid"], "value")
+    q = _wide(quantiles_from_ranges(ranged, ["fid"], probs), ["fid"], probs, names)
+    c = F.col("_cnt")
+    m1 = ranged.groupBy("fid").agg(
+        F.sum(c).alias("count"), (F.sum(F.col("_v") * c) / F.sum(c)).alias("mean"),
+        F.min("_v").alias("min"), F.max("_v").alias("max"))
+    m2 = ranged.join(m1.select("fid", "mean", "count"), "fid").groupBy("fid").agg(
+        F.sqrt(F.try_divide(F.sum(c * F.pow(F.col("_v") - F.col("mean"), 2)),
+                            F.first("count") - 1)).alias("std"))
+    return m1.join(m2, "fid").join(q, "fid").select(
+        feature_name("fid", cols).alias("feature"), "count", "mean", "std", "min", "max", *names)
