@@ -145,19 +145,22 @@ def table_stats(df: DataFrame, mean_cols: Sequence[str] = (),
 
 # --- table-level fitted transforms -----------------------------------------
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """(feature, q1, q3, lower, upper) per column, exact quartiles."""
-    q = column_quantiles(df, cols, [0.25, 0.75], ["q1", "q3"])
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
+               approx_accuracy: int | None = None) -> DataFrame:
+    """(feature, q1, q3, lower, upper) per column; exact quartiles unless the
+    caller accepts approximate ones (`approx_accuracy`)."""
+    q = column_quantiles(df, cols, [0.25, 0.75], ["q1", "q3"], approx_accuracy)
     iqr = F.col("q3") - F.col("q1")
     return q.select("feature", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
                     (F.col("q3") + k * iqr).alias("upper"))
 
 
-def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5,
+             approx_accuracy: int | None = None) -> DataFrame:
     """OUT1: cap every column to [Q1 - k IQR, Q3 + k IQR]; rows kept, NULL kept."""
     if not cols:
         return df
-    return clip_with(df, iqr_bounds(df, cols, k), cols)
+    return clip_with(df, iqr_bounds(df, cols, k, approx_accuracy), cols)
 
 
 def clip_with(df: DataFrame, bounds_df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -114,8 +114,20 @@ def feature_name(fid: Column | str, cols: Sequence[str]) -> Column:
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     names: Sequence[str]) -> DataFrame:
-    """(feature, <one column per probability>) for numeric columns."""
+                     names: Sequence[str], approx_accuracy: int | None = None) -> DataFrame:
+    """(feature, <one column per probability>) for numeric columns.
+
+    Exact by default.  A caller that accepts a rank error of n / accuracy can
+    pass `approx_accuracy`: then one wide `percentile_approx` aggregate (a
+    bounded sketch per column, merged map-side) answers in a single pass."""
+    if approx_accuracy:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(map(float, probs)),
+                                           approx_accuracy).alias(f"_q{i}")
+                       for i, c in enumerate(cols)])
+        recs = [F.struct(F.lit(c).alias("feature"),
+                         *[F.col(f"_q{i}")[j].alias(n) for j, n in enumerate(names)])
+                for i, c in enumerate(cols)]
+        return row.select(F.inline(F.array(*recs)))
     q = quantiles_wide(unpivot_ids(df, cols), ["fid"], "value", probs, names)
     return q.select(feature_name("fid", cols).alias("feature"), *names)
 

@@ -17,7 +17,8 @@ from quarry.functions.numeric import zero_spread_to_one
 from quarry.operators.quantiles import column_quantiles
 
 
-def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard") -> DataFrame:
+def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard",
+               approx_accuracy: int | None = None) -> DataFrame:
     cols = list(cols)
     if method == "standard":
         wide = train.agg(*[
@@ -27,7 +28,8 @@ def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard")
         ])
         params = wide.unpivot([], cols, "_k", "s").select("s.*")
     elif method == "robust":
-        q = column_quantiles(train, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        q = column_quantiles(train, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                             approx_accuracy)
         params = q.select("feature", F.col("median").alias("center"),
                           (F.col("q3") - F.col("q1")).alias("scale"))
     else:

@@ -37,3 +37,14 @@ def test_running_totals_independent_of_partitions(spark):
             if o % 7 == g:
                 acc += o % 5
                 assert ra[(g, o)] == acc
+
+
+def test_approximate_quantiles_close(spark):
+    from quarry.operators.quantiles import column_quantiles
+    df, rows = _skewed(spark, n=2000)
+    ex = {r.feature: r.q50 for r in column_quantiles(df, ["v"], [0.5], ["q50"]).collect()}
+    ap = {r.feature: r.q50 for r in column_quantiles(df, ["v"], [0.5], ["q50"], 10000).collect()}
+    xs = sorted(v for _, v in rows)
+    # rank error of the sketch is at most n / accuracy
+    lo, hi = xs[int(len(xs) * 0.5) - 1], xs[min(len(xs) - 1, int(len(xs) * 0.5) + 1)]
+    assert lo <= ap["v"] <= hi and lo <= ex["v"] <= hi
