@@ -128,7 +128,8 @@ def retrain(spark: SparkSession, registry, events_path: str, model_name: str, tr
     t0 = time.time()
     try:
         _event(spark, job_id, model, trigger_type, "running").write.mode("append").parquet(events_path)
-        data = SP.hash_split(load_data(), key, test_size, seed)
+        # frozen once: every candidate fit and scoring pass reads it
+        data = SP.hash_split(load_data(), key, test_size, seed).checkpoint(eager=True)
         train = data.where(~F.col("is_test"))
         test = data.where(F.col("is_test"))
         res = TR.train_candidates(train, test, label, kind, candidates, params)

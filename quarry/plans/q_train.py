@@ -72,7 +72,10 @@ def class_candidates(n_rows: int):
 def candidate_scores(spark, sf_dir):
     """ML1-7: train regression candidates on H and 3-class-style candidates on
     C (64-d embeddings), score the test split, flag the best run."""
-    h = SP.hash_split(_h(spark, sf_dir), "row_key", 0.2, 42)
+    # the split is read by every candidate fit and scoring pass: freeze the
+    # needed columns once instead of re-scanning and re-hashing the source
+    h = SP.hash_split(_h(spark, sf_dir), "row_key", 0.2, 42).select(
+        *H_FEATURES, H_LABEL, "is_test").checkpoint(eager=True)
     reg = TR.train_candidates(h.where(~F.col("is_test")), h.where(F.col("is_test")), H_LABEL,
                               "regression", regression_candidates())
     c = TR.with_vector(class_table(spark, sf_dir), "embedding").withColumn(

@@ -99,3 +99,18 @@ def test_score_checks_features(spark):
     model = TR.linear_regression("y", ["x"]).fit(df)
     with pytest.raises(ValueError):
         TR.score(model, df.drop("x"))
+
+
+def test_profile_report_sections(spark):
+    from quarry.operators import profile as P
+    from quarry.sources.tables import read_table
+    from conftest import SF
+    o = read_table(spark, SF, "orders")
+    rows = P.profile_report(o, "orders", target="o_totalprice",
+                            categorical=["o_orderstatus"]).collect()
+    by = {(r.section, r.name, r.stat): r.value for r in rows}
+    n = o.count()
+    assert by[("shape", "table", "rows")] == n
+    assert by[("target", "o_totalprice", "median")] == by[("numeric", "o_totalprice", "p50")]
+    assert sum(r.value for r in rows if r.section == "categories") == n
+    assert by[("numeric", "o_totalprice", "count")] == n
