@@ -144,3 +144,32 @@ def performance_drop(spark, sf_dir):
     out = D.performance_drop(hist, cur)
     return out.select("model_name", "metric", r("current", 6).alias("current"),
                       r("historical", 6).alias("historical"), "threshold", "dropped")
+
+
+H_CSV_SCHEMA = ("l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string")
+
+
+@register("drift_job_csv", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _P_SQL + """
+SELECT 'housing' AS model_name, coalesce(avg(p_value) < 0.05, false) AS drift_detected,
+       round(avg(p_value), 6) AS drift_score,
+       coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE p_value < 0.05)), ','), '')
+         AS features_with_drift,
+       CASE WHEN coalesce(avg(p_value) < 0.05, false) THEN 'Retrain model' ELSE 'No action needed' END
+         AS recommendation,
+       'l_returnflag' AS skipped_features, CAST(0.05 AS DOUBLE) AS threshold
+FROM PV
+UNION ALL
+SELECT 'missing', false, 0.0, '', 'Error in drift detection', '', CAST(0.05 AS DOUBLE)""")
+def drift_job_csv(spark, sf_dir):
+    """DRF3 served as a job over two CSV files (written from the lineitem
+    halves); a second run against a missing file returns the error verdict."""
+    from quarry.plans.drift_job import drift_job
+    from quarry.session import scratch_path
+    ref, cur = h_halves(spark, sf_dir)
+    root = scratch_path(spark, "drift")
+    ref.write.mode("overwrite").option("header", True).csv(f"{root}/reference")
+    cur.write.mode("overwrite").option("header", True).csv(f"{root}/current")
+    ok = drift_job(spark, f"{root}/reference", f"{root}/current", H_CSV_SCHEMA, "housing")
+    bad = drift_job(spark, f"{root}/reference", f"{root}/absent", H_CSV_SCHEMA, "missing")
+    return ok.withColumn("drift_score", r("drift_score", 6)).unionByName(bad)
