@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.session import freeze as frozen
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -44,8 +44,7 @@ def pair_counts(df: DataFrame, y: str, yhat: str, freeze: bool = True) -> DataFr
                         F.col(yhat).cast("string").alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     if freeze:
-        checkpoint_dir(df.sparkSession)
-        counts = counts.checkpoint(eager=True)
+        counts = counts.transform(frozen)
     return counts
 
 

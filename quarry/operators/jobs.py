@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import freeze
 from quarry.functions.rules import RETRAIN_MODEL_NAMES, RETRAIN_TRIGGERS
 from quarry.operators import split as SP
 from quarry.operators import train as TR
@@ -129,7 +130,7 @@ def retrain(spark: SparkSession, registry, events_path: str, model_name: str, tr
     try:
         _event(spark, job_id, model, trigger_type, "running").write.mode("append").parquet(events_path)
         # frozen once: every candidate fit and scoring pass reads it
-        data = SP.hash_split(load_data(), key, test_size, seed).checkpoint(eager=True)
+        data = SP.hash_split(load_data(), key, test_size, seed).transform(freeze)
         train = data.where(~F.col("is_test"))
         test = data.where(F.col("is_test"))
         res = TR.train_candidates(train, test, label, kind, candidates, params)

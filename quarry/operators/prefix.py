@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.session import freeze
 
 PID = "_range_pid"
 
@@ -32,13 +32,12 @@ def frozen_ranges(df: DataFrame, group_cols: Sequence[str], order_col: str,
                   num_partitions: int | None = None) -> DataFrame:
     """Range-partition by (group, order), tag each row with its partition id
     and freeze the result with a reliable checkpoint (shared folder)."""
-    checkpoint_dir(df.sparkSession)
     keys = [*[F.col(c) for c in group_cols], F.col(order_col)]
     # without an explicit count the range exchange uses the session's shuffle
     # partitions and AQE may merge small ranges (ids stay in key order)
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
               else df.repartitionByRange(*keys))
-    return ranged.withColumn(PID, F.spark_partition_id()).checkpoint(eager=True)
+    return ranged.withColumn(PID, F.spark_partition_id()).transform(freeze)
 
 
 def block_offsets(ranged: DataFrame, group_cols: Sequence[str],

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import freeze
 from quarry.functions.numeric import is_infinite, is_missing
 from quarry.functions.rules import Rule
 
@@ -44,7 +45,7 @@ def write_routed(df: DataFrame, rules: Sequence[Rule], valid_path: str, quaranti
                  fmt: str = "parquet") -> None:
     """VAL10 sink: one rule pass, frozen by a reliable checkpoint, then the two
     filtered writes read the frozen rows instead of recomputing the source."""
-    checked = apply_rules(df, rules).checkpoint(eager=True)
+    checked = apply_rules(df, rules).transform(freeze)
     ok, bad = route(checked)
     ok.write.mode("append").format(fmt).save(valid_path)
     bad.write.mode("append").format(fmt).save(quarantine_path)

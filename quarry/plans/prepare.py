@@ -17,7 +17,7 @@ from quarry.operators import profile as P
 from quarry.operators import scale as SC
 from quarry.operators import split as SP
 from quarry.operators import validate as V
-from quarry.session import checkpoint_dir
+from quarry.session import freeze
 
 # fixed values: 3-class raw names -> short names, class codes -> species
 CLASS_RENAME = {
@@ -179,8 +179,7 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
         processed = chain(df)
     # reused by profile, split and scale: cut the lineage once (reliable
     # checkpoint in the shared checkpoint folder, survives executor loss)
-    checkpoint_dir(df.sparkSession)
-    processed = processed.checkpoint(eager=True)
+    processed = processed.transform(freeze)
     summary = P.numeric_summary(processed.drop("is_test") if "is_test" in processed.columns
                                 else processed)
     if "is_test" in processed.columns:

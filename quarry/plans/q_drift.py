@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.session import freeze
 from quarry.functions.numeric import r
 from quarry.operators import drift as D
 from quarry.plans.catalog import register
@@ -136,7 +137,7 @@ def performance_drop(spark, sf_dir):
     """History = daily success share per model before the last day; current =
     the last day's share."""
     # days x models rows: frozen once, read three times
-    ds = _daily_success(spark, sf_dir).withColumn("metric", F.lit("accuracy")).checkpoint(eager=True)
+    ds = _daily_success(spark, sf_dir).withColumn("metric", F.lit("accuracy")).transform(freeze)
     last = ds.select(F.max("day")).scalar()
     hist = ds.where(F.col("day") < last).select("model_name", "metric", "value",
                                                  F.col("day").alias("ts"))

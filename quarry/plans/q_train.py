@@ -9,7 +9,7 @@ from quarry.operators import split as SP
 from quarry.operators import train as TR
 from quarry.plans.catalog import register
 from quarry.plans.q_rules import _job_requests_sql, job_requests
-from quarry.session import scratch_path
+from quarry.session import freeze, scratch_path
 from quarry.sources.registry import Registry
 from quarry.sources.tables import class_table, regression_table
 
@@ -75,13 +75,13 @@ def candidate_scores(spark, sf_dir):
     # the split is read by every candidate fit and scoring pass: freeze the
     # needed columns once instead of re-scanning and re-hashing the source
     h = SP.hash_split(_h(spark, sf_dir), "row_key", 0.2, 42).select(
-        *H_FEATURES, H_LABEL, "is_test").checkpoint(eager=True)
+        *H_FEATURES, H_LABEL, "is_test").transform(freeze)
     reg = TR.train_candidates(h.where(~F.col("is_test")), h.where(F.col("is_test")), H_LABEL,
                               "regression", regression_candidates())
     c = TR.with_vector(class_table(spark, sf_dir), "embedding").withColumn(
         "label", F.col("label").cast("double"))
     c = SP.stratified_split(c, "vec_id", "label", 0.2, 42)
-    ctrain = c.where(~F.col("is_test")).checkpoint(eager=True)
+    ctrain = c.where(~F.col("is_test")).transform(freeze)
     cls = TR.train_candidates(ctrain, c.where(F.col("is_test")), "label", "classification",
                               class_candidates(ctrain.count()))
     best_r = TR.pick_best(reg.scores, "rmse", False).select("run_id")

@@ -1,11 +1,10 @@
 """Session helpers: time zone, checkpoint directory, local test sessions."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_utc(spark: SparkSession) -> None:
@@ -15,27 +14,51 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
+    """The folder all executors share for checkpoints and intermediate tables.
 
-    Only when the session has none (local tests) do we pick a scratch folder.
+    The context's own folder wins; else the one named by spark.checkpoint.dir.
+    With neither, a local master gets one scratch folder for the life of the
+    context; any other master is an error, because a machine-local folder
+    would not be visible to the other machines.
     """
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current is not None:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
+
+
+def scratch_uri(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the shared checkpoint folder, scheme included."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "quarry", f"{name}-{uuid.uuid4().hex}")
+    """`scratch_uri` as a plain path where the folder is on a file system."""
+    uri = scratch_uri(spark, name)
+    return "/" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it back: cuts the
+    lineage, keeps columns prunable and survives lost executors."""
+    path = scratch_uri(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tune_for_scale(spark: SparkSession, shuffle_partitions: int | None = None,

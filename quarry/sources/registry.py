@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from quarry.session import freeze
+
 RUNS_SCHEMA = ("run_id string, run_name string, experiment string, kind string, key string, "
                "value double, text string, start_time timestamp")
 VERSIONS_SCHEMA = ("name string, version long, run_id string, model_path string, score double, "
@@ -77,7 +79,7 @@ class Registry:
             F.concat(F.lit(self._p("models") + "/"), F.col("run_id")).alias("model_path"),
             F.col("score").cast("double").alias("score"),
             F.current_timestamp().alias("registered_at"))
-        rows = new.checkpoint(eager=True) if self.spark.sparkContext.getCheckpointDir() else new
+        rows = freeze(new)
         rows.write.mode("append").parquet(self._p("model_versions"))
         return rows
 

@@ -8,4 +8,4 @@ def test_entry_and_registry(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 80
-    assert not any(k.startswith("op") or "pipeline" in k for k in qs)
+    assert set(E.catalog.queries()) <= set(qs)
