@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash
+from quarry.llm import langid, mixing, quality_rules, simhash, wavelet
+from quarry.llm.common import fold
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,110 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _op1_sql() -> str:
+    ms, slack = list(quality_rules.MEASURES), quality_rules.MEASURES
+    sketch = " UNION ALL ".join(
+        f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in ms)
+    def quart(keys: list[str], mark: str) -> str:
+        by = ", ".join([*keys, "measure"])
+        return f"""SELECT {by}, max(total) AS rows, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
+            min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM (
+            SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto,
+                   sum(n) OVER (PARTITION BY {by}) AS total
+            FROM (SELECT {by}, bucket, count(*) AS n FROM s GROUP BY {by}, bucket)) GROUP BY {by}"""
+    fences, tests = [], []
+    for m, (kind, least) in slack.items():
+        reach = f"greatest(3 * (q3 - q1), {least})"
+        fences.append(f"max(CASE WHEN measure = '{m}' THEN q3 + {reach} END) AS {m}_max")
+        tests.append(f"{m} <= {m}_max")
+        if kind == "both":
+            fences.append(f"max(CASE WHEN measure = '{m}' THEN q1 - {reach} END) AS {m}_min")
+            tests.append(f"{m} >= {m}_min")
+    names = [f.rsplit(" AS ", 1)[1] for f in fences]
+    pick = lambda q: f"""CASE WHEN o.rows >= 200 THEN o.{q} WHEN l.rows >= 200 THEN l.{q}
+        ELSE e.{q} END"""
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d)),
+g AS (SELECT doc_id, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM w
+      WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+      FROM g WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) x(k)
+        GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (
+       SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+       WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+b AS (SELECT d.doc_id, lang, source,
+        len(regexp_extract_all(t, '[^ 	-]+'))::BIGINT AS n_words,
+        length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+        len(string_split(t, chr(10))) AS n_lines
+      FROM d LEFT JOIN ln ON ln.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        1000 * n_symbols // greatest(n_words, 1) AS symbols_pm,
+        1000 * n_dup_lines // n_lines AS dup_lines_pm,
+        1000 * n_repeat_words // greatest(n_words, 1) AS repeats_pm,
+        100 * word_chars // greatest(n_words, 1) AS word_len_pc FROM b),
+s AS (SELECT lang, source, measure, (v // width) * width AS bucket FROM (SELECT *,
+        (2 ** greatest(length(ltrim(bin(v), '0')) - {quality_rules.SUB_BITS + 1}, 0))::BIGINT
+        AS width FROM ({sketch}))),
+o AS ({quart(["lang", "source"], "o")}), l AS ({quart(["lang"], "l")}), e AS ({quart([], "e")}),
+f AS (SELECT lang, source, {", ".join(fences)} FROM (
+      SELECT o.lang, o.source, o.measure, {pick("q1")} AS q1, {pick("q3")} AS q3
+      FROM o JOIN l ON l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
+      JOIN e ON e.measure = o.measure) GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({" AND ".join(tests)}, false) AS kept,
+  {", ".join(ms)}, {", ".join(names)}
+FROM m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source"""
+
+
+@register("op1_quality_rules", _op1_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register("op5_source_mix", r"""
+WITH d AS (SELECT doc_id, source,
+             len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+             md5(concat('20:', coalesce(doc_id::VARCHAR, ''))) AS k FROM documents),
+s AS (SELECT source, sum(size) AS ssize,
+        [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, sum(ssize) OVER () - coalesce(sum(3 * ssize) OVER p, 0) AS rest,
+        sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS ws
+      FROM s WINDOW p AS (ORDER BY 3 * ssize / w, source NULLS LAST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT source, ssize, w, rest::DOUBLE * w / ws > 3 * ssize AS full_ FROM o),
+t AS (SELECT source, ssize, CASE WHEN full_ THEN (3 * ssize)::DOUBLE ELSE
+        ((sum(ssize) OVER ()) - coalesce(sum(CASE WHEN full_ THEN 3 * ssize END) OVER (), 0))::DOUBLE
+        * w / sum(CASE WHEN NOT full_ THEN w END) OVER () END AS target FROM c),
+q AS (SELECT *, CASE WHEN ssize > 0 THEN floor(target / ssize) ELSE 0 END AS base FROM t),
+g AS (SELECT d.source, k, sum(size) AS gs, any_value(target - base * ssize) AS extra
+      FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source GROUP BY d.source, k),
+h AS (SELECT *, sum(gs) OVER (PARTITION BY source ORDER BY k) AS upto FROM g),
+x AS (SELECT source, k, (upto <= extra AND extra > 0) OR (upto - gs <= extra AND extra < upto
+        AND 2 * upto - gs <= 2 * extra) AS more FROM h)
+SELECT doc_id, size, q.ssize::BIGINT AS source_size, target,
+       (size * (base + more::INT))::BIGINT AS taken
+FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source
+JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.k = d.k""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("draws")
+
+
+@register("op2_wavelet_tokens")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and checksums of every document, read from its shard."""
+    return wavelet.encode_documents(spark, table(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @register("op8_simhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -35,6 +141,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+@register("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; dictionaries from folds 1 to 4."""
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.learn_dictionaries(docs.where(fold("doc_id") != 0).select("text", "lang"))
+    found = langid.identify(docs, learned)
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score",
+                        "narrow", "lang_or_und")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
