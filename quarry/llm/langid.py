@@ -11,7 +11,7 @@ against the text's own size (1 with one language only).  `narrow` marks texts
 whose margin is below `min_margin`; `lang_or_und` rejects those as `und`.
 
 Rows: a NULL text or one without a letter is `und` with score 0, narrow; ties
-go to the smaller code point order; repeated rows are answered each; an empty
+go to the language with most learned rows; repeated rows are answered each; an empty
 table gives no rows; with no learned language every text is `und`.  Long texts
 are used whole.  Other input columns are kept out of the prediction.
 """
@@ -34,7 +34,7 @@ WINDOW = 1 << 15
 LEVEL = 3
 #: A text whose fast codes are this close is encoded again, whole, at a level
 #: that also finds short matches.
-RECODE_BELOW, STRONG_LEVEL = 0.08, 19
+RECODE_BELOW, STRONG_LEVEL = 0.05, 12
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are not letters become blanks; other bytes stay.
 LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -47,7 +47,8 @@ def plain_letters(text: str) -> bytes:
 def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text",
                        per_lang: int = 400, snippet_chars: int = 2000,
                        dict_bytes: int = 110_000) -> dict[str, bytes]:
-    """Raw-content dictionaries from a bounded sample of the labelled rows.
+    """Raw-content dictionaries from a bounded sample of the labelled rows,
+    the language with most rows first.
 
     The sample holds at most `per_lang` texts of each language, those with the
     smallest hash, and a snippet of `snippet_chars` characters from a hashed
@@ -61,6 +62,7 @@ def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text",
         F.col(t), (F.pmod(F.col(h), room) + 1).cast("int"), F.lit(snippet_chars)))
     # the rate leaves each language a few times the sample, whatever its size
     sizes = rows.groupBy("lang").agg(F.count("*").alias(n)).collect()
+    count = {r["lang"]: r[n] for r in sizes}
     space, chosen = 1 << 20, F.lit(False)
     for r in sizes:
         rate = min(space, -(-4 * per_lang * space // r[n]))
@@ -73,14 +75,15 @@ def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text",
         data = plain_letters(r[part])
         if data and len(out.get(r["lang"], b"")) < dict_bytes:
             out[r["lang"]] = out.get(r["lang"], b"") + b" " + data
-    return {k: v[-dict_bytes:] for k, v in sorted(out.items())}
+    order = sorted(out, key=lambda k: (-count[k], k.encode()))
+    return {k: out[k][-dict_bytes:] for k in order}
 
 
 class Coder:
     """Code sizes of a text under each language's dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.fast = [self._coder(dictionaries[k], LEVEL) for k in self.langs]
         self.strong = [self._coder(dictionaries[k], STRONG_LEVEL) for k in self.langs]
 

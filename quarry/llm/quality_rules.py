@@ -37,8 +37,8 @@ SUB_BITS = 5
 #: measure -> (kind of fence, least distance of the fence from the quartile)
 MEASURES = {
     "symbols_pm": ("upper", 60),
-    "dup_lines_pm": ("upper", 150),
-    "repeats_pm": ("upper", 120),
+    "dup_lines_pm": ("upper", 400),
+    "repeats_pm": ("upper", 350),
     "word_len_pc": ("both", 150),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
