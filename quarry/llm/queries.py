@@ -7,7 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, mixing, quality_rules, simhash, wavelet
+from quarry.llm import (
+    decontaminate,
+    langid,
+    mixing,
+    pu_classifier,
+    quality_rules,
+    simhash,
+    wavelet,
+)
 from quarry.llm.common import fold
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +62,8 @@ def _op1_sql() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
-      SELECT doc_id, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d)),
+      SELECT doc_id, regexp_extract_all(t, '[^ 	-
+]+') AS ws FROM d)),
 g AS (SELECT doc_id, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM w
       WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
@@ -63,10 +72,13 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2))
         GROUP BY doc_id),
 ln AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (
        SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
-       WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+       WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY doc_id),
 b AS (SELECT d.doc_id, lang, source,
-        len(regexp_extract_all(t, '[^ 	-]+'))::BIGINT AS n_words,
-        length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[^ 	-
+]+'))::BIGINT AS n_words,
+        length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
         len(string_split(t, chr(10))) AS n_lines
@@ -96,9 +108,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@register("op3_pu_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of folds 1 to 4 are learned."""
+    found = pu_classifier.classify(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"), fold("doc_id") != 0)
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+@register("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, with item and place."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "benchmark"))
+
+
 @register("op5_source_mix", r"""
 WITH d AS (SELECT doc_id, source,
-             len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+             len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
              md5(concat('20:', coalesce(doc_id::VARCHAR, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size) AS ssize,
         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w
