@@ -14,6 +14,7 @@ from quarry.llm import (
     pu_classifier,
     quality_rules,
     simhash,
+    warc,
     wavelet,
 )
 from quarry.llm.common import fold
@@ -161,6 +162,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op7_warc_round_trip", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM d JOIN f ON f.payload_digest = d.payload_digest""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op8_simhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
