@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,6 +196,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "narrow", "lang_or_und")
 
 
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
