@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import (
+    context_mixing,
     decontaminate,
     langid,
     mixing,
@@ -163,6 +164,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op6_context_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and unigram score of every document; fold 1 is held out."""
+    found = context_mixing.score_documents(table(spark, sf_dir, "documents"), fold("doc_id") != 1)
+    return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score", "total_bits", "bits_per_byte")
+
+
 @register("op7_warc_round_trip", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
