@@ -15,6 +15,7 @@ from quarry.llm import (
     mixing,
     pu_classifier,
     quality_rules,
+    secret_scan,
     simhash,
     warc,
     wavelet,
@@ -205,6 +206,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "narrow", "lang_or_und")
 
 
+@register("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of the documents with its forest score."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
