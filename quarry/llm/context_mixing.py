@@ -409,8 +409,10 @@ def code_lengths(tree: Tree, ids: np.ndarray, per_text: np.ndarray, predict,
     y = np.zeros(cells, np.uint8)
     y[place] = bits
     p = mix(grids, y.reshape(-1, SEGMENT), weights).ravel()[place]
-    cost = np.concatenate([[0.0], np.cumsum(-np.log2(p.astype(np.float64)))])
-    return cost[ends] - cost[ends - size]
+    out = np.zeros(len(per_text))
+    some = size > 0
+    out[some] = np.add.reduceat(-np.log2(p.astype(np.float64)), (ends - size)[some])
+    return out
 
 
 def mix(grids: list[np.ndarray], bits: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:

@@ -185,8 +185,9 @@ def _estimated_prior(train: DataFrame, model: Model, n_pos: float, n_all: float,
 
 
 def fit(measured: DataFrame, ridge: float = 1e-4, rounds: int = 14,
-        min_mass: float = 0.3) -> Model | None:
-    """The model of staged rows (x, positive, trains); None without positives."""
+        min_mass: float = 0.5, first_ridge: float = 1e-2) -> Model | None:
+    """The model of staged rows (x, positive, trains); None without positives.
+    The discriminator is held back more, so that it doesn't learn P by heart."""
     train = measured.where("trains").select("x", "positive")
     m = _summed(train, _moments)
     if not len(m) or m[1] == 0:
@@ -196,7 +197,7 @@ def fit(measured: DataFrame, ridge: float = 1e-4, rounds: int = 14,
     centre = m[2:2 + k] / n
     scale = np.sqrt(np.maximum(m[2 + k:] / n - centre ** 2, 0))
     scale = np.where(scale > 1e-9, scale, 1.0)
-    first = _newton(train, centre, scale, n_pos, n, None, ridge, rounds)
+    first = _newton(train, centre, scale, n_pos, n, None, first_ridge, rounds)
     told = Model(first.tolist(), centre.tolist(), scale.tolist(), 0.5)
     prior = _estimated_prior(train, told, n_pos, n, min_mass)
     w = _newton(train, centre, scale, n_pos, n, prior, ridge, rounds)
