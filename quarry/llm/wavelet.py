@@ -11,12 +11,14 @@ File format (all integers little-endian):
     magic   8 bytes  "QWAVELT1"
     header  u32 length, then zlib-compressed JSON: tokens n, levels, zeros per
             level, block_bits, documents (count), offsets of the sections
+    ranks   the shard's tokens by falling count (u32 each): the sequence holds
+            their ranks, so the planes of high bits are nearly all zeros
     plane   per level, most significant bit first: blocks of `block_bits` bits
             (zstandard where that is shorter), with u32 end offsets
-    ranks   per level: u64 ones before each block
+    ones    per level: u64 ones before each block
     docs    doc ids (i64, with a null flag byte each) and token counts (u64)
 
-A wavelet matrix stores bit l of every token in plane l, after a stable
+A wavelet matrix stores bit l of every rank in plane l, after a stable
 partition by the bits above it; rank and select on the planes answer access,
 counting and occurrence lookup in `levels` steps.
 
@@ -28,7 +30,6 @@ rows.  Other input columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -40,15 +41,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_fs
+from quarry.llm.common import arrow_fs, text_bytes
 from quarry.session import scratch_uri, stage
 
 MAGIC = b"QWAVELT1"
 BLOCK_BITS = 1 << 15
 #: A shard is closed with the document that takes it to this many tokens.
 SHARD_TOKENS = 1 << 20
+#: Tasks that read shards; each takes as many files as that asks for.
+MAX_READERS = 100_000
 #: Pieces that a worker keeps encoded; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 2_000_000
 
 
 # --- encoding ---------------------------------------------------------------
@@ -58,40 +61,152 @@ class Encoder:
 
     A blank before a character that is not white space always starts a new
     pre-token of this vocabulary's pattern, so a text may be cut there and its
-    pieces encoded one by one; pieces repeat, so most come from the cache.
+    pieces encoded one by one, or joined in another order.  Pieces repeat, so
+    most come from the cache.  A piece is known by a 64-bit hash and its
+    length; pieces of one hash in one batch are told apart by their bytes.
     """
 
-    #: white space after a blank: only the last blank of such a run is a cut
-    odd_gap = re.compile(r" \s")
-    cut = re.compile(r" (?=\S)")
+    #: Bytes after a blank at which a text is not cut: white space, and first
+    #: bytes of characters that may be white space.
+    JOINED = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+    FRONT_BITS = 21
+    BASE = 0xD6E8FEB86659FD93
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32 bytes."""
-        cut = [self._pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        cache = self.cache
-        new = list({p for ps in cut for p in ps if p not in cache})
-        for a in range(0, len(new), 4096):
-            part = new[a:a + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([cache[p] for p in ps]) for ps in cut]
-        for p in new:
-            if len(p) > 64:  # long pieces hardly repeat
-                del cache[p]
+        #: bytes of each token: one character of its name is one byte
+        self.width = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for name, i in self.tok.get_vocab().items():
+            self.width[i] = len(name)
+        self.up = self.down = np.ones(1, np.uint64)
+        self._empty()
+
+    def _empty(self) -> None:
+        """Entries: first id and number of ids in the store, bytes.  `front`
+        finds most entries by the top of their hash, `number` all."""
+        self.entries = 0
+        self.starts, self.counts, self.sizes = (np.zeros(1024, np.int64) for _ in range(3))
+        self.store, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.front_hash = np.zeros(1 << self.FRONT_BITS, np.uint64)
+        self.front = np.full(1 << self.FRONT_BITS, -1, np.int32)
+        self.number: dict[int, int] = {}
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's ids) of UTF-8 texts."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        joined = b"".join(texts)
+        if not joined:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if self.entries > CACHE_PIECES:
+            self._empty()
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum(sizes)
+        cut = np.zeros(len(data), bool)
+        cut[:-1] = (data[:-1] == 32) & ~self.JOINED[data[1:]]
+        some = sizes > 0
+        cut[ends[some] - 1] = False
+        cut[(ends - sizes)[some]] = True
+        at = np.flatnonzero(cut)
+        length = np.diff(at, append=len(data))
+        piece = self._entries(joined, self._hashes(data, at, length), at, length)
+        count = self.counts.take(piece)
+        before = np.cumsum(count) - count
+        from_ = np.repeat(self.starts.take(piece) - before, count)
+        from_ += np.arange(len(from_))
+        upto = np.concatenate([before, [len(from_)]])[np.searchsorted(at, ends, side="left")]
+        return self.store.take(from_), np.diff(upto, prepend=0)
+
+    def _hashes(self, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Polynomial hash of each piece modulo 2^64, from running sums."""
+        n = len(data)
+        if len(self.up) < n + 1:
+            inverse = pow(self.BASE, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(
+                n + n // 4, b, np.uint64)]) for b in (self.BASE, inverse))
+        total = (data.astype(np.uint64) + np.uint64(1)) * self.up[:n]
+        np.cumsum(total, out=total)
+        before = np.concatenate([[np.uint64(0)], total])[at]
+        h = (total[at + length - 1] - before) * self.down[at]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return h ^ h >> np.uint64(29)
+
+    def _entries(self, joined: bytes, h: np.ndarray, at: np.ndarray,
+                 length: np.ndarray) -> np.ndarray:
+        """Cache entry of each piece; new ones are encoded first."""
+        slot = (h >> np.uint64(64 - self.FRONT_BITS)).astype(np.int64)
+        entry = self.front.take(slot).astype(np.int64)
+        seen = (self.front_hash.take(slot) == h) & (entry >= 0)
+        seen &= self.sizes.take(np.maximum(entry, 0)) == length
+        rest = np.flatnonzero(~seen)
+        if not len(rest):
+            return entry
+        _, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
+        keys = h[rest][first].tolist()
+        spans = list(zip(at[rest][first].tolist(), length[rest][first].tolist()))
+        found = [self.number.get(k, -1) for k in keys]
+        fresh = [i for i, (e, (_, n)) in enumerate(zip(found, spans))
+                 if e < 0 or self.sizes[e] != n]
+        pieces = [joined[spans[i][0]:spans[i][0] + spans[i][1]] for i in fresh]
+        for i, e in zip(fresh, self._encode_new(pieces)):
+            found[i] = e
+            self.number[keys[i]] = e
+        got = np.array(found, np.int64)
+        entry[rest] = got[which]
+        open_ = self.front.take(slot[rest][first]) < 0
+        put, hashes = slot[rest][first][open_], h[rest][first][open_]
+        self.front[put], self.front_hash[put] = got[open_], hashes
+        odd = np.flatnonzero(self.sizes[entry[rest]] != length[rest])
+        if len(odd):  # another piece of the same hash in this batch
+            every = rest[odd]
+            entry[every] = self._encode_new([joined[a:a + n] for a, n in zip(
+                at[every].tolist(), length[every].tolist())])
+        return entry
+
+    def _encode_new(self, pieces: list[bytes]) -> list[int]:
+        # those that start at a cut can be encoded in a row, 16 KB at a time
+        rows: list[list[int]] = [[]]
+        single, size, out = [], 0, [0] * len(pieces)
+        for i, p in enumerate(pieces):
+            if p[:1] == b" " and len(p) > 1 and not self.JOINED[p[1]]:
+                rows[-1].append(i)
+                size += len(p)
+                if size >= 1 << 14:
+                    rows.append([])
+                    size = 0
+            else:
+                single.append([i])
+        rows = [r for r in rows if r] + single
+        texts = [b"".join([pieces[i] for i in r]).decode() for r in rows]
+        for r, e in zip(rows, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            for i, entry in zip(r, self._add([len(pieces[i]) for i in r],
+                                             np.array(e.ids, np.uint32))):
+                out[i] = entry
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        first, *rest = self.cut.split(text) if self.odd_gap.search(text) else text.split(" ")
-        return [first, *[" " + r for r in rest]]
+    def _add(self, sizes: list[int], ids: np.ndarray) -> range:
+        ends = np.cumsum(sizes)
+        reach = np.concatenate([[0], np.cumsum(self.width[ids])])
+        stop = np.searchsorted(reach, ends)
+        if reach[-1] != ends[-1] or (reach[stop] != ends).any():
+            raise ValueError("a token spans two pieces")
+        n, k = self.entries, len(sizes)
+        if n + k > len(self.starts):
+            self.starts, self.counts, self.sizes = (
+                np.concatenate([x, np.zeros(n + k, np.int64)])
+                for x in (self.starts, self.counts, self.sizes))
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(self.used + len(ids), np.uint32)])
+        self.store[self.used:self.used + len(ids)] = ids
+        self.starts[n:n + k] = self.used + np.concatenate([[0], stop[:-1]])
+        self.counts[n:n + k] = np.diff(stop, prepend=0)
+        self.sizes[n:n + k] = sizes
+        self.entries += k
+        self.used += len(ids)
+        return range(n, n + k)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -109,14 +224,18 @@ def encoder(path: str) -> Encoder:
 def build_shard(tokens: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> bytes:
     """One file of a run of documents; counts sum to len(tokens)."""
     n = len(tokens)
-    levels = max(1, int(tokens.max()).bit_length()) if n else 1
-    seq = tokens.astype(np.uint16 if levels <= 16 else np.uint32)
-    body, zeros, planes = bytearray(), [], []
+    counted = np.bincount(tokens)
+    alphabet = np.argsort(-counted, kind="stable")[:np.count_nonzero(counted)]
+    rank = np.zeros(len(counted), np.uint32)
+    rank[alphabet] = np.arange(len(alphabet))
+    levels = max(1, (len(alphabet) - 1).bit_length()) if n else 1
+    seq = rank[tokens].astype(np.uint16 if levels <= 16 else np.uint32)
+    body, zeros, planes = bytearray(alphabet.astype("<u4").tobytes()), [], []
     squeeze = zstandard.ZstdCompressor(level=1)
     for level in range(levels):
-        bit = (seq >> (levels - 1 - level)) & 1
-        on = bit.astype(bool)
-        packed = np.packbits(on, bitorder="little").tobytes()
+        on = (seq & (1 << (levels - 1 - level))) != 0
+        bits = np.packbits(on, bitorder="little")
+        packed = bits.tobytes()
         step = BLOCK_BITS // 8
         ends, blocks, at = [], [], 0
         for a in range(0, len(packed), step):
@@ -125,8 +244,8 @@ def build_shard(tokens: np.ndarray, doc_ids: list[int | None], counts: list[int]
             blocks.append(b"z" + z if len(z) < len(raw) else b"r" + raw)
             at += len(blocks[-1])
             ends.append(at)
-        ones = np.add.reduceat(on, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else \
-            np.zeros(0, np.int64)
+        ones = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), step),
+                               dtype=np.int64) if n else np.zeros(0, np.int64)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u8")
         plane = {"at": len(body), "blocks": len(blocks)}
         body += b"".join(blocks)
@@ -143,7 +262,7 @@ def build_shard(tokens: np.ndarray, doc_ids: list[int | None], counts: list[int]
     body += np.array(counts, "<u8").tobytes()
     head = zlib.compress(json.dumps({
         "n": n, "levels": levels, "zeros": zeros, "block_bits": BLOCK_BITS, "planes": planes,
-        "docs_at": docs_at, "docs": len(doc_ids)}).encode())
+        "docs_at": docs_at, "docs": len(doc_ids), "alphabet": len(alphabet)}).encode())
     return MAGIC + struct.pack("<I", len(head)) + head + bytes(body)
 
 
@@ -158,6 +277,8 @@ class WaveletShard:
         self.data, self.base = data, 12 + size
         self.n, self.levels, self.zeros = h["n"], h["levels"], h["zeros"]
         self.block_bits, self.planes = h["block_bits"], h["planes"]
+        self.alphabet = np.frombuffer(data, "<u4", h["alphabet"], self.base)
+        self._rank_of = {int(t): r for r, t in enumerate(self.alphabet)}
         at, k = self.base + h["docs_at"], h["docs"]
         null = np.frombuffer(data, np.uint8, k, at)
         ids = np.frombuffer(data, "<i8", k, at + k)
@@ -207,14 +328,15 @@ class WaveletShard:
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
-        return value
+        return int(self.alphabet[value])
 
-    def _narrow(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token < 0 or token >> self.levels:
+    def _narrow(self, rank: int | None, lo: int, hi: int) -> tuple[int, int]:
+        """Where the last plane's order holds the rank's places in [lo, hi)."""
+        if rank is None:
             return 0, 0
         for level in range(self.levels):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
-            if token >> (self.levels - 1 - level) & 1:
+            if rank >> (self.levels - 1 - level) & 1:
                 lo, hi = self.zeros[level] + a, self.zeros[level] + b
             else:
                 lo, hi = lo - a, hi - b
@@ -222,17 +344,18 @@ class WaveletShard:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of the token in places [lo, hi)."""
-        a, b = self._narrow(token, lo, self.n if hi is None else hi)
+        a, b = self._narrow(self._rank_of.get(token), lo, self.n if hi is None else hi)
         return b - a
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of the token."""
-        a, b = self._narrow(token, 0, self.n)
+        rank = self._rank_of.get(token)
+        a, b = self._narrow(rank, 0, self.n)
         if not 0 <= k < b - a:
             raise IndexError(k)
         i = a + k
         for level in range(self.levels - 1, -1, -1):
-            bit = token >> (self.levels - 1 - level) & 1
+            bit = rank >> (self.levels - 1 - level) & 1
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
@@ -244,9 +367,10 @@ class WaveletShard:
             on = (np.concatenate(blocks)[:self.n] if blocks else np.zeros(0)).astype(bool)
             self._held.clear()
             up = np.empty_like(seq)
+            seq[self.zeros[level]:] |= 1 << (self.levels - 1 - level)
             up[~on], up[on] = seq[:self.zeros[level]], seq[self.zeros[level]:]
-            seq = up | (on.astype(seq.dtype) << (self.levels - 1 - level))
-        return seq.astype("<u4")
+            seq = up
+        return self.alphabet.take(seq)
 
 
 # --- the job ----------------------------------------------------------------
@@ -268,11 +392,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, out: str, doc_id: str =
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = arrow_fs(out)
         enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         held, ids, counts, size, shard, part = [], [], [], 0, 0, None
 
         def close() -> pd.DataFrame:
-            data = build_shard(np.frombuffer(b"".join(held), "<u4"), ids, counts)
+            data = build_shard(np.concatenate(held), ids, counts)
             path = f"{folder}/{part:06d}-{shard:06d}-{uuid.uuid4().hex}.tokens"
             with store.open_output_stream(path) as f:
                 f.write(data)
@@ -281,21 +404,29 @@ def write_token_shards(docs: DataFrame, tokenizer: str, out: str, doc_id: str =
 
         for pdf in batches:
             part = int(pdf["part"].iloc[0]) if len(pdf) else part
-            texts = ["" if t is None else t for t in pdf["text"]]
+            texts = [text_bytes(t) for t in pdf["text"]]
+            names = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
             at = 0
-            while at < len(texts):  # at most a few MB of text are encoded at a time
+            while at < len(texts):  # a few MB of text are encoded at a time
                 to, chars = at, 0
                 while to < len(texts) and (to == at or chars < 4_000_000):
                     chars += len(texts[to])
                     to += 1
-                for d, b in zip(pdf["doc_id"].iloc[at:to], enc.encode(texts[at:to])):
-                    held.append(b + end)
-                    ids.append(None if pd.isna(d) else int(d))
-                    counts.append(len(b) // 4 + 1)
-                    size += counts[-1]
+                tokens, per_text = enc.encode(texts[at:to])
+                ends = np.cumsum(per_text)
+                tokens = np.insert(tokens, ends, end_id)
+                per_text, ends = per_text + 1, ends + np.arange(1, to - at + 1)
+                cut = 0  # documents up to here are in `held` or written
+                for k, (n, e) in enumerate(zip(per_text.tolist(), ends.tolist())):
+                    ids.append(names[at + k])
+                    counts.append(n)
+                    size += n
                     if size >= shard_tokens:
+                        held.append(tokens[cut:e])
+                        cut = e
                         yield close()
                         held, ids, counts, size, shard = [], [], [], 0, shard + 1
+                held.append(tokens[cut:])
                 at = to
         if ids:
             yield close()
@@ -322,7 +453,8 @@ def read_documents(shards: DataFrame, out: str) -> DataFrame:
                     "at": at, "n_tokens": w.counts,
                     "ids_crc32": [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(at, ends)]})
 
-    return shards.repartition(F.col("path")).mapInPandas(
+    # a task for each file or so: their list is small, their contents aren't
+    return shards.repartition(max(1, min(shards.count(), MAX_READERS))).mapInPandas(
         read, "doc_id long, part int, shard int, at long, n_tokens long, ids_crc32 long")
 
 

@@ -49,7 +49,17 @@ def test_pieces_encode_like_the_whole_text(parts):
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
     whole = tok.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(wavelet.encoder(PATH).encode([text])[0], "<u4").tolist() == whole
+    ids, counts = wavelet.encoder(PATH).encode([text.encode(), b"", (text + " x").encode()])
+    more = tok.encode(text + " x", add_special_tokens=False).ids
+    assert ids.tolist() == whole + more and counts.tolist() == [len(whole), 0, len(more)]
+
+
+def test_equal_hashes_of_other_lengths_are_noticed():
+    enc = wavelet.Encoder(PATH)
+    enc._hashes = lambda data, at, length: length.astype(np.uint64) % np.uint64(2)
+    text = b"some words or a longerone"
+    whole = enc.tok.encode(text.decode(), add_special_tokens=False).ids
+    assert enc.encode([text])[0].tolist() == whole
 
 
 def test_round_trip_and_awkward_rows(spark, awkward, no_rows):
