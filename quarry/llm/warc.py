@@ -41,6 +41,8 @@ MIN_BYTES = 100
 #: An archive is closed after the record that takes it to this many bytes.
 ARCHIVE_BYTES = 64 << 20
 STEP = 1 << 16
+#: Tasks that read archives; each takes as many files as that asks for.
+MAX_READERS = 100_000
 #: Fixed value: no clock enters an archive, so reruns write equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -286,7 +288,9 @@ def read_archives(archives: DataFrame, folder_uri: str, payloads: bool = False)
                 if rows:
                     yield frame(rows)
 
-    return archives.repartition(F.col("name")).mapInPandas(read, schema)
+    # a task for each archive or so: their list is small, their contents aren't
+    return archives.repartition(max(1, min(archives.count(), MAX_READERS))).mapInPandas(
+        read, schema)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, out: str | None = None,
