@@ -43,7 +43,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,8 @@ from quarry.session import stage
 TOP_WORDS = 1 << 16
 FREQUENT = 256
 TABLE_BITS = 22
+#: Counts that are packed together: 2^16 slots.
+BLOCK = 2 << 16
 SEGMENT = 1024
 STRIDE = 16
 #: Stretched probabilities are kept as bytes of this many steps a unit.
@@ -270,17 +273,49 @@ def _coded_words(vocabulary: Vocabulary, ws: list[bytes]) -> list[int]:
     return [*[get(w, escape) for w in ws], vocabulary.ids[END]]
 
 
-def _emit(kind: int, total: np.ndarray) -> Iterator[pd.DataFrame]:
-    used = np.flatnonzero(total)
-    for a in range(0, len(used), 500_000):
-        part = used[a:a + 500_000]
-        yield pd.DataFrame({"kind": kind, "slot": part, "n": total[part]})
+def _packed(kind: int, total: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A task's counts of one table, compressed in blocks of slots."""
+    pack = zstandard.ZstdCompressor(level=1)
+    part = TaskContext.get().partitionId()
+    for b in range(len(total) // BLOCK):
+        c = total[b * BLOCK:(b + 1) * BLOCK]
+        if c.any():
+            yield _packed_row(pack, kind, b, part, c)
+
+
+def _packed_row(pack, kind: int, block: int, part: int, c: np.ndarray) -> pd.DataFrame:
+    kind_of = next(t for t in ("u1", "<u2", "<u4", "<u8") if int(c.max()) < 256 ** int(t[-1]))
+    return pd.DataFrame({"kind": [kind], "block": [block], "part": [part], "type": [kind_of],
+                         "data": [pack.compress(c.astype(kind_of).tobytes())]})
+
+
+def _unpacked(type_: str, data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), type_).astype(np.int64)
+
+
+PACKED = "kind int, block int, part int, type string, data binary"
+
+
+def _merged(packed: DataFrame, fan_in: int = 64) -> DataFrame:
+    """One row a table block: tasks' counts are added `fan_in` tasks at a
+    time, so no group grows with the number of tasks."""
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(_unpacked(t, d) for t, d in zip(pdf["type"], pdf["data"]))
+        return _packed_row(zstandard.ZstdCompressor(level=1), key[0], key[1], key[2], total)
+
+    rows = packed
+    while True:
+        part = F.floor(F.col("part") / fan_in).cast("int").alias("part")
+        rows = stage(rows.select("kind", "block", part, "type", "data").groupBy(
+            "kind", "block", "part").applyInPandas(add, PACKED), "decisions")
+        if not rows.agg(F.max("part")).first()[0]:
+            return rows
 
 
 def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
                     vocabulary: Broadcast) -> DataFrame:
-    """Staged (kind, slot, n), slot = table slot * 2 + bit: the word decisions
-    of all training texts, and the byte decisions of all rare words."""
+    """Staged counts of the decisions of all training texts and all rare
+    words, one row a table block; place in a table: slot * 2 + bit."""
     size = 2 << TABLE_BITS
 
     def in_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,13 +343,13 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
                 held.append(code)
                 heads += [(w + END)[:2] for w, i in zip(ws, code) if i == v.escape]
                 words += len(code)
-                if words >= 8 * CHUNK_WORDS:
+                if words >= 4 * CHUNK_WORDS:
                     add()
                     held, heads, words = [], [], 0
         if held:
             add()
         for k, t in tables.items():
-            yield from _emit(k, t)
+            yield from _packed(k, t)
 
     def in_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
@@ -331,12 +366,10 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
             _count(tables, BYTE_KINDS[:-1], paths, contexts[:-1], weight)
             _count(tables, BYTE_KINDS[-1:], paths, contexts[-1:], weight * (inner > 1))
         for k, t in tables.items():
-            yield from _emit(k, t.astype(np.int64))
+            yield from _packed(k, t)
 
-    schema = "kind int, slot long, n long"
-    both = docs.select(docs[text].alias("text")).mapInPandas(in_texts, schema).unionByName(
-        rare.select("word", "n").mapInPandas(in_words, schema))
-    return stage(both.groupBy("kind", "slot").agg(F.sum("n").alias("n")), "decisions")
+    return _merged(docs.select(docs[text].alias("text")).mapInPandas(in_texts, PACKED).unionByName(
+        rare.select("word", "n").mapInPandas(in_words, PACKED)))
 
 
 def _count(tables: dict[int, np.ndarray], kinds, paths, contexts, weight=None) -> None:
@@ -364,22 +397,19 @@ class Model:
 
 
 def build_model(decisions: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Predictor tables from the staged counts: tasks make blocks of 2^16
-    slots, the driver lays them out (6 x 2^TABLE_BITS bytes)."""
-    block = 1 << 16
-
-    def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(2 * block)
-        c[pdf["slot"].to_numpy() - key[1] * 2 * block] = pdf["n"].to_numpy()
-        return pd.DataFrame({"kind": [key[0]], "block": [key[1]],
-                             "data": [stretched(c[::2], c[1::2]).tobytes()]})
-
-    made = decisions.withColumn("block", F.expr(f"slot div {2 * block}")).groupBy(
-        "kind", "block").applyInPandas(make, "kind int, block long, data binary").collect()
+    """Predictor tables from the staged counts: tasks make the blocks, the
+    driver lays them out (6 x 2^TABLE_BITS bytes)."""
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            c = [_unpacked(t, d) for t, d in zip(pdf["type"], pdf["data"])]
+            yield pdf[["kind", "block"]].assign(
+                data=[stretched(x[::2], x[1::2]).tobytes() for x in c])
+
+    made = decisions.mapInPandas(make, "kind int, block int, data binary").collect()
     tables = {k: np.zeros(1 << TABLE_BITS, np.int8) for k in (*WORD_KINDS, *BYTE_KINDS)}
     for r in made:
-        at = r["block"] * block
-        tables[r["kind"]][at:at + block] = np.frombuffer(r["data"], np.int8)
+        at = r["block"] * BLOCK // 2
+        tables[r["kind"]][at:at + BLOCK // 2] = np.frombuffer(r["data"], np.int8)
     zeros, ones = vocabulary.words.node_counts(vocabulary.counts)
     return Model(vocabulary, stretched(zeros, ones), tables)
 
