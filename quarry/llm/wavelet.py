@@ -51,7 +51,7 @@ SHARD_TOKENS = 1 << 20
 #: Tasks that read shards; each takes as many files as that asks for.
 MAX_READERS = 100_000
 #: Pieces that a worker keeps encoded; beyond it the cache starts anew.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_800_000
 
 
 # --- encoding ---------------------------------------------------------------
@@ -69,7 +69,7 @@ class Encoder:
     #: Bytes after a blank at which a text is not cut: white space, and first
     #: bytes of characters that may be white space.
     JOINED = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
-    FRONT_BITS = 21
+    FRONT_BITS = 22
     BASE = 0xD6E8FEB86659FD93
 
     def __init__(self, path: str):
@@ -86,13 +86,14 @@ class Encoder:
 
     def _empty(self) -> None:
         """Entries: first id and number of ids in the store, bytes.  `front`
-        finds most entries by the top of their hash, `number` all."""
+        finds an entry at one of two places that its hash names; one that
+        finds both taken is encoded again where it is met again."""
         self.entries = 0
-        self.starts, self.counts, self.sizes = (np.zeros(1024, np.int64) for _ in range(3))
-        self.store, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.starts, self.counts, self.sizes = (np.zeros(1024, np.int32) for _ in range(3))
+        self.store, self.used = np.zeros(
+            1 << 14, np.uint16 if len(self.width) <= 1 << 16 else np.uint32), 0
         self.front_hash = np.zeros(1 << self.FRONT_BITS, np.uint64)
         self.front = np.full(1 << self.FRONT_BITS, -1, np.int32)
-        self.number: dict[int, int] = {}
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids) of UTF-8 texts."""
@@ -113,11 +114,11 @@ class Encoder:
         length = np.diff(at, append=len(data))
         piece = self._entries(joined, self._hashes(data, at, length), at, length)
         count = self.counts.take(piece)
-        before = np.cumsum(count) - count
+        before = np.cumsum(count, dtype=np.int64) - count
         from_ = np.repeat(self.starts.take(piece) - before, count)
         from_ += np.arange(len(from_))
         upto = np.concatenate([before, [len(from_)]])[np.searchsorted(at, ends, side="left")]
-        return self.store.take(from_), np.diff(upto, prepend=0)
+        return self.store.take(from_).astype(np.uint32), np.diff(upto, prepend=0)
 
     def _hashes(self, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Polynomial hash of each piece modulo 2^64, from running sums."""
@@ -137,33 +138,38 @@ class Encoder:
     def _entries(self, joined: bytes, h: np.ndarray, at: np.ndarray,
                  length: np.ndarray) -> np.ndarray:
         """Cache entry of each piece; new ones are encoded first."""
-        slot = (h >> np.uint64(64 - self.FRONT_BITS)).astype(np.int64)
-        entry = self.front.take(slot).astype(np.int64)
-        seen = (self.front_hash.take(slot) == h) & (entry >= 0)
-        seen &= self.sizes.take(np.maximum(entry, 0)) == length
-        rest = np.flatnonzero(~seen)
+        low = np.uint64((1 << self.FRONT_BITS) - 1)
+        entry = np.full(len(h), -1, np.int32)
+        for slot in (h >> np.uint64(64 - self.FRONT_BITS), h & low):
+            rest = np.flatnonzero(entry < 0)
+            if not len(rest):
+                break
+            place = slot[rest].astype(np.int64)
+            found = self.front.take(place)
+            seen = (self.front_hash.take(place) == h[rest]) & (found >= 0)
+            seen &= self.sizes.take(np.maximum(found, 0)) == length[rest]
+            entry[rest[seen]] = found[seen]
+        rest = np.flatnonzero(entry < 0)
         if not len(rest):
             return entry
         _, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
-        keys = h[rest][first].tolist()
-        spans = list(zip(at[rest][first].tolist(), length[rest][first].tolist()))
-        found = [self.number.get(k, -1) for k in keys]
-        fresh = [i for i, (e, (_, n)) in enumerate(zip(found, spans))
-                 if e < 0 or self.sizes[e] != n]
-        pieces = [joined[spans[i][0]:spans[i][0] + spans[i][1]] for i in fresh]
-        for i, e in zip(fresh, self._encode_new(pieces)):
-            found[i] = e
-            self.number[keys[i]] = e
-        got = np.array(found, np.int64)
+        new = rest[first]
+        got = np.array(self._encode_new([joined[a:a + n] for a, n in zip(
+            at[new].tolist(), length[new].tolist())]), np.int32)
         entry[rest] = got[which]
-        open_ = self.front.take(slot[rest][first]) < 0
-        put, hashes = slot[rest][first][open_], h[rest][first][open_]
-        self.front[put], self.front_hash[put] = got[open_], hashes
-        odd = np.flatnonzero(self.sizes[entry[rest]] != length[rest])
+        for shift in (64 - self.FRONT_BITS, 0):
+            place = (h[new] >> np.uint64(shift) & low).astype(np.int64)
+            open_ = self.front.take(place) < 0
+            self.front[place[open_]], self.front_hash[place[open_]] = got[open_], h[new[open_]]
+            # of those that met at one place the last is there; the others try on
+            lost = self.front.take(place) != got
+            got, new = got[lost], new[lost]
+            if not len(new):
+                break
+        odd = rest[self.sizes[entry[rest]] != length[rest]]
         if len(odd):  # another piece of the same hash in this batch
-            every = rest[odd]
-            entry[every] = self._encode_new([joined[a:a + n] for a, n in zip(
-                at[every].tolist(), length[every].tolist())])
+            entry[odd] = self._encode_new([joined[a:a + n] for a, n in zip(
+                at[odd].tolist(), length[odd].tolist())])
         return entry
 
     def _encode_new(self, pieces: list[bytes]) -> list[int]:
@@ -196,10 +202,10 @@ class Encoder:
         n, k = self.entries, len(sizes)
         if n + k > len(self.starts):
             self.starts, self.counts, self.sizes = (
-                np.concatenate([x, np.zeros(n + k, np.int64)])
+                np.concatenate([x, np.zeros(n + k, np.int32)])
                 for x in (self.starts, self.counts, self.sizes))
         if self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(self.used + len(ids), np.uint32)])
+            self.store = np.concatenate([self.store, np.zeros(self.used + len(ids), self.store.dtype)])
         self.store[self.used:self.used + len(ids)] = ids
         self.starts[n:n + k] = self.used + np.concatenate([[0], stop[:-1]])
         self.counts[n:n + k] = np.diff(stop, prepend=0)
@@ -409,7 +415,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, out: str, doc_id: str =
             at = 0
             while at < len(texts):  # a few MB of text are encoded at a time
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 4_000_000):
+                while to < len(texts) and (to == at or chars < 1_500_000):
                     chars += len(texts[to])
                     to += 1
                 tokens, per_text = enc.encode(texts[at:to])
