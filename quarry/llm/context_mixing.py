@@ -53,7 +53,7 @@ from quarry.session import stage
 
 TOP_WORDS = 1 << 16
 FREQUENT = 256
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: Counts that are packed together: 2^16 slots.
 BLOCK = 2 << 16
 SEGMENT = 1024
@@ -67,7 +67,7 @@ BYTE_WEIGHTS = (0.2, 0.3, 0.4, 0.4)
 MAP_BUCKETS = 33
 MAP_RATE = 0.02
 #: Tokens or bytes that are counted or scored together.
-CHUNK_WORDS = 150_000
+CHUNK_WORDS = 100_000
 #: The end token's key in the count tables; no word can contain it.
 END = b"\n"
 #: A word is in the vocabulary from this many occurrences on.
@@ -228,7 +228,7 @@ def byte_contexts(data: np.ndarray, last: np.ndarray | None) -> list[np.ndarray]
 
 # --- counting ---------------------------------------------------------------
 
-def count_words(docs: DataFrame, text: str = "text", flush: int = 500_000) -> DataFrame:
+def count_words(docs: DataFrame, text: str = "text", flush: int = 250_000) -> DataFrame:
     """Staged (word, n) of all texts, with END once a text."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -343,7 +343,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
                 held.append(code)
                 heads += [(w + END)[:2] for w, i in zip(ws, code) if i == v.escape]
                 words += len(code)
-                if words >= 4 * CHUNK_WORDS:
+                if words >= CHUNK_WORDS:
                     add()
                     held, heads, words = [], [], 0
         if held:
@@ -353,7 +353,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
 
     def in_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
-        tables = {k: np.zeros(size, np.float64) for k in BYTE_KINDS}
+        tables = {k: np.zeros(size, np.int64) for k in BYTE_KINDS}
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -376,10 +376,16 @@ def _count(tables: dict[int, np.ndarray], kinds, paths, contexts, weight=None) -
     """Add the decisions of some symbols to the tables of their contexts."""
     lens, nodes, bits = paths
     hashed = node_hashes(nodes)
-    weight = None if weight is None else np.repeat(weight, lens)
     for k, c in zip(kinds, contexts):
-        found = np.bincount(slots(c, lens, hashed) * _U(2) + bits, weight, len(tables[k]))
-        tables[k] += found.astype(tables[k].dtype)
+        at = slots(c, lens, hashed) * _U(2) + bits
+        if weight is None:  # equal places stand together after sorting
+            at.sort()
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+            tables[k][at[new]] += np.diff(new, append=len(at)).astype(tables[k].dtype)
+        else:
+            places, which = np.unique(at, return_inverse=True)
+            total = np.bincount(which, np.repeat(weight, lens), len(places))
+            tables[k][places] += np.rint(total).astype(tables[k].dtype)
 
 
 def _joined_ids(held: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
