@@ -1,9 +1,10 @@
 """Column helpers that encode the NULL / NaN / ANSI rules the operators need.
 
-* NaN is turned into NULL at ingest (`nan_to_null`), because Spark orders NaN
-  above every number and treats NaN = NaN as true.
+* NaN counts as missing: every fitted statistic and every fitted transform
+  turns it into NULL (`nan_to_null`), because Spark orders NaN above every
+  number and treats NaN = NaN as true.
 * Division never raises under ANSI mode: `safe_div` yields NULL for x/0.
-* `clip` keeps NULL as NULL (greatest/least would otherwise replace it).
+* `clip` keeps NULL (and NaN) as NULL; greatest/least would replace it.
 * `bucket_right_closed` is pd.cut-style (lo, hi]; a value outside every edge
   pair is NULL.
 """
@@ -41,7 +42,7 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
 
 
 def clip(c: Column | str, lo: Column | float | None, hi: Column | float | None) -> Column:
-    c = col(c)
+    c = nan_to_null(c)
     out = c
     if lo is not None:
         out = F.greatest(out, lo if isinstance(lo, Column) else F.lit(lo))

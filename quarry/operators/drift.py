@@ -6,15 +6,20 @@ one row), and the two empirical CDFs are running sums from the two-level
 prefix sum, so no task ever holds a whole feature column.
 D = max |F_ref - F_cur| over the distinct values.
 
-p-value: for equal sample sizes (n <= 10,000) the exact two-sided law
-    p = 2 * sum_{j>=1} (-1)^(j-1) C(2n, n - j h) / C(2n, n),   h = round(D n)
-evaluated with higher-order array functions (ratio of binomials as a running
-product); otherwise the limiting Kolmogorov series with Stephens' small-sample
-correction, lambda = (sqrt(m) + 0.12 + 0.11 / sqrt(m)) D, m = n1 n2 / (n1 + n2).
-The method used is reported in `p_method`.
+p-value, by the caller's choice of law (the same at every size):
+
+* `asymptotic`: the limiting Kolmogorov distribution at Stephens' corrected
+  lambda = (sqrt(m) + 0.12 + 0.11 / sqrt(m)) D, m = n1 n2 / (n1 + n2): the
+  alternating series from lambda = 1 on, its theta-function dual below, where
+  the alternating one does not converge in few terms.
+* `exact` (equal sample sizes n only; NULL otherwise):
+      p = 2 * sum_{j>=1} (-1)^(j-1) C(2n, n - j h) / C(2n, n),   h = round(D n)
+  with the ratio of binomials in closed form, so a term costs the same at any
+  n; terms below 1e-17 of the first are not written out (about sqrt(40 n) / h).
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +29,9 @@ from pyspark.sql import types as T
 from quarry.operators.prefix import running_totals
 from quarry.operators.quantiles import feature_name, unpivot_ids
 
-EXACT_MAX_N = 10_000
-SERIES_TERMS = 100
+#: Terms after which either series has converged to double precision.
+SERIES_TERMS = 8
+LN_FACTORIALS = [math.lgamma(i + 1) for i in range(10)]
 
 
 def shared_numeric_features(ref: DataFrame, cur: DataFrame) -> tuple[list[str], list[str]]:
@@ -59,45 +65,66 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None
                                          "n_ref", "n_cur", "ks_d")
 
 
+def _stirling_rest(x: Column) -> Column:
+    """ln x! - ((x + 1/2) ln x - x + ln(2 pi) / 2), for x >= 10."""
+    return (F.lit(1 / 12) - (F.lit(1 / 360) - F.lit(1 / 1260) / (x * x)) / (x * x)) / x
+
+
+def _ln_factorial(x: Column) -> Column:
+    small = F.get(F.array(*[F.lit(v) for v in LN_FACTORIALS]), x.cast("int"))
+    safe = F.greatest(x, F.lit(1.0))
+    large = (safe + 0.5) * F.ln(safe) - safe + F.lit(0.5 * math.log(2 * math.pi)) \
+        + _stirling_rest(safe)
+    return F.when(x < 10, small).otherwise(large)
+
+
+def _ln_ratio(n: Column, k: Column) -> Column:
+    """ln C(2n, n - k) / C(2n, n); away from k = n the large terms cancel in
+    closed form, so the result is exact for any n."""
+    near = F.greatest(n - k, F.lit(1.0))
+    apart = -((n + k + 0.5) * F.log1p(k / n) + (n - k + 0.5) * F.log1p(-k / n)) \
+        + 2 * _stirling_rest(n) - _stirling_rest(near) - _stirling_rest(n + k)
+    return F.when(n - k >= 10, apart).otherwise(
+        2 * _ln_factorial(n) - _ln_factorial(n - k) - _ln_factorial(n + k))
+
+
 def _exact_equal_n(n: Column, d: Column) -> Column:
-    """One pass over i = 0..n-1 keeping the running ratio
-    C(2n, n-k) / C(2n, n) = prod_{i<k} (n-i) / (n+1+i) and adding the signed
-    term each time k is a multiple of h: O(n) work per feature."""
-    h = F.round(d * n).cast("int")
-    init = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
-
-    def step(acc, i):
-        p = acc["p"] * (n - i).cast("double") / (n + 1 + i).cast("double")
-        k = i + 1
-        j = (k / h).cast("int")
-        sign = F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        add = F.when(k % h == 0, sign * p).otherwise(F.lit(0.0))
-        return F.struct(p.alias("p"), (acc["s"] + add).alias("s"))
-
-    res = F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), init, step)
-    p = 2.0 * res["s"]
+    n = n.cast("double")
+    h = F.round(d * n)
+    step = F.greatest(h, F.lit(1.0))
+    terms = F.least(F.floor(n / step), F.ceil(F.sqrt(40 * n) / step) + 1).cast("int")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), lambda j:
+                       F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(_ln_ratio(n, j * step)))
+    p = 2.0 * F.aggregate(each, F.lit(0.0), lambda a, t: a + t)
     return F.when(h <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def _asymptotic(n1: Column, n2: Column, d: Column) -> Column:
     m = n1.cast("double") * n2 / (n1 + n2)
     lam = (F.sqrt(m) + 0.12 + 0.11 / F.sqrt(m)) * d
-    terms = F.transform(
-        F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
-        lambda j: F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        * F.exp(-2.0 * j * j * lam * lam))
-    p = 2.0 * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-    return F.when(lam < 1e-3, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+    at = F.greatest(lam, F.lit(1e-9))
+
+    def total(term) -> Column:
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), term),
+                           F.lit(0.0), lambda a, t: a + t)
 
+    large = 2.0 * total(lambda j: F.when(j % 2 == 1, 1.0).otherwise(-1.0)
+                        * F.exp(-2.0 * j * j * at * at))
+    dual = 1.0 - F.lit(math.sqrt(2 * math.pi)) / at * total(
+        lambda k: F.exp(-F.pow(2 * k - 1, 2) * F.lit(math.pi ** 2 / 8) / (at * at)))
+    return F.least(F.greatest(F.when(lam < 1, dual).otherwise(large), F.lit(0.0)), F.lit(1.0))
 
-def ks_pvalue(stats: DataFrame) -> DataFrame:
+
+def ks_pvalue(stats: DataFrame, method: str = "asymptotic") -> DataFrame:
     """DRF2: adds `p_value` and `p_method` to `ks_statistic` rows."""
     n1, n2, d = F.col("n_ref"), F.col("n_cur"), F.col("ks_d")
-    exact = (n1 == n2) & (n1 <= EXACT_MAX_N)
-    return stats.withColumns({
-        "p_value": F.when(exact, _exact_equal_n(n1, d)).otherwise(_asymptotic(n1, n2, d)),
-        "p_method": F.when(exact, F.lit("exact")).otherwise(F.lit("asymptotic")),
-    })
+    if method == "exact":
+        p = F.when(n1 == n2, _exact_equal_n(n1, d))
+    elif method == "asymptotic":
+        p = _asymptotic(n1, n2, d)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return stats.withColumns({"p_value": p, "p_method": F.lit(method)})
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, model_name: str,

@@ -11,37 +11,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quarry.functions.numeric import nan_to_null
 from quarry.session import freeze as frozen
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """EVL1-2: rmse, mae, r2_score, mape (%), samples_evaluated; rows with
-    y = 0 have no defined percentage error and are counted in
-    `mape_undefined` instead."""
-    e = F.col(y).cast("double") - F.col(yhat).cast("double")
-    ape = F.abs(F.try_divide(e, F.col(y).cast("double")))
-    n = F.count(F.lit(1))
+    """EVL1-2: rmse, mae, r2_score, mape (%), samples_evaluated over the rows
+    that have both sides; `rows_unpaired` counts the others (NULL or NaN on a
+    side).  Paired rows with y = 0 have no defined percentage error and are
+    counted in `mape_undefined` instead."""
+    actual, predicted = nan_to_null(F.col(y).cast("double")), nan_to_null(F.col(yhat).cast("double"))
+    e = actual - predicted
+    paired = e.isNotNull()
+    ape = F.abs(F.try_divide(e, actual))
+    n = F.count(e)
+    spread = F.var_pop(F.when(paired, actual)) * n
     return df.agg(
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - F.sum(e * e) / (F.var_pop(F.col(y).cast("double")) * n)).alias("r2_score"),
+        (F.lit(1.0) - F.try_divide(F.sum(e * e), spread)).alias("r2_score"),
         (F.avg(ape) * 100.0).alias("mape"),
-        F.count_if(ape.isNull()).alias("mape_undefined"),
+        F.count_if(paired & ape.isNull()).alias("mape_undefined"),
         n.alias("samples_evaluated"),
+        F.count_if(~paired).alias("rows_unpaired"),
     )
 
 
+def label_text(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Label columns in one canonical text form: numbers are compared as
+    numbers (1, 1.0 and 1L are the same label), text as text; a numeric side
+    against a text side is an error, not a mismatch of every row."""
+    numeric = [isinstance(df.schema[c].dataType, T.NumericType) for c in cols]
+    if any(numeric) and not all(numeric):
+        raise TypeError(f"labels of different types: {[df.schema[c].simpleString() for c in cols]}")
+
+    def text(c: str) -> Column:
+        d = F.col(c).cast("double")
+        whole = (d == F.floor(d)) & (F.abs(d) < 2.0 ** 53)
+        return F.when(whole, d.try_cast("long").cast("string")).otherwise(F.col(c).cast("string"))
+
+    return [text(c) if n else F.col(c).cast("string") for c, n in zip(cols, numeric)]
+
+
 def pair_counts(df: DataFrame, y: str, yhat: str, freeze: bool = True) -> DataFrame:
-    """(actual, predicted, n) for every observed pair, labels as strings.
+    """(actual, predicted, n) for every observed pair, labels as canonical
+    strings (`label_text`).
 
     The table has at most classes^2 rows; with `freeze` it is checkpointed
     (reliable, shared folder) so the several metrics derived from it do not
     each re-scan the scored table."""
-    counts = df.groupBy(F.col(y).cast("string").alias("actual"),
-                        F.col(yhat).cast("string").alias("predicted")).agg(
+    actual, predicted = label_text(df, [y, yhat])
+    counts = df.groupBy(actual.alias("actual"), predicted.alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     if freeze:
         counts = counts.transform(frozen)
@@ -87,8 +111,8 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
     entry per class) shared through a scalar subquery, so no join of labels
     with labels is needed."""
     counts = pair_counts(df, y, yhat)
-    labels = counts.select(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-        F.array("actual", "predicted")))))).scalar()
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).agg(
+        F.array_sort(F.collect_set("label"))).scalar()  # one entry a class
     by_actual = counts.groupBy("actual").agg(
         F.map_from_entries(F.collect_list(F.struct("predicted", "n"))).alias("row"))
     all_actual = counts.select(F.explode(labels).alias("actual")).distinct()

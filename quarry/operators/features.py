@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import bucket_right_closed, clip, euclidean_norm, safe_div
+from quarry.functions.numeric import (bucket_right_closed, clip, euclidean_norm, nan_to_null,
+                                      safe_div)
 from quarry.operators.quantiles import column_quantiles
 
 
@@ -74,10 +75,12 @@ def map_values_table(df: DataFrame, col: str, mapping: DataFrame, key: str, valu
 
 
 def map_with_fallback(c: Column | str, mapping: Mapping[int, str], prefix: str = "class_") -> Column:
-    """MAP2: integer code -> label, else `class_{code}`; a non-integer value is
-    kept as its text."""
+    """MAP2: code -> label, else `class_{code}`.  A number is cut to its integer
+    (models emit 1.0 for class 1); text that is no integer is kept."""
     c = F.col(c) if isinstance(c, str) else c
-    as_int = c.cast("string").try_cast("int")
+    number = F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    as_int = F.when(number, c.cast("string").try_cast("double").try_cast("int")).otherwise(
+        c.cast("string").try_cast("int"))
     return F.coalesce(F.try_element_at(_literal_map(mapping), as_int),
                       F.when(as_int.isNotNull(), F.concat(F.lit(prefix), as_int.cast("string"))),
                       c.cast("string"))
@@ -130,11 +133,11 @@ def table_stats(df: DataFrame, mean_cols: Sequence[str] = (),
                 moment_cols: Sequence[str] = ()) -> Column:
     """Fit every whole-table statistic a chain needs in ONE aggregate pass:
     field `c` = avg(c) for mean_cols, field `z_c` = struct(m, s) (mean, sample
-    std) for moment_cols.  Returned as a struct of literals."""
+    std) for moment_cols, NaN left out.  Returned as a struct of literals."""
     row = df.agg(
-        *[F.avg(c).alias(c) for c in mean_cols],
-        *[F.avg(c).alias(f"m_{c}") for c in moment_cols],
-        *[F.stddev_samp(c).alias(f"s_{c}") for c in moment_cols],
+        *[F.avg(nan_to_null(c)).alias(c) for c in mean_cols],
+        *[F.avg(nan_to_null(c)).alias(f"m_{c}") for c in moment_cols],
+        *[F.stddev_samp(nan_to_null(c)).alias(f"s_{c}") for c in moment_cols],
     ).first()
     return F.struct(
         *[_lit(row[c]).alias(c) for c in mean_cols],
@@ -179,7 +182,7 @@ def zscores(df: DataFrame, cols: Sequence[str], suffix: str = "_zscore",
     if stats is None:
         stats = table_stats(fit_on if fit_on is not None else df, moment_cols=cols)
     return df.withColumns({
-        f"{c}{suffix}": F.try_divide(F.col(c) - stats[f"z_{c}"]["m"], stats[f"z_{c}"]["s"])
+        f"{c}{suffix}": F.try_divide(nan_to_null(c) - stats[f"z_{c}"]["m"], stats[f"z_{c}"]["s"])
         for c in cols
     })
 

@@ -114,10 +114,11 @@ def _event(spark: SparkSession, job_id: str, model: str, trigger: str, status: s
 def retrain(spark: SparkSession, registry, events_path: str, model_name: str, trigger_type: str,
             load_data: Callable[[], DataFrame], label: str, key: str, kind: str,
             candidates: list[TR.Candidate], test_size: float = 0.2, seed: int = 42,
-            params: dict | None = None) -> str:
+            params: dict | None = None, history_path: str | None = None) -> str:
     """RTR1: started event -> load data -> split -> fit candidates -> pick
-    best -> log runs -> register -> terminal event (completed or failed with
-    the error text).  Returns the job id."""
+    best -> log runs -> register -> append the best score to the performance
+    history (`history_path`, the input of DRF4) -> terminal event (completed
+    or failed with the error text).  Returns the job id."""
     model = MODEL_ALIASES.get(model_name, model_name)
     if model not in ESTIMATED_MINUTES:
         raise ValueError(f"unknown model {model_name!r}")
@@ -140,14 +141,17 @@ def retrain(spark: SparkSession, registry, events_path: str, model_name: str, tr
         best = TR.pick_best(res.scores, metric, higher)
         for run_id, m in res.models.items():
             rows = res.scores.where(F.col("run_id") == run_id)
-            name = rows.select(F.first("run_name")).first()[0]
-            registry.log_run(run_id, name, model,
+            registry.log_run(run_id, res.names[run_id], model,
                              {"trigger": trigger_type, "seed": seed, **(params or {})},
                              rows.select("metric", "value"), m)
         registry.register(REGISTERED_NAMES[model], best)
+        if history_path:
+            best.select(F.lit(model).alias("model_name"), "metric", F.col("score").alias("value"),
+                        F.lit(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
+                        .cast("timestamp").alias("ts")).write.mode("append").parquet(history_path)
         _event(spark, job_id, model, trigger_type, "completed",
                duration=time.time() - t0).write.mode("append").parquet(events_path)
     except Exception as e:  # noqa: BLE001  the failure is recorded as job state
         _event(spark, job_id, model, trigger_type, "failed", duration=time.time() - t0,
-               error=f"{type(e).__name__}: {e}"[:1000]).write.mode("append").parquet(events_path)
+               error=f"{type(e).__name__}: {e}").write.mode("append").parquet(events_path)
     return job_id

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import is_missing
+from quarry.functions.numeric import is_missing, nan_to_null
 from quarry.operators.quantiles import column_profile, column_quantiles, quantiles_wide
 
 
@@ -51,7 +51,7 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:
     """AGG4: mean, median, std, min, max of the target in one row."""
-    t = F.col(target).cast("double")
+    t = nan_to_null(F.col(target).cast("double"))
     base = df.agg(
         F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"),
         F.min(t).alias("min"), F.max(t).alias("max"),
@@ -101,12 +101,10 @@ def profile_report(df: DataFrame, dataset: str, target: str | None = None,
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(is_missing(c) if c in floating else F.col(c).isNull()).alias(f"_miss_{i}")
           for i, c in enumerate(df.columns)],
-        *[F.struct(F.count(F.col(c)).cast("double").alias("count"),
-                   F.avg(F.col(c).cast("double")).alias("mean"),
-                   F.stddev_samp(F.col(c).cast("double")).alias("std"),
-                   F.min(F.col(c).cast("double")).alias("min"),
-                   F.max(F.col(c).cast("double")).alias("max")).alias(f"_mom_{i}")
-          for i, c in enumerate(num)],
+        *[F.struct(F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
+                   F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+                   F.max(v).alias("max")).alias(f"_mom_{i}")
+          for i, v in enumerate(nan_to_null(F.col(c).cast("double")) for c in num)],
     )
     none = F.lit(None).cast("string")
 

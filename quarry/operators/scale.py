@@ -4,7 +4,8 @@ Fitted parameters are a small long table (feature, center, scale) — one row
 per feature — that can be stored with a model; applying collects those rows
 (bounded by the feature count) and projects with literals.
 Standard scaling uses the population std (ddof=0); robust scaling uses the
-exact median and IQR; a zero spread scales by 1.
+exact median and IQR; a zero spread scales by 1.  NaN is missing: left out of
+the fit and NULL in the result.
 """
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.numeric import zero_spread_to_one
+from quarry.functions.numeric import nan_to_null, zero_spread_to_one
 from quarry.operators.quantiles import column_quantiles
 
 
@@ -22,8 +23,8 @@ def fit_scaler(train: DataFrame, cols: Sequence[str], method: str = "standard",
     cols = list(cols)
     if method == "standard":
         wide = train.agg(*[
-            F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).cast("double")).alias("center"),
-                     F.stddev_pop(F.col(c).cast("double")).alias("scale")).alias(c)
+            F.struct(F.lit(c).alias("feature"), F.avg(nan_to_null(F.col(c).cast("double"))).alias("center"),
+                     F.stddev_pop(nan_to_null(F.col(c).cast("double"))).alias("scale")).alias(c)
             for c in cols
         ])
         params = wide.unpivot([], cols, "_k", "s").select("s.*")
@@ -44,7 +45,7 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataF
     fitted = {r["feature"]: (r["center"], r["scale"])
               for r in params.where(F.col("feature").isin(cols)).collect()}
     return df.withColumns({
-        c: (F.col(c).cast("double") - F.lit(fitted[c][0]).cast("double"))
+        c: (nan_to_null(F.col(c).cast("double")) - F.lit(fitted[c][0]).cast("double"))
         / F.lit(fitted[c][1]).cast("double")
         for c in cols if c in fitted
     })

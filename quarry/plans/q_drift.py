@@ -57,23 +57,27 @@ _H_CUR = f"SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '{CUT}'"
 _E_REF = "SELECT value, user_id FROM events"
 _E_CUR = "SELECT value * 1.05 AS value, user_id + 3 AS user_id FROM events"
 
-_P_SQL = """P AS (SELECT S.*,
-  CASE WHEN n_ref = n_cur AND n_ref <= 10000 THEN 'exact' ELSE 'asymptotic' END AS p_method,
-  CAST(round(ks_d * n_ref) AS BIGINT) AS h,
-  n_ref * n_cur / (n_ref + n_cur) AS m FROM S),
+def _p_sql(method: str) -> str:
+    """PV: p-values.  exact: logs of the binomial ratios summed factor by
+    factor; asymptotic: the alternating series, and its dual below lambda 1."""
+    if method == "exact":
+        return """P AS (SELECT S.*, CAST(round(ks_d * n_ref) AS BIGINT) AS h FROM S),
 X AS (SELECT P.feature, j.j,
         (SELECT exp(sum(ln((P.n_ref - i.i) / (P.n_ref + 1.0 + i.i)))) FROM range(0, j.j * P.h) i(i)) AS ratio
       FROM P, range(1, CAST(floor(P.n_ref / greatest(P.h, 1)) AS BIGINT) + 1) j(j)
-      WHERE P.p_method = 'exact' AND P.h > 0),
+      WHERE P.n_ref = P.n_cur AND P.h > 0),
 EX AS (SELECT feature, least(greatest(2 * sum(CASE WHEN j % 2 = 1 THEN ratio ELSE -ratio END), 0), 1) AS p
        FROM X GROUP BY feature),
-AS1 AS (SELECT P.feature, (sqrt(m) + 0.12 + 0.11 / sqrt(m)) * ks_d AS lam FROM P),
-AP AS (SELECT AS1.feature, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(greatest(2 * sum(
-         CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * lam * lam)), 0), 1) END AS p
-       FROM AS1, range(1, 101) t(j) GROUP BY AS1.feature, lam),
-PV AS (SELECT P.feature, P.n_ref, P.n_cur, P.ks_d, P.p_method,
-         CASE WHEN P.p_method = 'exact' THEN coalesce(EX.p, 1.0) ELSE AP.p END AS p_value
-       FROM P LEFT JOIN EX USING (feature) LEFT JOIN AP USING (feature))"""
+PV AS (SELECT P.feature, P.n_ref, P.n_cur, P.ks_d, 'exact' AS p_method,
+         CASE WHEN P.n_ref = P.n_cur THEN coalesce(EX.p, 1.0) END AS p_value
+       FROM P LEFT JOIN EX USING (feature))"""
+    return """L1 AS (SELECT *, n_ref * n_cur / (n_ref + n_cur) AS m FROM S),
+L2 AS (SELECT *, (sqrt(m) + 0.12 + 0.11 / sqrt(m)) * ks_d AS lam FROM L1),
+PV AS (SELECT feature, n_ref, n_cur, ks_d, 'asymptotic' AS p_method,
+         least(greatest(CASE WHEN lam <= 0 THEN 1.0 WHEN lam < 1 THEN 1 - sqrt(2 * pi()) / lam *
+             list_sum([exp(-1.0 * (2 * k - 1) * (2 * k - 1) * pi() * pi() / (8 * lam * lam)) for k in range(1, 31)])
+           ELSE 2 * list_sum([CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * lam * lam)
+                              for j in range(1, 101)]) END, 0), 1) AS p_value FROM L2)"""
 
 
 @register("ks_statistic", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) +
@@ -83,17 +87,17 @@ def ks_statistic(spark, sf_dir):
     return D.ks_statistic(ref, cur, H_FEATURES).withColumn("ks_d", r("ks_d", 8))
 
 
-@register("ks_pvalue", "WITH " + _ks_sql(_E_REF, _E_CUR, ["value", "user_id"]) + ",\n" + _P_SQL +
+@register("ks_pvalue", "WITH " + _ks_sql(_E_REF, _E_CUR, ["value", "user_id"]) + ",\n" + _p_sql("exact") +
           "\nSELECT feature, n_ref, n_cur, round(ks_d, 8) AS ks_d, round(p_value, 6) AS p_value, "
           "p_method FROM PV")
 def ks_pvalue(spark, sf_dir):
     ref, cur = event_shift(spark, sf_dir)
-    p = D.ks_pvalue(D.ks_statistic(ref, cur))
+    p = D.ks_pvalue(D.ks_statistic(ref, cur), "exact")
     return p.select("feature", "n_ref", "n_cur", r("ks_d", 8).alias("ks_d"),
                     r("p_value", 6).alias("p_value"), "p_method")
 
 
-@register("ks_pvalue_unequal", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _P_SQL +
+@register("ks_pvalue_unequal", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _p_sql("asymptotic") +
           "\nSELECT feature, n_ref, n_cur, round(ks_d, 8) AS ks_d, round(p_value, 6) AS p_value, "
           "p_method FROM PV")
 def ks_pvalue_unequal(spark, sf_dir):
@@ -103,7 +107,7 @@ def ks_pvalue_unequal(spark, sf_dir):
                     r("p_value", 6).alias("p_value"), "p_method")
 
 
-@register("drift_report", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _P_SQL + """
+@register("drift_report", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _p_sql("asymptotic") + """
 SELECT 'housing' AS model_name, coalesce(avg(p_value) < 0.05, false) AS drift_detected,
        round(avg(p_value), 6) AS drift_score,
        coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE p_value < 0.05)), ','), '')
@@ -118,6 +122,28 @@ def drift_report(spark, sf_dir):
     return rep.withColumn("drift_score", r("drift_score", 6))
 
 
+_Q_REF = "SELECT l_extendedprice FROM lineitem"
+_Q_CUR = """SELECT CASE WHEN l_extendedprice = (SELECT max(l_extendedprice) FROM lineitem)
+THEN l_extendedprice + 1000 ELSE l_extendedprice END AS l_extendedprice FROM lineitem"""
+
+
+@register("drift_near_identical", "WITH " + _ks_sql(_Q_REF, _Q_CUR, ["l_extendedprice"]) + ",\n"
+          + _p_sql("asymptotic") + """
+SELECT n_ref, n_cur, round(p_value, 6) AS p_value, p_value < 0.05 AS drift_detected,
+       CASE WHEN p_value < 0.05 THEN 'Retrain model' ELSE 'No action needed' END AS recommendation
+FROM PV""")
+def drift_near_identical(spark, sf_dir):
+    """DRF2-3: a table against itself with only its largest value changed."""
+    ref = regression_table(spark, sf_dir).select("l_extendedprice")
+    top = ref.select(F.max("l_extendedprice")).scalar()
+    cur = ref.select(F.when(F.col("l_extendedprice") == top, F.col("l_extendedprice") + 1000)
+                     .otherwise(F.col("l_extendedprice")).alias("l_extendedprice"))
+    p = D.ks_pvalue(D.ks_statistic(ref, cur))
+    verdict = D.drift_report(ref, cur, "housing").withColumn("feature", F.lit("l_extendedprice"))
+    return p.join(verdict, "feature").select("n_ref", "n_cur", r("p_value", 6).alias("p_value"),
+                                  "drift_detected", "recommendation")
+
+
 def _daily_success(spark, sf_dir):
     log = prediction_log(spark, sf_dir)
     return log.groupBy("model_name", F.to_date("ts").alias("day")).agg(
@@ -151,7 +177,7 @@ H_CSV_SCHEMA = ("l_quantity double, l_extendedprice double, l_discount double, l
                 "l_returnflag string")
 
 
-@register("drift_job_csv", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _P_SQL + """
+@register("drift_job_csv", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _p_sql("asymptotic") + """
 SELECT 'housing' AS model_name, coalesce(avg(p_value) < 0.05, false) AS drift_detected,
        round(avg(p_value), 6) AS drift_score,
        coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE p_value < 0.05)), ','), '')

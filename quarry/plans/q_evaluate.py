@@ -58,14 +58,16 @@ _REG_SQL = """SELECT round(sqrt(avg((y - yhat) * (y - yhat))), 4) AS rmse,
   round(avg(abs(y - yhat)), 4) AS mae,
   round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 6) AS r2_score,
   round(avg(abs(CASE WHEN y <> 0 THEN (y - yhat) / y END)) * 100, 6) AS mape,
-  count(*) FILTER (WHERE y = 0 OR y IS NULL) AS mape_undefined,
-  count(*) AS samples_evaluated FROM SH"""
+  count(*) FILTER (WHERE y = 0) AS mape_undefined,
+  count(*) AS samples_evaluated,
+  (SELECT count(*) FROM SH WHERE y IS NULL OR yhat IS NULL) AS rows_unpaired
+FROM (SELECT * FROM SH WHERE y IS NOT NULL AND yhat IS NOT NULL)"""
 
 
 def _round_reg(df):
     return df.select(r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"),
                      r("r2_score", 6).alias("r2_score"), r("mape", 6).alias("mape"),
-                     "mape_undefined", "samples_evaluated")
+                     "mape_undefined", "samples_evaluated", "rows_unpaired")
 
 
 def _round_cls(df):

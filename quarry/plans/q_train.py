@@ -47,24 +47,24 @@ def batch_score(spark, sf_dir):
                                      r("prediction", 2).alias("prediction"))
 
 
-def regression_candidates():
+def regression_candidates(label=H_LABEL):
     return [
-        TR.Candidate("LinearRegression", lambda: TR.linear_regression(H_LABEL, H_FEATURES)),
+        TR.Candidate("LinearRegression", lambda: TR.linear_regression(label, H_FEATURES)),
         TR.Candidate("DecisionTreeRegressor",
-                     lambda: TR.decision_tree_regressor(H_LABEL, H_FEATURES, maxDepth=10)),
+                     lambda: TR.decision_tree_regressor(label, H_FEATURES, maxDepth=30)),
         TR.Candidate("RandomForestRegressor",
-                     lambda: TR.random_forest_regressor(H_LABEL, H_FEATURES, numTrees=100,
+                     lambda: TR.random_forest_regressor(label, H_FEATURES, numTrees=100,
                                                         maxDepth=6)),
     ]
 
 
-def class_candidates(n_rows: int):
+def class_candidates(features=None):
     return [
         TR.Candidate("LogisticRegression",
-                     lambda: TR.logistic_regression("label", None, n_rows=n_rows)),
+                     lambda n: TR.logistic_regression("label", features, n_rows=n)),
         TR.Candidate("RandomForestClassifier",
-                     lambda: TR.random_forest_classifier("label", None, numTrees=100)),
-        TR.Candidate("LinearSVC", lambda: TR.linear_svc_ovr("label", None, maxIter=10)),
+                     lambda: TR.random_forest_classifier("label", features, numTrees=100)),
+        TR.Candidate("LinearSVC", lambda: TR.linear_svc_ovr("label", features)),
     ]
 
 
@@ -83,7 +83,7 @@ def candidate_scores(spark, sf_dir):
     c = SP.stratified_split(c, "vec_id", "label", 0.2, 42)
     ctrain = c.where(~F.col("is_test")).transform(freeze)
     cls = TR.train_candidates(ctrain, c.where(F.col("is_test")), "label", "classification",
-                              class_candidates(ctrain.count()))
+                              class_candidates())
     best_r = TR.pick_best(reg.scores, "rmse", False).select("run_id")
     best_c = TR.pick_best(cls.scores, "accuracy", True).select("run_id")
     best = best_r.unionByName(best_c).withColumn("is_best", F.lit(True))
@@ -94,19 +94,71 @@ def candidate_scores(spark, sf_dir):
         F.coalesce("is_best", F.lit(False)).alias("is_best"))
 
 
-@register("latest_model")
+_RULE = "CASE WHEN l_quantity > 35 THEN 2 WHEN l_quantity > 15 THEN 1 ELSE 0 END"
+
+
+@register("candidate_checks", """
+SELECT kind, run_name, false AS failed, true AS metric_is_count, true AS beats_baseline,
+       true AS best_is_extreme
+FROM (VALUES ('regression', 'LinearRegression'), ('regression', 'DecisionTreeRegressor'),
+             ('regression', 'RandomForestRegressor'), ('classification', 'LogisticRegression'),
+             ('classification', 'RandomForestClassifier'), ('classification', 'LinearSVC'))
+     t(kind, run_name)""")
+def candidate_checks(spark, sf_dir):
+    """ML2-7 held against plain counts: on a label that is a fixed rule over the
+    features, each candidate fits, its metric is what a count over its scored
+    rows gives, it beats the constant prediction, and the best run has the
+    extreme score."""
+    h = SP.hash_split(_h(spark, sf_dir), "row_key", 0.2, 42).select(
+        *H_FEATURES, F.expr("l_quantity * (1 - l_discount)").alias("net"),
+        F.expr(_RULE).cast("double").alias("label"), "is_test")
+    h = freeze(h)
+    train, test = h.where(~F.col("is_test")), h.where("is_test")
+    rows = []
+    for kind, label, cands in (
+            ("regression", "net", regression_candidates("net")),
+            ("classification", "label", class_candidates(H_FEATURES))):
+        res = TR.train_candidates(train, test, label, kind, cands)
+        metric, up = ("rmse", False) if kind == "regression" else ("accuracy", True)
+        told = {x["run_id"]: x["value"] for x in res.scores.where(
+            F.col("metric") == metric).collect()}
+        best = TR.pick_best(res.scores, metric, up).first()["score"]
+        extreme = best == (max if up else min)(told.values())
+        if kind == "regression":
+            base = test.agg(F.stddev_pop(label)).first()[0]
+        else:
+            base = test.groupBy(label).count().agg(F.max("count")).first()[0] / test.count()
+        for run_id, model in res.models.items():
+            scored = TR.score(model, test)
+            if kind == "regression":
+                counted = scored.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2))))
+            else:
+                counted = scored.agg(F.avg((F.col(label) == F.col("prediction")).cast("double")))
+            value = told[run_id]
+            rows.append((kind, res.names[run_id], False,
+                         abs(value - counted.first()[0]) < 1e-9 * max(1.0, abs(value)),
+                         value > base if up else value < base, extreme))
+        rows += [(kind, n, True, False, False, extreme) for n in res.failures]
+    return spark.createDataFrame(rows, "kind string, run_name string, failed boolean, "
+                                       "metric_is_count boolean, beats_baseline boolean, "
+                                       "best_is_extreme boolean")
+
+
+@register("latest_model", """
+SELECT 'CaliforniaHousingBestModel' AS name, CAST(1 AS BIGINT) AS version, 'registry' AS source""")
 def latest_model(spark, sf_dir):
     """SNK5 + SRC3: log two candidate runs, register the best, look up the
     latest model by registry name and by run-name prefix."""
     reg = Registry(spark, scratch_path(spark, "registry"))
-    h = SP.hash_split(_h(spark, sf_dir), "row_key", 0.2, 42)
+    h = SP.hash_split(_h(spark, sf_dir), "row_key", 0.2, 42).select(
+        *H_FEATURES, H_LABEL, "is_test").transform(freeze)
     cands = [TR.Candidate("LinearRegression_qty", lambda: TR.linear_regression(H_LABEL, ["l_quantity"])),
              TR.Candidate("LinearRegression_all", lambda: TR.linear_regression(H_LABEL, H_FEATURES))]
     res = TR.train_candidates(h.where(~F.col("is_test")), h.where(F.col("is_test")), H_LABEL,
                               "regression", cands)
     for run_id, m in res.models.items():
         rows = res.scores.where(F.col("run_id") == run_id)
-        name = rows.select(F.first("run_name")).first()[0]
+        name = res.names[run_id]
         reg.log_run(run_id, name, "housing", {"model": name, "random_state": 42},
                     rows.select("metric", "value"), m)
     reg.register("CaliforniaHousingBestModel", TR.pick_best(res.scores, "rmse", False))
@@ -155,27 +207,22 @@ def counter_retrainings(spark, sf_dir):
     return J.retraining_counter(derived_job_events(spark, sf_dir))
 
 
-@register("retrain_jobs")
+@register("retrain_jobs", """
+SELECT * FROM (VALUES ('housing', 'manual', 'completed', true), ('iris', 'data_drift', 'completed', true))
+     t(model_name, trigger_type, status, no_error)""")
 def retrain_jobs(spark, sf_dir):
     """RTR1-3: run one retraining job for each model on the stand-in tables
     and report the latest state of every job."""
     root = scratch_path(spark, "retrain")
     reg = Registry(spark, f"{root}/registry")
     events = f"{root}/job_events"
-    cands = [TR.Candidate("LinearRegression", lambda: TR.linear_regression(H_LABEL, H_FEATURES)),
-             TR.Candidate("RandomForestRegressor",
-                          lambda: TR.random_forest_regressor(H_LABEL, H_FEATURES, numTrees=20,
-                                                             maxDepth=8))]
+    history = f"{root}/history"
     J.retrain(spark, reg, events, "housing", "manual", lambda: _h(spark, sf_dir), H_LABEL,
-              "row_key", "regression", cands, params={"maxIter": 50})
+              "row_key", "regression", regression_candidates(), history_path=history)
     c = TR.with_vector(class_table(spark, sf_dir), "embedding").withColumn(
         "label", F.col("label").cast("double"))
-    ccands = [TR.Candidate("LogisticRegression",
-                           lambda: TR.logistic_regression("label", None, n_rows=400)),
-              TR.Candidate("RandomForestClassifier",
-                           lambda: TR.random_forest_classifier("label", None, numTrees=20))]
     J.retrain(spark, reg, events, "IrisBestModel", "data_drift", lambda: c, "label", "vec_id",
-              "classification", ccands)
+              "classification", class_candidates(), history_path=history)
     st = J.latest_state(spark.read.parquet(events))
     return st.select("model_name", "trigger_type", "status",
                      F.col("error").isNull().alias("no_error"))

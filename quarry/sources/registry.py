@@ -37,7 +37,9 @@ class Registry:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self._p(name))
-        except AnalysisException:
+        except AnalysisException as e:  # only an absent table is an empty one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions.rules import Rule
 from quarry.operators import validate as V
 from quarry.operators.series import DEFAULT_BUCKETS
+from quarry.operators.train import score
 from quarry.sources.tables import prediction_log_from_events
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
@@ -184,5 +185,6 @@ def dedupe(log: DataFrame, key: str = "id") -> DataFrame:
 
 
 def score_stream(model: PipelineModel, stream: DataFrame) -> DataFrame:
-    """STR6: a fitted pipeline scores a stream exactly as a batch."""
-    return model.transform(stream)
+    """STR6: a fitted pipeline scores a stream exactly as a batch: features are
+    checked, every row comes back, NULL where a feature is missing."""
+    return score(model, stream)

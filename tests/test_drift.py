@@ -42,12 +42,39 @@ def _exact(n, h):
 def test_exact_pvalue_formula(spark):
     df = spark.createDataFrame([(5, 5, 3 / 5), (1000, 1000, 74 / 1000)],
                                "n_ref long, n_cur long, ks_d double")
-    got = [r.p_value for r in D.ks_pvalue(df).orderBy("n_ref").collect()]
+    got = [r.p_value for r in D.ks_pvalue(df, "exact").orderBy("n_ref").collect()]
     assert abs(got[0] - 0.35714285714) < 1e-9
     assert abs(got[1] - _exact(1000, 74)) < 1e-9
     assert abs(got[1] - 0.0083531) < 1e-6
 
 
+def test_exact_pvalue_against_integers(spark):
+    cases = [(n, h) for n in (1, 2, 7, 12, 30, 333, 4000) for h in {1, 2, max(1, n // 3), n}]
+    df = spark.createDataFrame([(n, n, h / n) for n, h in cases] + [(5, 6, 0.5)],
+                               "n_ref long, n_cur long, ks_d double")
+    rows = D.ks_pvalue(df, "exact").collect()
+    got = {(r.n_ref, round(r.ks_d * r.n_ref)): r.p_value for r in rows if r.n_ref == r.n_cur}
+    for n, h in cases:
+        assert abs(got[(n, h)] - min(1, max(0, _exact(n, h)))) < 1e-9, (n, h)
+    assert [r.p_value for r in rows if r.n_ref != r.n_cur] == [None]
+
+
+def test_asymptotic_is_the_same_law_at_every_size(spark):
+    """The alternating series summed far out, on both sides of lambda = 1; and
+    one changed value among many is no drift."""
+    cases = [(2_000, 0.01), (2_000, 0.0299), (2_000, 0.0305), (10**7, 4e-4), (10**12, 1e-12)]
+    df = spark.createDataFrame([(n, n, d) for n, d in cases], "n_ref long, n_cur long, ks_d double")
+    for r in D.ks_pvalue(df).collect():
+        m = r.n_ref / 2
+        lam = (math.sqrt(m) + 0.12 + 0.11 / math.sqrt(m)) * r.ks_d
+        j = np.arange(1, 2_000_001, dtype=float)
+        p = 2 * math.fsum(np.where(j % 2 == 1, 1, -1) * np.exp(-2 * (j * lam) ** 2))
+        assert abs(r.p_value - (p if lam > 1e-3 else 1)) < 1e-9
+    ref = spark.range(200_000).selectExpr("cast(id as double) x")
+    rep = D.drift_report(ref, ref.selectExpr("if(x = 0, -1, x) x"), "m").first()
+    assert rep.drift_score > 0.999 and rep.recommendation == "No action needed"
+
+
 def test_drift_report_detects_shift(spark):
     r, c, _, _ = _pair(spark)
     rep = D.drift_report(r, c.withColumn("extra", F.lit("x")), "m").first()
