@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.numeric import is_missing, nan_to_null
-from quarry.operators.quantiles import column_profile, column_quantiles, quantiles_wide
+from quarry.operators.quantiles import column_profile, column_quantiles
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -56,7 +56,7 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
         F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"),
         F.min(t).alias("min"), F.max(t).alias("max"),
     )
-    med = quantiles_wide(df.select(t.alias("v")), [], "v", [0.5], ["median"])
+    med = column_quantiles(df.select(t.alias("v")), ["v"], [0.5], ["median"])
     return base.select("mean", med.select("median").scalar().alias("median"),
                        "std", "min", "max")
 

@@ -8,14 +8,22 @@ blocks (see prefix.py).  Block totals give every block its rank interval, so
 a requested rank k is located in its block from a table of #blocks rows; only
 the blocks that hold a requested rank are read again and ranked inside (a
 selection, not a full prefix sum over the data).
+
+Columns of a wide table (`column_quantiles`, `column_profile`) need not be
+ranked whole: a mergeable sketch of every column brackets each requested rank
+between two values a few ten-thousandths of the rows apart, one aggregate
+counts the rows below each bracket, and only the values inside the brackets
+are ranked.  The table is scanned three times and never exploded or written.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.numeric import nan_to_null
 from quarry.operators.prefix import PID, block_offsets, frozen_ranges, local_running
 
 
@@ -50,8 +58,8 @@ def value_ranges(long_df: DataFrame, key_cols: Sequence[str], value_col: str) ->
 def quantiles_from_ranges(ranged: DataFrame, key_cols: Sequence[str],
                           probs: Sequence[float]) -> DataFrame:
     key_cols = list(key_cols)
-    blocks = block_offsets(ranged, key_cols, ["_cnt"])          # #blocks rows
-    sizes = blocks.groupBy(*key_cols).agg(F.sum("_tot_0").alias("_n"))
+    sizes = block_offsets(ranged, key_cols, ["_cnt"]).groupBy(*key_cols).agg(
+        F.sum("_tot_0").alias("_n"))
     targets = (
         sizes.select(*key_cols, "_n",
                      F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
@@ -59,6 +67,14 @@ def quantiles_from_ranges(ranged: DataFrame, key_cols: Sequence[str],
         .withColumn("_klo", F.floor("_h"))
         .withColumn("_khi", F.ceil("_h"))
     )
+    return values_at_ranks(ranged, key_cols, targets)
+
+
+def values_at_ranks(ranged: DataFrame, key_cols: Sequence[str], targets: DataFrame) -> DataFrame:
+    """(key..., p, q): the value at rank _h (from 0) of each target (key..., p,
+    _h, _klo, _khi), between its neighbours _klo and _khi."""
+    key_cols = list(key_cols)
+    blocks = block_offsets(ranged, key_cols, ["_cnt"])          # #blocks rows
     # blocks whose rank interval [off, off + tot) holds a requested rank
     inside = lambda k: (F.col("_off_0") <= F.col(k)) & (
         F.col(k) < F.col("_off_0") + F.col("_tot_0"))
@@ -128,10 +144,47 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                          *[F.col(f"_q{i}")[j].alias(n) for j, n in enumerate(names)])
                 for i, c in enumerate(cols)]
         return row.select(F.inline(F.array(*recs)))
-    q = quantiles_wide(unpivot_ids(df, cols), ["fid"], "value", probs, names)
+    q = _wide(_bracketed(df, cols, probs), ["fid"], probs, names)
     return q.select(feature_name("fid", cols).alias("feature"), *names)
 
 
+#: Sketch accuracy of the brackets: rows / ACCURACY bounds a sketch's rank error.
+ACCURACY = 10_000
+
+
+def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(fid, p, q): exact quantiles of wide columns by bracket selection."""
+    spark = df.sparkSession
+    v = [nan_to_null(F.col(c).cast("double")) for c in cols]
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)]
+    first = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(v)],
+                   *[F.percentile_approx(x, ends, ACCURACY).alias(f"q{i}")
+                     for i, x in enumerate(v)]).first()
+    kept = [(i, j, k, first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1])
+            for k, (i, j) in enumerate((i, j) for i in range(len(cols))
+                                       for j in range(len(probs))) if first[f"n{i}"]]
+    schema = "fid int, p double, q double"
+    if not kept:
+        return spark.createDataFrame([], schema)
+    below = df.agg(*[F.count_if(v[i] < F.lit(lo)).alias(f"b{k}")
+                     for i, _, k, lo, _ in kept]).first()
+    inside = F.array_compact(F.array(*[
+        F.when((v[i] >= F.lit(lo)) & (v[i] <= F.lit(hi)),
+               F.struct(F.lit(k).alias("kid"), v[i].alias("value")))
+        for i, _, k, lo, hi in kept]))
+    ranged = value_ranges(df.select(F.inline(inside)), ["kid"], "value")
+    targets = []
+    for i, j, k, _, _ in kept:
+        h = (first[f"n{i}"] - 1) * probs[j]
+        lo, hi = math.floor(h), math.ceil(h)
+        targets.append((k, i, float(probs[j]), h - below[f"b{k}"], lo - below[f"b{k}"],
+                        hi - below[f"b{k}"]))
+    wanted = spark.createDataFrame(targets, "kid int, fid int, p double, _h double, _klo long, "
+                                            "_khi long")
+    got = values_at_ranks(ranged, ["kid"], wanted.drop("fid"))
+    return got.join(wanted.select("kid", "fid"), "kid").select("fid", "p", "q")
+
+
 def _wide(q: DataFrame, key_cols: Sequence[str], probs: Sequence[float],
           names: Sequence[str]) -> DataFrame:
     return q.groupBy(*key_cols).agg(
@@ -141,19 +194,16 @@ def _wide(q: DataFrame, key_cols: Sequence[str], probs: Sequence[float],
 
 def column_profile(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    names: Sequence[str]) -> DataFrame:
-    """(feature, count, mean, std, min, max, <quantiles>) for numeric columns
-    from ONE pass over the table: the frozen (value, count) ranges give the
-    quantiles, and the moments are weighted sums over the same small table
-    (the sample std in two passes over it — mean first, then squared
-    deviations — so large means do not cancel)."""
-    ranged = value_ranges(unpivot_ids(df, cols), ["fid"], "value")
-    q = _wide(quantiles_from_ranges(ranged, ["fid"], probs), ["fid"], probs, names)
-    c = F.col("_cnt")
-    m1 = ranged.groupBy("fid").agg(
-        F.sum(c).alias("count"), (F.sum(F.col("_v") * c) / F.sum(c)).alias("mean"),
-        F.min("_v").alias("min"), F.max("_v").alias("max"))
-    m2 = ranged.join(m1.select("fid", "mean", "count"), "fid").groupBy("fid").agg(
-        F.sqrt(F.try_divide(F.sum(c * F.pow(F.col("_v") - F.col("mean"), 2)),
-                            F.first("count") - 1)).alias("std"))
-    return m1.join(m2, "fid").join(q, "fid").select(
+    """(feature, count, mean, std, min, max, <quantiles>) for numeric columns:
+    the moments are one wide aggregate, the quantiles bracket selection."""
+    def moments(i: int, c: str) -> Column:
+        x = nan_to_null(F.col(c).cast("double"))
+        return F.struct(F.lit(i).alias("fid"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                        F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                        F.max(x).alias("max")).alias(f"_m{i}")
+
+    wide = df.agg(*[moments(i, c) for i, c in enumerate(cols)])
+    rows = wide.select(F.inline(F.array(*[F.col(f"_m{i}") for i in range(len(cols))])))
+    q = _wide(_bracketed(df, cols, probs), ["fid"], probs, names)
+    return rows.where("count > 0").join(q, "fid").select(
         feature_name("fid", cols).alias("feature"), "count", "mean", "std", "min", "max", *names)

@@ -3,8 +3,13 @@
 Events are binned at the scrape interval first (map-side partial counts),
 then range windows run over *bins* of one series: a 5-minute range at a
 10-second step is a 30-bin `rangeBetween` frame, instead of copying each
-event into 30 sliding windows.  Prometheus' boundary extrapolation is not
-reproduced: rate = increase inside the range / range seconds.
+event into 30 sliding windows.  Boundary extrapolation is not done: rate =
+increase inside the range / range seconds.
+
+A series is cut into chunks of `CHUNK_BINS` bins, and a chunk also gets the
+last bins of the chunk before, as far as the range reaches back.  A window
+then holds one chunk of one series: tasks stay small however long the history
+of a busy series is.
 """
 from __future__ import annotations
 
@@ -16,66 +21,108 @@ from pyspark.sql import functions as F
 from quarry.operators.series import DEFAULT_BUCKETS, bin_end, bin_index, binned, le_label
 
 
-def _range(labels: Sequence[str], bins: int) -> Window:
-    return Window.partitionBy(*labels).orderBy("bin").rangeBetween(-(bins - 1), 0)
+#: A day of 10-second bins.
+CHUNK_BINS = 8640
+CHUNK, CARRIED = "_chunk", "_carried"
+
+
+def _chunked(bins: DataFrame, reach: int, chunk_bins: int) -> DataFrame:
+    """Rows by bin with their chunk; the last `reach` bins of a chunk come
+    again, marked as carried, in the next one."""
+    size = max(chunk_bins, reach + 1)
+    own = F.floor(F.col("bin") / size).cast("long")
+    near_end = F.col("bin") - own * size >= size - reach
+    copies = F.array_compact(F.array(
+        F.struct(own.alias("c"), F.lit(False).alias("again")),
+        F.when(near_end, F.struct((own + 1).alias("c"), F.lit(True).alias("again")))))
+    return bins.select("*", F.explode(copies).alias("_at")).select(
+        *bins.columns, F.col("_at.c").alias(CHUNK), F.col("_at.again").alias(CARRIED))
+
+
+def _over_range(bins: DataFrame, labels: Sequence[str], n: int, sums: dict[str, str],
+                chunk_bins: int | None = None) -> DataFrame:
+    """Adds each of `sums` (new name -> column): the sum over the n bins that
+    end at the row's bin."""
+    chunked = _chunked(bins, n - 1, chunk_bins or CHUNK_BINS)
+    w = Window.partitionBy(*labels, CHUNK).orderBy("bin").rangeBetween(-(n - 1), 0)
+    return chunked.withColumns({k: F.sum(v).over(w) for k, v in sums.items()}).where(
+        ~F.col(CARRIED)).drop(CHUNK, CARRIED)
 
 
 def rate_events(events: DataFrame, labels: Sequence[str], range_s: int = 300,
-                step_s: int = 10) -> DataFrame:
+                step_s: int = 10, chunk_bins: int | None = None) -> DataFrame:
     """TS10 (event form): per series and per bin that saw events,
     events in (t - range, t] / range."""
-    b = binned(events, labels, step_s)
-    n = range_s // step_s
+    b = _over_range(binned(events, labels, step_s), labels, range_s // step_s,
+                    {"_inc": "inc"}, chunk_bins)
     return b.select(*labels, "bin", bin_end("bin", step_s).alias("step_ts"),
-                    (F.sum("inc").over(_range(labels, n)) / F.lit(float(range_s))).alias("rate"))
+                    (F.col("_inc") / F.lit(float(range_s))).alias("rate"))
 
 
 def counter_deltas(samples: DataFrame, labels: Sequence[str], value: str = "value",
-                   order: str = "bin") -> DataFrame:
+                   order: str = "bin", chunk_bins: int | None = None) -> DataFrame:
     """Increase between consecutive samples of a cumulative counter; a drop
-    means the counter reset, so the increase is the new value itself."""
-    w = Window.partitionBy(*labels).orderBy(order)
-    prev = F.lag(value).over(w)
+    means the counter reset, so the increase is the new value itself.
+
+    The sample before the first one of a chunk is the last one of the latest
+    chunk before: one row a chunk and series is enough to find it."""
+    marks = {k: f"_k{i}" for i, k in enumerate(labels)}
+    chunk = F.floor(F.col(order) / (chunk_bins or CHUNK_BINS)).cast("long")
+    parts = samples.withColumn(CHUNK, chunk)
+    lasts = parts.groupBy(*labels, CHUNK).agg(F.max_by(value, order).alias("_last"))
+    before = lasts.withColumn("_before", F.lag("_last").over(
+        Window.partitionBy(*labels).orderBy(CHUNK))).select(
+        *[F.col(k).alias(m) for k, m in marks.items()], F.col(CHUNK).alias("_c"), "_before")
+    same = F.col(CHUNK) == F.col("_c")
+    for k, m in marks.items():
+        same &= F.col(k).eqNullSafe(F.col(m))
+    w = Window.partitionBy(*labels, CHUNK).orderBy(order)
+    samples = parts.join(before, same, "left").withColumn(
+        "_prev", F.coalesce(F.lag(value).over(w), F.when(
+            F.row_number().over(w) == 1, F.col("_before")))).drop(
+        CHUNK, "_c", "_before", *marks.values())
+    prev = F.col("_prev")
     delta = F.when(prev.isNull(), F.lit(0.0)) \
         .when(F.col(value) < prev, F.col(value).cast("double")) \
         .otherwise((F.col(value) - prev).cast("double"))
-    return samples.withColumn("delta", delta)
+    return samples.withColumn("delta", delta).drop("_prev")
 
 
 def rate_samples(samples: DataFrame, labels: Sequence[str], value: str = "value",
-                 range_s: int = 300, step_s: int = 10) -> DataFrame:
+                 range_s: int = 300, step_s: int = 10,
+                 chunk_bins: int | None = None) -> DataFrame:
     """TS10 (sample form): reset-aware rate from sampled counter values."""
-    d = counter_deltas(samples, labels, value)
-    n = range_s // step_s
-    return d.select(*labels, "bin", value,
-                    (F.sum("delta").over(_range(labels, n)) / F.lit(float(range_s))).alias("rate"))
+    d = _over_range(counter_deltas(samples, labels, value, chunk_bins=chunk_bins), labels,
+                    range_s // step_s, {"_inc": "delta"}, chunk_bins)
+    return d.select(*labels, "bin", value, (F.col("_inc") / F.lit(float(range_s))).alias("rate"))
 
 
 def success_ratio(events: DataFrame, labels: Sequence[str], status: str = "status",
-                  ok_value: str = "success", range_s: int = 300, step_s: int = 10) -> DataFrame:
+                  ok_value: str = "success", range_s: int = 300, step_s: int = 10,
+                  chunk_bins: int | None = None) -> DataFrame:
     """TS11: rate(success) / rate(all statuses) per series and bin; the
     denominator sums over every status of the series."""
     b = events.groupBy(*labels, bin_index("ts", step_s).alias("bin")).agg(
         F.count_if(F.col(status) == ok_value).alias("ok"), F.count(F.lit(1)).alias("all"))
-    w = _range(labels, range_s // step_s)
+    b = _over_range(b, labels, range_s // step_s, {"_ok": "ok", "_all": "all"}, chunk_bins)
     return b.select(*labels, "bin", bin_end("bin", step_s).alias("step_ts"),
-                    F.try_divide(F.sum("ok").over(w).cast("double"),
-                                 F.sum("all").over(w).cast("double")).alias("ratio"))
+                    F.try_divide(F.col("_ok").cast("double"),
+                                 F.col("_all").cast("double")).alias("ratio"))
 
 
 def bucket_rate(events: DataFrame, labels: Sequence[str], value: str,
                 buckets: Sequence[float] = DEFAULT_BUCKETS, range_s: int = 300,
-                step_s: int = 10) -> DataFrame:
+                step_s: int = 10, chunk_bins: int | None = None) -> DataFrame:
     """TS13: per (labels, bin) the windowed rate of every cumulative bucket,
     in wide form (one `b{i}` column per bound plus `b_inf`)."""
     v = F.col(value)
     b = events.groupBy(*labels, bin_index("ts", step_s).alias("bin")).agg(
         *[F.count_if(v <= F.lit(float(x))).alias(f"b{i}") for i, x in enumerate(buckets)],
         F.count(v).alias("b_inf"))
-    w = _range(labels, range_s // step_s)
     cols = [f"b{i}" for i in range(len(buckets))] + ["b_inf"]
+    b = _over_range(b, labels, range_s // step_s, {f"_{c}": c for c in cols}, chunk_bins)
     return b.select(*labels, "bin", bin_end("bin", step_s).alias("step_ts"),
-                    *[(F.sum(c).over(w) / F.lit(float(range_s))).alias(c) for c in cols])
+                    *[(F.col(f"_{c}") / F.lit(float(range_s))).alias(c) for c in cols])
 
 
 def bucket_rate_long(wide: DataFrame, labels: Sequence[str],
@@ -128,20 +175,22 @@ def histogram_quantile(wide: DataFrame, labels: Sequence[str], q: float | Sequen
 
 
 def range_grid(events: DataFrame, labels: Sequence[str], as_of, lookback_s: int = 3600,
-               step_s: int = 10, range_s: int = 300) -> DataFrame:
+               step_s: int = 10, range_s: int = 300, chunk_bins: int | None = None) -> DataFrame:
     """TS15: dense evaluation grid: every step in (as_of - lookback, as_of]
     for every series seen in that span, with the event rate over the range
-    ending at the step (0 where nothing happened)."""
+    ending at the step (0 where nothing happened).  The span is a predicate
+    on `ts` itself, so it reaches the scan."""
     start_bin = bin_index(as_of - F.make_interval(secs=F.lit(float(lookback_s))), step_s)
     end_bin = bin_index(as_of, step_s)
     n = range_s // step_s
     # series active inside the lookback (or the range before its first step)
-    recent = events.where(bin_index("ts", step_s) > start_bin - n)
+    since = as_of - F.make_interval(secs=F.lit(float(lookback_s + range_s + step_s)))
+    recent = events.where((F.col("ts") > since) & (bin_index("ts", step_s) > start_bin - n))
     b = binned(recent, labels, step_s)
     series = b.select(*labels).distinct()
     grid = series.select(*labels, F.explode(F.sequence(start_bin - n + 1, end_bin)).alias("bin"))
     dense = grid.join(b, [*labels, "bin"], "left").fillna(0, subset=["inc"])
-    rated = dense.select(*labels, "bin",
-                         (F.sum("inc").over(_range(labels, n)) / F.lit(float(range_s))).alias("rate"))
+    rated = _over_range(dense, labels, n, {"_inc": "inc"}, chunk_bins).select(
+        *labels, "bin", (F.col("_inc") / F.lit(float(range_s))).alias("rate"))
     return rated.where(F.col("bin") > start_bin).select(
         *labels, "bin", bin_end("bin", step_s).alias("step_ts"), "rate")

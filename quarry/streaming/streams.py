@@ -58,18 +58,18 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 
 def ingest(log: DataFrame, rules: Sequence[Rule], valid_path: str, quarantine_path: str,
            checkpoint: str) -> None:
-    """STR1: continuous ingest with rule check and quarantine: each
-    micro-batch is checked once and written to both sides."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        checked = V.apply_rules(batch, rules)
-        ok, bad = V.route(checked)
-        part = ["event_date"] if "event_date" in batch.columns else []
-        ok.write.mode("append").partitionBy(*part).parquet(valid_path)
-        bad.write.mode("append").partitionBy(*part).parquet(quarantine_path)
-
-    q = (log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    """STR1: continuous ingest with rule check and quarantine: a file-sink
+    stream for each side, with its own filter and checkpoint.  A sink commits
+    a batch once, so a batch that is run again adds no rows."""
+    part = ["event_date"] if "event_date" in log.columns else []
+    sides = zip(V.route(V.apply_rules(log, rules)), (valid_path, quarantine_path),
+                ("valid", "quarantine"))
+    started = [rows.writeStream.format("parquet").option("path", path)
+               .option("checkpointLocation", f"{checkpoint}/{name}").partitionBy(*part)
+               .outputMode("append").trigger(availableNow=True).start()
+               for rows, path, name in sides]
+    for q in started:
+        q.awaitTermination()
 
 
 def sliding_stats(log: DataFrame, length: str = "5 minutes", slide: str = "1 minute",
@@ -108,75 +108,24 @@ def pair_stream(starts: DataFrame, ends: DataFrame, max_gap: str = "1 hour") ->
                     ((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6).alias("duration_s"))
 
 
-PAIR_STATE_SCHEMA = "start_us long"
-PAIR_OUT_SCHEMA = ("request_id long, start_us long, end_us long, duration_s double, "
-                   "state string")
-
-
-def _pair_with_expiry(timeout_ms: int):
-    """Per request id: remember the start, emit `closed` when the end
-    arrives, `unmatched_end` (duration 0) for an end without a start, and
-    `expired` when the event-time timer passes start + timeout."""
-    import pandas as pd
-
-    def row(rid, start, end, dur, st):
-        return pd.DataFrame({"request_id": [rid], "start_us": [start], "end_us": [end],
-                             "duration_s": [dur], "state": [st]})
-
-    def fn(key, pdfs, state):
-        rid = int(key[0])
-        if state.hasTimedOut:
-            (start,) = state.get
-            state.remove()
-            yield row(rid, start, None, None, "expired")
-            return
-        start = state.get[0] if state.exists else None
-        end = None
-        for pdf in pdfs:
-            for kind, us in zip(pdf["kind"], pdf["us"]):
-                us = int(us)
-                if kind == "start":
-                    start = us if start is None else min(start, us)
-                else:
-                    end = us if end is None else max(end, us)
-        if end is not None:
-            if state.exists:
-                state.remove()
-            if start is None:
-                yield row(rid, None, end, 0.0, "unmatched_end")
-            else:
-                yield row(rid, start, end, (end - start) / 1e6, "closed")
-        elif start is not None:
-            state.update((start,))
-            wm = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(start // 1000 + timeout_ms, wm + 1))
-
-    return fn
-
-
 def pair_with_expiry(starts: DataFrame, ends: DataFrame, timeout: str = "60 seconds") -> DataFrame:
-    """STR4 with explicit expiry: starts and ends (request_id, ts) of one
-    stream are grouped by request id through a stateful pandas function with
-    an event-time timeout; state per id is one number and is dropped when the
-    request closes or expires."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    timeout_ms = _interval_ms(timeout)
-    ev = starts.select("request_id", "ts", F.lit("start").alias("kind")).unionByName(
-        ends.select("request_id", "ts", F.lit("end").alias("kind")))
-    ev = ev.withWatermark("ts", WATERMARK).withColumn("us", F.unix_micros("ts"))
-    out = ev.groupBy("request_id").applyInPandasWithState(
-        _pair_with_expiry(timeout_ms), PAIR_OUT_SCHEMA, PAIR_STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    return out.select("request_id", F.timestamp_micros("start_us").alias("start_ts"),
-                      F.timestamp_micros("end_us").alias("end_ts"), "duration_s", "state")
-
-
-def _interval_ms(text: str) -> int:
-    n, unit = text.split()
-    scale = {"second": 1000, "seconds": 1000, "minute": 60000, "minutes": 60000,
-             "hour": 3600000, "hours": 3600000}[unit]
-    return int(float(n) * scale)
+    """STR4 with explicit expiry: a full outer stream-stream join by request
+    id, bounded in event time.  A pair is `closed` whichever side arrives
+    first; once the watermark has passed its bound, a start without an end is
+    `expired` and an end without a start `unmatched_end` (duration 0)."""
+    s = starts.select(F.col("request_id").alias("s_id"), F.col("ts").alias("start_ts")) \
+        .withWatermark("start_ts", WATERMARK)
+    e = ends.select(F.col("request_id").alias("e_id"), F.col("ts").alias("end_ts")) \
+        .withWatermark("end_ts", WATERMARK)
+    cond = (F.col("s_id") == F.col("e_id")) & (F.col("end_ts") >= F.col("start_ts")) & \
+        (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {timeout}"))
+    state = F.when(F.col("e_id").isNull(), "expired").when(
+        F.col("s_id").isNull(), "unmatched_end").otherwise("closed")
+    seconds = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6
+    return s.join(e, cond, "full_outer").select(
+        F.coalesce("s_id", "e_id").alias("request_id"), "start_ts", "end_ts",
+        F.when(F.col("s_id").isNull(), F.lit(0.0)).otherwise(seconds).alias("duration_s"),
+        state.alias("state"))
 
 
 def dedupe(log: DataFrame, key: str = "id") -> DataFrame:

@@ -39,6 +39,25 @@ def test_running_totals_independent_of_partitions(spark):
                 assert ra[(g, o)] == acc
 
 
+def test_bracketed_columns_match_numpy(spark):
+    from quarry.operators.quantiles import column_profile, column_quantiles
+    rng = np.random.default_rng(3)
+    n = 40_000
+    cols = {"a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float),
+            "c": np.where(rng.random(n) < .4, 1.5, rng.exponential(size=n))}
+    df = spark.createDataFrame([(*map(float, r), None, float("nan")) for r in zip(*cols.values())],
+                               "a double, b double, c double, d double, e double")
+    df = df.unionByName(spark.createDataFrame([(None, float("nan"), None, None, None)], df.schema))
+    probs, names = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0], ["q0", "q1", "q2", "q3", "q4", "q5"]
+    got = {r.feature: r for r in column_quantiles(df, list("abcde"), probs, names).collect()}
+    assert set(got) == {"a", "b", "c"}  # a column without values has no row
+    for k, x in cols.items():
+        for p, name in zip(probs, names):
+            assert abs(got[k][name] - np.percentile(x, p * 100)) < 1e-9, (k, p)
+    prof = {r.feature: r for r in column_profile(df, list("abcde"), [0.5], ["m"]).collect()}
+    assert abs(prof["a"].std - cols["a"].std(ddof=1)) < 1e-9 and prof["b"]["count"] == n
+
+
 def test_approximate_quantiles_close(spark):
     from quarry.operators.quantiles import column_quantiles
     df, rows = _skewed(spark, n=2000)

@@ -17,6 +17,25 @@ def test_counter_reset_rate(spark):
     assert abs(rate[-1].rate - 15.0 / 300) < 1e-12
 
 
+def test_chunks_give_the_same_rates(spark):
+    """Chunks of a few bins against one chunk, with gaps longer than a chunk."""
+    import random
+    rng = random.Random(3)
+    bins = sorted(rng.sample(range(5000, 7000), 300) + [40, 41])
+    ev = spark.createDataFrame([(k, b * 10 + 1, "success" if b % 3 else "error", 0.02 * (b % 5))
+                                for b in bins for k in ("x", "y")[:1 + b % 2] for _ in range(b % 4)],
+                               "k string, s long, status string, v double").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    samples = spark.createDataFrame([("x", b, float(b % 50)) for b in bins],
+                                    "k string, bin long, value double")
+    for f in (lambda c: RQ.rate_events(ev, ["k"], chunk_bins=c),
+              lambda c: RQ.success_ratio(ev, ["k"], chunk_bins=c),
+              lambda c: RQ.bucket_rate(ev, ["k"], "v", chunk_bins=c),
+              lambda c: RQ.rate_samples(samples, ["k"], chunk_bins=c),
+              lambda c: RQ.counter_deltas(samples, ["k"], chunk_bins=c)):
+        assert sorted(map(str, f(31).collect())) == sorted(map(str, f(10**6).collect()))
+
+
 def test_histogram_inf_equals_count(spark):
     df = spark.createDataFrame([("m", v) for v in [0.001, 0.02, 0.3, 20.0]], "k string, v double")
     h = {r.le: r.bucket_count for r in SR.histogram(df, ["k"], "v").collect()}

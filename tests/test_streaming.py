@@ -25,19 +25,40 @@ def test_dedupe_and_late_rows(spark, tmp_path):
     assert ids == [1, 2]  # duplicate dropped; row 40 min behind the watermark dropped
 
 
-def test_pair_with_expiry(spark, tmp_path):
+def _write(spark, path, rows):
+    spark.createDataFrame(rows, "request_id long, ts timestamp").coalesce(1) \
+        .write.mode("append").parquet(path)
+
+
+def test_pair_with_expiry_across_batches(spark, tmp_path):
+    """An end read a batch before its start still closes the request."""
     t = dt.datetime(2024, 1, 1, 12, 0, 0)
-    s_rows = [(1, t), (2, t + dt.timedelta(seconds=5)), (9, t + dt.timedelta(hours=1))]
-    e_rows = [(1, t + dt.timedelta(seconds=2)), (3, t + dt.timedelta(seconds=7))]
-    sp, ep = str(tmp_path / "s"), str(tmp_path / "e")
-    spark.createDataFrame(s_rows, "request_id long, ts timestamp").coalesce(1).write.parquet(sp)
-    spark.createDataFrame(e_rows, "request_id long, ts timestamp").coalesce(1).write.parquet(ep)
-    starts = spark.readStream.schema("request_id long, ts timestamp").parquet(sp)
-    ends = spark.readStream.schema("request_id long, ts timestamp").parquet(ep)
-    ST.run_available_now(ST.pair_with_expiry(starts, ends), str(tmp_path / "out"),
-                         str(tmp_path / "ck"))
-    got = {r.request_id: (r.state, r.duration_s)
-           for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    # 2 never ends -> expired once the watermark (13:00 - 10 min) passes 12:01:05;
-    # 9 is still inside its timeout window and stays in state
+    sp, ep, out, ck = (str(tmp_path / x) for x in ("s", "e", "out", "ck"))
+    schema = "request_id long, ts timestamp"
+
+    def run():
+        starts = spark.readStream.schema(schema).parquet(sp)
+        ends = spark.readStream.schema(schema).parquet(ep)
+        ST.run_available_now(ST.pair_with_expiry(starts, ends), out, ck)
+
+    _write(spark, sp, [(2, t + dt.timedelta(seconds=5))])
+    _write(spark, ep, [(1, t + dt.timedelta(seconds=2)), (3, t + dt.timedelta(seconds=7))])
+    run()
+    _write(spark, sp, [(1, t), (9, t + dt.timedelta(hours=1))])
+    _write(spark, ep, [(8, t + dt.timedelta(hours=1))])
+    run()
+    run()
+    got = {r.request_id: (r.state, r.duration_s) for r in spark.read.parquet(out).collect()}
+    # 2 never ends: expired once the watermark (13:00 - 10 min) passes 12:01:05;
+    # 8 and 9 are still inside their time bound and stay in state
     assert got == {1: ("closed", 2.0), 2: ("expired", None), 3: ("unmatched_end", 0.0)}
+
+
+def test_ingest_again_adds_no_rows(spark, tmp_path):
+    from quarry.functions import rules as R
+    src, ok, bad, ck = (str(tmp_path / x) for x in ("src", "ok", "bad", "ck"))
+    spark.range(10).selectExpr("id", "cast(id as double) v").write.parquet(src)
+    log = spark.readStream.schema("id long, v double").parquet(src)
+    for _ in range(2):
+        ST.ingest(log, [R.bounds("v", gt=2)], ok, bad, ck)
+    assert (spark.read.parquet(ok).count(), spark.read.parquet(bad).count()) == (7, 3)
