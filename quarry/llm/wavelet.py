@@ -261,7 +261,8 @@ def build_shard(tokens: np.ndarray, doc_ids: list[int | None], counts: list[int]
         body += ranks.tobytes()
         planes.append(plane)
         zeros.append(int(n - ranks[-1]))
-        seq = np.concatenate([seq[~on], seq[on]])
+        # taking by place is several times faster than a mask of mixed bits
+        seq = np.concatenate([seq.take(np.flatnonzero(~on)), seq.take(np.flatnonzero(on))])
     docs_at = len(body)
     body += np.array([d is None for d in doc_ids], np.uint8).tobytes()
     body += np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
@@ -374,7 +375,8 @@ class WaveletShard:
             self._held.clear()
             up = np.empty_like(seq)
             seq[self.zeros[level]:] |= 1 << (self.levels - 1 - level)
-            up[~on], up[on] = seq[:self.zeros[level]], seq[self.zeros[level]:]
+            up[np.flatnonzero(~on)] = seq[:self.zeros[level]]
+            up[np.flatnonzero(on)] = seq[self.zeros[level]:]
             seq = up
         return self.alphabet.take(seq)
 
