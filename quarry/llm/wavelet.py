@@ -59,9 +59,10 @@ CACHE_PIECES = 1_800_000
 class Encoder:
     """Byte-level BPE of whole texts over a bounded cache of encoded pieces.
 
-    A blank before a character that is not white space always starts a new
-    pre-token of this vocabulary's pattern, so a text may be cut there and its
-    pieces encoded one by one, or joined in another order.  Pieces repeat, so
+    Some places always part two pre-tokens of this vocabulary's pattern: before
+    a blank that precedes a character that is not white space, between a line
+    end and such a character, and between a letter and a punctuation mark.  A
+    text may be cut there and its pieces encoded one by one; pieces repeat, so
     most come from the cache.  A piece is known by a 64-bit hash and its
     length; pieces of one hash in one batch are told apart by their bytes.
     """
@@ -69,6 +70,9 @@ class Encoder:
     #: Bytes after a blank at which a text is not cut: white space, and first
     #: bytes of characters that may be white space.
     JOINED = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+    LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+    MARK = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97),
+                                    *range(123, 127)])
     FRONT_BITS = 22
     BASE = 0xD6E8FEB86659FD93
 
@@ -106,9 +110,13 @@ class Encoder:
         data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum(sizes)
         cut = np.zeros(len(data), bool)
-        cut[:-1] = (data[:-1] == 32) & ~self.JOINED[data[1:]]
+        open_ = ~self.JOINED[data[1:]]
+        cut[:-1] = (data[:-1] == 32) & open_
+        cut[1:] |= (data[:-1] == 10) & open_
+        cut[1:] |= self.LETTER[data[:-1]] & self.MARK[data[1:]]
         some = sizes > 0
-        cut[ends[some] - 1] = False
+        last = ends[some] - 1  # a last blank is no cut: what follows is another text
+        cut[last[data[last] == 32]] = False
         cut[(ends - sizes)[some]] = True
         at = np.flatnonzero(cut)
         length = np.diff(at, append=len(data))
@@ -154,8 +162,8 @@ class Encoder:
             return entry
         _, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
         new = rest[first]
-        got = np.array(self._encode_new([joined[a:a + n] for a, n in zip(
-            at[new].tolist(), length[new].tolist())]), np.int32)
+        got = self._encode_new([joined[a:a + n] for a, n in zip(
+            at[new].tolist(), length[new].tolist())])
         entry[rest] = got[which]
         for shift in (64 - self.FRONT_BITS, 0):
             place = (h[new] >> np.uint64(shift) & low).astype(np.int64)
@@ -172,29 +180,31 @@ class Encoder:
                 at[odd].tolist(), length[odd].tolist())])
         return entry
 
-    def _encode_new(self, pieces: list[bytes]) -> list[int]:
-        # those that start at a cut can be encoded in a row, 16 KB at a time
-        rows: list[list[int]] = [[]]
-        single, size, out = [], 0, [0] * len(pieces)
+    def _encode_new(self, pieces: list[bytes]) -> np.ndarray:
+        # pieces that start at a blank can be encoded in a row, and words with a
+        # line end after each, 2 KB or so at a time
+        blank: list[int] = []
+        word: list[int] = []
+        single: list[int] = []
         for i, p in enumerate(pieces):
             if p[:1] == b" " and len(p) > 1 and not self.JOINED[p[1]]:
-                rows[-1].append(i)
-                size += len(p)
-                if size >= 1 << 14:
-                    rows.append([])
-                    size = 0
+                blank.append(i)
+            elif self.LETTER[p[0]] and 32 < p[-1] < 127:
+                word.append(i)
             else:
-                single.append([i])
-        rows = [r for r in rows if r] + single
-        texts = [b"".join([pieces[i] for i in r]).decode() for r in rows]
-        for r, e in zip(rows, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            for i, entry in zip(r, self._add([len(pieces[i]) for i in r],
-                                             np.array(e.ids, np.uint32))):
-                out[i] = entry
+                single.append(i)
+        rows = [(kind[a:a + 200], end) for kind, end in ((blank, b""), (word, b"\n"))
+                for a in range(0, len(kind), 200)] + [([i], b"") for i in single]
+        texts = [b"".join([pieces[i] + end for i in r]).decode() for r, end in rows]
+        out = np.zeros(len(pieces), np.int32)
+        for (r, end), e in zip(rows, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            out[r] = self._add([len(pieces[i]) for i in r], np.array(e.ids, np.uint32), len(end))
         return out
 
-    def _add(self, sizes: list[int], ids: np.ndarray) -> range:
-        ends = np.cumsum(sizes)
+    def _add(self, sizes: list[int], ids: np.ndarray, end: int) -> np.ndarray:
+        """Store the pieces of one row; `end` bytes and as many tokens follow
+        each of them."""
+        ends = np.cumsum(sizes) + end * np.arange(1, len(sizes) + 1)
         reach = np.concatenate([[0], np.cumsum(self.width[ids])])
         stop = np.searchsorted(reach, ends)
         if reach[-1] != ends[-1] or (reach[stop] != ends).any():
@@ -208,11 +218,11 @@ class Encoder:
             self.store = np.concatenate([self.store, np.zeros(self.used + len(ids), self.store.dtype)])
         self.store[self.used:self.used + len(ids)] = ids
         self.starts[n:n + k] = self.used + np.concatenate([[0], stop[:-1]])
-        self.counts[n:n + k] = np.diff(stop, prepend=0)
+        self.counts[n:n + k] = np.diff(stop, prepend=0) - end
         self.sizes[n:n + k] = sizes
         self.entries += k
         self.used += len(ids)
-        return range(n, n + k)
+        return np.arange(n, n + k)
 
 
 _ENCODERS: dict[str, Encoder] = {}

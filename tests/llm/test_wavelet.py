@@ -43,7 +43,8 @@ def test_large_shard_over_many_blocks():
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", " ", "　", "\x1c", "a", "Be", "don't",
-                                 "42", "!?", "é", "<|endoftext|>"]), max_size=15))
+                                 "42", "!?", "é", "<|endoftext|>", ".\n", "I'LL", "'tis", "x\n"]),
+                max_size=15))
 def test_pieces_encode_like_the_whole_text(parts):
     text = "".join(parts)
     tok = Tokenizer.from_file(PATH)
