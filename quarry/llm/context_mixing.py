@@ -6,11 +6,11 @@ frequent tokens; any other word takes the escape leaf and is spelled byte by
 byte on the paths of a second tree.  Each decision is predicted by several
 hashed-context bit predictors:
 
-  words: the node alone; with the token before; with the last two very
-         frequent words (which tell language and register)
-  bytes: the node with the last two bytes of the word, the last three, all of
-         the word so far; and with the last four, or for the first two bytes
-         of a word with the last very frequent word
+  words: the node alone; with the last very frequent word before; with the one
+         before that (they tell language and register)
+  bytes: the node with the last three bytes of the word, all of the word so
+         far; and with the last four, or for the first two bytes of a word with
+         the last very frequent word; these contexts are hashed into tables
 
 A predictor is the stretched share of ones among the training decisions at
 that node in that context.  A logistic mixer adds them under weights that are
@@ -23,9 +23,11 @@ Online state starts anew every `SEGMENT` decisions of a text (contexts go on),
 so a text's segments are run side by side and a score depends on the text and
 the trained counts alone, however rows are batched or partitioned.
 
-Training covers every training text: tasks count words, then decisions by
-(context, node) slot, and Spark adds the counts.  Slots are hashed into tables
-of a fixed size, which bounds the broadcast.  Word counts for the unigram base
+Training covers every training text: tasks count words, then tokens by context
+and byte decisions by (context, node) slot, and Spark adds the counts.  A
+node's counts are differences of running sums of its context's token counts.
+The number of frequent words and the size of the hashed tables bound the
+broadcast.  Word counts for the unigram base
 are exact: the `top` tokens are broadcast (that many at most), every other
 word is joined by shuffle.
 
@@ -62,19 +64,19 @@ STRIDE = 16
 STEPS = 14
 PRIOR = 0.15
 RATE = 0.01
-WORD_WEIGHTS = (0.35, 0.25, 0.45)
-BYTE_WEIGHTS = (0.2, 0.3, 0.4, 0.4)
+WORD_WEIGHTS = (0.3, 0.45, 0.3)
+BYTE_WEIGHTS = (0.4, 0.45, 0.4)
 MAP_BUCKETS = 33
 MAP_RATE = 0.02
 #: Tokens or bytes that are counted or scored together.
-CHUNK_WORDS = 100_000
+CHUNK_WORDS = 60_000
 #: The end token's key in the count tables; no word can contain it.
 END = b"\n"
 #: A word is in the vocabulary from this many occurrences on.
 LEAST_COUNT = 8
-#: Hashed tables by kind: two of words (the node alone needs none), four of
-#: bytes.
-WORD_KINDS, BYTE_KINDS = (0, 1), (2, 3, 4, 5)
+#: Tables by kind: two of words by context (the node alone needs none), three
+#: of bytes.
+WORD_KINDS, BYTE_KINDS = (0, 1), (2, 3, 4)
 _U = np.uint32
 _ROLL = 0xD6E8FEB86659FD93
 
@@ -90,12 +92,14 @@ class Tree:
         cum = np.concatenate([[0.0], np.cumsum(weights + 0.0)])
         lo, hi, at = np.zeros(n, np.int64), np.full(n, n, np.int64), np.arange(n)
         owner, nodes, bits, depth = [], [], [], []
+        self.low, self.high = np.zeros(n, np.int64), np.zeros(n, np.int64)
         level = 0
         while len(at):
             live = hi - lo > 1
             lo, hi, at = lo[live], hi[live], at[live]
             mid = np.searchsorted(cum, (cum[lo] + cum[hi]) / 2)
             mid = np.clip(mid, lo + 1, hi - 1)
+            self.low[mid], self.high[mid] = lo, hi
             right = at >= mid
             owner.append(at)
             nodes.append(mid)
@@ -121,11 +125,11 @@ class Tree:
         steps = self.steps.take(flat)
         return lens, steps >> _U(1), (steps & _U(1)).astype(np.uint8)
 
-    def node_counts(self, weights: np.ndarray) -> np.ndarray:
-        """(zeros, ones) that pass each node."""
-        w = np.repeat(weights, self.lens)
-        node, bit = self.steps >> _U(1), self.steps & _U(1)
-        return np.stack([np.bincount(node, w * (bit == b), self.size) for b in (0, 1)])
+    def node_table(self, weights: np.ndarray) -> np.ndarray:
+        """Stretched share of ones at each node, from counts of the symbols."""
+        cum = np.concatenate([[0], np.cumsum(weights)])
+        here = np.arange(self.size)
+        return stretched(cum[here] - cum[self.low], cum[self.high] - cum[here])
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -156,9 +160,11 @@ def node_hashes(nodes: np.ndarray) -> np.ndarray:
 
 
 def last_frequent(ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last two very frequent words before each token of its text."""
+    """The last two very frequent words before each token in its text, as
+    context numbers; FREQUENT where there is none.  doc_start: place of the
+    text's first token."""
     at = np.arange(len(ids))
-    none = _U(0xFFFFFFF0)
+    none = _U(FREQUENT)
     upto = np.maximum.accumulate(np.where(ids < FREQUENT, at, -1))
     last = np.concatenate([[-1], upto[:-1]])
     older = np.where(last > 0, last[np.maximum(last, 0)], -1)
@@ -167,16 +173,6 @@ def last_frequent(ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, n
             np.where(older >= doc_start, ids32[np.maximum(older, 0)], none))
 
 
-def word_contexts(ids: np.ndarray, doc_start: np.ndarray, frequent) -> list[np.ndarray]:
-    """Context hashes of every token: the token before, and the last two
-    frequent words.  doc_start: place of the text's first token."""
-    at = np.arange(len(ids))
-    one = np.where(at > doc_start, ids.astype(_U)[at - 1], _U(0xFFFFFFF0))
-    last, older = frequent
-    return [_mix32(one * _U(2654435761) + _U(1)),
-            _mix32(_mix32(last * _U(2654435761) + _U(3)) + older * _U(2246822519))]
-
-
 def opening_contexts(last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Context hashes of a word's first and second byte from the last frequent
     word of the text, and for the second from the first byte."""
@@ -204,8 +200,8 @@ _POWERS = _Powers()
 
 def byte_contexts(data: np.ndarray, last: np.ndarray | None) -> list[np.ndarray]:
     """Context hashes of the bytes of words that each end with END: inside the
-    word the last two, three bytes, all of them, and the last four.  last: the
-    frequent word before each word; it rules the first two bytes' fourth
+    word the last three bytes, all of them, and the last four.  last: the
+    frequent word before each word; it rules the first two bytes' last
     context, which stays open without it."""
     n = len(data)
     at = np.arange(n)
@@ -222,13 +218,12 @@ def byte_contexts(data: np.ndarray, last: np.ndarray | None) -> list[np.ndarray]
     up, down = _POWERS.get(n + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(x.astype(np.uint64) * up[:n])])
     word = (total[:n] - total[start]) * down[start]
-    return [_mix32(two + _U(0x2000000)), _mix32(three),
-            _mix32((word >> np.uint64(32)).astype(_U) ^ word.astype(_U)), four]
+    return [_mix32(three), _mix32((word >> np.uint64(32)).astype(_U) ^ word.astype(_U)), four]
 
 
 # --- counting ---------------------------------------------------------------
 
-def count_words(docs: DataFrame, text: str = "text", flush: int = 250_000) -> DataFrame:
+def count_words(docs: DataFrame, text: str = "text", flush: int = 600_000) -> DataFrame:
     """Staged (word, n) of all texts, with END once a text."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -248,11 +243,13 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 250_000) -> Da
 
 @dataclass
 class Vocabulary:
-    """Ids, counts and trees; ids are ranks by count, the last one escapes."""
+    """Ids, counts and trees; ids are ranks by count, the last one escapes;
+    `rank` is each byte's rank by count, the symbol of its tree."""
     ids: dict[bytes, int]
     counts: np.ndarray
     words: Tree
     bytes_: Tree
+    rank: np.ndarray
 
     @property
     def escape(self) -> int:
@@ -265,7 +262,10 @@ def build_vocabulary(frequent: list[tuple[bytes, int]], rest: int,
     if END not in (ids := {w: i for i, (w, _) in enumerate(frequent)}):
         ids[END] = len(ids)
         counts = np.insert(counts, len(ids) - 1, 0.0)
-    return Vocabulary(ids, counts, Tree(counts + 0.5), Tree(byte_counts + 1.0))
+    order = np.argsort(-byte_counts, kind="stable")
+    rank = np.empty(256, np.int64)
+    rank[order] = np.arange(256)
+    return Vocabulary(ids, counts, Tree(counts + 0.5), Tree(byte_counts[order] + 1.0), rank)
 
 
 def _coded_words(vocabulary: Vocabulary, ws: list[bytes]) -> list[int]:
@@ -273,12 +273,12 @@ def _coded_words(vocabulary: Vocabulary, ws: list[bytes]) -> list[int]:
     return [*[get(w, escape) for w in ws], vocabulary.ids[END]]
 
 
-def _packed(kind: int, total: np.ndarray) -> Iterator[pd.DataFrame]:
-    """A task's counts of one table, compressed in blocks of slots."""
+def _packed(kind: int, total: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
+    """A task's counts of one table, compressed block by block."""
     pack = zstandard.ZstdCompressor(level=1)
     part = TaskContext.get().partitionId()
-    for b in range(len(total) // BLOCK):
-        c = total[b * BLOCK:(b + 1) * BLOCK]
+    for b in range(len(total) // block):
+        c = total[b * block:(b + 1) * block]
         if c.any():
             yield _packed_row(pack, kind, b, part, c)
 
@@ -320,20 +320,22 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
 
     def in_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
-        kinds = (*WORD_KINDS, BYTE_KINDS[-1])
-        tables = {k: np.zeros(size, np.int32) for k in kinds}
+        n = v.words.size
+        tables = {k: np.zeros((FREQUENT + 1) * n, np.int32) for k in WORD_KINDS}
+        opened = {BYTE_KINDS[-1]: np.zeros(size, np.int32)}
         held: list[list[int]] = []
         heads: list[bytes] = []
 
         def add() -> None:
             ids, start = _joined_ids(held)
             frequent = last_frequent(ids, start)
-            _count(tables, WORD_KINDS, v.words.paths(ids), word_contexts(ids, start, frequent))
+            for k, c in zip(WORD_KINDS, frequent):
+                _add_at(tables[k], c.astype(np.int64) * n + ids)
             two = np.frombuffer(b"".join(heads), np.uint8)
             opening = np.empty(len(two), _U)
             opening[::2], opening[1::2] = opening_contexts(
                 frequent[0][ids == v.escape], two[::2])
-            _count(tables, kinds[-1:], v.bytes_.paths(two), [opening])
+            _count(opened, BYTE_KINDS[-1:], v.bytes_.paths(v.rank[two]), [opening])
 
         words = 0
         for pdf in batches:
@@ -349,7 +351,9 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         if held:
             add()
         for k, t in tables.items():
-            yield from _packed(k, t)
+            yield from _packed(k, t, n)
+        for k, t in opened.items():
+            yield from _packed(k, t, BLOCK)
 
     def in_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
@@ -362,11 +366,11 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
             sizes = np.array([len(w) for w in ws])
             weight = np.repeat(pdf["n"].to_numpy(np.float64), sizes)
             inner = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            paths, contexts = v.bytes_.paths(data), byte_contexts(data, None)
+            paths, contexts = v.bytes_.paths(v.rank[data]), byte_contexts(data, None)
             _count(tables, BYTE_KINDS[:-1], paths, contexts[:-1], weight)
             _count(tables, BYTE_KINDS[-1:], paths, contexts[-1:], weight * (inner > 1))
         for k, t in tables.items():
-            yield from _packed(k, t)
+            yield from _packed(k, t, BLOCK)
 
     return _merged(docs.select(docs[text].alias("text")).mapInPandas(in_texts, PACKED).unionByName(
         rare.select("word", "n").mapInPandas(in_words, PACKED)))
@@ -378,16 +382,22 @@ def _count(tables: dict[int, np.ndarray], kinds, paths, contexts, weight=None) -
     hashed = node_hashes(nodes)
     for k, c in zip(kinds, contexts):
         at = slots(c, lens, hashed) * _U(2) + bits
-        if weight is None:  # equal places stand together after sorting
-            at.sort()
-            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-            tables[k][at[new]] += np.diff(new, append=len(at)).astype(tables[k].dtype)
+        if weight is None:
+            _add_at(tables[k], at)
         else:
             places, which = np.unique(at, return_inverse=True)
             total = np.bincount(which, np.repeat(weight, lens), len(places))
             tables[k][places] += np.rint(total).astype(tables[k].dtype)
 
 
+def _add_at(table: np.ndarray, at: np.ndarray) -> None:
+    """Count places; equal ones stand together after sorting."""
+    if len(at):
+        at = np.sort(at)
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        table[at[new]] += np.diff(new, append=len(at)).astype(table.dtype)
+
+
 def _joined_ids(held: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lens = [len(x) for x in held]
     ids = np.fromiter((i for x in held for i in x), np.int32, sum(lens))
@@ -404,20 +414,26 @@ class Model:
 
 def build_model(decisions: DataFrame, vocabulary: Vocabulary) -> Model:
     """Predictor tables from the staged counts: tasks make the blocks, the
-    driver lays them out (6 x 2^TABLE_BITS bytes)."""
+    driver lays them out ((FREQUENT + 1) x 2 x words + 3 x 2^TABLE_BITS bytes)."""
+    told = decisions.sparkSession.sparkContext.broadcast(vocabulary.words)
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            c = [_unpacked(t, d) for t, d in zip(pdf["type"], pdf["data"])]
-            yield pdf[["kind", "block"]].assign(
-                data=[stretched(x[::2], x[1::2]).tobytes() for x in c])
+            out = []
+            for k, t, d in zip(pdf["kind"], pdf["type"], pdf["data"]):
+                x = _unpacked(t, d)
+                out.append((told.value.node_table(x) if k in WORD_KINDS
+                            else stretched(x[::2], x[1::2])).tobytes())
+            yield pdf[["kind", "block"]].assign(data=out)
 
     made = decisions.mapInPandas(make, "kind int, block int, data binary").collect()
-    tables = {k: np.zeros(1 << TABLE_BITS, np.int8) for k in (*WORD_KINDS, *BYTE_KINDS)}
+    n = vocabulary.words.size
+    tables = {k: np.zeros((FREQUENT + 1) * n, np.int8) for k in WORD_KINDS} | {
+        k: np.zeros(1 << TABLE_BITS, np.int8) for k in BYTE_KINDS}
     for r in made:
-        at = r["block"] * BLOCK // 2
-        tables[r["kind"]][at:at + BLOCK // 2] = np.frombuffer(r["data"], np.int8)
-    zeros, ones = vocabulary.words.node_counts(vocabulary.counts)
-    return Model(vocabulary, stretched(zeros, ones), tables)
+        x = np.frombuffer(r["data"], np.int8)
+        tables[r["kind"]][r["block"] * len(x):(r["block"] + 1) * len(x)] = x
+    return Model(vocabulary, vocabulary.words.node_table(vocabulary.counts), tables)
 
 
 # --- coding -----------------------------------------------------------------
@@ -505,10 +521,11 @@ def text_bits(model: Model, coded: list[list[int]], rare: list[list[bytes]]) ->
     frequent = last_frequent(ids, start)
 
     def of_words(lens: np.ndarray, nodes: np.ndarray) -> Iterator[np.ndarray]:
-        hashed = node_hashes(nodes)
         yield model.node.take(nodes)
-        for k, c in zip(WORD_KINDS, word_contexts(ids, start, frequent)):
-            yield tables[k].take(slots(c, lens, hashed))
+        for k, c in zip(WORD_KINDS, frequent):
+            at = np.repeat(c.astype(np.int64) * v.words.size, lens)
+            at += nodes
+            yield tables[k].take(at)
 
     data = np.frombuffer(b"".join([w + END for ws in rare for w in ws]), np.uint8)
 
@@ -518,7 +535,7 @@ def text_bits(model: Model, coded: list[list[int]], rare: list[list[bytes]]) ->
             yield tables[k].take(slots(c, lens, hashed))
 
     total = code_lengths(v.words, ids, np.array([len(x) for x in coded]), of_words, WORD_WEIGHTS)
-    return total + code_lengths(v.bytes_, data, np.array(
+    return total + code_lengths(v.bytes_, v.rank[data], np.array(
         [sum(len(w) + 1 for w in ws) for ws in rare], np.int64), of_bytes, BYTE_WEIGHTS)
 
 
