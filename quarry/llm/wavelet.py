@@ -37,21 +37,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_fs, text_bytes
+from quarry.llm.common import arrow_fs
 from quarry.session import scratch_uri, stage
 
 MAGIC = b"QWAVELT1"
 BLOCK_BITS = 1 << 15
 #: A shard is closed with the document that takes it to this many tokens.
 SHARD_TOKENS = 1 << 20
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 1_000_000
 #: Tasks that read shards; each takes as many files as that asks for.
 MAX_READERS = 100_000
 #: Pieces that a worker keeps encoded; beyond it the cache starts anew.
-CACHE_PIECES = 1_800_000
+CACHE_PIECES = 1_200_000
 
 
 # --- encoding ---------------------------------------------------------------
@@ -61,7 +65,8 @@ class Encoder:
 
     Some places always part two pre-tokens of this vocabulary's pattern: before
     a blank that precedes a character that is not white space, between a line
-    end and such a character, and between a letter and a punctuation mark.  A
+    end alone and such a character, and between a letter and a punctuation
+    mark.  (Of several white-space characters the pattern parts the last.)  A
     text may be cut there and its pieces encoded one by one; pieces repeat, so
     most come from the cache.  A piece is known by a 64-bit hash and its
     length; pieces of one hash in one batch are told apart by their bytes.
@@ -71,9 +76,10 @@ class Encoder:
     #: bytes of characters that may be white space.
     JOINED = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
     LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+    PRINTED = np.isin(np.arange(256), np.arange(33, 127))
     MARK = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97),
                                     *range(123, 127)])
-    FRONT_BITS = 22
+    FRONT_BITS = 21
     BASE = 0xD6E8FEB86659FD93
 
     def __init__(self, path: str):
@@ -99,12 +105,11 @@ class Encoder:
         self.front_hash = np.zeros(1 << self.FRONT_BITS, np.uint64)
         self.front = np.full(1 << self.FRONT_BITS, -1, np.int32)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of each text's ids) of UTF-8 texts."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        joined = b"".join(texts)
+    def encode(self, joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's ids) of UTF-8 texts that
+        stand one after another."""
         if not joined:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
         if self.entries > CACHE_PIECES:
             self._empty()
         data = np.frombuffer(joined, np.uint8)
@@ -112,7 +117,7 @@ class Encoder:
         cut = np.zeros(len(data), bool)
         open_ = ~self.JOINED[data[1:]]
         cut[:-1] = (data[:-1] == 32) & open_
-        cut[1:] |= (data[:-1] == 10) & open_
+        cut[2:] |= (data[1:-1] == 10) & open_[1:] & self.PRINTED[data[:-2]]
         cut[1:] |= self.LETTER[data[:-1]] & self.MARK[data[1:]]
         some = sizes > 0
         last = ends[some] - 1  # a last blank is no cut: what follows is another text
@@ -407,30 +412,29 @@ def write_token_shards(docs: DataFrame, tokenizer: str, out: str, doc_id: str =
               else rows.repartitionByRange(*keys))
     ordered = ranged.withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = arrow_fs(out)
         enc = encoder(tokenizer)
         held, ids, counts, size, shard, part = [], [], [], 0, 0, None
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             data = build_shard(np.concatenate(held), ids, counts)
             path = f"{folder}/{part:06d}-{shard:06d}-{uuid.uuid4().hex}.tokens"
             with store.open_output_stream(path) as f:
                 f.write(data)
-            return pd.DataFrame({"part": [part], "shard": [shard],
-                                 "path": [path.rsplit("/", 1)[1]]})
-
-        for pdf in batches:
-            part = int(pdf["part"].iloc[0]) if len(pdf) else part
-            texts = [text_bytes(t) for t in pdf["text"]]
-            names = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
+            return pa.RecordBatch.from_pydict(
+                {"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()),
+                 "path": pa.array([path.rsplit("/", 1)[1]])})
+
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            names = batch.column("doc_id").to_pylist()
+            data, place = _utf8(batch.column("text"))
             at = 0
-            while at < len(texts):  # a few MB of text are encoded at a time
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 1_500_000):
-                    chars += len(texts[to])
-                    to += 1
-                tokens, per_text = enc.encode(texts[at:to])
+            while at < len(names):  # a MB or so of text is encoded at a time
+                to = max(at + 1, int(np.searchsorted(place, place[at] + ENCODE_BYTES, "right")) - 1)
+                tokens, per_text = enc.encode(bytes(data[place[at]:place[to]]),
+                                              np.diff(place[at:to + 1]))
                 ends = np.cumsum(per_text)
                 tokens = np.insert(tokens, ends, end_id)
                 per_text, ends = per_text + 1, ends + np.arange(1, to - at + 1)
@@ -451,7 +455,16 @@ def write_token_shards(docs: DataFrame, tokenizer: str, out: str, doc_id: str =
 
     store, folder = arrow_fs(out)
     store.create_dir(folder, recursive=True)
-    return stage(ordered.mapInPandas(write, "part int, shard int, path string"), "shards")
+    return stage(ordered.mapInArrow(write, "part int, shard int, path string"), "shards")
+
+
+def _utf8(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The UTF-8 bytes of a string column as they lie in memory, and the n + 1
+    places between its texts; a NULL is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, places, data = texts.buffers()
+    place = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return memoryview(data or b"").cast("B"), place
 
 
 def read_documents(shards: DataFrame, out: str) -> DataFrame:

@@ -9,6 +9,12 @@ from tokenizers import Tokenizer
 
 from quarry.llm import wavelet
 
+
+
+def encode(enc, texts):
+    return enc.encode(b"".join(texts), np.array([len(t) for t in texts]))
+
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -41,7 +47,7 @@ def test_large_shard_over_many_blocks():
         wavelet.WaveletShard(b"other bytes")
 
 
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", " ", "　", "\x1c", "a", "Be", "don't",
                                  "42", "!?", "é", "<|endoftext|>", ".\n", "I'LL", "'tis", "x\n"]),
                 max_size=15))
@@ -50,7 +56,7 @@ def test_pieces_encode_like_the_whole_text(parts):
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
     whole = tok.encode(text, add_special_tokens=False).ids
-    ids, counts = wavelet.encoder(PATH).encode([text.encode(), b"", (text + " x").encode()])
+    ids, counts = encode(wavelet.encoder(PATH), [text.encode(), b"", (text + " x").encode()])
     more = tok.encode(text + " x", add_special_tokens=False).ids
     assert ids.tolist() == whole + more and counts.tolist() == [len(whole), 0, len(more)]
 
@@ -60,7 +66,7 @@ def test_equal_hashes_of_other_lengths_are_noticed():
     enc._hashes = lambda data, at, length: length.astype(np.uint64) % np.uint64(2)
     text = b"some words or a longerone"
     whole = enc.tok.encode(text.decode(), add_special_tokens=False).ids
-    assert enc.encode([text])[0].tolist() == whole
+    assert encode(enc, [text])[0].tolist() == whole
 
 
 def test_round_trip_and_awkward_rows(spark, awkward, no_rows):
