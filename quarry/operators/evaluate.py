@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,6 +177,22 @@ def evaluate_all(jobs: Sequence[tuple[str, str, DataFrame | None, str, str]]) ->
     return out
 
 
+def evaluate_registered(registry, name: str, run_prefix: str, df: DataFrame, kind: str, label: str,
+                        evaluated_at) -> DataFrame:
+    """EVL2 / EVL6 from the registry: the latest registered model of `name`
+    (else the newest run with the prefix) is loaded, scores the table, and its
+    metrics come back with the time the caller states; no model gives no rows."""
+    from quarry.operators import train as TR
+
+    row = registry.latest_model_path(name, run_prefix).first()
+    if row is None:
+        return df.sparkSession.createDataFrame([], "model_name string, metric string, value double, "
+                                                   "evaluated_at timestamp")
+    scored = TR.score(PipelineModel.load(row["model_path"]), df)
+    return evaluate_all([(name, kind, scored, label, "prediction")]).withColumn(
+        "evaluated_at", F.lit(evaluated_at).cast("timestamp"))
+
+
 def model_comparison(metrics: DataFrame) -> DataFrame:
     """EVL7: one primary metric per model (r2_score for regression,
     accuracy for classification)."""

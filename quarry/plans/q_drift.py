@@ -144,6 +144,20 @@ def drift_near_identical(spark, sf_dir):
                                   "drift_detected", "recommendation")
 
 
+@register("gauge_drift", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _p_sql("asymptotic") + """
+SELECT 'model_drift_score' AS metric, 'housing' AS model_name, round(avg(p_value), 6) AS value FROM PV
+UNION ALL
+SELECT 'model_drift_detected', 'housing', CASE WHEN avg(p_value) < 0.05 THEN 1.0 ELSE 0.0 END FROM PV""")
+def gauge_drift(spark, sf_dir):
+    """TS7: drift score and drift flag of a model as gauges, fed by DRF3."""
+    ref, cur = h_halves(spark, sf_dir)
+    rep = D.drift_report(ref, cur, "housing", 0.05).select(
+        "model_name", r("drift_score", 6).alias("model_drift_score"),
+        F.col("drift_detected").cast("double").alias("model_drift_detected"))
+    return rep.unpivot(["model_name"], ["model_drift_score", "model_drift_detected"], "metric",
+                       "value").select("metric", "model_name", "value")
+
+
 def _daily_success(spark, sf_dir):
     log = prediction_log(spark, sf_dir)
     return log.groupBy("model_name", F.to_date("ts").alias("day")).agg(

@@ -59,7 +59,12 @@ def target_summary(spark, sf_dir):
     return _round_all(P.target_summary(regression_table(spark, sf_dir), "l_extendedprice"))
 
 
-@register("shape_types")
+@register("shape_types", """
+SELECT CAST(c.ordinal AS INTEGER) AS ordinal, c.column_name, c.data_type,
+       (SELECT count(*) FROM orders) AS n_rows, CAST(6 AS INTEGER) AS n_columns
+FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'),
+             (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp'),
+             (5, 'o_orderpriority', 'string')) c(ordinal, column_name, data_type)""")
 def shape_types(spark, sf_dir):
     return P.shape_types(read_table(spark, sf_dir, "orders"))
 

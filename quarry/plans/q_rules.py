@@ -79,6 +79,26 @@ def row_rules(spark, sf_dir):
                                                       "warnings")
 
 
+#: Stand-ins for the request fields, in ranges that break every rule somewhere.
+REQUEST_FIELDS = {
+    "MedInc": "l_extendedprice / 1800 - 1", "HouseAge": "l_quantity * 2.2 - 3",
+    "AveRooms": "l_quantity / 2", "AveBedrms": "l_discount * 105",
+    "Population": "l_partkey * 6.0", "AveOccup": "l_tax * 700",
+    "Latitude": "31 + l_quantity / 4", "Longitude": "-126 + l_quantity / 4"}
+_REQUEST_SQL = ", ".join(f"{e} AS {c}" for c, e in REQUEST_FIELDS.items())
+
+
+@register("request_rules", f"""
+SELECT l_orderkey, l_linenumber, {_sql_ids(R.regression_request_rules())} AS violations
+FROM (SELECT l_orderkey, l_linenumber, {_REQUEST_SQL} FROM lineitem)""")
+def request_rules(spark, sf_dir):
+    """VAL6: the fixed rules of regression requests, custom limits included."""
+    h = regression_table(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", *[F.expr(e).alias(c) for c, e in REQUEST_FIELDS.items()])
+    return _joined(V.apply_rules(h, R.regression_request_rules())).select(
+        "l_orderkey", "l_linenumber", "violations")
+
+
 PART_RULES = [
     R.bounds("p_size", ge=1, le=40),
     R.bounds("p_retailprice", gt=900, le=990),

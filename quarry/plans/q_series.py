@@ -69,6 +69,36 @@ def histogram_buckets(spark, sf_dir):
     return h.select("model_name", "le", "bucket_count", r("obs_sum", 6).alias("obs_sum"), "obs_count")
 
 
+def _family_sql(source: str, labels: list[str]) -> str:
+    by = ", ".join(labels)
+    rows = [f"SELECT {by}, '{le}' AS le, count(*) FILTER (WHERE v <= {bound}) AS bucket_count, "
+            f"round(sum(v), 6) AS obs_sum, count(v) AS obs_count FROM H GROUP BY {by}"
+            for le, bound in [*((SR.le_label(b), repr(float(b))) for b in SR.DEFAULT_BUCKETS),
+                              ("+Inf", "'inf'::DOUBLE")]]
+    return f"WITH {source}\n" + "\nUNION ALL\n".join(rows)
+
+
+def _family(df, labels):
+    return SR.histogram(df, labels, "v").select(
+        *labels, "le", "bucket_count", r("obs_sum", 6).alias("obs_sum"), "obs_count")
+
+
+@register("histogram_request_time", _family_sql(
+    f"""{P_SQL}, H AS (SELECT endpoint, 'POST' AS method, processing_time_ms / 1000.0 AS v FROM P)""",
+    ["endpoint", "method"]))
+def histogram_request_time(spark, sf_dir):
+    """TS6: request time by endpoint and method."""
+    return _family(_log(spark, sf_dir).withColumn("v", F.col("processing_time_ms") / 1000.0),
+                   ["endpoint", "method"])
+
+
+@register("histogram_confidence", _family_sql(
+    f"""{P_SQL}, H AS (SELECT model_name, confidence AS v FROM P)""", ["model_name"]))
+def histogram_confidence(spark, sf_dir):
+    """TS6: prediction confidence by model."""
+    return _family(_log(spark, sf_dir).withColumn("v", F.col("confidence")), ["model_name"])
+
+
 @register("gauge_last", f"""WITH {P_SQL}
 SELECT model_name, round(arg_max(confidence, (ts, id)), 6) AS confidence, max(ts) AS last_ts
 FROM P GROUP BY model_name""")

@@ -23,11 +23,10 @@ from quarry.streaming import streams as ST
 def _staged(spark, sf_dir, copies: int = 1):
     base = scratch_path(spark, "stream")
     ev = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    ST.stage_event_files(ev, f"{base}/files")
-    for _ in range(copies - 1):  # at-least-once delivery: the same files again
-        (ev.withColumn("event_day", F.to_date("ts")).write.mode("append")
-         .partitionBy("event_day").parquet(f"{base}/files"))
-    return base, ST.event_stream(spark, f"{base}/files", files_per_batch=100000)
+    for _ in range(copies):  # at-least-once delivery: the same files again
+        n = ST.stage_event_days(ev, f"{base}/files")
+    # several micro-batches a run: state and watermark are carried between them
+    return base, ST.event_stream(spark, f"{base}/files", files_per_batch=n)
 
 
 def _closed(df, spark, sf_dir, end_col="window_end"):

@@ -7,6 +7,7 @@ from quarry.functions.numeric import r
 from quarry.operators import jobs as J
 from quarry.operators import split as SP
 from quarry.operators import train as TR
+from quarry.operators.series import DEFAULT_BUCKETS, histogram, le_label
 from quarry.plans.catalog import register
 from quarry.plans.q_rules import _job_requests_sql, job_requests
 from quarry.session import freeze, scratch_path
@@ -144,6 +145,37 @@ def candidate_checks(spark, sf_dir):
                                        "best_is_extreme boolean")
 
 
+@register("evaluate_registered", """
+SELECT 'IrisBestModel' AS model_name, 'accuracy' AS metric, true AS same_as_history,
+       false AS dropped, (SELECT count(*) FROM lineitem) AS samples_evaluated""")
+def evaluate_registered(spark, sf_dir):
+    """RTR1 -> SNK5 -> SRC3 -> EVL6 -> DRF4: retrain (from the given file, which
+    is absent, else the default table), load the registered model, evaluate it
+    on the table and hold the score against the performance history."""
+    from quarry.operators import drift as D
+    from quarry.operators import evaluate as E
+    from quarry.sources import files as IO
+
+    root = scratch_path(spark, "evaluate")
+    reg, history = Registry(spark, f"{root}/registry"), f"{root}/history"
+    table = freeze(_h(spark, sf_dir).select(
+        *H_FEATURES, F.expr(_RULE).cast("double").alias("label"), "row_key"))
+    load = lambda: IO.read_or_default(spark, f"{root}/absent.csv", table.schema, lambda: table)
+    cands = [TR.Candidate("DecisionForest", lambda: TR.random_forest_classifier(
+        "label", H_FEATURES, numTrees=10, maxDepth=6))]
+    J.retrain(spark, reg, f"{root}/events", "iris", "performance_drop", load, "label", "row_key",
+              "classification", cands, history_path=history)
+    now = E.evaluate_registered(reg, "IrisBestModel", "iris", table, "classification", "label",
+                                "2024-01-31 00:00:00")
+    current = now.where("metric = 'accuracy'").withColumn("model_name", F.lit("iris"))
+    past = spark.read.parquet(history)
+    drop = D.performance_drop(past, current)
+    n = now.where("metric = 'samples_evaluated'").select("value").scalar()
+    return drop.select(F.lit("IrisBestModel").alias("model_name"), "metric",
+                       (F.abs(F.col("current") - F.col("historical")) < 0.02).alias("same_as_history"),
+                       "dropped", n.cast("long").alias("samples_evaluated"))
+
+
 @register("latest_model", """
 SELECT 'CaliforniaHousingBestModel' AS name, CAST(1 AS BIGINT) AS version, 'registry' AS source""")
 def latest_model(spark, sf_dir):
@@ -201,6 +233,18 @@ def job_latest_state(spark, sf_dir):
         r("duration", 6).alias("duration"), "error", "estimated_minutes")
 
 
+@register("histogram_retraining", f"""WITH {_JOBS_SQL},
+B AS (SELECT * FROM (VALUES {", ".join(f"('{le_label(b)}', {float(b)!r})" for b in DEFAULT_BUCKETS)},
+      ('+Inf', 'inf'::DOUBLE)) t(le, bound))
+SELECT model_name, le, count(*) FILTER (WHERE dur <= bound) AS bucket_count,
+       round(sum(dur), 6) AS obs_sum, count(dur) AS obs_count FROM OK, B GROUP BY model_name, le""")
+def histogram_retraining(spark, sf_dir):
+    """TS6: retraining time by model, each job once at its terminal event."""
+    done = derived_job_events(spark, sf_dir).where(F.col("status").isin(*J.TERMINAL))
+    return histogram(done, ["model_name"], "duration").select(
+        "model_name", "le", "bucket_count", r("obs_sum", 6).alias("obs_sum"), "obs_count")
+
+
 @register("counter_retrainings", f"""WITH {_JOBS_SQL}
 SELECT model_name, trigger_type, count(*) AS value FROM OK GROUP BY ALL""")
 def counter_retrainings(spark, sf_dir):
