@@ -18,6 +18,7 @@ from quarry.operators import scale as SC
 from quarry.operators import split as SP
 from quarry.operators import validate as V
 from quarry.session import freeze
+from quarry.sources import files as IO
 
 # fixed values: 3-class raw names -> short names, class codes -> species
 CLASS_RENAME = {
@@ -34,6 +35,7 @@ PRICE_EDGES = [0, 100000, 200000, 300000, float("inf")]
 PRICE_LABELS = ["Low", "Medium", "High", "Very High"]
 
 
+# fixed values: the column names of both specs, in and out
 @dataclass
 class ClassSpec:
     rename: dict = field(default_factory=lambda: dict(CLASS_RENAME))
@@ -196,5 +198,15 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
                     SC.apply_scaler(test, params, feats), params)
 
 
-__all__ = ["class_chain", "regression_chain", "prepare", "chain_fitted_on", "ClassSpec",
+def prepare_named(spark, name: str, catalog, root: str, **options) -> tuple[Prepared, tuple | None]:
+    """PIP3 end to end: the named dataset is loaded (an unknown name is an
+    error), prepared and, if valid, saved as a raw / processed pair under
+    `root`.  Returns the preparation and the two paths."""
+    raw = IO.load_dataset(spark, name, catalog)
+    prep = prepare(raw, **options)
+    saved = None if prep.processed is None else IO.save_pair(raw, prep.processed, name, root)
+    return prep, saved
+
+
+__all__ = ["prepare_named", "class_chain", "regression_chain", "prepare", "chain_fitted_on", "ClassSpec",
            "RegressionSpec"]

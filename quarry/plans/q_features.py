@@ -7,6 +7,7 @@ from quarry.functions.numeric import r
 from quarry.operators import features as X
 from quarry.plans import prepare as PP
 from quarry.plans.catalog import register
+from quarry.session import scratch_path
 from quarry.sources.tables import as_wall_clock, class_table, read_table, regression_table
 
 H_RENAME = {"l_quantity": "quantity", "l_extendedprice": "price", "l_discount": "discount",
@@ -238,6 +239,25 @@ def regression_prepare(spark, sf_dir):
                       "price_category")
 
 
+@register("prepare_saved", """
+SELECT 'raw' AS copy, count(*) AS n_rows, round(sum(l_extendedprice), 2) AS total FROM lineitem
+UNION ALL
+SELECT 'processed', count(*), NULL FROM lineitem""")
+def prepare_saved(spark, sf_dir):
+    """PIP3: load by name, prepare, save the raw / processed pair, read both back."""
+    spec = H_SPEC
+    _, (raw, done) = PP.prepare_named(
+        spark, "lineitem", {"lineitem": (f"{sf_dir.rstrip('/')}/lineitem.parquet", "parquet")},
+        scratch_path(spark, "prepare"), kind="regression", key="l_orderkey",
+        target="l_extendedprice", regression_spec=spec, required_columns=list(H_RENAME))
+    read = spark.read.parquet
+    total = F.round(F.sum("l_extendedprice"), 2)
+    return read(raw).agg(F.lit("raw").alias("copy"), F.count("*").alias("n_rows"),
+                         total.alias("total")).unionByName(
+        read(done).agg(F.lit("processed").alias("copy"), F.count("*").alias("n_rows"),
+                       F.lit(None).cast("double").alias("total")))
+
+
 @register("prepare_report")
 def prepare_report(spark, sf_dir):
     """PIP3: validate -> preprocess -> profile -> split -> scale on H; the

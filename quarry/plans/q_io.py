@@ -83,23 +83,29 @@ def json_report(spark, sf_dir):
     return spark.read.schema("model_name string, metric string, value double").json(path)
 
 
-@register("dataset_fingerprint", r"""
-SELECT 'nation' AS dataset,
-  CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), '\N'),
-       coalesce(n_name, '\N'), coalesce(CAST(n_regionkey AS VARCHAR), '\N'))), 1, 8)) AS BIGINT))
-       AS VARCHAR) AS hash_sum,
-  count(*) AS n_rows,
-  CAST(sum(length(concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), '\N'),
-       coalesce(n_name, '\N'), coalesce(CAST(n_regionkey AS VARCHAR), '\N')))) AS VARCHAR) AS n_chars
-FROM nation""")
+_FP_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_FP_ROW = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+                      for c in _FP_COLUMNS)
+
+
+@register("dataset_fingerprint", f"""
+SELECT 'lineitem' AS dataset,
+  CAST(sum(CAST(('0x' || substr(md5(t), 1, 16)) AS UBIGINT)) AS VARCHAR) || '-' ||
+  CAST(sum(CAST(('0x' || substr(md5(t), 17, 16)) AS UBIGINT)) AS VARCHAR) AS hash_sum,
+  count(*) AS n_rows, CAST(sum(length(t)) AS VARCHAR) AS n_chars
+FROM (SELECT {_FP_ROW} AS t FROM lineitem)""")
 def dataset_fingerprint(spark, sf_dir):
-    return IO.dataset_fingerprint(read_table(spark, sf_dir, "nation"), "nation")
+    return IO.dataset_fingerprint(read_table(spark, sf_dir, "lineitem").select(*_FP_COLUMNS),
+                                  "lineitem")
 
 
 @register("fingerprint_change", "SELECT true AS changed")
 def fingerprint_change(spark, sf_dir):
-    """FPR1 compare: the raw and lower-cased nation tables differ."""
-    nation = read_table(spark, sf_dir, "nation")
-    a = IO.dataset_fingerprint(nation, "nation")
-    b = IO.dataset_fingerprint(nation.withColumn("n_name", F.lower("n_name")), "nation")
-    return IO.fingerprint_changed(a, b)
+    """FPR1 compare: lineitem and lineitem with one price changed differ."""
+    h = read_table(spark, sf_dir, "lineitem")
+    top = h.select(F.max("l_extendedprice")).scalar()
+    other = h.withColumn("l_extendedprice", F.when(
+        F.col("l_extendedprice") == top, top + 0.01).otherwise(F.col("l_extendedprice")))
+    return IO.fingerprint_changed(IO.dataset_fingerprint(h, "lineitem"),
+                                  IO.dataset_fingerprint(other, "lineitem"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -78,16 +78,20 @@ def write_json_report(report: DataFrame, path: str) -> None:
 
 def dataset_fingerprint(df: DataFrame, name: str) -> DataFrame:
     """FPR1: order-independent content fingerprint of a table: per-row md5 of
-    the '|'-joined values (NULL as \\N), first 8 hex digits as an integer,
-    summed; plus the row count and the total text length.  Equal tables give
-    equal fingerprints regardless of partitioning or row order.  Sums are
-    exact decimals (a long would overflow past ~2e9 rows) reported as text."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
-    row = F.concat_ws("|", *cols)
-    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(38,0)")
+    the values, each with its length before it (NULL as '-'), so no two rows
+    share a text; both 64-bit halves of the digest are summed over the rows;
+    plus the row count and the total text length.  Equal tables give equal
+    fingerprints regardless of partitioning or row order.  Sums are exact
+    decimals reported as text."""
+    row = F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-"))
+                     for c in (F.col(x).cast("string") for x in df.columns)])
+
+    def half(start: int) -> Column:
+        return F.sum(F.conv(F.substring(F.md5(row), start, 16), 16, 10).cast("decimal(38,0)"))
+
     return df.agg(
         F.lit(name).alias("dataset"),
-        F.sum(h).cast("string").alias("hash_sum"),
+        F.concat_ws("-", half(1).cast("string"), half(17).cast("string")).alias("hash_sum"),
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.length(row).cast("decimal(38,0)")).cast("string").alias("n_chars"),
     )

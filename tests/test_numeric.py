@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from quarry.functions.numeric import bucket_right_closed, clip, nan_to_null, safe_div
 from quarry.operators import features as X
 
+# fixed values in the tests below: bin edges and their labels
+
 
 def test_safe_div_and_ratio_fill(spark):
     df = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (4.0, 2.0), (6.0, 3.0), (None, 1.0)],

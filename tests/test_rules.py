@@ -2,6 +2,7 @@
 from quarry.functions import rules as R
 from quarry.operators import validate as V
 
+# fixed values: the field names and the valid / invalid example records
 REG_COLS = "MedInc double, HouseAge double, AveRooms double, AveBedrms double, Population double, " \
            "AveOccup double, Latitude double, Longitude double"
 
