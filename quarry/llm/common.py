@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
 
@@ -68,6 +69,18 @@ def small_side_join(big: DataFrame, small: DataFrame, keys: list[str], how: str
     return left.join(right, on, how).drop(*marks.values(), salt, salt + "r")
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers
+    are kept for later tasks and share the machine with the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_fs(uri: str):
     """(file system, path) of a folder of the shared store, for tasks that
     write their own file format."""

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import internal, lower_words
+from quarry.llm.common import give_back, internal, lower_words
 
 MATCH, OTHER, GAP = 2, -1, -1
 NGRAM = 3
@@ -133,6 +133,7 @@ def _vocabulary_counts(docs: DataFrame, text: str, vocabulary: Broadcast) -> tup
                 n += len(ws)
                 total.update([w for w in ws if w in keep])
         yield pd.DataFrame({"word": [*total, None], "n": [*total.values(), n]})
+        give_back()
 
     found = docs.select(docs[text].alias("text")).mapInPandas(count, "word binary, n long")
     rows = found.groupBy("word").agg(F.sum("n").alias("n")).collect()  # one a word of the block
@@ -189,6 +190,7 @@ def leaks_column(text: Column, model: Broadcast) -> Column:
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([bool(model.value.find(t)) for t in s], dtype=bool)
+        give_back()
     return leaks(text)
 
 

@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import give_back
 from quarry.session import stage
 
 #: Fixed value: ASCII characters that count as symbols.
@@ -78,6 +79,7 @@ def measure_column(text: Column) -> Column:
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([measures(t) for t in s])
+        give_back()
     return measured(text)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import internal, lower_words
+from quarry.llm.common import give_back, internal, lower_words
 from quarry.llm.components import connected_components
 from quarry.session import stage
 
@@ -64,6 +64,7 @@ def fingerprint_column(text: Column | str, shingle: int = 4) -> Column:
         for s in batches:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in s], np.uint64)
                             .view(np.int64))
+        give_back()
     return fp(F.col(text) if isinstance(text, str) else text)
 
 

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_fs
+from quarry.llm.common import arrow_fs, give_back
 from quarry.session import scratch_uri, stage
 
 MAGIC = b"QWAVELT1"
@@ -51,7 +51,7 @@ BLOCK_BITS = 1 << 15
 #: A shard is closed with the document that takes it to this many tokens.
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded together.
-ENCODE_BYTES = 1_000_000
+ENCODE_BYTES = 300_000
 #: Tasks that read shards; each takes as many files as that asks for.
 MAX_READERS = 100_000
 #: Pieces that a worker keeps encoded; beyond it the cache starts anew.
@@ -452,6 +452,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, out: str, doc_id: str =
                 at = to
         if ids:
             yield close()
+        held = []
+        give_back()
 
     store, folder = arrow_fs(out)
     store.create_dir(folder, recursive=True)
@@ -483,6 +485,7 @@ def read_documents(shards: DataFrame, out: str) -> DataFrame:
                     "doc_id": pd.array(w.doc_ids, "Int64"), "part": part, "shard": shard,
                     "at": at, "n_tokens": w.counts,
                     "ids_crc32": [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(at, ends)]})
+        give_back()
 
     # a task for each file or so: their list is small, their contents aren't
     return shards.repartition(max(1, min(shards.count(), MAX_READERS))).mapInPandas(
