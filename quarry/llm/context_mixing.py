@@ -59,7 +59,7 @@ TABLE_BITS = 21
 #: Counts that are packed together: 2^16 slots.
 BLOCK = 2 << 16
 SEGMENT = 1024
-STRIDE = 16
+STRIDE = 32
 #: Stretched probabilities are kept as bytes of this many steps a unit.
 STEPS = 14
 PRIOR = 0.15
@@ -358,17 +358,26 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
     def in_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
         tables = {k: np.zeros(size, np.int64) for k in BYTE_KINDS}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ws = [bytes(w) + END for w in pdf["word"]]
+
+        def add(ws: list[bytes], n: list[int]) -> None:
             data = np.frombuffer(b"".join(ws), np.uint8)
             sizes = np.array([len(w) for w in ws])
-            weight = np.repeat(pdf["n"].to_numpy(np.float64), sizes)
+            weight = np.repeat(np.array(n, np.float64), sizes)
             inner = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             paths, contexts = v.bytes_.paths(v.rank[data]), byte_contexts(data, None)
             _count(tables, BYTE_KINDS[:-1], paths, contexts[:-1], weight)
             _count(tables, BYTE_KINDS[-1:], paths, contexts[-1:], weight * (inner > 1))
+
+        held: list[bytes] = []
+        times: list[int] = []
+        for pdf in batches:
+            held += [bytes(w) + END for w in pdf["word"]]
+            times += pdf["n"].tolist()
+            if len(held) >= 20_000:
+                add(held, times)
+                held, times = [], []
+        if held:
+            add(held, times)
         for k, t in tables.items():
             yield from _packed(k, t, BLOCK)
 
@@ -385,9 +394,8 @@ def _count(tables: dict[int, np.ndarray], kinds, paths, contexts, weight=None) -
         if weight is None:
             _add_at(tables[k], at)
         else:
-            places, which = np.unique(at, return_inverse=True)
-            total = np.bincount(which, np.repeat(weight, lens), len(places))
-            tables[k][places] += np.rint(total).astype(tables[k].dtype)
+            total = np.bincount(at, np.repeat(weight, lens), len(tables[k]))
+            tables[k] += np.rint(total, out=total).astype(tables[k].dtype)
 
 
 def _add_at(table: np.ndarray, at: np.ndarray) -> None:
@@ -463,7 +471,7 @@ def code_lengths(tree: Tree, ids: np.ndarray, per_text: np.ndarray, predict,
     p = mix(grids, y.reshape(-1, SEGMENT), weights).ravel()[place]
     out = np.zeros(len(per_text))
     some = size > 0
-    out[some] = np.add.reduceat(-np.log2(p.astype(np.float64)), (ends - size)[some])
+    out[some] = np.add.reduceat(-np.log2(p), (ends - size)[some], dtype=np.float64)
     return out
 
 
@@ -597,8 +605,9 @@ def train(docs: DataFrame, text: str = "text",
     def count_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = np.zeros(256)
         for pdf in batches:
-            for w, n in zip(pdf["word"], pdf["n"]):
-                np.add.at(c, np.frombuffer(bytes(w) + END, np.uint8), n)
+            ws = [bytes(w) + END for w in pdf["word"]]
+            c += np.bincount(np.frombuffer(b"".join(ws), np.uint8), np.repeat(
+                pdf["n"].to_numpy(np.float64), [len(w) for w in ws]), 256)
         yield pd.DataFrame({"b": np.arange(256), "n": c})
 
     rare = words.where(is_rare("word"))
