@@ -241,6 +241,25 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 600_000) -> Da
     return stage(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+def most_frequent(words: DataFrame, limit: int) -> list[tuple[bytes, int]]:
+    """At most `limit` words, the most frequent first: all from a count on.
+
+    The counts fall into eight classes an octave; the classes from the top
+    that hold `limit` words or fewer are collected.  (A sorted limit would send
+    that many rows of every partition to the driver.)"""
+    level = F.floor(F.log2("n") * 8).alias("level")
+    found, cut = 0, None
+    for r in sorted(words.groupBy(level).count().collect(), key=lambda r: -r["level"]):
+        found += r["count"]
+        if found > limit:
+            break
+        cut = r["level"]
+    if cut is None:
+        return []
+    rows = words.where(F.floor(F.log2("n") * 8) >= cut).select("word", "n").collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 @dataclass
 class Vocabulary:
     """Ids, counts and trees; ids are ranks by count, the last one escapes;
@@ -593,8 +612,7 @@ def train(docs: DataFrame, text: str = "text",
     sc = docs.sparkSession.sparkContext
     words = count_words(docs, text)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") >= LEAST_COUNT).orderBy(
-        F.desc("n"), "word").limit(top_words).collect()]
+    frequent = most_frequent(words.where(F.col("n") >= LEAST_COUNT), top_words)
     names = {w for w, _ in frequent}
     told = sc.broadcast(names)  # top_words at most
 

@@ -41,7 +41,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.context_mixing import count_words
+from quarry.llm.context_mixing import count_words, most_frequent
 from quarry.session import stage
 
 #: A run of key characters, and a value assigned to a name.
@@ -136,12 +136,11 @@ def pair_logp(value: str, pairs: np.ndarray) -> float:
 
 
 def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], np.ndarray]:
-    """The frequent words of the corpus, and log probabilities of character
+    """The frequent words of the corpus (DICTIONARY at most), and log probabilities of character
     pairs in all its words (256 x 256)."""
     words = count_words(docs, text)
-    top = words.where(F.octet_length("word").between(3, LONGEST_WORD)
-                      & F.decode("word", "UTF-8").rlike("^\\p{L}+$")).orderBy(
-        F.desc("n"), "word").limit(DICTIONARY).collect()
+    top = most_frequent(words.where(F.octet_length("word").between(3, LONGEST_WORD)
+                                    & F.decode("word", "UTF-8").rlike("^\\p{L}+$")), DICTIONARY)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16)
@@ -163,7 +162,7 @@ def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], np.ndarray
             F.sum("n").alias("n")).collect():
         counts[r["pair"] >> 8, r["pair"] & 255] += r["n"]
     logp = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return frozenset(bytes(r["word"]).decode() for r in top), logp
+    return frozenset(w.decode() for w, _ in top), logp
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
