@@ -13,7 +13,9 @@ Columns of a wide table (`column_quantiles`, `column_profile`) need not be
 ranked whole: a mergeable sketch of every column brackets each requested rank
 between two values a few ten-thousandths of the rows apart, one aggregate
 counts the rows below each bracket, and only the values inside the brackets
-are ranked.  The table is scanned three times and never exploded or written.
+are ranked.  A bracket that the counts show to miss a rank it needs (columns of
+few values) is widened and counted again.  The table is scanned three times,
+twice more for each widening, and never exploded or written.
 """
 from __future__ import annotations
 
@@ -152,33 +154,55 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 ACCURACY = 10_000
 
 
+def _brackets(df: DataFrame, v: Sequence[Column], probs: Sequence[float]) -> list[tuple]:
+    """(column, prob, key, low, high, values, values below low) of each
+    quantile: low to high hold the two values it lies between.  A bracket that
+    the counts show to miss one is widened, by two ranks at least."""
+    reach = {(i, j): 2 / ACCURACY for i in range(len(v)) for j in range(len(probs))}
+    held: dict[tuple[int, int], tuple] = {}
+    while reach:
+        ends = {i: [(j, min(1.0, max(0.0, probs[j] + s * d))) for (c, j), d in reach.items()
+                    if c == i for s in (-1, 1)] for i, _ in reach}
+        told = df.agg(*[F.count(v[i]).alias(f"n{i}") for i in ends],
+                      *[F.percentile_approx(v[i], [e for _, e in x], ACCURACY).alias(f"q{i}")
+                        for i, x in ends.items()]).first()
+        spans = [(i, x[k][0], told[f"q{i}"][k], told[f"q{i}"][k + 1])
+                 for i, x in ends.items() if told[f"n{i}"] for k in range(0, len(x), 2)]
+        if not spans:
+            break
+        at = df.agg(*[F.count_if(v[i] < F.lit(lo)).alias(f"b{i}_{j}") for i, j, lo, _ in spans],
+                    *[F.count_if(v[i] <= F.lit(hi)).alias(f"u{i}_{j}")
+                      for i, j, _, hi in spans]).first()
+        wider = {}
+        for i, j, lo, hi in spans:
+            n, below, upto, d = told[f"n{i}"], at[f"b{i}_{j}"], at[f"u{i}_{j}"], reach[i, j]
+            h = (n - 1) * probs[j]
+            if d >= 1 or (below <= math.floor(h) and math.ceil(h) < upto):
+                held[i, j] = (lo, hi, n, below)
+            else:
+                wider[i, j] = max(2 * d, 2 / n)
+        reach = wider
+    return [(i, j, k, *held[i, j]) for k, (i, j) in enumerate(sorted(held))]
+
+
 def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(fid, p, q): exact quantiles of wide columns by bracket selection."""
     spark = df.sparkSession
     v = [nan_to_null(F.col(c).cast("double")) for c in cols]
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)]
-    first = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(v)],
-                   *[F.percentile_approx(x, ends, ACCURACY).alias(f"q{i}")
-                     for i, x in enumerate(v)]).first()
-    kept = [(i, j, k, first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1])
-            for k, (i, j) in enumerate((i, j) for i in range(len(cols))
-                                       for j in range(len(probs))) if first[f"n{i}"]]
+    kept = _brackets(df, v, probs)
     schema = "fid int, p double, q double"
     if not kept:
         return spark.createDataFrame([], schema)
-    below = df.agg(*[F.count_if(v[i] < F.lit(lo)).alias(f"b{k}")
-                     for i, _, k, lo, _ in kept]).first()
     inside = F.array_compact(F.array(*[
         F.when((v[i] >= F.lit(lo)) & (v[i] <= F.lit(hi)),
                F.struct(F.lit(k).alias("kid"), v[i].alias("value")))
-        for i, _, k, lo, hi in kept]))
+        for i, _, k, lo, hi, _, _ in kept]))
     ranged = value_ranges(df.select(F.inline(inside)), ["kid"], "value")
     targets = []
-    for i, j, k, _, _ in kept:
-        h = (first[f"n{i}"] - 1) * probs[j]
-        lo, hi = math.floor(h), math.ceil(h)
-        targets.append((k, i, float(probs[j]), h - below[f"b{k}"], lo - below[f"b{k}"],
-                        hi - below[f"b{k}"]))
+    for i, j, k, _, _, n, below in kept:
+        h = (n - 1) * probs[j]
+        targets.append((k, i, float(probs[j]), h - below, math.floor(h) - below,
+                        math.ceil(h) - below))
     wanted = spark.createDataFrame(targets, "kid int, fid int, p double, _h double, _klo long, "
                                             "_khi long")
     got = values_at_ranks(ranged, ["kid"], wanted.drop("fid"))

@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators.prefix import running_totals
-from quarry.operators.quantiles import exact_quantiles
+from quarry.operators.quantiles import column_quantiles, exact_quantiles
 
 
 def _skewed(spark, n=3000, seed=1):
@@ -67,3 +67,17 @@ def test_approximate_quantiles_close(spark):
     # rank error of the sketch is at most n / accuracy
     lo, hi = xs[int(len(xs) * 0.5) - 1], xs[min(len(xs) - 1, int(len(xs) * 0.5) + 1)]
     assert lo <= ap["v"] <= hi and lo <= ex["v"] <= hi
+
+
+def test_column_quantiles_of_few_values(spark):
+    """Columns of 1 to 40 values, the rest NULL: no quartile may be lost."""
+    rng = np.random.default_rng(5)
+    xs = {f"c{n}": rng.normal(size=n) for n in range(1, 41)}
+    rows = [tuple(float(x[i]) if i < len(x) else None for x in xs.values()) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in xs))
+    probs = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    got = {r["feature"]: r for r in column_quantiles(df, list(xs), probs, names).collect()}
+    for c, x in xs.items():
+        for p, name in zip(probs, names):
+            assert abs(got[c][name] - np.percentile(x, p * 100)) < 1e-9, (c, p)
