@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds and local alignment.
-
-1. The corpus counts of all words of the test items give each word its
-   probability (one pass over every text; counts are summed by Spark).
-2. The seeds of an item are its n-grams of probability `rare` or less under
-   independent words; an item without one keeps its rarest n-gram.  Each seed
-   is found by its rarest word, so a text is scanned once, word by word.
-3. Seeds that meet in a text place the item on the text; the words around are
-   aligned with the item by Smith-Waterman (match 2, other -1, gap -1).  The
-   score is the best local alignment over that of the whole item: 1 for an
-   exact copy; edits, insertions and cut ends lower it step by step.
+"""Benchmark decontamination: counted word pairs and local alignment.
+
+1. A text and an item are aligned by Smith-Waterman over their words (match 2,
+   other -1, gap -1).  The score is the best local alignment over that of the
+   whole item: 1 for an exact copy; edits, insertions and cut ends lower it
+   step by step.
+2. Which texts to align is decided without loss.  m matched words with x
+   errors score 2m - x, so at a score of S or more at least S/2 - 1 of the
+   m - 1 neighbouring matches have one error or none between them: two words
+   that stand one or two places apart both in the item and in the text.  Only
+   where a stretch of the text holds that many such pairs of an item can the
+   alignment reach S.  Pairs that many items share may be left out, each for
+   one pair less that is asked for.
 
 Test items are worked through in blocks of `block_bytes` of text, each a
 broadcast of that size at most; every block meets every text whole.
@@ -21,8 +23,7 @@ best.  Other input columns are ignored (`drop_contaminated` keeps them).
 """
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import give_back, internal, lower_words
 
 MATCH, OTHER, GAP = 2, -1, -1
-NGRAM = 3
-RARE = 1e-8
-#: Unrelated texts reach 0.2 by chance on a seed; half an item reaches 0.5.
+#: Unrelated texts reach 0.2 by chance; half an item reaches 0.5.
 MIN_SCORE = 0.35
 MIN_WORDS = 5
+#: Fewer matched words than these in a row never count, however short the item.
+LEAST_RUN = 3
+#: Words that are searched together, and the items from which a pair is common.
+CHUNK_WORDS = 100_000
+COMMON = 32
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
@@ -62,60 +66,113 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
 
 
 class Matcher:
-    """Seeds and alignment of one block of test items."""
-
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], prob: dict[bytes, float],
-                 rare: float, min_score: float):
-        self.items, self.min_score = items, min_score
-        self.anchors: dict[bytes, list] = defaultdict(list)
-        seeds: dict[tuple, list] = defaultdict(list)
-        for k, (_, ws) in enumerate(items):
-            grams = [tuple(ws[i:i + NGRAM]) for i in range(len(ws) - NGRAM + 1)]
-            cost = [sum(math.log(prob[w]) for w in g) for g in grams]
-            limit = max(math.log(rare), min(cost))
-            for i, (g, c) in enumerate(zip(grams, cost)):
-                if c <= limit:
-                    seeds[g].append((k, i))
-        for g, places in seeds.items():
-            off = min(range(NGRAM), key=lambda i: prob[g[i]])
-            self.anchors[g[off]].append((off, g, places))
+    """Word pairs and alignment of one block of test items."""
+
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], min_score: float):
+        self.items = items
         self.word_id: dict[bytes, int] = {}
         self.coded = [np.array([self.word_id.setdefault(w, len(self.word_id)) for w in ws],
                                np.int64) for _, ws in items]
-
-    def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item index, score, first word, word after the last) of each item
-        found in the text."""
-        ws = lower_words(text)
-        anchors, spans = self.anchors, defaultdict(set)
-        for i, w in enumerate(ws):
-            if w in anchors:
-                for off, gram, places in anchors[w]:
-                    a = i - off
-                    if a >= 0 and tuple(ws[a:a + NGRAM]) == gram:
-                        for k, p in places:
-                            spans[k].add(a - p)
-        out = []
-        for k, starts in spans.items():
-            item = self.coded[k]
-            reach, best = len(item) // 2 + 2, (0, 0, 0)
-            for lo, hi in _merged(sorted(starts), len(item), reach, len(ws)):
-                part = np.array([self.word_id.get(w, -1) for w in ws[lo:hi]], np.int64)
+        sizes = np.array([len(x) for x in self.coded])
+        self.least = np.maximum(2 * min_score * sizes, MATCH * LEAST_RUN)  # the raw score S
+        self.need = np.ceil(self.least / 2 - 1 - 1e-9).astype(np.int64)
+        # m words and the errors that S leaves them: at most 3m - S words of text
+        self.span = np.ceil(3 * sizes - self.least).astype(np.int64) + 1
+        item, left, code = [], [], []
+        for k, x in enumerate(self.coded):
+            for d in (1, 2):
+                item.append(np.full(len(x) - d, k))
+                left.append(np.arange(len(x) - d))
+                code.append(x[:-d] * len(self.word_id) + x[d:])
+        item, left, code = map(np.concatenate, (item, left, code))
+        kept = self._without_common(item, left, code)
+        pairs = np.unique(np.stack([code[kept], item[kept]]), axis=1)
+        self.codes, self.first, self.many = np.unique(pairs[0], return_index=True,
+                                                      return_counts=True)
+        self.item_of = pairs[1]
+
+    def _without_common(self, item: np.ndarray, left: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Which pairs to look for: an item's places whose pairs are common
+        are left out, half of the needed ones at most, and `need` falls by as
+        many."""
+        _, at, counts = np.unique(code, return_inverse=True, return_counts=True)
+        shared = counts[at]
+        kept = np.ones(len(code), bool)
+        for row in np.flatnonzero(np.bincount(item, shared > COMMON, len(self.items))):
+            own = np.flatnonzero(item == row)
+            most = np.zeros(len(self.coded[row]), np.int64)
+            np.maximum.at(most, left[own], shared[own])
+            out = np.argsort(-most, kind="stable")[:self.need[row] // 2]
+            out = out[most[out] > COMMON]
+            kept[own[np.isin(left[own], out)]] = False
+            self.need[row] -= len(out)
+        return kept
+
+    def find(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
+        """For each text (item index, score, first word, word after the last)
+        of each item found in it."""
+        out: list[list[tuple[int, float, int, int]]] = []
+        held, words = [], 0
+        for t in texts:
+            held.append(lower_words(t))
+            words += len(held[-1])
+            if words >= CHUNK_WORDS:
+                out += self._find(held)
+                held, words = [], 0
+        return out + self._find(held)
+
+    def _find(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, int, int]]]:
+        out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+        get, sizes = self.word_id.get, np.array([len(ws) for ws in texts], np.int64)
+        n = int(sizes.sum())
+        ids = np.fromiter((get(w, -1) for ws in texts for w in ws), np.int64, n)
+        owner, begin = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
+        places = defaultdict(list)
+        for k, at, last in zip(*(x.tolist() for x in self._stretches(ids, owner))):
+            places[k, int(owner[at])].append((max(0, last + 1 - int(self.span[k])),
+                                              at + int(self.span[k])))
+        for (k, t), ranges in places.items():
+            item, lo_t, best = self.coded[k], int(begin[t]), (0, 0, 0)
+            for lo, hi in _merged(ranges):
+                lo, hi = max(lo, lo_t), min(hi, lo_t + int(sizes[t]))
+                part = ids[lo:hi]
                 score, ie, je, _ = align(item, part)
                 if score > best[0]:
                     back = align(item[:ie][::-1], part[:je][::-1])
-                    best = (score, lo + je - back[2], lo + je)
-            share = best[0] / (MATCH * len(item))
-            if share >= self.min_score:
-                out.append((k, share, best[1], best[2]))
+                    best = (score, lo - lo_t + je - back[2], lo - lo_t + je)
+            if best[0] >= self.least[k] - 1e-9:
+                out[t].append((k, best[0] / (MATCH * len(item)), best[1], best[2]))
         return out
 
-
-def _merged(starts: list[int], length: int, reach: int, n: int) -> list[tuple[int, int]]:
-    """Text ranges around the placed items, overlapping ones as one."""
+    def _stretches(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, first and last place) of all stretches of text that hold as
+        many pairs of an item as it needs."""
+        found = []
+        for d in (1, 2):
+            a, b = ids[:-d], ids[d:]
+            at = np.flatnonzero((a >= 0) & (b >= 0) & (owner[:-d] == owner[d:]))
+            code = a[at] * len(self.word_id) + b[at]
+            row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[row] == code
+            at, row = at[hit], row[hit]
+            many = self.many[row]
+            flat = np.repeat(self.first[row] - (np.cumsum(many) - many), many)
+            flat += np.arange(len(flat))
+            found.append(self.item_of[flat] * len(ids) + np.repeat(at, many))
+        # one place counts once for an item, whichever its pair
+        item, at = np.divmod(np.unique(np.concatenate(found)), max(1, len(ids)))
+        last = np.arange(len(at)) + self.need[item] - 1
+        fits = last < len(at)
+        item_, at_, last = item[fits], at[fits], last[fits]
+        fits = (item[last] == item_) & (at[last] - at_ < self.span[item_])
+        fits[fits] = owner[at[last[fits]]] == owner[at_[fits]]
+        return item_[fits], at_[fits], at[last[fits]]
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, overlapping ones as one."""
     out: list[list[int]] = []
-    for s in starts:
-        lo, hi = max(0, s - reach), min(n, s + length + reach)
+    for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -123,27 +180,9 @@ def _merged(starts: list[int], length: int, reach: int, n: int) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def _vocabulary_counts(docs: DataFrame, text: str, vocabulary: Broadcast) -> tuple[dict, int]:
-    """Corpus counts of the block's words, and all words; NULL counts all."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep, total, n = vocabulary.value, Counter(), 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                ws = lower_words(t)
-                n += len(ws)
-                total.update([w for w in ws if w in keep])
-        yield pd.DataFrame({"word": [*total, None], "n": [*total.values(), n]})
-        give_back()
-
-    found = docs.select(docs[text].alias("text")).mapInPandas(count, "word binary, n long")
-    rows = found.groupBy("word").agg(F.sum("n").alias("n")).collect()  # one a word of the block
-    counts = {None if r["word"] is None else bytes(r["word"]): r["n"] for r in rows}
-    return counts, counts.pop(None, 0) or 0
-
-
-def matchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-             item_text: str = "text", rare: float = RARE, min_score: float = MIN_SCORE,
-             min_words: int = MIN_WORDS, block_bytes: int = 8_000_000) -> list[Broadcast]:
+def matchers(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id",
+             item_text: str = "text", min_score: float = MIN_SCORE, min_words: int = MIN_WORDS,
+             block_bytes: int = 8_000_000) -> list[Broadcast]:
     """One broadcast matcher for each block of test items."""
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(benchmark[item_id].alias("item_id"),
@@ -154,13 +193,9 @@ def matchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         coded = [(r["item_id"], lower_words(r["text"])) for r in block]
-        coded = [(i, ws) for i, ws in coded if len(ws) >= max(min_words, NGRAM)]
-        if not coded:
-            continue
-        vocabulary = {w for _, ws in coded for w in ws}
-        counts, total = _vocabulary_counts(docs, text, sc.broadcast(vocabulary))
-        prob = {w: (counts.get(w, 0) + 0.5) / (total + 0.5 * len(vocabulary)) for w in vocabulary}
-        out.append(sc.broadcast(Matcher(coded, prob, rare, min_score)))
+        coded = [(i, ws) for i, ws in coded if len(ws) >= max(min_words, LEAST_RUN)]
+        if coded:
+            out.append(sc.broadcast(Matcher(coded, min_score)))
     return out
 
 
@@ -171,12 +206,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for model in matchers(docs, benchmark, text, **options):
+    for model in matchers(docs, benchmark, **options):
         def match(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             m = model.value
             for pdf in batches:
-                hits = [(d, m.items[k][0], s, a, b) for d, t in zip(pdf["doc_id"], pdf["text"])
-                        for k, s, a, b in m.find(t)]
+                hits = [(d, m.items[k][0], s, a, b) for d, found in zip(
+                    pdf["doc_id"], m.find(pdf["text"])) for k, s, a, b in found]
                 out = pd.DataFrame(hits, columns=["doc_id", "item_id", "score", "first_word",
                                                   "end_word"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
@@ -189,7 +224,7 @@ def leaks_column(text: Column, model: Broadcast) -> Column:
     @F.pandas_udf("boolean")
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([bool(model.value.find(t)) for t in s], dtype=bool)
+            yield pd.Series([bool(x) for x in model.value.find(s)], dtype=bool)
         give_back()
     return leaks(text)
 
@@ -198,7 +233,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                       **options) -> DataFrame:
     """The rows of `docs`, all columns, that hold no test item."""
     kept = docs
-    for model in matchers(docs, benchmark, text, **options):
+    for model in matchers(docs, benchmark, **options):
         mark = internal("leak")
         kept = kept.withColumn(mark, leaks_column(kept[text], model)).where(~F.col(mark)).drop(mark)
     return kept

@@ -83,3 +83,60 @@ def test_awkward_rows(spark, awkward, no_rows):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 5, 6, 7, 8, 9}
     assert D.find_leaks(no_rows, bench).count() == 0
     assert D.find_leaks(awkward, bench.limit(0)).count() == 0
+
+
+def reaching(docs, items):
+    """Pairs that a whole Smith-Waterman accepts."""
+    out = set()
+    for i, d in enumerate(docs):
+        for k, x in enumerate(items):
+            ids = {w: n for n, w in enumerate(dict.fromkeys(x))}
+            got = D.align(np.array([ids[w] for w in x]), np.array([ids.get(w, -1) for w in d],
+                                                                  np.int64))[0]
+            if got >= max(D.MIN_SCORE * D.MATCH * len(x), D.MATCH * D.LEAST_RUN):
+                out.add((i, k))
+    return out
+
+
+def test_heavy_edits_and_a_hot_item_meet_whole_alignment(spark):
+    """Every third word replaced, a word put after each, scattered edits, and
+    one item in a third of short texts."""
+    rng = random.Random(8)
+    common = ["the", "of", "and", "in", "to", "a"]
+
+    def text(n):
+        return [rng.choice(common) if rng.random() < .5 else word(rng) for _ in range(n)]
+
+    items = [text(rng.randint(5, 40)) for _ in range(12)] + [[rng.choice(common) for _ in range(30)]]
+    docs = []
+    for i in range(300):
+        body, item = text(rng.randint(0, 90)), list(items[0 if i % 3 == 0 else i % 13])
+        kind = i % 5
+        if kind == 0:
+            item = [word(rng) if j % 3 == 2 else w for j, w in enumerate(item)]
+        elif kind == 1:
+            item = [x for w in item for x in (w, word(rng))]
+        elif kind == 2:
+            item = [w if rng.random() < .65 else word(rng) for w in item]
+        elif kind == 3:
+            item = [w for w in item if rng.random() < .65]
+        body[len(body) // 2:len(body) // 2] = item
+        docs.append(body)
+    want = reaching(docs, items)
+    assert len(want) > 200 and all((i, 0) in want for i in range(0, 300, 15))
+    frames = [spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{c} long, "
+                                    "text string") for c, rows in (("doc_id", docs),
+                                                                   ("item_id", items))]
+    got = D.find_leaks(*frames).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_common_pairs_are_left_out_without_loss():
+    rng = random.Random(9)
+    head = "we ask you to find".split()
+    items = [head + [word(rng) for _ in range(15)] for _ in range(60)]
+    m = D.Matcher([(k, [w.encode() for w in x]) for k, x in enumerate(items)], D.MIN_SCORE)
+    assert m.need.max() < 6
+    docs = [[w for w in items[i % 60] if rng.random() < .7] for i in range(120)]
+    got = m.find([" ".join(d) for d in docs])
+    assert {(i, h[0]) for i, hits in enumerate(got) for h in hits} == reaching(docs, items)
