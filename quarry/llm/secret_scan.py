@@ -13,9 +13,10 @@ as `token` or `password`, found in whole texts.  Each becomes features:
 A forest (Spark ML) is trained on labelled findings and scores all candidates;
 `is_secret` drops those below the threshold.  Labels come from the caller as a
 function of the findings; `verified` labels what a format proves: provider key
-formats and values assigned to a secret's name are secrets; card numbers (Luhn
-check), all-digit, all-letter and placeholder values are not; anything else
-stays unlabelled.
+formats and values with a digit assigned to a secret's name are secrets, but
+for card numbers (Luhn check), which stay unlabelled there; else all-digit
+values, card numbers among them, are not, nor all-letter and placeholder ones;
+anything else stays unlabelled.
 
 Corpus statistics (words, character pairs) cover all documents.  The forest is
 fitted on at most `sample` labelled findings, those of the smallest hash.
@@ -41,14 +42,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.context_mixing import count_words, most_frequent
+from quarry.llm.context_mixing import count_words
 from quarry.session import stage
 
 #: A run of key characters, and a value assigned to a name.
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: A quoted value runs to its closing quote; another ends, from the sixth character on, before
+#: ; , or & and, wherever it is, before one of them or a bracket that leads to a further assignment.
+_SIGN = r"\\*[\"']?\]?\s*(?:=>|:=|[:=])"
+_NEXT = rf"[;,&)\]}}]\\*[\"']?[\w.-]+{_SIGN}"
 ASSIGNED = re.compile(
     r"\b[\w-]*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
-    r"|credential|auth)[\w-]*\s*[:=]\s*[\"']?([^\s\"']{6,})", re.IGNORECASE)
+    rf"|credential|auth)[\w-]*{_SIGN}\s*(?:(?P<open>\\*(?P<quote>[\"']))"
+    r"(?P<quoted>(?:(?!(?P=quote))\S){6,}?)(?P=open)"
+    rf"|\\*[\"']?(?P<plain>(?:(?!{_NEXT})[^\s\"']){{6}}(?:(?!{_NEXT})[^\s\"';,&])*))",
+    re.IGNORECASE)
+CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"}
+LEAST_VALUE = 6
 #: Key formats of providers.
 PROVIDER = re.compile(
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
@@ -56,7 +66,10 @@ PROVIDER = re.compile(
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]|dummy|xxxx|\*\*\*\*|<|\$\{", re.I)
 AROUND = 3
 BUCKETS = 1024
-DICTIONARY = 20_000
+#: A word is in the dictionary from this share of all words on: 1 / share words at most.
+DICTIONARY_SHARE = 1e-6
+#: Digits of a card number.
+CARD = range(13, 20)
 LONGEST_WORD = 16
 FEATURES = ["length", "digits", "upper", "lower", "changes", "pair_logp", "covered", "path_odds",
             "word_odds"]
@@ -76,19 +89,38 @@ def verified(value: str, name_before: bool) -> int | None:
         return 1
     if PLACEHOLDER.search(value):
         return 0
-    if name_before:
-        return 1 if any(c.isdigit() for c in value) else None
     plain = value.replace("-", "")
-    if plain.isdigit():
+    digits = plain.isascii() and plain.isdigit()
+    if name_before:
+        card = digits and len(plain) in CARD and luhn(plain)
+        return 1 if any(c.isdigit() for c in value) and not card else None
+    if digits:
         return 0
     return 0 if value.replace("_", "").replace("-", "").replace("/", "").isalpha() else None
 
 
+def assigned_value(m: re.Match) -> tuple[int, str]:
+    """Place and value of an assignment; one without quotes ends before a
+    bracket that closes what was opened outside of it."""
+    if m["quoted"] is not None:
+        return m.start("quoted"), m["quoted"]
+    value, opened = m["plain"], []
+    for i, c in enumerate(value):
+        if c in CLOSING.values():
+            opened.append(c)
+        elif c in CLOSING:
+            if opened and opened[-1] == CLOSING[c]:
+                opened.pop()
+            elif i >= LEAST_VALUE:
+                return m.start("plain"), value[:i]
+    return m.start("plain"), value
+
+
 def find_candidates(text: str | None) -> list[tuple[int, str, bool]]:
     """(place, value, whether a secret's name stands before it)."""
     if not text:
         return []
-    found = {m.start(1): (m.start(1), m.group(1), True) for m in ASSIGNED.finditer(text)}
+    found = {a: (a, v, True) for a, v in map(assigned_value, ASSIGNED.finditer(text))}
     taken = sorted((a, a + len(v)) for a, v, _ in found.values())
     spans = iter(taken)
     span = next(spans, None)
@@ -136,11 +168,13 @@ def pair_logp(value: str, pairs: np.ndarray) -> float:
 
 
 def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], np.ndarray]:
-    """The frequent words of the corpus (DICTIONARY at most), and log probabilities of character
-    pairs in all its words (256 x 256)."""
+    """The words that make up DICTIONARY_SHARE of the corpus or more, each, and log probabilities
+    of character pairs in all its words (256 x 256)."""
     words = count_words(docs, text)
-    top = most_frequent(words.where(F.octet_length("word").between(3, LONGEST_WORD)
-                                    & F.decode("word", "UTF-8").rlike("^\\p{L}+$")), DICTIONARY)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = words.where((F.col("n") >= total * DICTIONARY_SHARE)
+                      & F.octet_length("word").between(3, LONGEST_WORD)
+                      & F.decode("word", "UTF-8").rlike("^\\p{L}+$")).select("word").collect()
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16)
@@ -162,7 +196,7 @@ def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], np.ndarray
             F.sum("n").alias("n")).collect():
         counts[r["pair"] >> 8, r["pair"] & 255] += r["n"]
     logp = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return frozenset(w.decode() for w, _ in top), logp
+    return frozenset(bytes(r["word"]).decode() for r in top), logp
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -138,6 +138,31 @@ def test_secret_candidates_and_labels():
     assert secret_scan.coverage("xxhousexx", frozenset({"house", "hou"})) == 5 / 9
 
 
+def test_secret_assignments_in_all_forms():
+    def named(text):
+        return [v for a, v, name in secret_scan.find_candidates(text) if name and text[a:].startswith(v)]
+
+    assert named('{"password": "hunter2x", \'api_key\': \'p;q,r&s)1\'}') == ["hunter2x", "p;q,r&s)1"]
+    assert named('conf["password"] = "hunter2x"') == ["hunter2x"]
+    assert named(r'{\"password\": \"hunter2x\"}') == ["hunter2x"]
+    assert named("token=abcdef;password=hunter2x") == ["abcdef", "hunter2x"]
+    assert named("?token=abc123&secret=hunter2x, x") == ["abc123", "hunter2x"]
+    assert named("token=ab;password=hunter2x") == ["hunter2x"]
+    assert named("f(token=hunter2x) {pwd:hunter3x}") == ["hunter2x", "hunter3x"]
+    assert named("pwd=a(b)c;d1 and pwd=ab)cd12") == ["a(b)c;d1", "ab)cd12"]  # nothing is lost
+    assert secret_scan.verified("4539578763621486", True) is None  # a card number proves nothing
+    assert secret_scan.verified("4539578763621487", True) == 1
+    assert secret_scan.verified("4539-5787-6362-1486", False) == 0
+
+
+def test_dictionary_has_no_cap(spark):
+    """30,000 words of equal count are all above the share."""
+    letters = "abcdefghij"
+    text = " ".join("x" + "".join(letters[int(c)] for c in f"{i:05d}") for i in range(30_000))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    assert len(secret_scan.corpus_words(docs, "text")[0]) == 30_000
+
+
 @pytest.fixture(scope="module")
 def leaky(spark):
     """Unlabelled keys among build ids: the neighbours tell them apart."""
