@@ -12,12 +12,17 @@ tree.
    splits the sources' block counts of a node between its halves by a
    multivariate hypergeometric draw, until each shard has exact block quotas.
    It works on one count per source, the recipe; documents never reach it.
+   Up to `GROUPS` sources are nodes of their own.  Beyond, neighbours in order
+   share a node, and each group's quotas are split among its sources by a
+   tree of its own, a task a group.
 4. Shards take their quotas as disjoint runs of each source's block draws, and
    each shard is shuffled locally by a second digest.
 
 Everything that touches rows is DataFrame expressions: digests, one grouping
-by (source, block), a window over each source's cut block, and a join to the
-recipe, whose size is bounded by `max_sources` and the number of blocks.
+by (source, block), a window over each source's cut block, and joins to the
+recipe, a staged table of one row a source: broadcast if it is counted to be
+small, else by a salted shuffle.  The number of sources has no limit unless
+the caller sets `max_sources`.
 
 Rows: a NULL text has size 0; NULL is a source of its own, last in order;
 rows of equal id and source are drawn together; repeated rows come back once
@@ -27,14 +32,16 @@ Extra input columns pass through `draw_rows` unchanged.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm.common import GAP_CHARS, internal, words
+from quarry.llm.common import internal, small_side_join, words
+from quarry.operators.prefix import running_totals
 from quarry.session import stage
 
 #: Weights of the sources in code point order, repeating.
@@ -42,12 +49,15 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Hex digits of the digest that place a row in a block.
 PLACE_DIGITS = 8
+#: Nodes of the first splitting tree.
+GROUPS = 1024
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """One row a source: targets, draws and the shard of every block draw."""
-    rows: list[tuple]
+    """A staged table of one row a source: target, draws and the shard of
+    every block draw."""
+    table: DataFrame
     n_shards: int
 
 
@@ -86,66 +96,134 @@ def share_targets(sizes: list[int], weights: list[float], max_epochs: float) ->
     return targets
 
 
-def split_quotas(counts: list[int], n_shards: int, seed: int) -> list[list[int]]:
-    """counts[s] blocks of source s dealt to the shards: quotas[shard][s].
-    Shard sizes differ by one block at most; every split of a node is a
+def split_tree(counts: np.ndarray, edge: np.ndarray,
+               seed: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sources, their blocks): counts[s] blocks of source s dealt to
+    shards of edge[j + 1] - edge[j] blocks.  Every split of a node is a
     multivariate hypergeometric draw with its own seed."""
-    total = sum(counts)
-    edge = [total * j // n_shards for j in range(n_shards + 1)]
-    quotas: list[list[int]] = [[]] * n_shards
-    todo = [(0, n_shards, np.array(counts, np.int64))]
+    todo = [(0, len(edge) - 1, np.arange(len(counts)), np.asarray(counts, np.int64))]
     while todo:
-        lo, hi, node = todo.pop()
+        lo, hi, at, node = todo.pop()
         if hi - lo == 1:
-            quotas[lo] = node.tolist()
+            yield lo, at, node
             continue
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
+        rng = np.random.default_rng([*seed, lo, hi])
         left = rng.multivariate_hypergeometric(node, edge[mid] - edge[lo], method="marginals")
-        todo += [(lo, mid, left), (mid, hi, node - left)]
-    return quotas
+        for lo_, hi_, part in ((lo, mid, left), (mid, hi, node - left)):
+            if len(at) > GROUPS:  # most sources of a large node have no block in it
+                todo.append((lo_, hi_, at[part > 0], part[part > 0]))
+            else:
+                todo.append((lo_, hi_, at, part))
+
+
+def split_quotas(counts: list[int], n_shards: int, seed: int) -> list[list[int]]:
+    """quotas[shard][s] of counts[s] blocks of source s.  Shard sizes differ
+    by one block at most."""
+    total = sum(counts)
+    edge = np.array([total * j // n_shards for j in range(n_shards + 1)], np.int64)
+    quotas = np.zeros((n_shards, len(counts)), np.int64)
+    for shard, at, node in split_tree(np.array(counts, np.int64), edge, [seed]):
+        quotas[shard, at] = node
+    return quotas.tolist()
+
+
+def source_targets(sizes: DataFrame, total: int, weights: tuple[float, ...],
+                   max_epochs: float) -> DataFrame:
+    """Adds rank (NULL last) and target to (source, source_size), as
+    `share_targets` over the ranked sources: each round is one aggregate."""
+    ranked = running_totals(sizes.withColumn("last", F.col("source").isNull()).withColumn(
+        "one", F.lit(1).cast("long")), ["last"], "source", ["one"], ["rank"])
+    named = sizes.where("source IS NOT NULL").count()
+    rank = F.col("rank") - 1 + F.when(F.col("last"), F.lit(named)).otherwise(0)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]),
+                   F.pmod(rank, F.lit(len(weights))).cast("int"))
+    rows = stage(ranked.select("source", "source_size", rank.cast("long").alias("rank"),
+                               weight.alias("weight")), "sources")
+    most = F.lit(max_epochs) * F.col("source_size")
+    over, stopped = F.lit(False), -1
+    while True:
+        n, used, free = rows.agg(
+            F.count_if(over), F.coalesce(F.sum(F.when(over, most)), F.lit(0)),
+            F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        share = F.lit(float(total - used)) * F.col("weight") / F.lit(free or 1.0)
+        if n == stopped:
+            return rows.withColumn("target", F.when(over, most.cast("double")).otherwise(share))
+        over, stopped = share > most, n
 
 
 def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
              n_shards: int | None = None, shard_words: int = 8_000_000,
-             blocks_per_shard: int = 16, max_shards: int = 1024, max_sources: int = 10_000,
-             seed: int = 20) -> Recipe:
+             blocks_per_shard: int = 16, max_shards: int = 1024, max_sources: int | None = None,
+             groups: int = GROUPS, seed: int = 20) -> Recipe:
     """The recipe for staged rows (source, size, key)."""
-    got = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
-    if len(got) > max_sources:
+    sizes = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    if max_sources is not None and n > max_sources:
         raise ValueError(f"a mix has at most {max_sources} sources")
-    got.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [int(r["size"]) for r in got]
-    wts = [weights[i % len(weights)] for i in range(len(got))]
-    targets = share_targets(sizes, wts, max_epochs)
-    total = sum(sizes)
     shards = n_shards or max(1, min(max_shards, math.ceil(total / shard_words)))
-    per_block = max(1, total / (shards * blocks_per_shard))
-    blocks = [max(1, round(s / per_block)) for s in sizes]
-    base = [int(t // s) if s else 0 for t, s in zip(targets, sizes)]
-    extra = [t - b * s for t, b, s in zip(targets, base, sizes)]
-    cuts = _cut_keys(rows, got, blocks, extra)
-    draws = [b * n + (cut[0] + 1 if cut else 0) for b, n, cut in zip(base, blocks, cuts)]
-    quotas = split_quotas(draws, shards, seed)
-    shard_of = [np.repeat(np.arange(shards), [q[i] for q in quotas]).tolist()
-                for i in range(len(got))]
-    return Recipe([(r["source"], sizes[i], targets[i], base[i], blocks[i],
-                    cuts[i][1] if cuts[i] else "", bool(cuts[i] and cuts[i][2]), shard_of[i])
-                   for i, r in enumerate(got)], shards)
-
-
-def _recipe_frame(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
-    return rows.sparkSession.createDataFrame(table, T._parse_datatype_string(schema))
-
-
-def _cut_keys(rows: DataFrame, got: list, blocks: list[int],
-              extra: list[float]) -> list[tuple[int, str, bool] | None]:
+    per_block = float(max(1, total / (shards * blocks_per_shard)))
+    size = F.col("source_size")
+    base = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int")
+    plan = stage(source_targets(sizes, total, weights, max_epochs).select(
+        "source", "source_size", "rank", "target", base.alias("base"),
+        F.greatest(F.rint(size / F.lit(per_block)), F.lit(1)).cast("int").alias("blocks")), "plan")
+    cuts = _cut_keys(rows, plan).select(F.col("source").alias("c_source"), "cut_block", "cut", "fits")
+    whole = plan.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    draws = F.col("base").cast("long") * F.col("blocks") + F.coalesce(F.col("cut_block") + 1, F.lit(0))
+    drawn = stage(whole.select(
+        "source", "source_size", "target", "base", "blocks", "rank",
+        F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("fits", F.lit(False)).alias("fits"),
+        draws.alias("n_draws"),
+        F.floor(F.col("rank") * F.lit(min(n, groups)) / F.lit(max(1, n))).cast("int").alias("part")),
+        "drawn")
+    dealt = _dealt(drawn, n, shards, groups, seed)
+    table = drawn.join(dealt.withColumnRenamed("rank", "d_rank"), F.col("rank") == F.col("d_rank"))
+    return Recipe(stage(table.select("source", "source_size", "target", "base", "blocks", "cut",
+                                     "fits", "shard_of"), "recipe"), shards)
+
+
+def _dealt(drawn: DataFrame, n: int, shards: int, groups: int, seed: int) -> DataFrame:
+    """(rank, shard_of): the shard of every block draw of each source."""
+    spark = drawn.sparkSession
+    counts = [0] * min(n, groups)
+    for r in drawn.groupBy("part").agg(F.sum("n_draws").alias("n")).collect():  # `groups` at most
+        counts[r["part"]] = r["n"]
+    quotas = split_quotas(counts, shards, seed)
+    parts = [(i, np.repeat(np.arange(shards), [q[i] for q in quotas]).tolist())
+             for i in range(len(counts))]
+    if n <= groups:  # a group is a source
+        return spark.createDataFrame(parts, "rank long, shard_of array<int>")
+
+    def split(sources: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values("rank")
+        shard_of: list[list[int]] = [[] for _ in range(len(sources))]
+        if len(sources):
+            dealt = np.asarray(quota["shard_of"].iloc[0], np.int64)
+            used, many = np.unique(dealt, return_counts=True)
+            edge = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+            if len(used):
+                for j, at, node in split_tree(sources["n_draws"].to_numpy(np.int64), edge,
+                                              [seed, int(quota["part"].iloc[0]), 1]):
+                    for i, k in zip(at[node > 0].tolist(), node[node > 0].tolist()):
+                        shard_of[i] += [int(used[j])] * k
+        # sorted, the partial last draw of small sources would always fall to late shards
+        rng = np.random.default_rng([seed, int(sources["part"].iloc[0]) if len(sources) else 0, 2])
+        return pd.DataFrame({"rank": sources["rank"],
+                             "shard_of": [rng.permutation(x).astype(int).tolist() for x in shard_of]})
+
+    told = spark.createDataFrame(parts, "part int, shard_of array<int>")
+    return drawn.select("part", "rank", "n_draws").groupBy("part").cogroup(
+        told.groupBy("part")).applyInPandas(split, "rank long, shard_of array<int>")
+
+
+def _cut_keys(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """For each source the block, key and verdict of the row at which its last,
     partial round ends: rows of smaller keys are drawn, the row itself if at
-    least half of it fits.  None: the round is empty."""
-    want = [(r["source"], n, x) for r, n, x in zip(got, blocks, extra)]
-    recipe = F.broadcast(_recipe_frame(rows, want, "r_source string, blocks int, extra double"))
-    placed = rows.join(recipe, F.col("source").eqNullSafe(F.col("r_source"))).withColumn(
+    least half of it fits.  No row: the round is empty."""
+    extra = F.col("target") - F.col("base") * F.col("source_size")
+    placed = small_side_join(rows, plan.select("source", "blocks", extra.alias("extra")),
+                             ["source"], "inner").withColumn(
         "block", block_of(F.col("key"), F.col("blocks")))
     totals = placed.groupBy("source", "extra", "block").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("block").rowsBetween(
@@ -153,36 +231,29 @@ def _cut_keys(rows: DataFrame, got: list, blocks: list[int],
     at = totals.withColumn("after", F.sum("words").over(run)).withColumn(
         "before", F.col("after") - F.col("words")).where(
         (F.col("before") <= F.col("extra")) & (F.col("extra") < F.col("after")))
-    cut_block = F.broadcast(at.select(F.col("source").alias("c_source"),
-                                      F.col("block").alias("c_block"), "before"))  # a row a source
-    inside = placed.join(cut_block, F.col("source").eqNullSafe(F.col("c_source"))
-                         & (F.col("block") == F.col("c_block")))
-    ties = inside.groupBy("source", "extra", "block", "before", "key").agg(
+    cut_block = stage(at.select("source", F.col("block").alias("cut_block"), "before"), "cuts")
+    inside = small_side_join(placed, cut_block, ["source"], "inner").where("block = cut_block")
+    ties = inside.groupBy("source", "extra", "cut_block", "before", "key").agg(
         F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("key").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     found = ties.withColumn("after", F.col("before") + F.sum("words").over(order)).where(
         (F.col("after") - F.col("words") <= F.col("extra")) & (F.col("extra") < F.col("after")))
-    cuts = {r["source"]: (r["block"], r["key"], r["fits"]) for r in found.select(
-        "source", "block", "key",
-        (F.col("after") * 2 - F.col("words") <= F.col("extra") * 2).alias("fits")).collect()}
-    return [cuts.get(r["source"]) for r in got]
+    return found.select("source", "cut_block", F.col("key").alias("cut"),
+                        (F.col("after") * 2 - F.col("words") <= F.col("extra") * 2).alias("fits"))
 
 
-def with_draws(rows: DataFrame, recipe: Recipe, source: Column, key: Column) -> DataFrame:
+def with_draws(rows: DataFrame, recipe: Recipe, source: str, key: Column) -> DataFrame:
     """Adds source_size, target and draws (the shard of each draw of the row,
     an empty array if the mix leaves it out)."""
-    plan = F.broadcast(_recipe_frame(
-        rows, recipe.rows, "r_source string, source_size long, target double, base int, "
-        "blocks int, cut string, fits boolean, shard_of array<int>"))
     block = block_of(key, F.col("blocks"))
     more = (key < F.col("cut")) | ((key == F.col("cut")) & F.col("fits"))
     whole = F.transform(F.sequence(F.lit(0), F.col("base") - 1), lambda e: F.get(
         F.col("shard_of"), e * F.col("blocks") + block))
     whole = F.when(F.col("base") > 0, whole).otherwise(F.array().cast("array<int>"))
     last = F.array(F.get(F.col("shard_of"), F.col("base") * F.col("blocks") + block))
-    out = rows.join(plan, source.eqNullSafe(F.col("r_source")), "left")
-    return out.select(*[rows[c] for c in rows.columns], "source_size", "target",
+    out = small_side_join(rows, recipe.table.withColumnRenamed("source", source), [source])
+    return out.select(*rows.columns, "source_size", "target",
                       F.when(more, F.concat(whole, last)).otherwise(whole).alias("draws"))
 
 
@@ -198,7 +269,7 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, size, source_size, target, taken, draws of every row."""
     rows = sized_rows(docs, doc_id, text, source, seed)
     recipe = plan_mix(rows, seed=seed, **options)
-    return with_draws(rows, recipe, rows["source"], rows["key"]).select(
+    return with_draws(rows, recipe, "source", F.col("key")).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
@@ -212,7 +283,7 @@ def draw_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inner = [internal(f"c{i}") for i in range(len(names))]
     k, shard, place = internal("key"), internal("shard"), internal("place")
     rows = docs.toDF(*inner).withColumn(k, order_key(F.col(inner[names.index(doc_id)]), seed))
-    drawn = with_draws(rows, recipe, F.col(inner[names.index(source)]), F.col(k))
+    drawn = with_draws(rows, recipe, inner[names.index(source)], F.col(k))
     each = drawn.select(*inner, k, F.posexplode("draws").alias(place, shard)).withColumn(
         place, F.xxhash64(F.lit(seed), F.col(k), F.col(place)))
     dealt = each.repartition(recipe.n_shards, F.col(shard)).sortWithinPartitions(shard, place)

@@ -77,3 +77,29 @@ def test_awkward_rows(awkward, no_rows):
     assert mixing.mix_report(no_rows).count() == 0 and mixing.draw_rows(no_rows).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_report(awkward, max_sources=2)
+
+
+def test_sources_have_no_limit(spark):
+    """12,000 sources (each host its own): targets as shared on the driver,
+    and each draw of a block in a shard."""
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 30, 12_000)
+    rows = [(i, " ".join(["w"] * int(n)), f"host{i:05d}") for i, n in enumerate(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix_report(docs, n_shards=5).collect()}
+    want = mixing.share_targets(size.tolist(), [mixing.WEIGHTS[i % 3] for i in range(12_000)], 3)
+    assert len(got) == 12_000
+    assert all(abs(got[i]["target"] - t) < 1e-6 for i, t in enumerate(want))
+    assert all(abs(got[i]["taken"] - t) <= size[i] for i, t in enumerate(want))
+    shards = Counter(s for r in got.values() for s in r["draws"])
+    assert set(shards) == set(range(5)) and max(shards.values()) - min(shards.values()) < 200
+
+
+def test_grouped_sources_are_dealt_alike(docs):
+    """Two groups of sources: the same words are taken, whole quotas dealt."""
+    opts = dict(n_shards=7, blocks_per_shard=4)
+    one = {r["doc_id"]: r for r in mixing.mix_report(docs, **opts).collect()}
+    two = {r["doc_id"]: r for r in mixing.mix_report(docs, groups=2, **opts).collect()}
+    assert all((one[i]["taken"], one[i]["target"]) == (two[i]["taken"], two[i]["target"])
+               and len(one[i]["draws"]) == len(two[i]["draws"]) for i in one)
+    assert all(0 <= s < 7 for r in two.values() for s in r["draws"])
