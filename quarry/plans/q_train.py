@@ -54,8 +54,7 @@ def regression_candidates(label=H_LABEL):
         TR.Candidate("DecisionTreeRegressor",
                      lambda: TR.decision_tree_regressor(label, H_FEATURES, maxDepth=30)),
         TR.Candidate("RandomForestRegressor",
-                     lambda: TR.random_forest_regressor(label, H_FEATURES, numTrees=100,
-                                                        maxDepth=6)),
+                     lambda: TR.random_forest_regressor(label, H_FEATURES, numTrees=100)),
     ]
 
 
@@ -162,7 +161,7 @@ def evaluate_registered(spark, sf_dir):
         *H_FEATURES, F.expr(_RULE).cast("double").alias("label"), "row_key"))
     load = lambda: IO.read_or_default(spark, f"{root}/absent.csv", table.schema, lambda: table)
     cands = [TR.Candidate("DecisionForest", lambda: TR.random_forest_classifier(
-        "label", H_FEATURES, numTrees=10, maxDepth=6))]
+        "label", H_FEATURES, numTrees=100))]
     J.retrain(spark, reg, f"{root}/events", "iris", "performance_drop", load, "label", "row_key",
               "classification", cands, history_path=history)
     now = E.evaluate_registered(reg, "IrisBestModel", "iris", table, "classification", "label",

@@ -44,3 +44,14 @@ def test_regression_metrics_numpy(spark):
     assert abs(m.rmse - np.sqrt(np.mean((y - p) ** 2))) < 1e-12
     assert abs(m.r2_score - (1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2))) < 1e-12
     assert m.mape_undefined == 1
+
+
+def test_forests_grow_as_deep_as_the_tree(spark):
+    """A checkerboard needs more than six levels."""
+    from quarry.operators import train as TR
+
+    rows = [(float(a), float(b), float((a + b) % 2)) for a in range(16) for b in range(16)] * 4
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    for make in (TR.random_forest_classifier, TR.random_forest_regressor):
+        model = make("y", ["a", "b"], numTrees=3).fit(df)
+        assert max(t.depth for t in model.stages[-1].trees) > 6
