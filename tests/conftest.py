@@ -12,6 +12,3 @@ def spark():
     s = local_session(cores=4, partitions=4, app="quarry-tests")
     yield s
     s.stop()
-
-
-SF = "/root/testdata/sf0.001"

@@ -80,7 +80,7 @@ def test_prepare_fit_on_train(spark):
     from quarry.plans import prepare as PP
     from quarry.plans.q_features import H_SPEC
     from quarry.sources.tables import regression_table
-    from conftest import SF
+    from constants import SF
     h = regression_table(spark, SF).withColumn(
         "row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     a = PP.prepare(h, "regression", "row_key", "l_extendedprice", regression_spec=H_SPEC)
@@ -104,7 +104,7 @@ def test_score_checks_features(spark):
 def test_profile_report_sections(spark):
     from quarry.operators import profile as P
     from quarry.sources.tables import read_table
-    from conftest import SF
+    from constants import SF
     o = read_table(spark, SF, "orders")
     rows = P.profile_report(o, "orders", target="o_totalprice",
                             categorical=["o_orderstatus"]).collect()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quarry.operators import evaluate as E
 from quarry.operators import split as SP
 from quarry.sources.tables import read_table
-from conftest import SF
+from constants import SF
 
 
 def test_hash_split_is_partition_independent(spark):
