@@ -15,8 +15,11 @@ from quarry.llm import (
     mixing,
     pu_classifier,
     quality_rules,
+    resample,
+    reshard,
     secret_scan,
     simhash,
+    spelling,
     warc,
     wavelet,
 )
@@ -212,6 +215,90 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@register("op11_spelling_variants", r"""WITH RECURSIVE
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+r AS (SELECT id, w, count(*) AS n FROM (
+        SELECT id, unnest(regexp_extract_all(t, '[a-zÀ-ÿ]+')) AS w FROM d) GROUP BY id, w),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(id || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128
+        THEN [256 + ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]
+        ELSE [451::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0, 192 + ord(c), 0, 0, 0, 0, 0, 0, 0, 0] END))),
+        lambda c, x: CASE WHEN x >= 256 THEN xor(c, x - 256)
+        ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS h FROM r),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+        ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM c WHERE length(word) >= 6 AND n >= 5),
+k AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y
+        ON y.i = x.i AND y.a = x.a AND y.b = x.b AND y.word <> x.word
+      UNION SELECT x.word, y.word, y.n FROM k x JOIN v y ON y.word = x.a || x.b
+      UNION SELECT y.word, x.word, x.n FROM k x JOIN v y ON y.word = x.a || x.b),
+f AS (SELECT v.word, v.n, count(near) AS n_near, max(near_n) AS top,
+        arg_min(near, (-near_n, near)) AS best FROM v LEFT JOIN e ON e.word = v.word GROUP BY v.word, v.n),
+g AS (SELECT word, CASE WHEN top >= 5 * n THEN best END AS form, n, n_near,
+        CASE WHEN top >= 5 * n THEN top END AS form_n FROM f),
+u AS (SELECT word, word AS root, form AS up FROM g
+      UNION ALL SELECT u.word, g.word, g.form FROM u JOIN g ON g.word = u.up)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN u ON u.word = g.word AND u.up IS NULL""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the far more frequent word that it is a variant of."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op12_importance_resample", r"""WITH a AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL
+  SELECT 't', NULL, text FROM benchmark),
+w AS (SELECT side, id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM a),
+o AS (SELECT side, row, f, count(*) AS n FROM (SELECT side, row, unnest(list_concat(w,
+  list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w) GROUP BY ALL),
+f AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    range(0, length(x) // 2), lambda i: [256 + ('0x' || substr(x, 2 * i + 1, 2))::BIGINT,
+    0, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: CASE WHEN x >= 256 THEN xor(c, x - 256)
+    ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM o))),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0)::BIGINT AS s,
+  coalesce(sum(n) FILTER (side = 't'), 0)::BIGINT AS t FROM o JOIN f USING (f) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE /
+  ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM c),
+m AS (SELECT row, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight
+  FROM o JOIN f USING (f) JOIN g USING (bucket) WHERE side = 's' GROUP BY row),
+x AS (SELECT id, len(w) AS words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(id::VARCHAR, '')),
+  1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN m ON m.row = w.row WHERE side = 's'),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, id NULLS LAST) AS r,
+  25 * count(*) FILTER (words >= 20) OVER () // 100 AS k FROM x)
+SELECT id AS doc_id, n AS n_features, weight, score,
+  CASE WHEN words >= 20 AND r <= k THEN r END AS rank FROM r""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document; the benchmark is the target."""
+    return resample.resample(table(spark, sf_dir, "documents"),
+                             table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+#: Shards of the layout that op13 finds, and that it makes of them.
+OLD_SHARDS, NEW_SHARDS = 5, 8
+
+
+@register("op13_flow_reshard")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in shards by their text, equal texts together; moved
+    into shards of equal bytes and read back from the files."""
+    docs = table(spark, sf_dir, "documents")
+    text_crc32 = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    old = reshard.write_layout(docs, text_crc32 % OLD_SHARDS, reshard.document_size(F.col("text")),
+                               [F.col("doc_id"), text_crc32])
+    found = reshard.read_layout(reshard.balance(old, NEW_SHARDS))
+    return found.select(
+        "doc.doc_id", "size",
+        F.crc32(F.coalesce("doc.text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard")
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 

@@ -40,5 +40,5 @@ def test_stages_bear_awkward_and_empty_tables(spark, awkward, no_rows, step):
 
 def test_queries_are_registered():
     names = Q.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in names)] == []
     assert "pipeline" in names and set(Q.oracle_sql()) <= set(names)
