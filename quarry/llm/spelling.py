@@ -11,11 +11,12 @@ third; its *pivots* are two grams of the prefix that don't overlap, chosen by
 dynamic programming so that as few words as possible hold them.  Let word a
 have the lower last prefix gram.  One edit of a spoils one of its two pivots
 at most; the other one is a gram of b, not after a's last prefix gram, so not
-after b's, and stands in b's prefix.  It has moved as far as the lengths
-differ if the edit lies before it, else not at all: index entries are keyed by
-(gram, length, position), and a pivot asks for five such keys.  What meets is
-verified by its edit distance.  No pair is lost, none is made within a group
-that differs in more than its key, and no list of partners is capped.
+after b's, and stands in b's prefix.  If the edit lies behind it, it stands
+where it stood and all before it is the same; if the edit lies before it, it
+has moved as far as the lengths differ and all after it is the same.  So index
+entries are keyed by gram, length, position and a hash of either part, and a
+pivot asks for six such keys.  What meets is verified by its edit distance.
+No pair is lost, and no list of partners is capped.
 
 Rows: a NULL or empty text has no words; a NULL doc_id counts as an empty
 name; repeated rows count as often as they stand there; very long texts are
@@ -179,20 +180,27 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of `words` (word, n; distinct, of four code
     points or more) whose edit distance is one, once."""
     ident = F.xxhash64("word").alias("id")  # words of one id are told apart below
-    indexed = stage(gram_index(words).select(ident, "len", "last", "prefix", "pivots"), "grams")
-    stored = indexed.select(F.col("id").alias("b"), F.col("last").alias("b_last"), "len",
-                            F.explode("prefix").alias("e")).select("b", "b_last", "len", "e.g", "e.p")
-    # (length, position) of the pivot in a near word: an edit behind it or
-    # before it, where the word grows, shrinks or keeps its length
-    moves = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"))
-                      for n, p in [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]])
-    asked = indexed.select(
-        F.col("id").alias("a"), F.col("last").alias("a_last"), F.col("len").alias("a_len"),
-        F.explode("pivots").alias("e"), moves.alias("moves")).select(
-        "a", "a_last", "a_len", "e", F.explode("moves").alias("m")).select(
-        "a", "a_last", (F.col("a_len") + F.col("m.n")).alias("len"), F.col("e.g").alias("g"),
-        (F.col("e.p") + F.col("m.p")).alias("p"))
-    met = asked.join(stored, ["g", "len", "p"]).where(
+    indexed = stage(gram_index(words), "grams")
+
+    def sides(of: str) -> DataFrame:
+        """Grams of a kind with the word's part up to them (side 0: an edit
+        lies behind) and from them on (side 1: an edit lies before)."""
+        each = indexed.select(ident, "word", "last", "len", F.explode(of).alias("e"))
+        parts = F.array(*[F.struct(F.lit(i).alias("side"), F.xxhash64(part).alias("part"))
+                          for i, part in enumerate((F.substring("word", F.lit(1), F.col("e.p") + 2),
+                                                    F.substring("word", F.col("e.p") + 1, F.col("len"))))])
+        return each.select("id", "last", "len", "e.g", "e.p", F.explode(parts).alias("s")).select(
+            "id", "last", "len", "g", "p", "s.side", "s.part")
+
+    stored = sides("prefix").withColumnsRenamed({"id": "b", "last": "b_last"})
+    # the near word is as long, longer or shorter; what lies after the edit moves
+    grown = F.explode(F.array(*[F.lit(n) for n in (0, 1, -1)]))
+    asked = sides("pivots").select(
+        F.col("id").alias("a"), F.col("last").alias("a_last"), "len", "g", "p", "side", "part",
+        grown.alias("more")).select(
+        "a", "a_last", (F.col("len") + F.col("more")).alias("len"), "g",
+        (F.col("p") + F.col("side") * F.col("more")).alias("p"), "side", "part")
+    met = asked.join(stored, ["g", "len", "p", "side", "part"]).where(
         "a_last < b_last or (a_last = b_last and a <= b)").select("a", "b").distinct()
     left = words.select(ident.alias("a"), F.col("word").alias("x"), F.col("n").alias("x_n"))
     right = words.select(ident.alias("b"), F.col("word").alias("y"), F.col("n").alias("y_n"))
