@@ -11,12 +11,12 @@ third; its *pivots* are two grams of the prefix that don't overlap, chosen by
 dynamic programming so that as few words as possible hold them.  Let word a
 have the lower last prefix gram.  One edit of a spoils one of its two pivots
 at most; the other one is a gram of b, not after a's last prefix gram, so not
-after b's, and stands in b's prefix.  If the edit lies behind it, it stands
-where it stood and all before it is the same; if the edit lies before it, it
-has moved as far as the lengths differ and all after it is the same.  So index
-entries are keyed by gram, length, position and a hash of either part, and a
-pivot asks for six such keys.  What meets is verified by its edit distance.
-No pair is lost, and no list of partners is capped.
+after b's, and stands in b's prefix.  The edit lies behind it (then it stands
+where it stood) or before it (then it has moved as far as the lengths differ),
+and in the first half of the word or in the rest: index entries are keyed by
+gram, length, position and a hash of what each case leaves as it was (`_keys`).
+What meets is verified by its edit distance.  No pair is lost, and no list of
+partners is capped.
 
 Rows: a NULL or empty text has no words; a NULL doc_id counts as an empty
 name; repeated rows count as often as they stand there; very long texts are
@@ -31,7 +31,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import give_back
@@ -176,40 +176,59 @@ def gram_index(words: DataFrame) -> DataFrame:
 
 # --- join -----------------------------------------------------------------------
 
+def _keys(size: Column, at: Column, near_size: Column, near_at: tuple[Column, Column],
+          least: Column) -> Column:
+    """Join keys of a gram `g` at place `at` of `word` (`size` code points),
+    for a near word of `near_size` that has it at one of two places, `least`
+    being the smaller size.
+
+    The gram is whole in both words.  The edit lies behind it (first place) or
+    before it (second place), and in the first half (`half` code points of the
+    shorter word) or in the rest.  Each case leaves two known parts as they
+    were: 0: behind, in the rest; 1: behind, in the first half; 2: before, in
+    the first half; 3: before, in the rest."""
+    half = F.floor(least / 2).cast("int")
+    rest, right = least - half, size - at  # code points after the half; from the gram on
+
+    def head(n: Column) -> Column:
+        return F.substring("word", F.lit(1), n)
+
+    def tail(n: Column) -> Column:
+        return F.substring("word", size - n + 1, n)
+
+    def key(case: int, *parts: Column) -> Column:
+        return F.xxhash64(F.lit(case), "g", near_size, near_at[case // 2], least, *parts)
+
+    return F.filter(F.array(
+        key(0, head(F.greatest(at + 2, half))),
+        F.when(at + 2 < half, key(1, head(at + 2), tail(rest))),
+        key(2, tail(F.greatest(rest, right))),
+        F.when(right < rest, key(3, head(half), tail(right)))), lambda k: k.isNotNull())
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of `words` (word, n; distinct, of four code
     points or more) whose edit distance is one, once."""
-    ident = F.xxhash64("word").alias("id")  # words of one id are told apart below
-    indexed = stage(gram_index(words), "grams")
-
-    def sides(of: str) -> DataFrame:
-        """Grams of a kind with the word's part up to them (side 0: an edit
-        lies behind) and from them on (side 1: an edit lies before)."""
-        each = indexed.select(ident, "word", "last", "len", F.explode(of).alias("e"))
-        parts = F.array(*[F.struct(F.lit(i).alias("side"), F.xxhash64(part).alias("part"))
-                          for i, part in enumerate((F.substring("word", F.lit(1), F.col("e.p") + 2),
-                                                    F.substring("word", F.col("e.p") + 1, F.col("len"))))])
-        return each.select("id", "last", "len", "e.g", "e.p", F.explode(parts).alias("s")).select(
-            "id", "last", "len", "g", "p", "s.side", "s.part")
-
-    stored = sides("prefix").withColumnsRenamed({"id": "b", "last": "b_last"})
-    # the near word is as long, longer or shorter; what lies after the edit moves
-    grown = F.explode(F.array(*[F.lit(n) for n in (0, 1, -1)]))
-    asked = sides("pivots").select(
-        F.col("id").alias("a"), F.col("last").alias("a_last"), "len", "g", "p", "side", "part",
-        grown.alias("more")).select(
-        "a", "a_last", (F.col("len") + F.col("more")).alias("len"), "g",
-        (F.col("p") + F.col("side") * F.col("more")).alias("p"), "side", "part")
-    met = asked.join(stored, ["g", "len", "p", "side", "part"]).where(
-        "a_last < b_last or (a_last = b_last and a <= b)").select("a", "b").distinct()
-    left = words.select(ident.alias("a"), F.col("word").alias("x"), F.col("n").alias("x_n"))
-    right = words.select(ident.alias("b"), F.col("word").alias("y"), F.col("n").alias("y_n"))
-    near = met.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", 1) == 1)
-    one = F.struct(F.col("x").alias("w"), F.col("x_n").alias("n"))
-    other = F.struct(F.col("y").alias("w"), F.col("y_n").alias("n"))
-    pair = near.select(F.least(one, other).alias("l"), F.greatest(one, other).alias("r"))
-    return pair.select(F.col("l.w").alias("a"), F.col("l.n").alias("a_n"),
-                       F.col("r.w").alias("b"), F.col("r.n").alias("b_n")).distinct()
+    indexed = stage(gram_index(words).withColumn("id", F.monotonically_increasing_id()), "grams")
+
+    def entries(of: str) -> DataFrame:
+        return indexed.select("id", "word", "last", "len", F.explode(of).alias("e")).select(
+            "id", "word", "last", "len", "e.g", "e.p")
+
+    size, at = F.col("len"), F.col("p")
+    # the stored word is as long or shorter than the other one, or longer by one
+    own = [_keys(size, at, size, (at, at), least) for least in (size, size - 1)]
+    stored = entries("prefix").select(F.col("id").alias("b"), F.col("last").alias("b_last"),
+                                      F.explode(F.flatten(F.array(*own))).alias("key"))
+    near = [_keys(size, at, size + more, (at, at + more), size + min(more, 0)) for more in (0, 1, -1)]
+    asked = entries("pivots").select(F.col("id").alias("a"), F.col("last").alias("a_last"),
+                                     F.explode(F.flatten(F.array(*near))).alias("key"))
+    met = asked.join(stored, "key").where(
+        "a_last < b_last or (a_last = b_last and a < b)").select("a", "b").distinct()
+    left = indexed.select(F.col("id").alias("a"), F.col("word").alias("x"), F.col("n").alias("x_n"))
+    right = indexed.select(F.col("id").alias("b"), F.col("word").alias("y"), F.col("n").alias("y_n"))
+    return met.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", 1) == 1).select(
+        F.col("x").alias("a"), F.col("x_n").alias("a_n"), F.col("y").alias("b"), F.col("y_n").alias("b_n"))
 
 
 def variant_forms(words: DataFrame, form_ratio: int = FORM_RATIO) -> DataFrame:
