@@ -13,8 +13,8 @@ have the lower last prefix gram.  One edit of a spoils one of its two pivots
 at most; the other one is a gram of b, not after a's last prefix gram, so not
 after b's, and stands in b's prefix.  The edit lies behind it (then it stands
 where it stood) or before it (then it has moved as far as the lengths differ),
-and in the first half of the word or in the rest: index entries are keyed by
-gram, length, position and a hash of what each case leaves as it was (`_keys`).
+and in one of three thirds of the word, so the other two are as they were:
+index entries are keyed by gram, length, position and a hash of two thirds.
 What meets is verified by its edit distance.  No pair is lost, and no list of
 partners is capped.
 
@@ -31,7 +31,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import give_back
@@ -148,81 +149,93 @@ def gram_counts(words: DataFrame) -> DataFrame:
             .groupBy("gram").agg(F.count("*").alias("n")))
 
 
+# --- keys -----------------------------------------------------------------------
+
+FIRST, MIDDLE, LAST = range(3)
+BEFORE, BEHIND = range(2)
+
+
+def _key(word: str, part: int, side: int, gram: int, place: int, size: int, least: int) -> int:
+    """Hash of what an edit in a third of the word leaves as it was, and of the
+    gram, its place and the word's size in the stored word."""
+    one, two = least // 3, 2 * least // 3
+    head, tail = ((0, least - one), (one, least - two), (two, 0))[part]
+    rest = f"{part},{side},{gram},{place},{size},{least},{word[:head]},{word[len(word) - tail:]}"
+    return xxhash.xxh64_intdigest(rest.encode()) - (1 << 63)
+
+
+def asked_keys(word: str, pivot: list[tuple[int, int]]) -> list[int]:
+    """Keys under which a word one edit away is stored.
+
+    `more` is how much longer that word is, and the edit lies in one of three
+    thirds of the shorter word (in two where it is an insertion between them).
+    A pivot that lies outside that third is whole, and all on one side; if
+    there is none, both pivots are asked for on both sides."""
+    out = []
+    for more in (0, 1, -1):
+        least = len(word) + min(more, 0)
+        one, two = least // 3, 2 * least // 3
+        shift = int(more < 0)
+        for part in (FIRST, MIDDLE, LAST):
+            behind_at, before_at = ((-1, one + shift), (one - 2, two + shift),
+                                    (two - 2, len(word)))[part]
+            sure = [(e, BEHIND) for e in pivot if e[1] <= behind_at] + [
+                (e, BEFORE) for e in pivot if e[1] >= before_at]
+            for (g, p), side in sure[:1] or [(e, d) for e in pivot for d in (BEFORE, BEHIND)]:
+                place = p + more if side == BEFORE else p
+                out.append(_key(word, part, side, g, place, len(word) + more, least))
+    return out
+
+
+def stored_keys(word: str, entries: list[tuple[int, int]]) -> list[int]:
+    """Keys of a word's prefix grams, as the shorter or equally long word and
+    as the longer one, for the sides on which an edit can lie."""
+    out = []
+    for least in (len(word), len(word) - 1):
+        one, two = least // 3, 2 * least // 3
+        for g, p in entries:
+            for part, side, possible in (
+                    (FIRST, BEFORE, True), (FIRST, BEHIND, p + 2 <= one),
+                    (MIDDLE, BEFORE, p >= one), (MIDDLE, BEHIND, p + 2 <= two),
+                    (LAST, BEFORE, p >= two), (LAST, BEHIND, True)):
+                if possible:
+                    out.append(_key(word, part, side, g, p, len(word), least))
+    return out
+
+
 def gram_index(words: DataFrame) -> DataFrame:
-    """word, n, len, last (rank of the prefix's last gram), prefix and pivots
-    as arrays of (gram rank, position)."""
+    """word, n, last (rank of the prefix's last gram), asked and stored keys."""
     counted = sorted((r["n"], r["gram"]) for r in gram_counts(words).collect())
     rank = {g: i for i, (_, g) in enumerate(counted)}
     weight = [n for n, _ in counted]
-    entry = pa.list_(pa.struct([("g", pa.int32()), ("p", pa.int32())]))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = pa.list_(pa.int64())
         for batch in batches:
             names = batch.column("word").to_pylist()
             entries = [prefix(w, rank) for w in names]
-            chosen = [pivots(e, weight) for e in entries]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("n"),
-                 pa.array([len(w) for w in names], pa.int32()),
                  pa.array([e[-1][0] for e in entries], pa.int32()),
-                 *(pa.array([[{"g": g, "p": p} for g, p in e] for e in side], entry)
-                   for side in (entries, chosen))],
-                ["word", "n", "len", "last", "prefix", "pivots"])
+                 pa.array([asked_keys(w, pivots(e, weight)) for w, e in zip(names, entries)], keys),
+                 pa.array([stored_keys(w, e) for w, e in zip(names, entries)], keys)],
+                ["word", "n", "last", "asked", "stored"])
+        give_back()
 
-    kind = "array<struct<g:int,p:int>>"
     return words.mapInArrow(
-        index, f"word string, n long, len int, last int, prefix {kind}, pivots {kind}")
+        index, "word string, n long, last int, asked array<long>, stored array<long>")
 
 
 # --- join -----------------------------------------------------------------------
 
-def _keys(size: Column, at: Column, near_size: Column, near_at: tuple[Column, Column],
-          least: Column) -> Column:
-    """Join keys of a gram `g` at place `at` of `word` (`size` code points),
-    for a near word of `near_size` that has it at one of two places, `least`
-    being the smaller size.
-
-    The gram is whole in both words.  The edit lies behind it (first place) or
-    before it (second place), and in the first half (`half` code points of the
-    shorter word) or in the rest.  Each case leaves two known parts as they
-    were: 0: behind, in the rest; 1: behind, in the first half; 2: before, in
-    the first half; 3: before, in the rest."""
-    half = F.floor(least / 2).cast("int")
-    rest, right = least - half, size - at  # code points after the half; from the gram on
-
-    def head(n: Column) -> Column:
-        return F.substring("word", F.lit(1), n)
-
-    def tail(n: Column) -> Column:
-        return F.substring("word", size - n + 1, n)
-
-    def key(case: int, *parts: Column) -> Column:
-        return F.xxhash64(F.lit(case), "g", near_size, near_at[case // 2], least, *parts)
-
-    return F.filter(F.array(
-        key(0, head(F.greatest(at + 2, half))),
-        F.when(at + 2 < half, key(1, head(at + 2), tail(rest))),
-        key(2, tail(F.greatest(rest, right))),
-        F.when(right < rest, key(3, head(half), tail(right)))), lambda k: k.isNotNull())
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of `words` (word, n; distinct, of four code
     points or more) whose edit distance is one, once."""
     indexed = stage(gram_index(words).withColumn("id", F.monotonically_increasing_id()), "grams")
-
-    def entries(of: str) -> DataFrame:
-        return indexed.select("id", "word", "last", "len", F.explode(of).alias("e")).select(
-            "id", "word", "last", "len", "e.g", "e.p")
-
-    size, at = F.col("len"), F.col("p")
-    # the stored word is as long or shorter than the other one, or longer by one
-    own = [_keys(size, at, size, (at, at), least) for least in (size, size - 1)]
-    stored = entries("prefix").select(F.col("id").alias("b"), F.col("last").alias("b_last"),
-                                      F.explode(F.flatten(F.array(*own))).alias("key"))
-    near = [_keys(size, at, size + more, (at, at + more), size + min(more, 0)) for more in (0, 1, -1)]
-    asked = entries("pivots").select(F.col("id").alias("a"), F.col("last").alias("a_last"),
-                                     F.explode(F.flatten(F.array(*near))).alias("key"))
+    asked = indexed.select(F.col("id").alias("a"), F.col("last").alias("a_last"),
+                           F.explode("asked").alias("key"))
+    stored = indexed.select(F.col("id").alias("b"), F.col("last").alias("b_last"),
+                            F.explode("stored").alias("key"))
     met = asked.join(stored, "key").where(
         "a_last < b_last or (a_last = b_last and a < b)").select("a", "b").distinct()
     left = indexed.select(F.col("id").alias("a"), F.col("word").alias("x"), F.col("n").alias("x_n"))

@@ -57,7 +57,7 @@ def rows(df):
     return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()}
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=3000, deadline=None)
 @given(st.text("abc", min_size=4, max_size=12), st.integers(0, 20), st.sampled_from("abcd"),
        st.integers(0, 2), st.randoms(use_true_random=False))
 def test_one_edit_keeps_a_pivot(word, at, letter, kind, rnd):
@@ -77,6 +77,7 @@ def test_one_edit_keeps_a_pivot(word, at, letter, kind, rnd):
     asked = S.pivots(pre[a], weight)
     assert len(asked) == 2 and abs(asked[0][1] - asked[1][1]) >= 2
     assert any((g, p + move) in pre[b] for g, p in asked for move in {0, shift})
+    assert set(S.asked_keys(a, asked)) & set(S.stored_keys(b, pre[b]))
 
 
 def test_pivots_are_the_lightest_pair():
