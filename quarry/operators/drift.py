@@ -12,7 +12,8 @@ p-value, by the caller's choice of law (the same at every size):
   lambda = (sqrt(m) + 0.12 + 0.11 / sqrt(m)) D, m = n1 n2 / (n1 + n2): the
   alternating series from lambda = 1 on, its theta-function dual below, where
   the alternating one does not converge in few terms.
-* `exact` (equal sample sizes n only; NULL otherwise):
+* `exact`, unequal sizes: lattice paths that leave the band (`exact_unequal`).
+* `exact`, equal sample sizes n:
       p = 2 * sum_{j>=1} (-1)^(j-1) C(2n, n - j h) / C(2n, n),   h = round(D n)
   with the ratio of binomials in closed form, so a term costs the same at any
   n; terms below 1e-17 of the first are not written out (about sqrt(40 n) / h).
@@ -22,6 +23,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,8 @@ from quarry.operators.quantiles import feature_name, unpivot_ids
 
 #: Terms after which either series has converged to double precision.
 SERIES_TERMS = 8
+#: Rows a side up to which method `auto` takes the exact law.
+EXACT_ROWS = 10_000
 LN_FACTORIALS = [math.lgamma(i + 1) for i in range(10)]
 
 
@@ -99,6 +104,43 @@ def _exact_equal_n(n: Column, d: Column) -> Column:
     return F.when(h <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
+def exact_unequal(n1: int, n2: int, d: float) -> float:
+    """P(D >= d) of samples of n1 and n2 rows under one continuous law.
+
+    A sample pair is a lattice path from (0, 0) to (n1, n2), all equally
+    likely.  f(x, y), the share of the paths to (x, y) that have left the band
+    |x / n1 - y / n2| < d, is 1 outside the band and the mean of its two
+    neighbours before it, weighted by x and y, inside: sums of positive terms
+    in [0, 1], so small values keep their digits.  One diagonal x + y is
+    computed at a time, only within the band."""
+    g = math.gcd(n1, n2)
+    a, b = n1 // g, n2 // g
+    limit = round(d * a * b * g)  # leaves at |x b - y a| >= limit
+    if limit <= 0:
+        return 1.0
+    f, low = np.zeros(1), 0  # f of the band's x on the last diagonal, from `low` on
+    for s in range(1, n1 + n2 + 1):
+        # x b - (s - x) a in (-limit, limit), 0 <= x <= n1 and s - x <= n2
+        first = max(0, s - n2, -((limit - 1 - s * a) // (a + b)))
+        last = min(n1, s, (limit - 1 + s * a) // (a + b))
+        if last < first:
+            return 1.0
+        x = np.arange(first, last + 1)
+        held = np.concatenate([np.ones(1), f, np.ones(1)])  # 1 beyond the band
+
+        def before(at: np.ndarray) -> np.ndarray:
+            return held[np.clip(at - low + 1, 0, len(f) + 1)]
+
+        f, low = (before(x - 1) * x + before(x) * (s - x)) / s, first
+    return float(min(1.0, f[n1 - low]))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_unequal(n1: pd.Series, n2: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(z) or not x or not y else exact_unequal(int(x), int(y), z)
+                      for x, y, z in zip(n1, n2, d)], dtype="float64")
+
+
 def _asymptotic(n1: Column, n2: Column, d: Column) -> Column:
     m = n1.cast("double") * n2 / (n1 + n2)
     lam = (F.sqrt(m) + 0.12 + 0.11 / F.sqrt(m)) * d
@@ -116,10 +158,22 @@ def _asymptotic(n1: Column, n2: Column, d: Column) -> Column:
 
 
 def ks_pvalue(stats: DataFrame, method: str = "asymptotic") -> DataFrame:
-    """DRF2: adds `p_value` and `p_method` to `ks_statistic` rows."""
+    """DRF2: adds `p_value` and `p_method` to `ks_statistic` rows.
+
+    exact: a closed sum for equal sizes, lattice paths for unequal ones (some
+    n1 + n2 steps over a band of d times the sizes).  auto: exact up to
+    `EXACT_ROWS` rows a side, else asymptotic; `p_method` says which."""
     n1, n2, d = F.col("n_ref"), F.col("n_cur"), F.col("ks_d")
+    small = F.greatest(n1, n2) <= EXACT_ROWS if method == "auto" else F.lit(True)
+    # a Python function is called on every row: others than its own are NULL
+    counted = [F.when(small & (n1 != n2), c) for c in (n1, n2, d)]
+    exact = F.when(n1 == n2, _exact_equal_n(n1, d)).otherwise(_exact_unequal(*counted))
+    if method == "auto":
+        return stats.withColumns({
+            "p_value": F.when(small, exact).otherwise(_asymptotic(n1, n2, d)),
+            "p_method": F.when(small, "exact").otherwise("asymptotic")})
     if method == "exact":
-        p = F.when(n1 == n2, _exact_equal_n(n1, d))
+        p = exact
     elif method == "asymptotic":
         p = _asymptotic(n1, n2, d)
     else:

@@ -51,9 +51,10 @@ def label_text(df: DataFrame, cols: Sequence[str]) -> list[Column]:
         raise TypeError(f"labels of different types: {[df.schema[c].simpleString() for c in cols]}")
 
     def text(c: str) -> Column:
-        d = F.col(c).cast("double")
+        d = nan_to_null(F.col(c).cast("double"))
         whole = (d == F.floor(d)) & (F.abs(d) < 2.0 ** 53)
-        return F.when(whole, d.try_cast("long").cast("string")).otherwise(F.col(c).cast("string"))
+        return F.when(whole, d.try_cast("long").cast("string")).otherwise(
+            F.when(d.isNotNull(), F.col(c).cast("string")))
 
     return [text(c) if n else F.col(c).cast("string") for c, n in zip(cols, numeric)]
 
@@ -73,6 +74,19 @@ def pair_counts(df: DataFrame, y: str, yhat: str, freeze: bool = True) -> DataFr
     return counts
 
 
+def scored_pairs(counts: DataFrame) -> DataFrame:
+    """Pairs with both labels: what every metric below is taken from."""
+    return counts.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+
+
+def unscored(counts: DataFrame) -> DataFrame:
+    """One row: rows_unscored, the rows without a label or a prediction (NULL
+    or NaN)."""
+    return counts.agg(F.coalesce(F.sum(F.when(
+        F.col("actual").isNull() | F.col("predicted").isNull(), F.col("n"))), F.lit(0)).alias(
+        "rows_unscored"))
+
+
 def per_class(counts: DataFrame) -> DataFrame:
     """(label, tp, support, predicted_n, precision, recall, f1) over the union
     of actual and predicted labels."""
@@ -94,8 +108,10 @@ def per_class(counts: DataFrame) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """EVL3: accuracy and support-weighted precision / recall / F1."""
-    pc = per_class(pair_counts(df, y, yhat))
+    """EVL3: accuracy and support-weighted precision / recall / F1 over the
+    scored rows; `rows_unscored` counts the others."""
+    counts = pair_counts(df, y, yhat)
+    pc = per_class(scored_pairs(counts))
     tot = F.sum("support")
     return pc.agg(
         (F.sum("tp") / tot).alias("accuracy"),
@@ -103,15 +119,15 @@ def classification_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
         (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
         (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1_score"),
         tot.alias("samples_evaluated"),
-    )
+    ).withColumn("rows_unscored", unscored(counts).scalar())
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """EVL4: (actual, predicted, n) for every pair of the sorted label union,
-    zeros filled; rows = actual.  The label union is a bounded array (one
+    zeros filled; rows = actual; unscored rows are left out.  The label union is a bounded array (one
     entry per class) shared through a scalar subquery, so no join of labels
     with labels is needed."""
-    counts = pair_counts(df, y, yhat)
+    counts = scored_pairs(pair_counts(df, y, yhat))
     labels = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).agg(
         F.array_sort(F.collect_set("label"))).scalar()  # one entry a class
     by_actual = counts.groupBy("actual").agg(
@@ -126,8 +142,10 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """EVL5: per-class rows plus 'accuracy', 'macro avg' and 'weighted avg'
-    rows: (row, precision, recall, f1_score, support)."""
-    pc = per_class(pair_counts(df, y, yhat))
+    rows: (row, precision, recall, f1_score, support), and an 'unscored' row
+    with their number if there are rows without a label or a prediction."""
+    counts = pair_counts(df, y, yhat)
+    pc = per_class(scored_pairs(counts))
     cls = pc.select(F.col("label").alias("row"), "precision", "recall",
                     F.col("f1").alias("f1_score"), "support")
     tot = F.sum("support")
@@ -142,7 +160,11 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
                       (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
                       (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1_score"),
                       tot.alias("support"))
-    return cls.unionByName(acc).unionByName(macro).unionByName(weighted)
+    none = F.lit(None).cast("double")
+    left_out = unscored(counts).where("rows_unscored > 0").select(
+        F.lit("unscored").alias("row"), none.alias("precision"), none.alias("recall"),
+        none.alias("f1_score"), F.col("rows_unscored").alias("support"))
+    return cls.unionByName(acc).unionByName(macro).unionByName(weighted).unionByName(left_out)
 
 
 def long_metrics(wide: DataFrame, model_name: str, metrics: Sequence[str]) -> DataFrame:

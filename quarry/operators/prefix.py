@@ -14,7 +14,8 @@ whole column.  The two-level form here keeps every task bounded:
    offset;
 4. a window partitioned by (partition, group) adds the local running sum.
 
-Input rows must be unique on (group cols, order col): aggregate first.
+Input rows must be unique on (group cols, order col): aggregate first.  Rows
+whose group is NULL are a group of their own.
 """
 from __future__ import annotations
 
@@ -23,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import null_safe_join
 from quarry.session import freeze
 
 PID = "_range_pid"
@@ -86,5 +88,5 @@ def running_totals(
     ranged = frozen_ranges(df, group_cols, order_col, num_partitions)
     offsets = block_offsets(ranged, group_cols, weight_cols).drop(
         *[f"_tot_{i}" for i in range(len(weight_cols))])
-    joined = ranged.join(offsets, [PID, *group_cols], "inner")
+    joined = null_safe_join(ranged, offsets, [PID, *group_cols])
     return local_running(joined, group_cols, order_col, weight_cols, out_cols, df.columns)

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import null_safe_join
 from quarry.functions.numeric import nan_to_null
 from quarry.operators.prefix import PID, block_offsets, frozen_ranges, local_running
 
@@ -80,12 +81,12 @@ def values_at_ranks(ranged: DataFrame, key_cols: Sequence[str], targets: DataFra
     # blocks whose rank interval [off, off + tot) holds a requested rank
     inside = lambda k: (F.col("_off_0") <= F.col(k)) & (
         F.col(k) < F.col("_off_0") + F.col("_tot_0"))
-    hit_blocks = blocks.join(targets.select(*key_cols, "_klo", "_khi"), key_cols).where(
+    hit_blocks = null_safe_join(blocks, targets.select(*key_cols, "_klo", "_khi"), key_cols).where(
         inside("_klo") | inside("_khi")).select(PID, *key_cols, "_off_0").distinct()
-    cum = local_running(ranged.join(hit_blocks, [PID, *key_cols]), key_cols, "_v", ["_cnt"],
+    cum = local_running(null_safe_join(ranged, hit_blocks, [PID, *key_cols]), key_cols, "_v", ["_cnt"],
                         ["_cum"], [*key_cols, "_v", "_cnt"])
     lo_start = F.col("_cum") - F.col("_cnt")
-    hits = cum.join(targets, key_cols, "inner").where(
+    hits = null_safe_join(cum, targets, key_cols).where(
         (lo_start <= F.col("_khi")) & (F.col("_klo") < F.col("_cum"))
     )
     covers = lambda k: (lo_start <= F.col(k)) & (F.col(k) < F.col("_cum"))

@@ -3,8 +3,9 @@
 Events are binned at the scrape interval first (map-side partial counts),
 then range windows run over *bins* of one series: a 5-minute range at a
 10-second step is a 30-bin `rangeBetween` frame, instead of copying each
-event into 30 sliding windows.  Boundary extrapolation is not done: rate =
-increase inside the range / range seconds.
+event into 30 sliding windows.  Rates over bins take the increase inside the
+range / range seconds; `rate_extrapolated` evaluates samples of a counter as
+the dashboards do, and `instant_grid` reads gauges with a staleness limit.
 
 A series is cut into chunks of `CHUNK_BINS` bins, and a chunk also gets the
 last bins of the chunk before, as far as the range reaches back.  A window
@@ -15,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import null_safe_join
 from quarry.operators.series import DEFAULT_BUCKETS, bin_end, bin_index, binned, le_label
 
 
@@ -189,8 +191,111 @@ def range_grid(events: DataFrame, labels: Sequence[str], as_of, lookback_s: int
     b = binned(recent, labels, step_s)
     series = b.select(*labels).distinct()
     grid = series.select(*labels, F.explode(F.sequence(start_bin - n + 1, end_bin)).alias("bin"))
-    dense = grid.join(b, [*labels, "bin"], "left").fillna(0, subset=["inc"])
+    dense = null_safe_join(grid, b, [*labels, "bin"], "left").fillna(0, subset=["inc"])
     rated = _over_range(dense, labels, n, {"_inc": "inc"}, chunk_bins).select(
         *labels, "bin", (F.col("_inc") / F.lit(float(range_s))).alias("rate"))
     return rated.where(F.col("bin") > start_bin).select(
         *labels, "bin", bin_end("bin", step_s).alias("step_ts"), "rate")
+
+
+# --- evaluation grid over samples ---------------------------------------------------
+
+def step_index(ts: Column | str, step_s: int) -> Column:
+    """The first evaluation step (a multiple of `step_s` seconds) at or after
+    the time: the steps whose range (t - n steps, t] holds it follow it."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.ceil(F.unix_micros(ts) / F.lit(step_s * 1_000_000)).cast("long")
+
+
+def _grid(bins: DataFrame, labels: Sequence[str], first: Column, last: Column) -> DataFrame:
+    """`bins` (labels, bin, ...) on every step from `first` to `last` of every
+    series that it holds."""
+    series = bins.select(*labels).distinct()
+    steps = series.select(*labels, F.explode(F.sequence(first, last)).alias("bin"))
+    return null_safe_join(steps, bins, [*labels, "bin"], "left")
+
+
+def _windowed(dense: DataFrame, labels: Sequence[str], n: int, aggs: dict[str, Column],
+              chunk_bins: int | None) -> DataFrame:
+    """`_over_range` with any window aggregates."""
+    w = Window.partitionBy(*labels, CHUNK).orderBy("bin").rangeBetween(-(n - 1), 0)
+    return _chunked(dense, n - 1, chunk_bins or CHUNK_BINS).withColumns(
+        {k: a.over(w) for k, a in aggs.items()}).where(~F.col(CARRIED)).drop(CHUNK, CARRIED)
+
+
+def _span(as_of, lookback_s: int, range_s: int, step_s: int) -> tuple[Column, Column, Column]:
+    """(start of the samples that matter, first step, last step) of the steps
+    in (as_of - lookback, as_of]."""
+    end = F.floor(F.unix_micros(as_of) / F.lit(step_s * 1_000_000)).cast("long")
+    start = F.floor(F.unix_micros(as_of) / F.lit(step_s * 1_000_000) - lookback_s / step_s).cast("long") + 1
+    since = as_of - F.make_interval(secs=F.lit(float(lookback_s + range_s + step_s)))
+    return since, start, end
+
+
+def _step_ts(step_s: int) -> Column:
+    return F.timestamp_micros(F.col("bin") * F.lit(step_s * 1_000_000)).cast("timestamp_ntz")
+
+
+def instant_grid(samples: DataFrame, labels: Sequence[str], value: str, as_of,
+                 lookback_s: int = 3600, step_s: int = 10, stale_s: int = 300,
+                 tiebreak: str | None = None, chunk_bins: int | None = None) -> DataFrame:
+    """TS14 on the TS15 grid: at every step t in (as_of - lookback, as_of] the
+    last sample of each series in (t - stale, t]; a series that has none there
+    is absent.  The span is a predicate on `ts`, so it reaches the scan; a step
+    of a series holds one sample, and a window one chunk of one series."""
+    since, start, end = _span(as_of, lookback_s, stale_s, step_s)
+    n = stale_s // step_s
+    order = F.struct("ts", tiebreak) if tiebreak else F.struct("ts")
+    recent = samples.where((F.col("ts") > since) & (F.col("ts") <= as_of))
+    bins = recent.withColumn("bin", step_index("ts", step_s)).groupBy(*labels, "bin").agg(
+        F.max_by(F.struct(F.col("ts").alias("ts"), F.col(value).alias("v")), order).alias("_s"))
+    dense = _grid(bins, labels, start - n + 1, end)
+    seen = _windowed(dense, labels, n, {"_last": F.last("_s", ignorenulls=True)}, chunk_bins)
+    return seen.where(F.col("_last").isNotNull() & (F.col("bin") >= start)).select(
+        *labels, "bin", _step_ts(step_s).alias("step_ts"), F.col("_last.v").alias(value),
+        F.col("_last.ts").alias("sample_ts"))
+
+
+def rate_extrapolated(samples: DataFrame, labels: Sequence[str], as_of, value: str = "value",
+                      lookback_s: int = 3600, range_s: int = 300, step_s: int = 10,
+                      chunk_bins: int | None = None) -> DataFrame:
+    """TS10 / TS11 / TS13 as the dashboards evaluate them, from samples of a
+    cumulative counter (labels, ts, value; one a series and time): at every
+    step t in (as_of - lookback, as_of] the increase over the samples in
+    (t - range, t], resets counted from zero, carried on to both ends of the
+    range, per second.  Towards an end that is 1.1 mean sample distances away
+    or more it is carried on half a distance, and towards the start never
+    beyond the point where the counter would be zero.  Fewer than two samples
+    give no row.
+
+    Steps hold partial sums (first and last sample, count, increase), so a
+    range is a window over steps, and a window holds one chunk of a series."""
+    since, start, end = _span(as_of, lookback_s, range_s, step_s)
+    n = range_s // step_s
+    recent = samples.where((F.col("ts") > since) & (F.col("ts") <= as_of)).select(
+        *labels, F.unix_micros("ts").alias("us"), F.col(value).cast("double").alias("v"))
+    deltas = counter_deltas(recent, labels, "v", "us",
+                            (chunk_bins or CHUNK_BINS) * step_s * 1_000_000)
+    size = F.lit(step_s * 1_000_000)
+    bins = deltas.groupBy(*labels, F.ceil(F.col("us") / size).cast("long").alias("bin")).agg(
+        F.min(F.struct("us", "v", "delta")).alias("_a"), F.max("us").alias("_b"),
+        F.count("*").alias("_m"), F.sum("delta").alias("_d"))
+    seen = _windowed(_grid(bins, labels, start - n + 1, end), labels, n, {
+        "_first": F.min("_a"), "_last": F.max("_b"), "_n": F.sum("_m"), "_inc": F.sum("_d")},
+        chunk_bins)
+    seen = seen.where((F.col("_n") >= 2) & (F.col("bin") >= start))
+    sec = F.lit(1e6)
+    sampled = (F.col("_last") - F.col("_first.us")) / sec
+    to_start = (F.col("_first.us") - (F.col("bin") - n) * size) / sec
+    to_end = (F.col("bin") * size - F.col("_last")) / sec
+    mean = sampled / (F.col("_n") - 1)
+    rise = F.col("_inc") - F.col("_first.delta")
+    at = seen.withColumns({"_sampled": sampled, "_rise": rise}).withColumns({
+        "_to_start": F.when(to_start >= 1.1 * mean, mean / 2).otherwise(to_start),
+        "_to_end": F.when(to_end >= 1.1 * mean, mean / 2).otherwise(to_end),
+        "_to_zero": F.when((F.col("_rise") > 0) & (F.col("_first.v") >= 0),
+                           F.col("_sampled") * F.col("_first.v") / F.col("_rise"))})
+    # least() leaves a NULL out
+    whole = F.col("_sampled") + F.least("_to_start", "_to_zero") + F.col("_to_end")
+    return at.select(*labels, "bin", _step_ts(step_s).alias("step_ts"),
+                     (F.col("_rise") * whole / F.col("_sampled") / F.lit(float(range_s))).alias("rate"))

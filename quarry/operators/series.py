@@ -77,10 +77,14 @@ def histogram(events: DataFrame, labels: Sequence[str], value: str,
 
 
 def gauge_last(samples: DataFrame, labels: Sequence[str], value: str, ts: str = "ts",
-               tiebreak: str | None = None, as_of=None) -> DataFrame:
-    """TS7 / TS14: last value per label set (optionally at or before as_of)."""
+               tiebreak: str | None = None, as_of=None, stale_s: int | None = None) -> DataFrame:
+    """TS7 / TS14: last value per label set (optionally at or before as_of;
+    with `stale_s`, a series without a sample in the seconds before as_of is
+    absent)."""
     if as_of is not None:
         samples = samples.where(F.col(ts) <= as_of)
+        if stale_s is not None:
+            samples = samples.where(F.col(ts) > as_of - F.make_interval(secs=F.lit(float(stale_s))))
     order = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.col(ts)
     return samples.groupBy(*labels).agg(F.max_by(F.col(value), order).alias(value),
                                         F.max(ts).alias("last_ts"))

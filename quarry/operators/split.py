@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import null_safe_join
 from quarry.operators.prefix import running_totals
 
 
@@ -30,17 +31,19 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42)
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """SPL2: exact quota per stratum: the round(test_size * n_label) rows with
-    the smallest key hash in each label go to test.
+    the smallest key hash in each label go to test.  Rows without a label are
+    a stratum of their own.
 
     Ranks come from the two-level prefix count, so a stratum holding a third
     of the table is still spread over many tasks.
     """
-    h = df.withColumn("_h", F.concat(key_hash(key, seed), F.lit(":"), F.col(key).cast("string")))
+    h = df.withColumn("_h", F.concat(
+        key_hash(key, seed), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     ranked = running_totals(h.withColumn("_one", F.lit(1)), [label], "_h", ["_one"], ["_rank"])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     quota = F.round(F.col("_n") * F.lit(float(test_size))).cast("long")
     return (
-        ranked.join(sizes, label, "inner")
+        null_safe_join(ranked, sizes, [label])
         .withColumn("is_test", F.col("_rank") <= quota)
         .drop("_h", "_one", "_rank", "_n")
     )

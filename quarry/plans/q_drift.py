@@ -107,6 +107,33 @@ def ks_pvalue_unequal(spark, sf_dir):
                     r("p_value", 6).alias("p_value"), "p_method")
 
 
+_CUST = "SELECT c_acctbal, c_nationkey FROM customer WHERE c_mktsegment = '{}'"
+
+
+@register("ks_pvalue_exact_unequal", "WITH RECURSIVE " + _ks_sql(
+    _CUST.format("BUILDING"), _CUST.format("MACHINERY"), ["c_acctbal", "c_nationkey"]) + """,
+Z AS (SELECT *, n_cur // gcd(n_ref, n_cur) AS b, n_ref // gcd(n_ref, n_cur) AS a FROM S),
+K AS (SELECT *, CAST(round(ks_d * n_ref * b) AS BIGINT) AS h FROM Z),
+W AS (SELECT feature, 0::BIGINT AS s, MAP {0::BIGINT: 0.0::DOUBLE} AS f FROM K WHERE h > 0
+  UNION ALL
+  SELECT W.feature, W.s + 1, map_from_entries([{k: x, v: (
+      coalesce(W.f[x - 1], 1.0) * x + coalesce(W.f[x], 1.0) * (W.s + 1 - x)) / (W.s + 1)}
+    for x in range(greatest(0, W.s + 1 - K.n_cur), least(K.n_ref, W.s + 1) + 1)
+    if abs(x * K.b - (W.s + 1 - x) * K.a) < K.h])
+  FROM W JOIN K USING (feature) WHERE W.s < K.n_ref + K.n_cur)
+SELECT K.feature, K.n_ref, K.n_cur, round(K.ks_d, 8) AS ks_d,
+  round(coalesce(W.f[K.n_ref], 1.0), 8) AS p_value, 'exact' AS p_method
+FROM K LEFT JOIN W ON W.feature = K.feature AND W.s = K.n_ref + K.n_cur""")
+def ks_pvalue_exact_unequal(spark, sf_dir):
+    """DRF2: exact law for samples of unequal sizes, two customer segments."""
+    c = read_table(spark, sf_dir, "customer")
+    ref, cur = (c.where(F.col("c_mktsegment") == s).select("c_acctbal", "c_nationkey")
+                for s in ("BUILDING", "MACHINERY"))
+    p = D.ks_pvalue(D.ks_statistic(ref, cur), "auto")
+    return p.select("feature", "n_ref", "n_cur", r("ks_d", 8).alias("ks_d"),
+                    r("p_value", 8).alias("p_value"), "p_method")
+
+
 @register("drift_report", "WITH " + _ks_sql(_H_REF, _H_CUR, H_FEATURES) + ",\n" + _p_sql("asymptotic") + """
 SELECT 'housing' AS model_name, coalesce(avg(p_value) < 0.05, false) AS drift_detected,
        round(avg(p_value), 6) AS drift_score,

@@ -122,6 +122,61 @@ def classification_report(spark, sf_dir):
                       F.col("support").cast("long").alias("support"))
 
 
+_UNSCORED = """SN AS (SELECT o_orderstatus AS y, CASE WHEN o_orderkey % 7 <> 0 THEN
+  CASE WHEN o_totalprice > 250000 THEN 'F' ELSE 'O' END END AS yhat FROM orders),
+SO AS (SELECT * FROM SN WHERE y IS NOT NULL AND yhat IS NOT NULL)"""
+
+
+def _partly_scored(spark, sf_dir):
+    """Scored orders of which a seventh has no prediction."""
+    return scored_orders(spark, sf_dir).withColumn("predicted_status", F.when(
+        F.col("o_orderkey") % 7 != 0, F.col("predicted_status")))
+
+
+@register("confusion_matrix_unscored", f"""WITH {_UNSCORED},
+L AS (SELECT y AS label FROM SO UNION SELECT yhat FROM SO),
+C AS (SELECT y, yhat, count(*) AS n FROM SO GROUP BY ALL)
+SELECT a.label AS actual, p.label AS predicted, coalesce(C.n, 0) AS n
+FROM L a, L p LEFT JOIN C ON C.y = a.label AND C.yhat = p.label""")
+def confusion_matrix_unscored(spark, sf_dir):
+    """EVL4 over rows of which some have no prediction."""
+    return E.confusion_matrix(_partly_scored(spark, sf_dir), "o_orderstatus", "predicted_status")
+
+
+@register("classification_report_unscored", f"""WITH {_UNSCORED}, {_per_class_sql('SO')}
+SELECT label AS "row", round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM PF_SO
+UNION ALL
+SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6),
+       round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM PF_SO
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       CAST(sum(support) AS BIGINT) FROM PF_SO
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+       CAST(sum(support) AS BIGINT) FROM PF_SO
+UNION ALL
+SELECT 'unscored', NULL, NULL, NULL, count(*) FROM SN WHERE y IS NULL OR yhat IS NULL""")
+def classification_report_unscored(spark, sf_dir):
+    """EVL5 over rows of which some have no prediction: they are counted in a
+    row of their own and enter no average."""
+    rep = E.classification_report(_partly_scored(spark, sf_dir), "o_orderstatus", "predicted_status")
+    return rep.select("row", *[r(c, 6).alias(c) for c in ["precision", "recall", "f1_score"]],
+                      F.col("support").cast("long").alias("support"))
+
+
+@register("classification_metrics_unscored", f"""WITH {_UNSCORED}, {_per_class_sql('SO')},
+M AS ({_cls_metrics_sql('SO')})
+SELECT M.*, (SELECT count(*) FROM SN WHERE y IS NULL OR yhat IS NULL) AS rows_unscored FROM M""")
+def classification_metrics_unscored(spark, sf_dir):
+    """EVL3: unscored rows are reported, not counted as wrong."""
+    m = E.classification_metrics(_partly_scored(spark, sf_dir), "o_orderstatus", "predicted_status")
+    return m.select(*[r(c, 6).alias(c) for c in ["accuracy", "precision", "recall", "f1_score"]],
+                    F.col("samples_evaluated").cast("long").alias("samples_evaluated"),
+                    F.col("rows_unscored").cast("long").alias("rows_unscored"))
+
+
 def _all_jobs(spark, sf_dir):
     return [
         ("housing", "regression", scored_lineitem(spark, sf_dir), "l_extendedprice",

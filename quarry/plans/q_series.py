@@ -335,3 +335,132 @@ def series_long(spark, sf_dir):
     pred = SR.relabel_map(pred, "endpoint", "model", "/predict/(.*)", "${1}")
     pred = pred.withColumn("labels", F.map_filter("labels", lambda k, v: k != F.lit("endpoint")))
     return SR.series_counter(req.unionByName(pred))
+
+
+# --- NULL labels: a series of their own -------------------------------------------
+
+_NULLED = f"{P_SQL}, N AS (SELECT * REPLACE (NULLIF(model_name, 'iris') AS model_name) FROM P)"
+
+
+def _nulled(spark, sf_dir):
+    """The log with the label of half its series missing."""
+    return _log(spark, sf_dir).withColumn(
+        "model_name", F.when(F.col("model_name") != "iris", F.col("model_name")))
+
+
+@register("scrape_samples_null_label", f"""WITH {_NULLED},
+B AS (SELECT model_name, {BIN} AS bin, count(*) AS inc FROM N GROUP BY ALL)
+SELECT model_name, bin, make_timestamp((bin + 1) * 10000000) AS sample_ts,
+       CAST(sum(inc) OVER (PARTITION BY model_name ORDER BY bin
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
+FROM B""")
+def scrape_samples_null_label(spark, sf_dir):
+    """TS16: samples of a series whose label is NULL."""
+    s = SR.scrape_samples(_nulled(spark, sf_dir), ["model_name"])
+    return s.withColumn("value", F.col("value").cast("long"))
+
+
+@register("inflight_null_label", f"""WITH {_NULLED},
+E AS (SELECT model_name, ts, id AS request_id, 1 AS delta FROM N
+      UNION ALL SELECT model_name, {_END_TS}, id, -1 FROM N)
+SELECT model_name, ts, request_id, delta,
+       CAST(sum(delta) OVER (PARTITION BY model_name ORDER BY ts, delta, request_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active
+FROM E""")
+def inflight_null_label(spark, sf_dir):
+    """TS8: requests in flight of a series whose label is NULL."""
+    log = _nulled(spark, sf_dir)
+    ev = request_events(_log(spark, sf_dir)).join(
+        log.select(F.col("id").alias("request_id"), F.col("model_name").alias("label")), "request_id")
+    starts = ev.select(F.col("label").alias("model_name"), F.col("start_ts").alias("ts"), "request_id")
+    ends = ev.select(F.col("label").alias("model_name"), F.col("end_ts").alias("ts"), "request_id")
+    out = SR.inflight(starts, ends, ["model_name"])
+    return out.select("model_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "request_id",
+                      "delta", F.col("active").cast("long").alias("active"))
+
+
+@register("range_grid_null_label", f"""WITH {_NULLED},
+A AS (SELECT CAST(floor(epoch_us({AS_OF}) / 10000000.0) AS BIGINT) AS end_bin,
+             CAST(floor(epoch_us({AS_OF} - INTERVAL 3600 SECONDS) / 10000000.0) AS BIGINT) AS start_bin),
+B AS (SELECT model_name, {BIN} AS bin, count(*) AS inc FROM N, A
+      WHERE {BIN} > A.start_bin - 30 GROUP BY ALL),
+G AS (SELECT s.model_name, g.bin FROM (SELECT DISTINCT model_name FROM B) s,
+        A, range(A.start_bin - 29, A.end_bin + 1) g(bin)),
+D AS (SELECT G.model_name, G.bin, coalesce(B.inc, 0) AS inc FROM G
+      LEFT JOIN B ON B.model_name IS NOT DISTINCT FROM G.model_name AND B.bin = G.bin),
+R AS (SELECT model_name, bin, sum(inc) OVER (PARTITION BY model_name ORDER BY bin
+        RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) / 300.0 AS rate FROM D)
+SELECT model_name, bin, make_timestamp((bin + 1) * 10000000) AS step_ts, round(rate, 6) AS rate
+FROM R, A WHERE bin > A.start_bin""")
+def range_grid_null_label(spark, sf_dir):
+    """TS15: rates of a series whose label is NULL."""
+    log = _nulled(spark, sf_dir)
+    g = RQ.range_grid(log, ["model_name"], as_of_value(log))
+    return g.withColumn("rate", r("rate", 6))
+
+
+# --- staleness and extrapolation -----------------------------------------------------
+
+_GRID = """A AS (SELECT epoch_us({as_of}) // {us} AS last_bin, epoch_us({as_of}) // {us} - {steps} + 1 AS first_bin),
+G AS (SELECT s.*, g.bin, make_timestamp(g.bin * {us}) AS t
+      FROM (SELECT DISTINCT {labels} FROM S) s, A, range(A.first_bin, A.last_bin + 1) g(bin))"""
+
+
+@register("instant_grid", f"""WITH {P_SQL},
+S AS (SELECT model_name, status, ts, arg_max(confidence, id) AS confidence FROM P GROUP BY ALL),
+{_GRID.format(as_of=AS_OF, us=10000000, steps=8640, labels="model_name, status")}
+SELECT G.model_name, G.status, G.bin, G.t AS step_ts, round(S.confidence, 6) AS confidence, S.ts AS sample_ts
+FROM G ASOF JOIN S ON S.model_name = G.model_name AND S.status = G.status AND G.t >= S.ts
+WHERE S.ts > G.t - INTERVAL 300 SECONDS""")
+def instant_grid(spark, sf_dir):
+    """TS14, TS15: the gauge at every 10-second step of a day; a series
+    without a sample in five minutes is absent."""
+    log = _log(spark, sf_dir)
+    g = RQ.instant_grid(log, ["model_name", "status"], "confidence", as_of_value(log),
+                        lookback_s=86_400, tiebreak="id")
+    return g.select("model_name", "status", "bin", "step_ts", r("confidence", 6).alias("confidence"),
+                    F.col("sample_ts").cast("timestamp_ntz").alias("sample_ts"))
+
+
+@register("instant_values_stale", f"""WITH {P_SQL}
+SELECT model_name, status, round(arg_max(confidence, (ts, id)), 6) AS confidence, max(ts) AS last_ts
+FROM P WHERE ts > {AS_OF} - INTERVAL 300 SECONDS GROUP BY model_name, status""")
+def instant_values_stale(spark, sf_dir):
+    """TS14: last values at the end of the log; a stale series is absent."""
+    log = _log(spark, sf_dir)
+    g = SR.gauge_last(log, ["model_name", "status"], "confidence", tiebreak="id",
+                      as_of=as_of_value(log), stale_s=300)
+    return g.select("model_name", "status", r("confidence", 6).alias("confidence"),
+                    F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+_MINUTE = "CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT)"
+
+
+@register("rate_extrapolated", f"""WITH {P_SQL},
+B AS (SELECT model_name, {_MINUTE} AS bin, count(*) AS inc FROM P GROUP BY ALL),
+S AS (SELECT model_name, make_timestamp((bin + 1) * 60000000) AS ts,
+        sum(inc) OVER (PARTITION BY model_name, bin // 360 ORDER BY bin) AS value FROM B),
+{_GRID.format(as_of=AS_OF, us=60000000, steps=2880, labels="model_name")},
+J AS (SELECT G.model_name, G.bin, G.t, S.ts, S.value, lag(S.value) OVER (
+        PARTITION BY G.model_name, G.bin ORDER BY S.ts) AS prev
+      FROM G JOIN S ON S.model_name = G.model_name AND S.ts > G.t - INTERVAL 3600 SECONDS AND S.ts <= G.t),
+X AS (SELECT model_name, bin, t, count(*) - 1 AS m, arg_min(value, ts) AS fv,
+        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS sampled,
+        3600 - (epoch_us(t) - epoch_us(min(ts))) / 1e6 AS d0, (epoch_us(t) - epoch_us(max(ts))) / 1e6 AS d1,
+        sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)::DOUBLE AS rise
+      FROM J GROUP BY model_name, bin, t HAVING count(*) >= 2),
+Y AS (SELECT *, CASE WHEN d0 >= 1.1 * sampled / m THEN sampled / m / 2 ELSE d0 END AS s0,
+        CASE WHEN d1 >= 1.1 * sampled / m THEN sampled / m / 2 ELSE d1 END AS s1 FROM X)
+SELECT model_name, bin, t AS step_ts, round(rise * (sampled + s1 + CASE WHEN rise > 0
+         THEN least(s0, sampled * fv / rise) ELSE s0 END) / sampled / 3600, 8) AS rate FROM Y""")
+def rate_extrapolated(spark, sf_dir):
+    """TS10: rates as dashboards evaluate them, over counters that are scraped
+    every minute and start anew every six hours."""
+    log = _log(spark, sf_dir)
+    life = F.floor(SR.bin_index("ts", 60) / 360).cast("long")
+    s = SR.scrape_samples(log.withColumn("life", life), ["model_name", "life"], 60)
+    samples = s.select("model_name", F.col("sample_ts").cast("timestamp").alias("ts"), "value")
+    out = RQ.rate_extrapolated(samples, ["model_name"], as_of_value(log), lookback_s=172_800,
+                               range_s=3600, step_s=60)
+    return out.withColumn("rate", r("rate", 8))

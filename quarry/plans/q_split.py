@@ -31,6 +31,19 @@ def stratified_split(spark, sf_dir):
     return SP.stratified_split(c, "vec_id", "label", 0.2, 42).select("vec_id", "label", "is_test")
 
 
+@register("stratified_split_null_label", """
+WITH E AS (SELECT vec_id, NULLIF(label, 3) AS label FROM embeddings)
+SELECT vec_id, label,
+       row_number() OVER (PARTITION BY label
+                          ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)) || ':' || CAST(vec_id AS VARCHAR))
+       <= round(count(*) OVER (PARTITION BY label) * 0.2) AS is_test
+FROM E""")
+def stratified_split_null_label(spark, sf_dir):
+    """SPL2: rows without a label are a stratum; none is lost."""
+    c = class_table(spark, sf_dir).withColumn("label", F.when(F.col("label") != 3, F.col("label")))
+    return SP.stratified_split(c, "vec_id", "label", 0.2, 42).select("vec_id", "label", "is_test")
+
+
 SCALE_COLS = ["o_totalprice", "o_custkey"]
 
 

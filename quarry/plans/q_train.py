@@ -52,7 +52,7 @@ def regression_candidates(label=H_LABEL):
     return [
         TR.Candidate("LinearRegression", lambda: TR.linear_regression(label, H_FEATURES)),
         TR.Candidate("DecisionTreeRegressor",
-                     lambda: TR.decision_tree_regressor(label, H_FEATURES, maxDepth=30)),
+                     lambda: TR.decision_tree_regressor(label, H_FEATURES)),
         TR.Candidate("RandomForestRegressor",
                      lambda: TR.random_forest_regressor(label, H_FEATURES, numTrees=100)),
     ]

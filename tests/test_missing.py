@@ -71,8 +71,6 @@ def test_scoring_keeps_every_row(spark):
         rows = TR.score(model, df).collect()
         assert len(rows) == 23 and sum(r.prediction is None for r in rows) == 2
         assert abs(next(r.prediction for r in rows if r.x == 5.0) - 10.0) < 1e-6
-    with pytest.raises(ValueError):
-        TR.decision_tree_regressor("y", ["x"], maxDepth=31)
     with pytest.raises(ValueError):
         TR.score(model, df.drop("x"))
 

@@ -47,11 +47,12 @@ def test_regression_metrics_numpy(spark):
 
 
 def test_forests_grow_as_deep_as_the_tree(spark):
-    """A checkerboard needs more than six levels."""
+    """A checkerboard needs many levels; trees of full depth learn it."""
     from quarry.operators import train as TR
 
     rows = [(float(a), float(b), float((a + b) % 2)) for a in range(16) for b in range(16)] * 4
     df = spark.createDataFrame(rows, "a double, b double, y double")
     for make in (TR.random_forest_classifier, TR.random_forest_regressor):
         model = make("y", ["a", "b"], numTrees=3).fit(df)
-        assert max(t.depth for t in model.stages[-1].trees) > 6
+        scored = model.transform(df)
+        assert scored.where(F.abs(F.col("y") - F.col("prediction")) < 0.5).count() > 0.97 * len(rows)
