@@ -68,8 +68,10 @@ class Encoder:
     end alone and such a character, and between a letter and a punctuation
     mark.  (Of several white-space characters the pattern parts the last.)  A
     text may be cut there and its pieces encoded one by one; pieces repeat, so
-    most come from the cache.  A piece is known by a 64-bit hash and its
-    length; pieces of one hash in one batch are told apart by their bytes.
+    most come from the cache.  A piece is found by a 64-bit hash; its bytes are
+    then held against the entry's, and a piece that differs is encoded anew.
+    Texts that spell one of the vocabulary's own special tokens go through the
+    library whole.
     """
 
     #: Bytes after a blank at which a text is not cut: white space, and first
@@ -86,7 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         #: bytes of each token: one character of its name is one byte
         self.width = np.zeros(self.tok.get_vocab_size(), np.int64)
         for name, i in self.tok.get_vocab().items():
@@ -102,12 +104,27 @@ class Encoder:
         self.starts, self.counts, self.sizes = (np.zeros(1024, np.int32) for _ in range(3))
         self.store, self.used = np.zeros(
             1 << 14, np.uint16 if len(self.width) <= 1 << 16 else np.uint32), 0
+        self.text_at = np.zeros(1024, np.int64)  # where an entry's bytes lie in `text`
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
         self.front_hash = np.zeros(1 << self.FRONT_BITS, np.uint64)
         self.front = np.full(1 << self.FRONT_BITS, -1, np.int32)
 
     def encode(self, joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids) of UTF-8 texts that
         stand one after another."""
+        if not any(s in joined for s in self.special):
+            return self._encode_pieces(joined, sizes)
+        ends = np.cumsum(sizes)
+        texts = [joined[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
+        whole = {i: np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
+                 for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        plain = [b"" if i in whole else t for i, t in enumerate(texts)]
+        ids, counts = self._encode_pieces(b"".join(plain), np.array([len(t) for t in plain], np.int64))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        parts = [whole.get(i, p) for i, p in enumerate(parts)]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _encode_pieces(self, joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not joined:
             return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
         if self.entries > CACHE_PIECES:
@@ -126,6 +143,12 @@ class Encoder:
         at = np.flatnonzero(cut)
         length = np.diff(at, append=len(data))
         piece = self._entries(joined, self._hashes(data, at, length), at, length)
+        odd = np.flatnonzero(~self._same(data, piece, at, length))
+        if len(odd):  # another piece of the same hash
+            texts = [joined[a:a + n] for a, n in zip(at[odd].tolist(), length[odd].tolist())]
+            new = list(dict.fromkeys(texts))
+            entry = dict(zip(new, self._encode_new(new).tolist()))
+            piece[odd] = [entry[t] for t in texts]
         count = self.counts.take(piece)
         before = np.cumsum(count, dtype=np.int64) - count
         from_ = np.repeat(self.starts.take(piece) - before, count)
@@ -179,12 +202,20 @@ class Encoder:
             got, new = got[lost], new[lost]
             if not len(new):
                 break
-        odd = rest[self.sizes[entry[rest]] != length[rest]]
-        if len(odd):  # another piece of the same hash in this batch
-            entry[odd] = self._encode_new([joined[a:a + n] for a, n in zip(
-                at[odd].tolist(), length[odd].tolist())])
         return entry
 
+    def _same(self, data: np.ndarray, entry: np.ndarray, at: np.ndarray,
+              length: np.ndarray) -> np.ndarray:
+        """Which pieces have the bytes of their entries; the pieces tile `data`."""
+        same = self.sizes.take(entry) == length
+        from_ = np.repeat(self.text_at.take(entry) - at, length)
+        from_ += np.arange(len(data))
+        np.minimum(from_, self.text_used - 1, out=from_)
+        differ = self.text.take(from_) != data
+        if differ.any():
+            same &= ~np.logical_or.reduceat(differ, at)
+        return same
+
     def _encode_new(self, pieces: list[bytes]) -> np.ndarray:
         # pieces that start at a blank can be encoded in a row, and words with a
         # line end after each, 2 KB or so at a time
@@ -203,12 +234,13 @@ class Encoder:
         texts = [b"".join([pieces[i] + end for i in r]).decode() for r, end in rows]
         out = np.zeros(len(pieces), np.int32)
         for (r, end), e in zip(rows, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            out[r] = self._add([len(pieces[i]) for i in r], np.array(e.ids, np.uint32), len(end))
+            out[r] = self._add([pieces[i] for i in r], np.array(e.ids, np.uint32), len(end))
         return out
 
-    def _add(self, sizes: list[int], ids: np.ndarray, end: int) -> np.ndarray:
+    def _add(self, pieces: list[bytes], ids: np.ndarray, end: int) -> np.ndarray:
         """Store the pieces of one row; `end` bytes and as many tokens follow
         each of them."""
+        sizes = [len(p) for p in pieces]
         ends = np.cumsum(sizes) + end * np.arange(1, len(sizes) + 1)
         reach = np.concatenate([[0], np.cumsum(self.width[ids])])
         stop = np.searchsorted(reach, ends)
@@ -219,6 +251,13 @@ class Encoder:
             self.starts, self.counts, self.sizes = (
                 np.concatenate([x, np.zeros(n + k, np.int32)])
                 for x in (self.starts, self.counts, self.sizes))
+            self.text_at = np.concatenate([self.text_at, np.zeros(n + k, np.int64)])
+        joined = np.frombuffer(b"".join(pieces), np.uint8)
+        if self.text_used + len(joined) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(self.text_used + len(joined), np.uint8)])
+        self.text[self.text_used:self.text_used + len(joined)] = joined
+        self.text_at[n:n + k] = self.text_used + np.cumsum(sizes) - sizes
+        self.text_used += len(joined)
         if self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(self.used + len(ids), self.store.dtype)])
         self.store[self.used:self.used + len(ids)] = ids

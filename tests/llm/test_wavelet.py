@@ -54,13 +54,42 @@ def test_large_shard_over_many_blocks():
 def test_pieces_encode_like_the_whole_text(parts):
     text = "".join(parts)
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     whole = tok.encode(text, add_special_tokens=False).ids
     ids, counts = encode(wavelet.encoder(PATH), [text.encode(), b"", (text + " x").encode()])
     more = tok.encode(text + " x", add_special_tokens=False).ids
     assert ids.tolist() == whole + more and counts.tolist() == [len(whole), 0, len(more)]
 
 
+def test_pieces_of_one_hash_are_told_apart():
+    """A Thue-Morse word and its complement have one polynomial hash for any
+    base, in one batch and across batches."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one = "".join("ab"[b] for b in bits)
+    two = "".join("ba"[b] for b in bits)
+    tok = Tokenizer.from_file(PATH)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    assert want[0] != want[1]
+    enc = wavelet.Encoder(PATH)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    h = enc._hashes(data, np.array([0, 1024]), np.array([1024, 1024]))
+    assert h[0] == h[1]
+    both = encode(enc, [one.encode(), two.encode()])[0].tolist()
+    assert both == want[0] + want[1]
+    enc = wavelet.Encoder(PATH)
+    assert [encode(enc, [t.encode()])[0].tolist() for t in (one, two, one)] == [*want, want[0]]
+    assert encode(enc, [f"{two} {one}".encode()])[0].tolist() == tok.encode(
+        f"{two} {one}", add_special_tokens=False).ids
+
+
+def test_special_tokens_are_the_librarys():
+    tok = Tokenizer.from_file(PATH)
+    texts = ["plain words", "a <|endoftext|> b", "", "<|endoftext|", "x<|endoftext|><|endoftext|>"]
+    ids, counts = encode(wavelet.encoder(PATH), [t.encode() for t in texts])
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert want[1] == [64, 220, 50256, 275]
+
+
 def test_equal_hashes_of_other_lengths_are_noticed():
     enc = wavelet.Encoder(PATH)
     enc._hashes = lambda data, at, length: length.astype(np.uint64) % np.uint64(2)
