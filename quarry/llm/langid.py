@@ -10,17 +10,17 @@ score is 0 to 1: how much smaller the best code is than the second best,
 against the text's own size (1 with one language only).  `narrow` marks texts
 whose margin is below `min_margin`; `lang_or_und` rejects those as `und`.
 
-Rows: a NULL text or one without a letter is `und` with score 0, narrow; ties
+Rows: a NULL text or one without a letter (Unicode category L) is `und` with score 0, narrow; ties
 go to the language with most learned rows; repeated rows are answered each; an empty
 table gives no rows; with no learned language every text is `und`.  Long texts
 are used whole.  Other input columns are kept out of the prediction.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +35,7 @@ LEVEL = 3
 #: A text whose fast codes are this close is encoded again, whole, at a level
 #: that also finds short matches.
 RECODE_BELOW, STRONG_LEVEL = 0.05, 12
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are not letters become blanks; other bytes stay.
 LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -52,7 +52,9 @@ def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text",
 
     The sample holds at most `per_lang` texts of each language, those with the
     smallest hash, and a snippet of `snippet_chars` characters from a hashed
-    place of each; these bounds concern the fit only."""
+    place of each; these bounds concern the fit only.  Texts that repeat count
+    once, so a language of few texts keeps them all, however often they stand
+    in the table."""
     h, n, part, t = (internal(x) for x in ("hash", "n", "snippet", "text"))
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias(t)).where(
         F.col("lang").isNotNull() & F.col(t).isNotNull())
@@ -60,12 +62,14 @@ def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text",
     room = F.greatest(F.length(t) - F.lit(snippet_chars), F.lit(0)) + 1
     rows = rows.withColumn(part, F.substring(
         F.col(t), (F.pmod(F.col(h), room) + 1).cast("int"), F.lit(snippet_chars)))
-    # the rate leaves each language a few times the sample, whatever its size
-    sizes = rows.groupBy("lang").agg(F.count("*").alias(n)).collect()
+    # the rate leaves each language a few times the sample, whatever the number
+    # of its texts; texts that repeat count once
+    sizes = rows.groupBy("lang").agg(F.count("*").alias(n),
+                                     F.approx_count_distinct(h).alias(part)).collect()
     count = {r["lang"]: r[n] for r in sizes}
     space, chosen = 1 << 20, F.lit(False)
     for r in sizes:
-        rate = min(space, -(-4 * per_lang * space // r[n]))
+        rate = min(space, -(-4 * per_lang * space // max(1, r[part])))
         chosen |= (F.col("lang") == r["lang"]) & (F.pmod(F.col(h), F.lit(space)) < rate)
     few = rows.where(chosen).select("lang", h, part).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, part))
