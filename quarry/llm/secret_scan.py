@@ -8,7 +8,9 @@ as `token` or `password`, found in whole texts.  Each becomes features:
       log probability of the pairs under the corpus' own words
   dictionary coverage: share of characters inside frequent corpus words
   path: log odds of findings in that path (hashed), from the labelled ones
-  neighbouring words: log odds of the words around it (hashed), likewise
+      of other folds
+  neighbouring words: log odds of the words around it (hashed), likewise; the
+      name that a value is assigned to is not among them, since labels go by it
 
 A forest (Spark ML) is trained on labelled findings and scores all candidates;
 `is_secret` drops those below the threshold.  Labels come from the caller as a
@@ -23,7 +25,8 @@ fitted on at most `sample` labelled findings, those of the smallest hash.
 The texts are searched once; findings are written without the text.
 
 Rows: a NULL or empty text has no candidates; a NULL path is a path of its
-own; repeated rows yield their findings each; with labelled findings of one
+own; repeated rows yield their findings each; very long
+texts and values take time in proportion to their length; with labelled findings of one
 class only, every score is that class; with none, 0.5; an empty table gives no
 rows.  Other input columns are ignored.
 """
@@ -51,12 +54,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: ; , or & and, wherever it is, before one of them or a bracket that leads to a further assignment.
 _SIGN = r"\\*[\"']?\]?\s*(?:=>|:=|[:=])"
 _NEXT = rf"[;,&)\]}}]\\*[\"']?[\w.-]+{_SIGN}"
+NAME = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
+                  r"|credential|auth", re.IGNORECASE)
+REST = re.compile(r"[\w-]*")
 ASSIGNED = re.compile(
-    r"\b[\w-]*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
-    rf"|credential|auth)[\w-]*{_SIGN}\s*(?:(?P<open>\\*(?P<quote>[\"']))"
+    rf"{_SIGN}\s*(?:(?P<open>\\*(?P<quote>[\"']))"
     r"(?P<quoted>(?:(?!(?P=quote))\S){6,}?)(?P=open)"
-    rf"|\\*[\"']?(?P<plain>(?:(?!{_NEXT})[^\s\"']){{6}}(?:(?!{_NEXT})[^\s\"';,&])*))",
-    re.IGNORECASE)
+    rf"|\\*[\"']?(?P<plain>(?:(?!{_NEXT})[^\s\"']){{6}}(?:(?!{_NEXT})[^\s\"';,&])*))")
 CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"}
 LEAST_VALUE = 6
 #: Key formats of providers.
@@ -68,6 +72,8 @@ AROUND = 3
 BUCKETS = 1024
 #: A word is in the dictionary from this share of all words on: 1 / share words at most.
 DICTIONARY_SHARE = 1e-6
+#: Folds by value; what is learned for a finding comes from other folds.
+FOLDS = 5
 #: Digits of a card number.
 CARD = range(13, 20)
 LONGEST_WORD = 16
@@ -116,11 +122,26 @@ def assigned_value(m: re.Match) -> tuple[int, str]:
     return m.start("plain"), value
 
 
+def assignments(text: str) -> Iterator[tuple[int, str]]:
+    """Place and value of every assignment to a secret's name.
+
+    The name is looked for first, then what follows it; names inside one run
+    of word characters share what follows the run, which is looked at once, so
+    the time is in proportion to the text."""
+    at = 0
+    while name := NAME.search(text, at):
+        end = REST.match(text, name.end()).end()
+        value = ASSIGNED.match(text, end)
+        at = value.end() if value else end
+        if value:
+            yield assigned_value(value)
+
+
 def find_candidates(text: str | None) -> list[tuple[int, str, bool]]:
     """(place, value, whether a secret's name stands before it)."""
     if not text:
         return []
-    found = {a: (a, v, True) for a, v in map(assigned_value, ASSIGNED.finditer(text))}
+    found = {a: (a, v, True) for a, v in assignments(text)}
     taken = sorted((a, a + len(v)) for a, v, _ in found.values())
     spans = iter(taken)
     span = next(spans, None)
@@ -132,11 +153,18 @@ def find_candidates(text: str | None) -> list[tuple[int, str, bool]]:
     return sorted(found.values())
 
 
-def neighbours(text: str, start: int, end: int) -> list[str]:
-    """The words around a place, lower-cased letters only."""
-    before = re.findall(r"[^\W\d_]+", text[max(0, start - 80):start])[-AROUND:]
+def neighbours(text: str, start: int, end: int, named: bool) -> list[str]:
+    """The words around a place, lower-cased letters only.  The name that a
+    value is assigned to is left out: it is what labels go by."""
+    before = re.findall(r"[^\W\d_]+", text[max(0, start - 80):start])
+    if named:
+        name = list(NAME.finditer(text, max(0, start - 80), start))
+        cut = name[-1].start() if name else start
+        while cut > max(0, start - 80) and (text[cut - 1].isalnum() or text[cut - 1] in "_-"):
+            cut -= 1
+        before = re.findall(r"[^\W\d_]+", text[max(0, start - 80):cut])
     after = re.findall(r"[^\W\d_]+", text[end:end + 80])[:AROUND]
-    return [w.lower() for w in before + after]
+    return [w.lower() for w in before[-AROUND:] + after]
 
 
 def bucket(word: str) -> int:
@@ -149,17 +177,31 @@ def kinds(value: str) -> np.ndarray:
                      [0, 1, 2], 3)
 
 
-def coverage(value: str, dictionary: frozenset[str]) -> float:
-    """Share of the characters inside dictionary words, longest first."""
-    low, at, inside = value.lower(), 0, 0
-    while at < len(low):
-        for n in range(min(LONGEST_WORD, len(low) - at), 2, -1):
-            if low[at:at + n] in dictionary:
-                at, inside = at + n, inside + n
-                break
-        else:
-            at += 1
-    return inside / len(low)
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+
+
+class Dictionary:
+    """Words by their first three letters, with the longest of each."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words = words
+        self.longest: dict[str, int] = {}
+        for w in words:
+            self.longest[w[:3]] = max(len(w), self.longest.get(w[:3], 0))
+
+    def covered(self, value: str) -> float:
+        """Share of the characters inside dictionary words, longest first."""
+        low, inside = value.lower(), 0
+        for run in LETTERS.finditer(low):
+            at, end = run.span()
+            while at + 3 <= end:
+                for n in range(min(self.longest.get(low[at:at + 3], 0), end - at), 2, -1):
+                    if low[at:at + n] in self.words:
+                        at, inside = at + n, inside + n
+                        break
+                else:
+                    at += 1
+        return inside / len(low)
 
 
 def pair_logp(value: str, pairs: np.ndarray) -> float:
@@ -209,7 +251,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              *FEATURES[:7]]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, pairs = told.value
+        known, pairs = Dictionary(told.value[0]), told.value[1]
         for pdf in batches:
             rows = []
             for d, t, p in zip(pdf["doc_id"], pdf["text"], pdf["path"]):
@@ -221,10 +263,10 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         d, p, start, len(value), value[:4] + "...",
                         zlib.crc32(value.encode("utf-8", "replace")),
                         -1 if label is None else label,
-                        sorted({bucket(w) for w in neighbours(t, start, start + len(value))}),
+                        sorted({bucket(w) for w in neighbours(t, start, start + len(value), named)}),
                         math.log(len(value)), *share[:3].tolist(),
                         float((k[1:] != k[:-1]).mean()) if len(k) > 1 else 0.0,
-                        pair_logp(value, pairs), coverage(value, known)))
+                        pair_logp(value, pairs), known.covered(value)))
             yield pd.DataFrame(rows, columns=names)
 
     rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("text"),
@@ -236,50 +278,73 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _odds(rows: DataFrame, key: Column) -> np.ndarray:
-    """Smoothed log odds of each hash bucket among labelled rows."""
-    out = np.zeros(BUCKETS)
-    for r in rows.groupBy(key.alias("b")).agg(F.sum("label").alias("p"),
-                                              F.count("*").alias("n")).collect():
-        out[r["b"]] = math.log((r["p"] + 1.0) / (r["n"] - r["p"] + 1.0))
-    return out
-
-
-def with_odds(findings: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds path_odds and word_odds, learned from the labelled findings."""
-    path_bucket = F.pmod(F.crc32(F.coalesce("path", F.lit("")).cast("binary")), F.lit(BUCKETS))
+    """Smoothed log odds of each hash bucket, a row for each fold: what the
+    labelled rows of the other learning folds say."""
+    positive, n = np.zeros((FOLDS, BUCKETS)), np.zeros((FOLDS, BUCKETS))
+    for r in rows.groupBy("fold", key.alias("b")).agg(F.sum("label").alias("p"),
+                                                      F.count("*").alias("n")).collect():
+        if r["fold"]:
+            positive[r["fold"], r["b"]], n[r["fold"], r["b"]] = r["p"], r["n"]
+    positive, n = positive.sum(0) - positive, n.sum(0) - n
+    return np.log((positive + 1.0) / (n - positive + 1.0))
+
+
+def with_odds(findings: DataFrame) -> DataFrame:
+    """Adds path_odds and word_odds, learned from the labelled findings of
+    other folds; fold 0 is held out of all of them."""
+    labelled = findings.where("label >= 0")
+    path_bucket = F.pmod(F.crc32(F.coalesce("path", F.lit("")).cast("binary")), F.lit(BUCKETS)).cast("int")
     paths = _odds(labelled, path_bucket)
     words = _odds(labelled.withColumn("w", F.explode("around")), F.col("w"))
 
-    def table(values: np.ndarray) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values])
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fold = pdf["fold"].to_numpy()
+            pdf["path_odds"] = paths[fold, pdf.pop("path_bucket").to_numpy()]
+            pdf["word_odds"] = np.array([words[f, a].mean() if len(a) else 0.0
+                                         for f, a in zip(fold, pdf["around"])], float)
+            yield pdf
 
-    total = F.aggregate("around", F.lit(0.0), lambda a, w: a + F.get(table(words), w))
-    return findings.withColumn("path_odds", F.get(table(paths), path_bucket.cast("int"))) \
-        .withColumn("word_odds", total / F.greatest(F.size("around"), F.lit(1)))
+    rows = findings.withColumn("path_bucket", path_bucket)
+    kinds_ = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in findings.schema.fields)
+    return rows.mapInPandas(add, f"{kinds_}, path_odds double, word_odds double")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5, sample: int = 50_000, trees: int = 40,
          depth: int = 8, seed: int = 11, **columns) -> DataFrame:
-    """doc_id, start, size, masked, value_crc32, label, score, is_secret: one
-    row for each candidate; label is -1 where no format proves one."""
-    findings = find(docs, **columns)
-    labelled = findings.where("label >= 0")
-    out = ["doc_id", "start", "size", "masked", "value_crc32", "label", "score", "is_secret"]
-    n, positive = labelled.agg(F.count("*"), F.sum("label")).first()
+    """doc_id, start, size, masked, value_crc32, label, held_out, score,
+    is_secret: one row for each candidate; label is -1 where no format proves
+    one.  Findings whose value's crc32 is divisible by 5 are held out: neither
+    forest nor odds learn from them."""
+    findings = find(docs, **columns).withColumn("fold", F.pmod("value_crc32", F.lit(FOLDS)).cast("int"))
+    learned = findings.where("label >= 0 and fold > 0")
+    out = ["doc_id", "start", "size", "masked", "value_crc32", "label",
+           (F.col("fold") == 0).alias("held_out"), "score", "is_secret"]
+    n, positive = learned.agg(F.count("*"), F.sum("label")).first()
     if not n or positive in (0, n):
         only = F.lit(0.5 if not n else float(positive > 0))
         return findings.withColumn("score", only).withColumn(
             "is_secret", only >= threshold).select(*out)
-    rows = with_odds(findings, labelled)
+    rows = stage(with_odds(findings), "features")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
     space = 1 << 30
     rate = min(space, -(-sample * space // n))
     part = F.pmod(F.xxhash64("value_crc32", "doc_id", "start", F.lit(seed)), F.lit(space)) < rate
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees,
                                     maxDepth=depth, seed=seed)
-    train = stage(vectors.transform(rows.where("label >= 0").where(part)).select(
+    train = stage(vectors.transform(rows.where("label >= 0 and fold > 0").where(part)).select(
         "features", "label"), "forest")
     model = forest.fit(train)
     score = vector_to_array(F.col("probability"))[1]
     return model.transform(vectors.transform(rows)).withColumn("score", score).withColumn(
         "is_secret", F.col("score") >= threshold).select(*out)
+
+
+def held_out_quality(scored: DataFrame) -> DataFrame:
+    """One row: findings, precision and recall over the held-out findings
+    that a format proves."""
+    told = scored.where("held_out and label >= 0")
+    hit = F.count_if(F.col("is_secret") & (F.col("label") == 1))
+    return told.agg(F.count("*").alias("findings"),
+                    F.try_divide(hit, F.count_if("is_secret")).alias("precision"),
+                    F.try_divide(hit, F.count_if(F.col("label") == 1)).alias("recall"))
