@@ -8,10 +8,14 @@ corpus' the sum of those; a group with fewer than `min_rows` base-passing rows
 is judged by its language, and that by the corpus.  Merging adds integers:
 neither the order of rows nor the partitioning changes a threshold.
 
-A measure's bounds are Tukey fences on its sketch, widened to at least
-`min_slack`: upper = q3 + max(3 (q3 - q1), slack), lower = q1 - max(3 (q3 -
-q1), slack).  The fences join back to the measured rows, and a row is kept if
-it passes the base rules and lies inside every fence.
+Bounds come from the sketch alone.  Mean word length has Tukey fences, q1 - 3
+(q3 - q1) and q3 + 3 (q3 - q1); a sketch without spread (a source of copies)
+yields to its language's, and that to the corpus'.  Shares of symbols, of
+duplicate lines and of repeated words are nearly all 0 in good text, so their
+quartiles say nothing: each has a high percentile of the group as its bound
+(`MEASURES`), one occurrence always being allowed (one symbol, one duplicate
+line, one repeated window).  The fences join back to the measured rows, and a
+row is kept if it passes the base rules and lies inside every fence.
 
 All of it is DataFrame expressions.  The thin measured table (no text) is
 written once; sketches are grouped with map-side sums, so a source that holds
@@ -34,12 +38,13 @@ from quarry.session import stage
 SYMBOLS = "#*$%&|<>"
 #: A sketch bucket is at most 1/2^SUB_BITS of its value wide.
 SUB_BITS = 5
-#: measure -> (kind of fence, least distance of the fence from the quartile)
+#: measure -> its bound's percentile, the count behind it and the count that one
+#: occurrence makes; without a percentile: Tukey fences on both sides.
 MEASURES = {
-    "symbols_pm": ("upper", 60),
-    "dup_lines_pm": ("upper", 400),
-    "repeats_pm": ("upper", 350),
-    "word_len_pc": ("both", 150),
+    "symbols_pm": (95, "n_symbols", 1),
+    "dup_lines_pm": (99, "n_dup_lines", 1),
+    "repeats_pm": (99, "n_repeat_words", 6),
+    "word_len_pc": (None, None, None),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -135,15 +140,20 @@ def sketches(measured: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, q1, q3 of each group of merged sketches; a window holds the
-    buckets of one sketch, some hundreds at most."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, q1, q3 and the measure's own percentile q of each group of merged
+    sketches; a window holds the buckets of one sketch, some hundreds at most."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "measure")
     run = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(w))
+    own = F.lit(None).cast("int")
+    for m, (percent, _, _) in MEASURES.items():
+        if percent:
+            own = F.when(F.col("measure") == m, F.lit(percent)).otherwise(own)
     return ranked.groupBy(*keys, "measure").agg(
         F.max("all").alias("rows"),
+        F.min(F.when(100 * F.col("upto") >= own * F.col("all"), F.col("bucket"))).alias("q"),
         F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"))
 
@@ -151,41 +161,52 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(sketch: DataFrame, min_rows: int = 200) -> DataFrame:
     """One row for each (lang, source): lower and upper fence per measure,
     from its own sketch or, if that is thin, the language's or the corpus'."""
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch, ["lang"]).select(
-        F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"),
-        F.col("rows").alias("l_rows"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"))
-    every = _quartiles(sketch, []).select(
-        F.col("measure").alias("e_measure"), F.col("q1").alias("e_q1"), F.col("q3").alias("e_q3"))
+    names = ["measure", "rows", "q", "q1", "q3"]
+    own = _quantiles(sketch, ["lang", "source"])
+    lang = _quantiles(sketch, ["lang"]).select(
+        F.col("lang").alias("l_lang"), *[F.col(n).alias(f"l_{n}") for n in names])
+    every = _quantiles(sketch, []).select(*[F.col(n).alias(f"e_{n}") for n in names])
     j = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))
                  & (F.col("measure") == F.col("l_measure"))).join(
         F.broadcast(every), F.col("measure") == F.col("e_measure"))  # a row a measure
 
+    def tells(of: str) -> Column:  # enough rows, and a spread where it is needed
+        return (F.col(f"{of}rows") >= min_rows) & (
+            F.col(f"{of}q").isNotNull() | (F.col(f"{of}q3") > F.col(f"{of}q1")))
+
     def pick(q: str) -> Column:
-        return F.when(F.col("rows") >= min_rows, F.col(q)).when(
-            F.col("l_rows") >= min_rows, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
+        return F.when(tells(""), F.col(q)).when(tells("l_"), F.col(f"l_{q}")).otherwise(
+            F.col(f"e_{q}"))
 
-    j = j.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    j = j.select("lang", "source", "measure", *[pick(q).alias(q) for q in ("q", "q1", "q3")])
     out = []
-    for m, (kind, slack) in MEASURES.items():
-        reach = F.greatest(3 * (F.col("q3") - F.col("q1")), F.lit(slack))
+    for m, (percent, _, _) in MEASURES.items():
         own_row = F.col("measure") == m
-        out.append(F.max(F.when(own_row, F.col("q3") + reach)).alias(f"{m}_max"))
-        if kind == "both":
+        reach = 3 * (F.col("q3") - F.col("q1"))
+        upper = F.col("q") if percent else F.col("q3") + reach
+        out.append(F.max(F.when(own_row, upper)).alias(f"{m}_max"))
+        if not percent:
             out.append(F.max(F.when(own_row, F.col("q1") - reach)).alias(f"{m}_min"))
     return j.groupBy("lang", "source").agg(*out)
 
 
+def inside(measure: str) -> Column:
+    """Whether a judged row lies inside a measure's fences."""
+    percent, count, once = MEASURES[measure]
+    bucket = bucket_floor(F.col(measure))  # stands for all values of the bucket
+    if percent:
+        return (bucket <= F.col(f"{measure}_max")) | (F.col(count) <= once)
+    return bucket.between(F.col(f"{measure}_min"), F.col(f"{measure}_max"))
+
+
 def judge(docs: DataFrame, min_rows: int = 200, **columns) -> DataFrame:
     """doc_id, base counts, base_failed, kept, the measures and their fences."""
     measured = stage(measure(docs, **columns), "measures")
     fences = stage(thresholds(sketches(measured), min_rows), "fences")
     judged = small_side_join(measured, fences, ["lang", "source"])
-    inside = F.lit(True)
-    for m, (kind, _) in MEASURES.items():
-        inside &= F.col(m) <= F.col(f"{m}_max")
-        if kind == "both":
-            inside &= F.col(m) >= F.col(f"{m}_min")
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    passed = F.lit(True)
+    for m in MEASURES:
+        passed &= inside(m)
+    kept = ~F.col("base_failed") & F.coalesce(passed, F.lit(False))
     return judged.select("doc_id", *BASE, "base_failed", kept.alias("kept"), *MEASURES,
                          *[c for c in fences.columns if c not in ("lang", "source")])

@@ -45,26 +45,32 @@ def register(name: str, sql: str | None = None):
 
 
 def _op1_sql() -> str:
-    ms, slack = list(quality_rules.MEASURES), quality_rules.MEASURES
+    ms = list(quality_rules.MEASURES)
     sketch = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in ms)
+    width = lambda v: f"(2 ** greatest(length(ltrim(bin({v}), '0')) - {quality_rules.SUB_BITS + 1}, 0))::BIGINT"
+    level = "CASE measure " + " ".join(f"WHEN '{m}' THEN {p}" for m, (p, _, _) in
+                                       quality_rules.MEASURES.items() if p) + " END"
     def quart(keys: list[str], mark: str) -> str:
         by = ", ".join([*keys, "measure"])
         return f"""SELECT {by}, max(total) AS rows, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
-            min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM (
+            min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3,
+            min(CASE WHEN 100 * upto >= {level} * total THEN bucket END) AS q FROM (
             SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto,
                    sum(n) OVER (PARTITION BY {by}) AS total
             FROM (SELECT {by}, bucket, count(*) AS n FROM s GROUP BY {by}, bucket)) GROUP BY {by}"""
     fences, tests = [], []
-    for m, (kind, least) in slack.items():
-        reach = f"greatest(3 * (q3 - q1), {least})"
-        fences.append(f"max(CASE WHEN measure = '{m}' THEN q3 + {reach} END) AS {m}_max")
-        tests.append(f"{m} <= {m}_max")
-        if kind == "both":
-            fences.append(f"max(CASE WHEN measure = '{m}' THEN q1 - {reach} END) AS {m}_min")
-            tests.append(f"{m} >= {m}_min")
+    for m, (percent, count, once) in quality_rules.MEASURES.items():
+        upper = "q" if percent else "q3 + 3 * (q3 - q1)"
+        fences.append(f"max(CASE WHEN measure = '{m}' THEN {upper} END) AS {m}_max")
+        if percent:
+            tests.append(f"(({m} // {width(m)}) * {width(m)} <= {m}_max OR {count} <= {once})")
+        else:
+            tests.append(f"({m} // {width(m)}) * {width(m)} BETWEEN {m}_min AND {m}_max")
+            fences.append(f"max(CASE WHEN measure = '{m}' THEN q1 - 3 * (q3 - q1) END) AS {m}_min")
     names = [f.rsplit(" AS ", 1)[1] for f in fences]
-    pick = lambda q: f"""CASE WHEN o.rows >= 200 THEN o.{q} WHEN l.rows >= 200 THEN l.{q}
+    tells = lambda t: f"{t}.rows >= 200 AND ({t}.q IS NOT NULL OR {t}.q3 > {t}.q1)"
+    pick = lambda q: f"""CASE WHEN {tells("o")} THEN o.{q} WHEN {tells("l")} THEN l.{q}
         ELSE e.{q} END"""
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -96,11 +102,10 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
         1000 * n_repeat_words // greatest(n_words, 1) AS repeats_pm,
         100 * word_chars // greatest(n_words, 1) AS word_len_pc FROM b),
 s AS (SELECT lang, source, measure, (v // width) * width AS bucket FROM (SELECT *,
-        (2 ** greatest(length(ltrim(bin(v), '0')) - {quality_rules.SUB_BITS + 1}, 0))::BIGINT
-        AS width FROM ({sketch}))),
+        {width("v")} AS width FROM ({sketch}))),
 o AS ({quart(["lang", "source"], "o")}), l AS ({quart(["lang"], "l")}), e AS ({quart([], "e")}),
 f AS (SELECT lang, source, {", ".join(fences)} FROM (
-      SELECT o.lang, o.source, o.measure, {pick("q1")} AS q1, {pick("q3")} AS q3
+      SELECT o.lang, o.source, o.measure, {pick("q1")} AS q1, {pick("q3")} AS q3, {pick("q")} AS q
       FROM o JOIN l ON l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
       JOIN e ON e.measure = o.measure) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -48,6 +48,37 @@ def test_thresholds_adapt_to_their_group(spark):
     assert kept[(9002, False)] is True  # a thin group is judged by its language
 
 
+def test_every_fence_adapts_and_rejects(spark):
+    """On the given table fences differ between groups, each rejects rows, and
+    none rejects more of a group than its percentile leaves."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    judged = Q.judge(docs).where("not base_failed").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    rows = judged.groupBy("lang", "source").agg(
+        F.count("*").alias("n"), *[F.count_if(~Q.inside(m)).alias(m) for m in Q.MEASURES],
+        *[F.max(f"{m}_max").alias(f"{m}_max") for m in Q.MEASURES]).collect()
+    for m, (percent, _, _) in Q.MEASURES.items():
+        assert sum(r[m] for r in rows) > 0, m
+        assert len({r[f"{m}_max"] for r in rows}) > 1, m
+        if percent:
+            assert all(r[m] <= r["n"] * (100 - percent) / 100 for r in rows if r["n"] >= 200)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1")
+    good = judged.join(labels.select("doc_id").distinct(), "doc_id").agg(
+        F.avg(F.col("kept").cast("int"))).first()[0]
+    assert good > 0.95
+
+
+def test_a_source_of_copies_does_not_set_its_own_spread(spark):
+    one = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, one, "en", "copies") for i in range(900)] + [
+        (1000 + i, " ".join("abcdefghij"[:2 + (i + j) % 6] + str(j) for j in range(80)), "en",
+         "copies" if i < 100 else "prose") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = Q.judge(df).groupBy("kept").count().collect()
+    assert [(r["kept"], r["count"]) for r in kept] == [(True, 1600)]
+    same = Q.judge(df.where("doc_id < 900"))
+    assert same.where("kept").count() == 900
+
+
 def test_awkward_rows(awkward, no_rows):
     rows = Q.judge(awkward, min_rows=1).collect()
     assert len(rows) == awkward.count()
