@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import give_back
+from quarry.llm.common import give_back, internal
 from quarry.session import stage
 
 #: Fixed value: ASCII characters that count as symbols.
@@ -138,7 +138,7 @@ def _newton(train: DataFrame, centre, scale, n_pos: float, n_all: float, prior:
     a = (1.0 if prior is None else prior) / n_pos
     neg = 0.0 if prior is None else -a
 
-    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def at(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         def terms(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
             f = _design(x, centre, scale)
             z = f @ w
@@ -147,27 +147,35 @@ def _newton(train: DataFrame, centre, scale, n_pos: float, n_all: float, prior:
             up, down = a * positive, neg * positive + 1.0 / n_all
             pos_risk = float((up * _softplus(-z)).sum())
             neg_risk = float((down * _softplus(z)).sum())
-            grad = f.T @ (down * p - up * (1 - p))
-            curve = (f * ((up + down) * p * (1 - p))[:, None]).T @ f
-            return np.concatenate([[pos_risk, neg_risk], grad, curve.ravel()])
+            bend = p * (1 - p)
+            parts = [f.T @ (up * (p - 1)), f.T @ (down * p)]
+            parts += [((f * (side * bend)[:, None]).T @ f).ravel() for side in (up, down)]
+            return np.concatenate([[pos_risk, neg_risk], *parts])
         s = _summed(train, terms)
         pull = np.full(d, ridge)
         pull[-1] = 0.0
         risk = s[0] + max(0.0, s[1]) + 0.5 * float((pull * w * w).sum())
-        return risk, s[2:2 + d] + pull * w, s[2 + d:].reshape(d, d) + np.diag(pull + 1e-9)
+        slopes, bends = s[2:2 + 2 * d].reshape(2, d), s[2 + 2 * d:].reshape(2, d, d)
+        slopes[0] += pull * w
+        bends[0] += np.diag(pull + 1e-9)
+        return risk, float(s[1]), slopes, bends
 
     w = np.zeros(d)
-    risk, grad, curve = at(w)
-    step = 1.0
+    risk, negative, slopes, bends = at(w)
+    step, between = 1.0, [0.5, 0.75, 0.25]
+    share = float(negative > 0)  # of the negative part: it has no slope where it is cut off
     for _ in range(rounds):
-        move = np.linalg.solve(curve, grad)
+        move = np.linalg.solve(bends[0] + share * bends[1], slopes[0] + share * slopes[1])
         trial = at(w - step * move)
         if trial[0] < risk - 1e-6:
-            w, (risk, grad, curve), step = w - step * move, trial, min(1.0, 2 * step)
-        elif step < 0.1:
-            break
-        else:
+            w, (risk, negative, slopes, bends) = w - step * move, trial
+            step, between, share = min(1.0, 2 * step), [0.5, 0.75, 0.25], float(negative > 0)
+        elif step >= 0.1:
             step /= 4
+        elif between and abs(negative) < 0.05:  # at the edge the way down lies between both slopes
+            step, share = 1.0, between.pop(0)
+        else:
+            break
     return w
 
 
@@ -223,10 +231,17 @@ def measured_rows(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: st
                   text: str = "text", label: str = "quality") -> DataFrame:
     """Staged doc_id, x, positive, trains: every text's measures, whether a
     trusted label calls it positive, and whether the row may train."""
+    thin = stage(docs.select(docs[doc_id].alias(doc_id),
+                             measure_column(docs[text]).alias("x")), "measures")
+    return training_rows(thin, F.col("x"), labels, trains, doc_id, label)
+
+
+def training_rows(rows: DataFrame, x: Column, labels: DataFrame, trains: Column,
+                  doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The same from staged rows that have their measures `x`."""
     trusted = labels.where(F.col(label) == 1).select(
         F.col("doc_id").alias("p_id")).distinct().withColumn("positive", F.lit(True))
-    thin = stage(docs.select(docs[doc_id].alias("doc_id"),
-                             measure_column(docs[text]).alias("x")), "measures")
+    thin = rows.select(rows[doc_id].alias("doc_id"), x.alias("x"))
     return stage(thin.join(trusted, F.col("doc_id") == F.col("p_id"), "left").select(
         "doc_id", "x", F.coalesce("positive", F.lit(False)).alias("positive"),
         trains.alias("trains")), "training")
@@ -243,6 +258,9 @@ def classify(docs: DataFrame, labels: DataFrame, trains: Column, threshold: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, trains: Column, threshold: float = 0.3,
               text: str = "text", **columns) -> DataFrame:
-    """The rows of `docs`, all columns, that the classifier doesn't reject."""
-    model = fit(measured_rows(docs, labels, trains, text=text, **columns))
-    return docs.where(score_column(measure_column(docs[text]), model) >= threshold)
+    """The rows of `docs`, all columns, that the classifier doesn't reject.
+    They are written with their measures, which are taken once."""
+    x = internal("x")
+    measured = stage(docs.withColumn(x, measure_column(docs[text])), "measured")
+    model = fit(training_rows(measured, F.col(x), labels, trains, **columns))
+    return measured.where(score_column(F.col(x), model) >= threshold).drop(x)

@@ -38,6 +38,33 @@ def test_pu_prior_is_estimated_without_negatives(spark):
     assert np.mean((z > 0) == np.array([r[3] for r in rows])) > 0.97
 
 
+def test_pu_risk_is_minimised_where_its_negative_part_is_cut_off(spark):
+    """Against plain gradient descent on the non-negative risk, with a prior
+    so high that the negative part falls below zero."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(1, 1, (60, 1)), rng.normal(-1, 1, (60, 1))])
+    positive = np.arange(120) < 50
+    rows = spark.createDataFrame([(r.tolist(), bool(p)) for r, p in zip(x, positive)],
+                                 "x array<double>, positive boolean")
+    both = np.concatenate([x, x * x], 1)
+    centre, scale = both.mean(0), both.std(0)
+    f = pu_classifier._design(x, centre, scale)
+
+    def risk(w, prior, ridge=1e-2):
+        z = f @ w
+        a = prior / positive.sum()
+        pos = (a * positive * np.logaddexp(0, -z)).sum()
+        neg = ((1 / len(x) - a * positive) * np.logaddexp(0, z)).sum()
+        return pos + max(0.0, neg) + 0.5 * ridge * (w[:-1] ** 2).sum(), neg
+
+    for prior in (0.4, 0.95):
+        w = pu_classifier._newton(rows, centre, scale, positive.sum(), len(x), prior, 1e-2, 40)
+        best = min((risk(w + rng.normal(0, s, 3), prior)[0] for s in (0.01, 0.05, 0.3) for _ in range(400)))
+        # the second minimum lies on the edge, where two slopes meet
+        assert risk(w, prior)[0] <= best + (2e-3 if prior < 0.9 else 1e-2) and best < 0.3
+    assert risk(np.array([3.0, 0.0, 2.0]), 0.95)[1] < 0  # the cut is met on the way
+
+
 def test_pu_awkward_rows(awkward, no_rows, labels):
     rows = pu_classifier.classify(awkward, labels, F.lit(True)).collect()
     assert len(rows) == awkward.count() and all(0 <= r["score"] <= 1 for r in rows)
