@@ -154,14 +154,14 @@ def source_targets(sizes: DataFrame, total: int, weights: tuple[float, ...],
 
 def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
              n_shards: int | None = None, shard_words: int = 8_000_000,
-             blocks_per_shard: int = 16, max_shards: int = 1024, max_sources: int | None = None,
+             blocks_per_shard: int = 16, max_sources: int | None = None,
              groups: int = GROUPS, seed: int = 20) -> Recipe:
     """The recipe for staged rows (source, size, key)."""
     sizes = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     if max_sources is not None and n > max_sources:
         raise ValueError(f"a mix has at most {max_sources} sources")
-    shards = n_shards or max(1, min(max_shards, math.ceil(total / shard_words)))
+    shards = n_shards or max(1, math.ceil(total / shard_words))
     per_block = float(max(1, total / (shards * blocks_per_shard)))
     size = F.col("source_size")
     base = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int")
@@ -286,5 +286,6 @@ def draw_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drawn = with_draws(rows, recipe, inner[names.index(source)], F.col(k))
     each = drawn.select(*inner, k, F.posexplode("draws").alias(place, shard)).withColumn(
         place, F.xxhash64(F.lit(seed), F.col(k), F.col(place)))
-    dealt = each.repartition(recipe.n_shards, F.col(shard)).sortWithinPartitions(shard, place)
+    # one shard a task
+    dealt = each.repartitionById(recipe.n_shards, F.col(shard)).sortWithinPartitions(shard, place)
     return dealt.select(*inner).toDF(*names)

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import give_back, internal, lower_words
@@ -217,13 +217,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row of `docs`."""
     rows = stage(docs.select(docs[doc_id].alias("doc_id"),
                              fingerprint_column(docs[text], shingle).alias("fp")), "simhash")
+    return rows.join(components_of(rows, max_bits), "fp").select(
+        "doc_id", "fp", "component_id", "component")
+
+
+def components_of(rows: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(fp, component_id, component) of each distinct fingerprint of staged
+    rows (doc_id, fp)."""
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     found = connected_components(links(classes.select("fp"), max_bits))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     roots = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(roots, "component").select("fp", "component_id", "component")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "component")
+    return named.join(roots, "component").select("fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
@@ -231,13 +237,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """The rows of `docs`, all columns, with one document of each component:
     the one with the smallest id (NULL ids last; of several texts under that
     id the one with the smallest fingerprint, of repeated rows any one)."""
-    fp, rid, rfp, n = (internal(x) for x in ("fp", "rep_id", "rep_fp", "n"))
-    found = near_duplicates(docs, doc_id, text, shingle, max_bits)
-    reps = found.groupBy("component").agg(F.min(F.struct(
-        F.col("doc_id").isNull(), "doc_id", "fp")).alias("r")).select(
-        F.col("r.doc_id").alias(rid), F.col("r.fp").alias(rfp))
-    marked = docs.withColumn(fp, fingerprint_column(docs[text], shingle))
-    kept = marked.join(reps, marked[doc_id].eqNullSafe(reps[rid]) & (marked[fp] == reps[rfp]),
-                       "left_semi")
-    one = Window.partitionBy(F.col(doc_id), F.col(fp)).orderBy(F.col(fp))
-    return kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n, fp)
+    fp, row = internal("fp"), internal("row")
+    # written with fingerprint and row number, so that both are there once
+    # and the choice among rows is made on thin columns; texts move once
+    marked = stage(docs.withColumn(fp, fingerprint_column(docs[text], shingle)).withColumn(
+        row, F.monotonically_increasing_id()), "marked")
+    thin = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    reps = thin.join(components_of(thin.select("doc_id", "fp"), max_bits), "fp").groupBy(
+        "component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")).alias("r")) \
+        .select(F.col("r.row").alias(row))
+    return marked.join(reps, row, "left_semi").drop(fp, row)
