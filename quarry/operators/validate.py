@@ -9,6 +9,7 @@
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.session import freeze
+from quarry.sources.files import ERRORS
 from quarry.functions.numeric import is_infinite, is_missing
 from quarry.functions.rules import Rule
 
@@ -41,14 +43,31 @@ def route(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(~bad), checked.where(bad)
 
 
+def check_records(parsed: DataFrame, rules: Sequence[Rule],
+                  include_cross_field: bool = True) -> DataFrame:
+    """VAL10 for parsed records: a record that couldn't be parsed has its parse
+    errors as `violations` (the rules saw none of it), any other the ids of
+    the rules that it breaks."""
+    checked = apply_rules(parsed, rules, include_cross_field)
+    broken = F.size(ERRORS) > 0
+    return checked.withColumns({
+        "violations": F.when(broken, F.col(ERRORS)).otherwise(F.col("violations")),
+        "warnings": F.when(broken, F.array().cast("array<string>")).otherwise(F.col("warnings"))}).drop(ERRORS)
+
+
 def write_routed(df: DataFrame, rules: Sequence[Rule], valid_path: str, quarantine_path: str,
-                 fmt: str = "parquet") -> None:
+                 fmt: str = "parquet", batch_id: str | None = None) -> str:
     """VAL10 sink: one rule pass, frozen by a reliable checkpoint, then the two
-    filtered writes read the frozen rows instead of recomputing the source."""
-    checked = apply_rules(df, rules).transform(freeze)
-    ok, bad = route(checked)
-    ok.write.mode("append").format(fmt).save(valid_path)
-    bad.write.mode("append").format(fmt).save(quarantine_path)
+    filtered writes read the frozen rows instead of recomputing the source.
+
+    Both sides are folders of batches (`batch_id=...`); a batch that is
+    written again under its id takes its own place, so a rerun, also one after
+    a failure between the two writes, adds no row.  Returns the batch's id."""
+    batch_id = batch_id or uuid.uuid4().hex
+    checked = (check_records if ERRORS in df.columns else apply_rules)(df, rules).transform(freeze)
+    for rows, path in zip(route(checked), (valid_path, quarantine_path)):
+        rows.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+    return batch_id
 
 
 def table_checks(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import r
+from quarry.functions import rules as R
 from quarry.operators import servelog as S
+from quarry.operators import validate as V
 from quarry.plans.catalog import register
 from quarry.plans.q_evaluate import _evaluate_all_sql, _rounded_all
 from quarry.plans.sqlparts import P_CTE
@@ -109,3 +111,74 @@ def fingerprint_change(spark, sf_dir):
         F.col("l_extendedprice") == top, top + 0.01).otherwise(F.col("l_extendedprice")))
     return IO.fingerprint_changed(IO.dataset_fingerprint(h, "lineitem"),
                                   IO.dataset_fingerprint(other, "lineitem"))
+
+
+# --- malformed records --------------------------------------------------------------
+
+ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string"
+ORDER_RULES = [R.bounds("o_totalprice", gt=0, le=400_000), R.bounds("o_custkey", ge=1)]
+_ORDER_RULES_SQL = """list_filter([
+  CASE WHEN price IS NULL OR NOT (price > 0 AND price <= 400000) THEN 'o_totalprice_range' END,
+  CASE WHEN cust IS NULL OR NOT (cust >= 1) THEN 'o_custkey_range' END], lambda x: x IS NOT NULL)"""
+
+
+def _order_lines(spark, sf_dir):
+    """Orders as CSV lines, some of them damaged: a price that is no number, a
+    field too few, a key that is no whole number, a missing price."""
+    o, k = read_table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = F.when(k % 53 == 0, F.lit("n/a!")).when(k % 59 == 0, F.lit("NA")).otherwise(
+        F.col("o_totalprice").cast("string"))
+    cust = F.when(k % 61 == 0, F.lit("1.5x")).otherwise(F.col("o_custkey").cast("string"))
+    cells = [k.cast("string"), cust, price, F.col("o_orderstatus")]
+    return o.select(F.when(k % 47 == 0, F.concat_ws(",", *cells[:3])).otherwise(
+        F.concat_ws(",", *cells)).alias("value"))
+
+
+_ORDER_CELLS = f"""D AS (SELECT *, o_orderkey AS k FROM orders),
+C AS (SELECT k, k % 47 = 0 AS broken,
+        CASE WHEN k % 61 = 0 THEN NULL ELSE o_custkey END AS cust, k % 61 = 0 AS bad_cust,
+        CASE WHEN k % 53 = 0 OR k % 59 = 0 THEN NULL ELSE o_totalprice END AS price, k % 53 = 0 AS bad_price
+      FROM D),
+E AS (SELECT *, CASE WHEN broken THEN ['record: not 4 fields'] ELSE list_filter([
+        CASE WHEN bad_cust THEN 'o_custkey: not bigint' END,
+        CASE WHEN bad_price THEN 'o_totalprice: not double' END], lambda x: x IS NOT NULL) END AS errors FROM C),
+V AS (SELECT *, CASE WHEN len(errors) > 0 THEN errors ELSE {_ORDER_RULES_SQL} END AS violations FROM E)"""
+
+
+@register("csv_malformed", f"""WITH {_ORDER_CELLS}
+SELECT CASE WHEN len(violations) > 0 THEN 'quarantine' ELSE 'valid' END AS route,
+       array_to_string(violations, '; ') AS reasons, count(*) AS n,
+       CAST(sum(CASE WHEN broken THEN 0 ELSE k END) AS BIGINT) AS key_sum
+FROM V GROUP BY 1, 2""")
+def csv_malformed(spark, sf_dir):
+    """SRC2, VAL10: a CSV with damaged records; good ones are kept, bad ones
+    lie in quarantine with their text and all their reasons; written twice
+    under one batch id."""
+    root = scratch_path(spark, "malformed")
+    lines = _order_lines(spark, sf_dir)
+    head = "o_orderkey,o_custkey,o_totalprice,o_orderstatus"
+    lines.select(F.col("value").alias(head)).write.option("header", True).option("quote", "").csv(f"{root}/in")
+    parsed = IO.read_csv_checked(spark, f"{root}/in", ORDER_SCHEMA)
+    for _ in range(2):
+        V.write_routed(parsed, ORDER_RULES, f"{root}/valid", f"{root}/bad", batch_id="b1")
+    sides = [spark.read.parquet(f"{root}/{p}").withColumn("route", F.lit(n))
+             for p, n in (("valid", "valid"), ("bad", "quarantine"))]
+    both = sides[0].unionByName(sides[1])
+    return both.groupBy("route", F.array_join("violations", "; ").alias("reasons")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("o_orderkey"), F.lit(0)).alias("key_sum"))
+
+
+@register("json_malformed", """
+WITH E AS (SELECT event_id AS id, props, event_id % 41 = 0 AS broken, event_id % 43 = 0 AS text_k FROM events)
+SELECT id, CASE WHEN NOT broken AND NOT text_k THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
+       CASE WHEN broken THEN 'record: not a JSON object' WHEN text_k THEN 'k: not bigint' ELSE '' END AS reasons
+FROM E""")
+def json_malformed(spark, sf_dir):
+    """JSN1: request records of which some are cut off and some hold a word
+    where a number belongs."""
+    props = F.col("props")
+    damaged = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(
+        F.col("event_id") % 41 == 0, F.expr("substring(props, 1, length(props) - 2)")).when(
+        F.col("event_id") % 43 == 0, F.lit('{"k": "many"}')).otherwise(props).alias("request"))
+    parsed = IO.parse_json_checked(damaged, "request", "k long", keep=["id"])
+    return parsed.select("id", "k", F.array_join(IO.ERRORS, "; ").alias("reasons"))

@@ -199,3 +199,76 @@ def stream_score(spark, sf_dir):
     scored = ST.score_stream(model, ST.log_stream(s)).select("id", "prediction")
     ST.run_available_now(scored, f"{base}/out", f"{base}/ck")
     return spark.read.parquet(f"{base}/out").select("id", r("prediction", 4).alias("prediction"))
+
+
+def _two_runs(spark, sf_dir, make):
+    """The stream over the first half of the days, then, from its checkpoint,
+    over the rest; several micro-batches each."""
+    base = scratch_path(spark, "stream")
+    ev = read_table(spark, sf_dir, "events")
+    half = F.lit("2024-01-16").cast("timestamp")
+    for part in (ev.where(F.col("ts") < half), ev.where(F.col("ts") >= half)):
+        n = ST.stage_event_days(part.withColumn("ts", F.col("ts").cast("timestamp_ntz")), f"{base}/files")
+        ST.run_available_now(make(ST.event_stream(spark, f"{base}/files", files_per_batch=n)),
+                             f"{base}/out", f"{base}/ck", state=True)
+    return spark.read.parquet(f"{base}/out")
+
+
+_CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+@register("stream_scrape_samples", f"""WITH {P_CTE},
+B AS (SELECT model_name, status, time_bucket(INTERVAL 10 SECOND, ts) AS window_start, count(*) AS inc
+      FROM P GROUP BY ALL),
+S AS (SELECT model_name, status, window_start, CAST(sum(inc) OVER (
+        PARTITION BY model_name, status ORDER BY window_start) AS BIGINT) AS value FROM B)
+SELECT * FROM S WHERE window_start + INTERVAL 10 SECOND <= {_CLOSED}""")
+def stream_scrape_samples(spark, sf_dir):
+    """TS16, STR5: cumulative counter values on a stream that is stopped and
+    started again, equal to `scrape_samples`."""
+    out = _two_runs(spark, sf_dir, lambda s: ST.scrape_stream(ST.log_stream(s), ["model_name", "status"]))
+    return _closed(out, spark, sf_dir).select(
+        "model_name", "status", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "value")
+
+
+@register("stream_increases", f"""WITH {P_CTE},
+B AS (SELECT model_name, time_bucket(INTERVAL 10 SECOND, ts) AS window_start,
+        arg_max(id % 1000, (ts, id)) AS value FROM P GROUP BY ALL),
+D AS (SELECT *, lag(value) OVER (PARTITION BY model_name ORDER BY window_start) AS prev FROM B)
+SELECT model_name, window_start, value::DOUBLE AS value,
+       CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END::DOUBLE AS delta
+FROM D WHERE window_start + INTERVAL 10 SECOND <= {_CLOSED}""")
+def stream_increases(spark, sf_dir):
+    """TS10 on a stream: increases of a counter that starts anew every 1,000
+    events, over a restart of the stream."""
+    def make(s):
+        log = ST.log_stream(s)
+        return ST.increase_stream(log.select("model_name", "ts", (F.col("id") % 1000).alias("value")),
+                                  ["model_name"])
+
+    return _closed(_two_runs(spark, sf_dir, make), spark, sf_dir).select(
+        "model_name", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "value", "delta")
+
+
+@register("stream_inflight", f"""WITH {P_CTE},
+E AS (SELECT endpoint, ts, id AS request_id, 1 AS delta FROM P
+      UNION ALL SELECT endpoint, {_END_TS}, id, -1 FROM P),
+A AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY endpoint ORDER BY ts, delta, request_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active FROM E)
+SELECT * FROM A WHERE time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= {_CLOSED}""")
+def stream_inflight(spark, sf_dir):
+    """TS8 on a stream: requests in flight after every start and end, equal to
+    `inflight`; ends come with their starts, minutes before their time."""
+    def make(s):
+        log = ST.log_stream(s, watermark=False)
+        end = F.timestamp_micros(F.unix_micros("ts") + (F.col("processing_time_ms") * 1000).cast("long"))
+        both = log.select("endpoint", F.col("id").alias("request_id"), F.explode(F.array(
+            F.struct(F.col("ts").alias("ts"), F.lit(1).alias("delta")),
+            F.struct(end.alias("ts"), F.lit(-1).alias("delta")))).alias("e")).select(
+            "endpoint", "request_id", "e.ts", "e.delta").withWatermark("ts", ST.WATERMARK)
+        return ST.inflight_stream(both, ["endpoint"])
+
+    out = _two_runs(spark, sf_dir, make)
+    closed = out.withColumn("window_end", F.window("ts", "10 seconds")["end"])
+    return _closed(closed, spark, sf_dir).select(
+        "endpoint", F.col("ts").cast("timestamp_ntz").alias("ts"), "request_id", "delta", "active")

@@ -6,7 +6,7 @@ work is split across tasks.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,61 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
             .option("nanValue", "NaN").option("mode", "FAILFAST").csv(path))
 
 
+RAW, ERRORS = "raw_record", "parse_errors"
+
+
+def _typed(text: Column, kind: T.DataType, missing: str | None) -> tuple[Column, Column]:
+    """(the text as a value of the type, whether it isn't one)."""
+    given = text if missing is None else F.nullif(text, F.lit(missing))
+    value = given.cast("string") if isinstance(kind, T.StringType) else F.trim(given).try_cast(kind)
+    return value, given.isNotNull() & value.isNull()
+
+
+def _checked(rows: DataFrame, cells: Mapping[str, Column], fields: list[T.StructField], raw: Column,
+             broken: Column, reason: str, missing: str | None = None,
+             keep: Sequence[str] = ()) -> DataFrame:
+    """Kept and typed columns, `parse_errors` (why the record is bad; empty: it
+    is good) and `raw_record` (its text, of bad records only)."""
+    typed = {f.name: _typed(cells[f.name], f.dataType, missing) for f in fields}
+    wrong = F.filter(F.array(F.when(broken, F.lit(reason)), *[
+        F.when(~broken & bad, F.lit(f"{f.name}: not {f.dataType.simpleString()}"))
+        for f, (_, bad) in zip(fields, typed.values())]), lambda e: e.isNotNull())
+    out = rows.select(*keep, *[F.when(~broken, v).alias(n) for n, (v, _) in typed.items()],
+                      wrong.alias(ERRORS), raw.alias(RAW))
+    return out.withColumn(RAW, F.when(F.size(ERRORS) > 0, F.col(RAW)))
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """SRC2 for input that may be malformed: every record comes back, with its
+    errors.  Fields are read as text and cast one by one, so an error names
+    its column; a record of too few or too many fields is one error.  'NA'
+    reads as NULL.  Pass the result to `validate.apply_rules` and
+    `validate.route`."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields],
+                         T.StructField("_broken", T.StringType())])
+    # without pruning, so that a record's width is checked whatever is read of it
+    rows = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_broken").option("columnPruning", False).csv(path))
+    told = F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("NA")) for f in fields])
+    return _checked(rows, {f.name: F.col(f.name) for f in fields}, fields,
+                    F.coalesce("_broken", told), F.col("_broken").isNotNull(),
+                    f"record: not {len(fields)} fields", "NA")
+
+
+def parse_json_checked(df: DataFrame, column: str, schema: T.StructType | str,
+                       keep: Sequence[str] = ()) -> DataFrame:
+    """JSN1 for records that may be malformed: flat JSON objects in a text
+    column become typed columns beside `keep`, errors as in
+    `read_csv_checked`.  Fields that are absent or null, and all fields of a
+    NULL text, are NULL."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    rows = df.withColumn("_cells", F.from_json(column, "map<string,string>", {"mode": "PERMISSIVE"}))
+    cells = {f.name: F.try_element_at(F.col("_cells"), F.lit(f.name)) for f in fields}
+    broken = F.col("_cells").isNull() & F.col(column).isNotNull()
+    return _checked(rows, cells, fields, F.col(column), broken, "record: not a JSON object", keep=keep)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).limit(1).count()

@@ -4,8 +4,8 @@ Layout under one root folder (shared storage):
   runs/            long table (run_id, run_name, experiment, kind, key, value, start_time)
   model_versions/  (name, version, run_id, model_path, score, registered_at)
   models/<run_id>  saved PipelineModel
-Versions are `coalesce(max(version), 0) + 1` per name, computed by Spark
-from the versions table itself.
+A registration asks for `coalesce(max(version), 0) + 1` of its name; readers
+number the rows (`Registry.versions`), so no two models share a version.
 """
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import datetime as _dt
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -46,7 +46,12 @@ class Registry:
         return self._read("runs", RUNS_SCHEMA)
 
     def versions(self) -> DataFrame:
-        return self._read("model_versions", VERSIONS_SCHEMA)
+        """Registered versions.  Rows are only ever added, so two writers may
+        have asked for one number: the order of numbers, times and run ids
+        decides, and the later one and those after it move up."""
+        asked = self._read("model_versions", VERSIONS_SCHEMA)
+        order = Window.partitionBy("name").orderBy("version", "registered_at", "run_id")
+        return asked.withColumn("version", F.row_number().over(order).cast("long"))
 
     def model_path(self, run_id: str) -> str:
         return self._p(os.path.join("models", run_id))

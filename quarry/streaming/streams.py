@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quarry.functions.rules import Rule
 from quarry.operators import validate as V
@@ -23,6 +25,9 @@ from quarry.sources.tables import prediction_log_from_events
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
                  "props string")
 WATERMARK = "10 minutes"
+#: State store of operators that keep state of their own.
+CARRIED_STATE = {"spark.sql.streaming.stateStore.providerClass":
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def stage_event_files(events: DataFrame, path: str) -> str:
@@ -61,11 +66,22 @@ def log_stream(events: DataFrame, watermark: bool = True) -> DataFrame:
 
 
 def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "append",
-                      fmt: str = "parquet") -> None:
-    """Process everything available, then stop (exactly-once file sink)."""
-    q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(sink))
-    q.awaitTermination()
+                      fmt: str = "parquet", state: bool = False) -> None:
+    """Process everything available, then stop (exactly-once file sink).
+    `state`: the query has an operator with state of its own, which only the
+    disk-backed state store keeps; the setting holds for this start alone."""
+    conf, before = df.sparkSession.conf, {}
+    if state:
+        before = {k: conf.get(k, None) for k in CARRIED_STATE}
+        for k, v in CARRIED_STATE.items():
+            conf.set(k, v)
+    try:
+        q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(sink))
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def ingest(log: DataFrame, rules: Sequence[Rule], valid_path: str, quarantine_path: str,
@@ -106,6 +122,90 @@ def tumbling_counts(log: DataFrame, length: str = "10 seconds") -> DataFrame:
         F.col("w.start").alias("window_start"), "model_name", "status", "n")
 
 
+# --- counters and gauges that go on ---------------------------------------------
+
+def _carried(rows: DataFrame, labels: Sequence[str], step, out: str, state: str) -> DataFrame:
+    """Rows of closed windows (labels, window_start, ...) in time order, one
+    series at a time, with a state that is kept between micro-batches and over
+    restarts.  Windows close in time order, so sorting those of one batch is
+    enough; the state is a few numbers a series.
+
+    step(window rows as a DataFrame, state tuple or None) -> (rows, new state).
+    The query must be started with `CARRIED_STATE` (`run_available_now` with
+    state=True does so)."""
+    class Carried(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.held = handle.getValueState("held", state)
+
+        def handleInputRows(self, key, batches, timerValues):
+            pdf = pd.concat(list(batches), ignore_index=True).sort_values("window_start")
+            found, now = step(pdf, tuple(self.held.get()) if self.held.exists() else None)
+            self.held.update(now)
+            yield found
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy(*labels).transformWithStateInPandas(Carried(), out, "append", "none")
+
+
+def scrape_stream(log: DataFrame, labels: Sequence[str], seconds: int = 10) -> DataFrame:
+    """TS16 / STR5: the counter's value at the end of every bin that saw an
+    event: windowed counts, then a running total that the state carries."""
+    counted = log.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), *labels).agg(
+        F.count(F.lit(1)).alias("inc")).select(
+        *labels, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "inc")
+
+    def step(pdf: pd.DataFrame, held: tuple | None):
+        value = pdf["inc"].cumsum() + (held[0] if held else 0)
+        return pdf.assign(value=value).drop(columns="inc"), (int(value.iloc[-1]),)
+
+    out = "".join(f"{c} string, " for c in labels)
+    return _carried(counted, labels, step,
+                    f"{out}window_start timestamp, window_end timestamp, value long", "total long")
+
+
+def increase_stream(samples: DataFrame, labels: Sequence[str], value: str = "value",
+                    seconds: int = 10) -> DataFrame:
+    """TS10's increases on a stream of cumulative samples (labels, ts, value):
+    the last sample of every bin against the last one before, which the state
+    carries; a drop is a reset, so the increase is the new value itself."""
+    last = samples.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), *labels).agg(
+        F.max_by(value, "ts").cast("double").alias("value")).select(
+        *labels, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "value")
+
+    def step(pdf: pd.DataFrame, held: tuple | None):
+        v = pdf["value"]
+        before = v.shift(fill_value=held[0] if held else v.iloc[0])
+        return pdf.assign(delta=(v - before).where(v >= before, v)), (float(v.iloc[-1]),)
+
+    out = "".join(f"{c} string, " for c in labels)
+    return _carried(last, labels, step, f"{out}window_start timestamp, window_end timestamp, "
+                    "value double, delta double", "last double")
+
+
+def inflight_stream(events: DataFrame, labels: Sequence[str], seconds: int = 10) -> DataFrame:
+    """TS8 on a stream of +1 / -1 events (labels, ts, request_id, delta) in any
+    order within the watermark: events wait in their bin until it is closed,
+    then the gauge after each of them is told; the state carries its value.
+    Events at the same instant apply ends first."""
+    waiting = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), *labels).agg(
+        F.array_sort(F.collect_list(F.struct("ts", "delta", "request_id"))).alias("events")).select(
+        *labels, F.col("w.start").alias("window_start"), "events")
+
+    def step(pdf: pd.DataFrame, held: tuple | None):
+        names = {c: pdf[c].iloc[0] for c in labels}
+        rows = pd.DataFrame([dict(zip(("ts", "delta", "request_id"), (e["ts"], e["delta"], e["request_id"])))
+                             for es in pdf["events"] for e in es])
+        rows["active"] = rows["delta"].cumsum() + (held[0] if held else 0)
+        return rows.assign(**names)[[*labels, "ts", "request_id", "delta", "active"]], (
+            int(rows["active"].iloc[-1]),)
+
+    out = "".join(f"{c} string, " for c in labels)
+    return _carried(waiting, labels, step,
+                    f"{out}ts timestamp, request_id long, delta int, active long", "active long")
+
+
 def pair_stream(starts: DataFrame, ends: DataFrame, max_gap: str = "1 hour") -> DataFrame:
     """STR4: start/end pairing as a stream-stream join bounded in event time;
     starts without an end inside `max_gap` expire from state."""

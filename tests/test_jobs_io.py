@@ -114,3 +114,61 @@ def test_profile_report_sections(spark):
     assert by[("target", "o_totalprice", "median")] == by[("numeric", "o_totalprice", "p50")]
     assert sum(r.value for r in rows if r.section == "categories") == n
     assert by[("numeric", "o_totalprice", "count")] == n
+
+
+def test_a_routed_batch_that_is_written_again_adds_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5.0), (2, -1.0)], "id int, x double")
+    ok, bad = str(tmp_path / "ok"), str(tmp_path / "bad")
+    for batch in ("b1", "b1", "b2"):
+        assert V.write_routed(df, [R.bounds("x", gt=0)], ok, bad, batch_id=batch) == batch
+    assert spark.read.parquet(ok).count() == spark.read.parquet(bad).count() == 2
+    assert V.write_routed(df, [R.bounds("x", gt=0)], ok, bad) != V.write_routed(df, [], ok, bad)
+
+
+def test_malformed_csv_records_are_routed_with_reasons(spark, tmp_path):
+    from quarry.sources import files as IO
+
+    (tmp_path / "in.csv").write_text(
+        'a,b,c\n1,2.5,x\nNA,NaN,y\n7,abc,"z, w"\n8\n9,1.0,q,extra\nx,y,z\n10,,\n')
+    got = IO.read_csv_checked(spark, str(tmp_path / "in.csv"), "a int, b double, c string")
+    rows = {(r.a, r.c): r for r in got.collect()}
+    assert got.count() == 7 and rows[1, "x"].parse_errors == [] and rows[1, "x"].raw_record is None
+    assert rows[None, "y"].parse_errors == [] and rows[10, None].b is None
+    assert rows[7, "z, w"].parse_errors == ["b: not double"]
+    broken = [r for r in rows.values() if r.parse_errors == ["record: not 3 fields"]]
+    assert sorted(r.parse_errors for r in got.where("size(parse_errors) > 0").collect()) == [
+        ["a: not int", "b: not double"], ["b: not double"], ["record: not 3 fields"], ["record: not 3 fields"]]
+    assert len(broken) == 1 and got.where("raw_record = '9,1.0,q,extra'").count() == 1
+    assert got.select("a").count() == 7  # whatever is read of them
+    checked = V.check_records(got, [R.bounds("a", ge=2)])
+    assert {tuple(r.violations) for r in checked.collect()} == {
+        ("a_range",), (), ("b: not double",), ("record: not 3 fields",), ("a: not int", "b: not double")}
+
+
+def test_malformed_json_records(spark):
+    from quarry.sources import files as IO
+
+    texts = ['{"k": 1, "s": "x"}', '{"k": "many"}', '{"k": 2', None, '{}', '[1]', '{"k": null, "s": 3}', ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r for r in IO.parse_json_checked(df, "t", "k long, s string", keep=["id"]).collect()}
+    assert (got[0].k, got[0].s, got[0].parse_errors) == (1, "x", [])
+    assert got[1].parse_errors == ["k: not bigint"] and got[1].raw_record == '{"k": "many"}'
+    assert got[2].parse_errors == got[5].parse_errors == got[7].parse_errors == ["record: not a JSON object"]
+    assert got[3].parse_errors == got[4].parse_errors == got[6].parse_errors == []
+    assert got[6].s == "3" and len(got) == len(texts)
+
+
+def test_two_writers_of_one_version_get_two(spark, tmp_path):
+    from quarry.sources.registry import VERSIONS_SCHEMA, Registry
+
+    reg = Registry(spark, str(tmp_path))
+    t = dt.datetime(2024, 1, 1)
+    asked = [("m", 1, "r1", "p1", 0.5, t), ("m", 2, "r2", "p2", 0.6, t),
+             ("m", 2, "r3", "p3", 0.7, t + dt.timedelta(seconds=1)), ("n", 1, "r4", "p4", 0.1, t)]
+    for row in asked:  # two of them read the same table before they wrote
+        spark.createDataFrame([row], VERSIONS_SCHEMA).write.mode("append").parquet(str(tmp_path / "model_versions"))
+    assert {(r.name, r.version, r.run_id) for r in reg.versions().collect()} == {
+        ("m", 1, "r1"), ("m", 2, "r2"), ("m", 3, "r3"), ("n", 1, "r4")}
+    assert {(r.name, r.run_id) for r in reg.latest_versions().collect()} == {("m", "r3"), ("n", "r4")}
+    best = spark.createDataFrame([("r5", 0.9)], "run_id string, score double")
+    assert reg.register("m", best).first().version == 4
