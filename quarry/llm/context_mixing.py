@@ -50,7 +50,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lower_words
+from quarry.llm.common import give_back, lower_words
 from quarry.session import stage
 
 TOP_WORDS = 1 << 16
@@ -292,6 +292,48 @@ def _coded_words(vocabulary: Vocabulary, ws: list[bytes]) -> list[int]:
     return [*[get(w, escape) for w in ws], vocabulary.ids[END]]
 
 
+class Places:
+    """Counts of table places that a task has met, as sorted keys: memory
+    follows the distinct places, not the table."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, at: np.ndarray) -> None:
+        """Count places; equal ones stand together after sorting."""
+        if len(at):
+            at = np.sort(at)
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            self.new.append((at[first].astype(np.int64), np.diff(first, append=len(at))))
+            self.waiting += len(first)
+            if self.waiting > max(1 << 19, len(self.keys)):
+                self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.new)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+        self.keys = keys[first]
+        self.counts = np.add.reduceat(counts, first) if len(first) else counts
+        self.new, self.waiting = [], 0
+
+    def packed(self, kind: int, block: int) -> Iterator[pd.DataFrame]:
+        """The counts, compressed block by block."""
+        self._merge()
+        pack = zstandard.ZstdCompressor(level=1)
+        part = TaskContext.get().partitionId()
+        edges = np.flatnonzero(np.diff(self.keys // block, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(self.keys)]):
+            n = int(self.keys[a]) // block
+            c = np.zeros(block, np.int64)
+            c[self.keys[a:b] - n * block] = self.counts[a:b]
+            yield _packed_row(pack, kind, n, part, c)
+
+
 def _packed(kind: int, total: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
     """A task's counts of one table, compressed block by block."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -340,8 +382,8 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
     def in_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
         n = v.words.size
-        tables = {k: np.zeros((FREQUENT + 1) * n, np.int32) for k in WORD_KINDS}
-        opened = {BYTE_KINDS[-1]: np.zeros(size, np.int32)}
+        tables = {k: Places() for k in WORD_KINDS}
+        opened = {BYTE_KINDS[-1]: Places()}
         held: list[list[int]] = []
         heads: list[bytes] = []
 
@@ -349,7 +391,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
             ids, start = _joined_ids(held)
             frequent = last_frequent(ids, start)
             for k, c in zip(WORD_KINDS, frequent):
-                _add_at(tables[k], c.astype(np.int64) * n + ids)
+                tables[k].add(c.astype(np.int64) * n + ids)
             two = np.frombuffer(b"".join(heads), np.uint8)
             opening = np.empty(len(two), _U)
             opening[::2], opening[1::2] = opening_contexts(
@@ -370,13 +412,16 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         if held:
             add()
         for k, t in tables.items():
-            yield from _packed(k, t, n)
+            yield from t.packed(k, n)
         for k, t in opened.items():
-            yield from _packed(k, t, BLOCK)
+            yield from t.packed(k, BLOCK)
+        tables.clear()
+        opened.clear()
+        give_back()
 
     def in_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
-        tables = {k: np.zeros(size, np.int64) for k in BYTE_KINDS}
+        tables = {k: np.zeros(size, np.int32) for k in BYTE_KINDS}
 
         def add(ws: list[bytes], n: list[int]) -> None:
             data = np.frombuffer(b"".join(ws), np.uint8)
@@ -389,8 +434,28 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
 
         held: list[bytes] = []
         times: list[int] = []
+        most = 0  # that a place can hold by now
         for pdf in batches:
-            held += [bytes(w) + END for w in pdf["word"]]
+            words = [bytes(w) + END for w in pdf["word"]]
+            more = int(sum(n * len(w) for w, n in zip(words, pdf["n"].tolist())))
+            if most + more >= 1 << 31:
+                if held:
+                    add(held, times)
+                    held, times = [], []
+                for k, t in tables.items():
+                    yield from _packed(k, t, BLOCK)
+                    t[:] = 0
+                most = 0
+            if more >= 1 << 31:  # words of huge counts have wide tables for a while
+                wide = {k: np.zeros(size, np.int64) for k in BYTE_KINDS}
+                tables, narrow = wide, tables
+                add(words, pdf["n"].tolist())
+                for k, t in wide.items():
+                    yield from _packed(k, t, BLOCK)
+                tables = narrow
+                continue
+            most += more
+            held += words
             times += pdf["n"].tolist()
             if len(held) >= 20_000:
                 add(held, times)
@@ -399,6 +464,8 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
             add(held, times)
         for k, t in tables.items():
             yield from _packed(k, t, BLOCK)
+        tables.clear()
+        give_back()
 
     return _merged(docs.select(docs[text].alias("text")).mapInPandas(in_texts, PACKED).unionByName(
         rare.select("word", "n").mapInPandas(in_words, PACKED)))
@@ -411,20 +478,12 @@ def _count(tables: dict[int, np.ndarray], kinds, paths, contexts, weight=None) -
     for k, c in zip(kinds, contexts):
         at = slots(c, lens, hashed) * _U(2) + bits
         if weight is None:
-            _add_at(tables[k], at)
+            tables[k].add(at)
         else:
             total = np.bincount(at, np.repeat(weight, lens), len(tables[k]))
             tables[k] += np.rint(total, out=total).astype(tables[k].dtype)
 
 
-def _add_at(table: np.ndarray, at: np.ndarray) -> None:
-    """Count places; equal ones stand together after sorting."""
-    if len(at):
-        at = np.sort(at)
-        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        table[at[new]] += np.diff(new, append=len(at)).astype(table.dtype)
-
-
 def _joined_ids(held: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lens = [len(x) for x in held]
     ids = np.fromiter((i for x in held for i in x), np.int32, sum(lens))
@@ -535,7 +594,10 @@ def mix(grids: list[np.ndarray], bits: np.ndarray, weights: tuple[float, ...]) -
         q = refine.take(at)
         p += q
         p *= f(0.5)
-        refine[at] = q + f(MAP_RATE) * (y - q)
+        # a bucket that is met several times moves once for each time
+        flat = at.ravel()
+        moved = np.bincount(flat, (y - q).ravel(), len(refine))
+        refine += f(MAP_RATE) * moved.astype(f)
         # the probability of the bit that came: p, or 1 - p
         out[:, t:t + STRIDE] = np.abs(y - f(1) + p)
     return np.clip(out, f(1e-5), f(1 - 1e-5), out=out)
