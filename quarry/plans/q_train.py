@@ -1,6 +1,8 @@
 """Training, registry and retraining-job queries (ML1-8, SNK5, SRC3, RTR1-3, TS4)."""
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import r
@@ -12,7 +14,7 @@ from quarry.plans.catalog import register
 from quarry.plans.q_rules import _job_requests_sql, job_requests
 from quarry.session import freeze, scratch_path
 from quarry.sources.registry import Registry
-from quarry.sources.tables import class_table, regression_table
+from quarry.sources.tables import class_table, read_table, regression_table
 
 H_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 H_LABEL = "l_extendedprice"
@@ -144,6 +146,41 @@ def candidate_checks(spark, sf_dir):
                                        "best_is_extreme boolean")
 
 
+@register("kernel_svc_checks", """
+SELECT n, 'kernel' AS best, true AS above_ninety, true AS linear_below, true AS sums_to_one,
+       true AS probability_beats_share, true AS same_when_loaded
+FROM (SELECT count(*) AS n FROM part)""")
+def kernel_svc_checks(spark, sf_dir):
+    """ML6: a label that is no linear rule of the features (inside a ring of
+    size and price) is learned by the kernel machine and not by the linear
+    one; probabilities sum to one and beat the label's share; the saved model
+    answers alike."""
+    p = read_table(spark, sf_dir, "part").select(
+        "p_partkey", ((F.col("p_size") - 25) / 15.0).alias("a"),
+        ((F.col("p_retailprice") - 950) / 30.0).alias("b"))
+    p = SP.hash_split(p.withColumn("label", (F.hypot("a", "b") < 1.2).cast("double")), "p_partkey", 0.3, 42)
+    p = freeze(p.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    train, test = p.where("not is_test"), p.where("is_test")
+    made = {"kernel": TR.kernel_svc("label", ["a", "b"], C=10.0), "linear": TR.linear_svc_ovr("label", ["a", "b"])}
+    models = {k: TR.fit(v, train, "label") for k, v in made.items()}
+    right = {k: TR.score(m, test).agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+             for k, m in models.items()}
+    path = scratch_path(spark, "kernel")
+    models["kernel"].write().overwrite().save(path)
+    told = [m.transform(test).select("p_partkey", "label", vector_to_array("probability").alias("q"))
+            for m in (models["kernel"], PipelineModel.load(path))]
+    share = train.agg(F.avg("label")).first()[0]
+    sums, brier, plain = told[0].agg(
+        F.max(F.abs(F.aggregate("q", F.lit(0.0), lambda s, v: s + v) - 1)),
+        F.avg(F.pow(F.col("q")[1] - F.col("label"), 2)), F.avg(F.pow(F.lit(share) - F.col("label"), 2))).first()
+    n = read_table(spark, sf_dir, "part").count()
+    return spark.createDataFrame([(n, max(right, key=right.get), right["kernel"] > 0.9, right["linear"] < 0.9,
+                                   sums < 1e-9, brier < plain / 2, told[0].exceptAll(told[1]).isEmpty())],
+                                 "n long, best string, above_ninety boolean, linear_below boolean, "
+                                 "sums_to_one boolean, probability_beats_share boolean, "
+                                 "same_when_loaded boolean")
+
+
 @register("evaluate_registered", """
 SELECT 'IrisBestModel' AS model_name, 'accuracy' AS metric, true AS same_as_history,
        false AS dropped, (SELECT count(*) FROM lineitem) AS samples_evaluated""")
