@@ -5,7 +5,7 @@ import contextlib
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space that separates words; every other character
@@ -69,6 +69,21 @@ def small_side_join(big: DataFrame, small: DataFrame, keys: list[str], how: str
     return left.join(right, on, how).drop(*marks.values(), salt, salt + "r")
 
 
+#: Texts that go to a Python worker together: records, and bytes where Spark
+#: bounds them.  The defaults (10,000 records of 2 KB) hold some 100 MB in
+#: buffers of each task on either side.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+              "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for the session, unless its user has set them."""
+    chosen = spark.sparkContext.getConf()
+    for key, value in TEXT_BATCH.items():
+        if not chosen.contains(key):
+            spark.conf.set(key, value)
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: Python workers
     are kept for later tasks and share the machine with the JVM."""

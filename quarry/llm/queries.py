@@ -23,7 +23,7 @@ from quarry.llm import (
     warc,
     wavelet,
 )
-from quarry.llm.common import fold
+from quarry.llm.common import fold, text_batches
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ ORACLE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -30,6 +30,7 @@ rows.  Other input columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -87,6 +88,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # tasks are what runs side by side
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         #: bytes of each token: one character of its name is one byte
