@@ -12,11 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, pu_classifier, simhash, wavelet
-from quarry.llm.common import fold
+from quarry.llm.common import fold, text_batches
 from quarry.session import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -27,6 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, that with the smallest id."""
+    text_batches(spark)
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
@@ -42,6 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Wavelet token shards of every drawn document, and their index."""
+    text_batches(spark)
     return wavelet.encode_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
