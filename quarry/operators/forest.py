@@ -259,20 +259,21 @@ def level_splits(rows: DataFrame, dims: int, classes: Sequence[float] | None, n_
         "tree", "node", "s.feature", "s.threshold")
 
 
-def _grow_batch(table: DataFrame, trees: range, dims: int, classes, n_features: int, seed: int,
-                bagging: bool, max_depth: int | None, task_rows: int) -> tuple[DataFrame, DataFrame]:
+def _grow_batch(table: DataFrame, n_rows: int, trees: range, dims: int, classes, n_features: int,
+                seed: int, bagging: bool, max_depth: int | None,
+                task_rows: int) -> tuple[DataFrame, DataFrame]:
     """(subtrees, splits) of some trees over `table` (row, y, x)."""
     spark = table.sparkSession
     rows = table.select(F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree"),
                         F.lit("").alias("node"), "row", "y", "x")
     rows = rows.withColumn("w", _weight(seed, bagging)).where("w > 0")
     splits, done, depth = [], [], 0
-    while True:
+    # no node holds more rows than the table
+    while n_rows > task_rows and (max_depth is None or depth < max_depth):
         sizes = rows.groupBy("tree", "node").agg(
             F.count("*").alias("n"), (F.min("y") < F.max("y")).alias("mixed"))
-        large = sizes.where((F.col("n") > task_rows) & F.col("mixed")).select("tree", "node")
-        if max_depth is not None and depth >= max_depth or not (large := stage(large, "large")).limit(1).count():
-            done.append(rows)
+        large = stage(sizes.where((F.col("n") > task_rows) & F.col("mixed")).select("tree", "node"), "large")
+        if large.isEmpty():
             break
         big = _small_join(rows, large, "left_semi")
         found = stage(level_splits(big, dims, classes, n_features, seed), "splits")
@@ -291,8 +292,8 @@ def _grow_batch(table: DataFrame, trees: range, dims: int, classes, n_features:
         # rows of small nodes, and of large ones that nothing splits, are done
         done.append(moved.where("not on").drop("on"))
         rows, depth = moved.where("on").drop("on"), depth + 1
-    small = done[0]
-    for d in done[1:]:
+    small = rows
+    for d in done:
         small = small.unionByName(d)
     n_classes = 0 if classes is None else len(classes)
 
@@ -306,25 +307,26 @@ def _grow_batch(table: DataFrame, trees: range, dims: int, classes, n_features:
                          **{k: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype)))
                             for k, v in grown.items()}})
 
-    # a large node that nothing splits is a leaf, and needs its sums only
-    sums = _sums(classes)
-    final = small.groupBy("tree", "node").agg(F.count("*").alias("n"), *sums)
-    leaf = stage(final.where(F.col("n") > task_rows), "leaves")
-    names = [f"s{i}" for i in range(2 if classes is None else n_classes)]
-    value = ([F.col("s1") / F.col("s0")] if classes is None else
-             [F.col(n) / sum((F.col(m) for m in names[1:]), F.col(names[0])) for n in names])
-    one = lambda v, t: F.array(F.lit(v).cast(t))
-    leaves = leaf.select("tree", "node", one(-1, "int").alias("feature"),
-                         one(0, "double").alias("threshold"), one(-1, "int").alias("left"),
-                         one(-1, "int").alias("right"), F.array(*value).alias("value"))
-    if leaf.limit(1).count():
+    leaves = None
+    if n_rows > task_rows:  # a large node that nothing splits is a leaf, and needs its sums only
+        final = small.groupBy("tree", "node").agg(F.count("*").alias("n"), *_sums(classes))
+        leaf = stage(final.where(F.col("n") > task_rows), "leaves")
+        names = [f"s{i}" for i in range(2 if classes is None else n_classes)]
+        value = ([F.col("s1") / F.col("s0")] if classes is None else
+                 [F.col(n) / sum((F.col(m) for m in names[1:]), F.col(names[0])) for n in names])
+        one = lambda v, t: F.array(F.lit(v).cast(t))
+        leaves = leaf.select("tree", "node", one(-1, "int").alias("feature"),
+                             one(0, "double").alias("threshold"), one(-1, "int").alias("left"),
+                             one(-1, "int").alias("right"), F.array(*value).alias("value"))
         small = _small_join(small, leaf.select("tree", "node"), "left_anti")
     grown = small.select("tree", "node", "y", "w", "x").groupBy("tree", "node").applyInArrow(
         finish, TREE_SCHEMA)
+    if leaves is not None:
+        grown = grown.unionByName(leaves)
     none = spark.createDataFrame([], SPLIT_SCHEMA)
     for s in splits:
         none = none.unionByName(s)
-    return stage(grown.unionByName(leaves), "trees"), none
+    return stage(grown, "trees"), none
 
 
 # --- scoring --------------------------------------------------------------------
@@ -422,16 +424,15 @@ class DeepForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsW
             rows = rows.withColumn("y", place.cast("double"))
         # written once: row numbers must be the same in every pass
         table = stage(rows, "train").withColumn("row", F.monotonically_increasing_id())
-        first = table.first()
-        if first is None:
+        n_rows, dims = table.agg(F.count("*"), F.max(F.size("x"))).first()
+        if not n_rows:
             raise ValueError("no training rows")
-        dims = len(first["x"])
         tried = {"all": dims, "sqrt": max(1, int(dims ** 0.5)), "onethird": max(1, dims // 3)}
         depth = None if get("maxDepth") < 0 else get("maxDepth")
         subtrees, splits = None, None
         for a in range(0, get("numTrees"), get("treesAtOnce")):
             grown, cut = _grow_batch(
-                table, range(a, min(a + get("treesAtOnce"), get("numTrees"))), dims, classes,
+                table, n_rows, range(a, min(a + get("treesAtOnce"), get("numTrees"))), dims, classes,
                 tried[get("featureSubsetStrategy")], get("seed"), get("numTrees") > 1, depth,
                 get("taskRows"))
             subtrees = grown if subtrees is None else subtrees.unionByName(grown)

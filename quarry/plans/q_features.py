@@ -258,7 +258,25 @@ def prepare_saved(spark, sf_dir):
                        F.lit(None).cast("double").alias("total")))
 
 
-@register("prepare_report")
+def _prepare_sql() -> str:
+    rows = _regression_sql().replace("SELECT l_orderkey, l_linenumber,",
+                                     "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,")
+    stats = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
+             "p25": "quantile_cont({c}, 0.25)", "p50": "quantile_cont({c}, 0.5)",
+             "p75": "quantile_cont({c}, 0.75)", "max": "max({c})"}
+    each = "\nUNION ALL\n".join(
+        f"SELECT '{f}' AS feature, " + ", ".join(
+            f"0.0 + round(CAST({s.format(c=f'CAST({f} AS DOUBLE)')} AS DOUBLE), 4) AS {n}" for n, s in stats.items())
+        + " FROM F" for f in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_REG_OUT])
+    key = "concat_ws('-', l_orderkey, l_linenumber, l_partkey)"
+    return f"""WITH F AS ({rows}),
+T AS (SELECT count(*) FILTER (('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT < {int(0.2 * 2 ** 32)})
+        AS test_rows, count(*) AS n FROM lineitem),
+E AS ({each})
+SELECT E.*, T.test_rows, T.n - T.test_rows AS train_rows FROM E, T"""
+
+
+@register("prepare_report", _prepare_sql())
 def prepare_report(spark, sf_dir):
     """PIP3: validate -> preprocess -> profile -> split -> scale on H; the
     processed table's profile plus train/test scaled row counts."""
@@ -266,7 +284,7 @@ def prepare_report(spark, sf_dir):
         "row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
     prep = PP.prepare(h, "regression", key="row_key", target="l_extendedprice",
                       regression_spec=H_SPEC, required_columns=list(H_RENAME))
-    summ = prep.summary.select("feature", *[F.round(F.col(c).cast("double"), 4).alias(c)
+    summ = prep.summary.select("feature", *[r(F.col(c).cast("double"), 4).alias(c)
                                             for c in ["count", "mean", "std", "min", "p25",
                                                       "p50", "p75", "max"]])
     return summ.withColumn("test_rows", prep.test.select(F.count(F.lit(1))).scalar()) \

@@ -74,7 +74,35 @@ def distinct_values(spark, sf_dir):
     return P.distinct_values(read_table(spark, sf_dir, "orders"), "o_orderstatus")
 
 
-@register("profile_report")
+#: Columns of the profiled table with their types.
+_COLUMNS = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+            "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+            "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"}
+
+
+def _report_sql() -> str:
+    def row(section, name, stat, value, label="NULL"):
+        return (f"SELECT '{section}' AS section, '{name}' AS name, '{stat}' AS stat, "
+                f"round(CAST({value} AS DOUBLE), 4) AS value, {label} AS label FROM lineitem")
+
+    stats = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
+             "max": "max({c})", "p25": "quantile_cont({c}, 0.25)", "p50": "quantile_cont({c}, 0.5)",
+             "p75": "quantile_cont({c}, 0.75)"}
+    rows = [f"SELECT 'columns', '{c}', 'ordinal', {i}::DOUBLE, '{t}'" for i, (c, t) in enumerate(_COLUMNS.items())]
+    rows.append(row("shape", "table", "rows", "count(*)"))
+    rows += [row("missing", c, "missing", f"count(*) FILTER ({c} IS NULL)") for c in _COLUMNS]
+    rows += [row("numeric", c, k, v.format(c=f"CAST({c} AS DOUBLE)")) for c, t in _COLUMNS.items()
+             if t in ("bigint", "int", "double") for k, v in stats.items()]
+    target = "l_extendedprice"
+    rows += [row("target", target, n, stats[k].format(c=target)) for n, k in (
+        ("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"), ("median", "p50"))]
+    rows += [row("categories", c, "count", "count(*)", c) + f" WHERE {c} IS NOT NULL GROUP BY {c}"
+             for c in ("l_returnflag", "l_linestatus")]
+    union = "\nUNION ALL\n".join(rows)
+    return f"SELECT *, 'lineitem' AS dataset FROM (\n{union}) t(section, name, stat, value, label)"
+
+
+@register("profile_report", _report_sql())
 def profile_report(spark, sf_dir):
     rep = P.profile_report(regression_table(spark, sf_dir), "lineitem",
                            target="l_extendedprice", categorical=["l_returnflag", "l_linestatus"])
