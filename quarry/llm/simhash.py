@@ -217,14 +217,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row of `docs`."""
     rows = stage(docs.select(docs[doc_id].alias("doc_id"),
                              fingerprint_column(docs[text], shingle).alias("fp")), "simhash")
-    return rows.join(components_of(rows, max_bits), "fp").select(
-        "doc_id", "fp", "component_id", "component")
+    return with_components(rows, max_bits).select("doc_id", "fp", "component_id", "component")
 
 
-def components_of(rows: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(fp, component_id, component) of each distinct fingerprint of staged
-    rows (doc_id, fp)."""
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+def with_components(rows: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Staged rows (doc_id, fp, ...) with component_id and component.
+
+    Fingerprints that a thousandth of the rows or more share, which are at most
+    a thousand, are looked up; the others are joined by shuffle, where no key
+    has more rows than that."""
+    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"),
+                                           F.count("*").alias("n")), "simhash-classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    found = stage(components_of(classes, max_bits), "components")
+    hot = found.join(F.broadcast(classes.where(F.col("n") * 1000 >= total).select("fp")), "fp", "left_semi")
+    often = F.broadcast(hot)
+    return rows.join(often, "fp").unionByName(
+        rows.join(often, "fp", "left_anti").join(found, "fp"))
+
+
+def components_of(classes: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(fp, component_id, component) of staged distinct fingerprints (fp,
+    first_id)."""
     found = connected_components(links(classes.select("fp"), max_bits))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
@@ -243,7 +257,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     marked = stage(docs.withColumn(fp, fingerprint_column(docs[text], shingle)).withColumn(
         row, F.monotonically_increasing_id()), "marked")
     thin = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
-    reps = thin.join(components_of(thin.select("doc_id", "fp"), max_bits), "fp").groupBy(
+    reps = with_components(thin, max_bits).groupBy(
         "component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")).alias("r")) \
         .select(F.col("r.row").alias(row))
     return marked.join(reps, row, "left_semi").drop(fp, row)
