@@ -62,3 +62,26 @@ def test_ingest_again_adds_no_rows(spark, tmp_path):
     for _ in range(2):
         ST.ingest(log, [R.bounds("v", gt=2)], ok, bad, ck)
     assert (spark.read.parquet(ok).count(), spark.read.parquet(bad).count()) == (7, 3)
+
+
+def test_increases_go_on_after_a_restart(spark, tmp_path):
+    """A counter that resets, read in two runs from one checkpoint: the first
+    increase of the second run is against the last sample of the first."""
+    def samples(rows):
+        return spark.createDataFrame([(k, s, v) for k, s, v in rows], "k string, s long, v long").select(
+            "k", F.timestamp_seconds("s").alias("ts"), "v")
+
+    one = [("a", 100, 5), ("a", 111, 9), ("b", 105, 1), ("a", 5000, 9)]
+    two = [("a", 5012, 12), ("a", 5031, 3), ("b", 5015, 1), ("b", 5033, 4), ("a", 99_999, 7)]
+    for i, rows in enumerate((one, two)):
+        samples(rows).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, ts timestamp, v long").parquet(
+            str(tmp_path / "in")).withWatermark("ts", "10 minutes")
+        ST.run_available_now(ST.increase_stream(stream, ["k"], "v"), str(tmp_path / "out"),
+                             str(tmp_path / "ck"), state=True)
+    got = {(r.k, int(r.window_start.timestamp()) // 10 * 10): (r.value, r.delta)
+           for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {("a", 100): (5, 0), ("a", 110): (9, 4), ("b", 100): (1, 0), ("a", 5000): (9, 0),
+            ("a", 5010): (12, 3), ("a", 5030): (3, 3), ("b", 5010): (1, 0), ("b", 5030): (4, 3)}
+    assert {k: v for k, v in got.items() if k[1] < 99_000} == want
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
