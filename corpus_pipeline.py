@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, pu_classifier, simhash, wavelet
 from quarry.llm.common import fold, text_batches
-from quarry.session import stage
+from quarry.session import remove_staged, stage, staged_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    docs = _table(spark, sf_dir, "documents")
-    for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, "pipeline")
-    return docs
+    """All stages over `documents`.  A stage's tables are removed when its
+    output is written, the output when the next one is."""
+    docs, before = _table(spark, sf_dir, "documents"), []
+    for _, step in STAGES[:-1]:
+        with staged_paths() as made:
+            docs = stage(step(spark, docs, sf_dir), "pipeline")
+        remove_staged(spark, [*before, *made[:-1]])
+        before = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,8 +1,10 @@
 """Session helpers: time zone, checkpoint directory, local test sessions."""
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +59,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts the
     lineage, keeps columns prunable and survives lost executors."""
     path = scratch_uri(df.sparkSession, name)
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lists of open `staged_paths` scopes.
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """The paths of all tables that `stage` writes inside the block, in order."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop(next(i for i, s in enumerate(_SCOPES) if s is made))
+
+
+def remove_staged(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = hadoop(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def tune_for_scale(spark: SparkSession, shuffle_partitions: int | None = None,
                    max_partition_bytes: str = "256m") -> None:
     """Runtime settings for large inputs: AQE re-plans joins and partition

@@ -94,6 +94,20 @@ def test_one_checkpoint_folder(spark):
     assert kept.count() == 5 and S.freeze(kept).count() == 5
 
 
+def test_staged_tables_can_be_removed(spark):
+    with S.staged_paths() as outer:
+        a = S.stage(spark.range(3), "t")
+        with S.staged_paths() as inner:
+            S.stage(spark.range(4), "t")
+        b = S.stage(a.where("id > 0"), "t")
+    S.stage(spark.range(5), "t")
+    assert len(outer) == 3 and inner == outer[1:2]
+    S.remove_staged(spark, outer[:2])
+    assert b.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(outer[0])
+
+
 def test_no_machine_local_folder_on_a_cluster(monkeypatch):
     class Conf(dict):
         def get(self, k, default=None):
