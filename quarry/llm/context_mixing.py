@@ -34,7 +34,8 @@ word is joined by shuffle.
 Rows: a NULL or empty text is the end token alone; a NULL doc_id takes part
 like any other; repeated rows are scored each; with no training text all
 predictors are flat and N and V are 0; an empty table gives no rows.  Texts
-are scored whole.  Other input columns are ignored.
+are scored whole, whatever their length; ids are read as numbers, one that is
+none is NULL.  Other input columns are ignored.
 """
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ against the text's own size (1 with one language only).  `narrow` marks texts
 whose margin is below `min_margin`; `lang_or_und` rejects those as `und`.
 
 Rows: a NULL text or one without a letter (Unicode category L) is `und` with score 0, narrow; ties
-go to the language with most learned rows; repeated rows are answered each; an empty
+go to the language with most learned rows; repeated rows are answered each (and count once where
+dictionaries are learned); an empty
 table gives no rows; with no learned language every text is `und`.  Long texts
 are used whole.  Other input columns are kept out of the prediction.
 """

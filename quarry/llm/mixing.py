@@ -26,7 +26,8 @@ the caller sets `max_sources`.
 
 Rows: a NULL text has size 0; NULL is a source of its own, last in order;
 rows of equal id and source are drawn together; repeated rows come back once
-each; a NULL id is ordered as an empty one; an empty table gives no rows.
+each; a NULL id is ordered as an empty one; an empty table gives no rows; texts
+of any length are counted whole.
 Extra input columns pass through `draw_rows` unchanged.
 """
 from __future__ import annotations

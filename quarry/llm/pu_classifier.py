@@ -19,8 +19,9 @@ The measures are written once, so a text is read once for fit and scores.
 Rows: NULL and empty texts have all measures zero and get a score like any
 other; NULL labels are no labels; an id with several labels is positive if any
 of them is; repeated rows are scored each; without positives or training rows
-every score is 0.5; an empty table gives no rows.  Only the text enters a
-score.
+every score is 0.5; an empty table gives no rows.  Texts of any length are
+measured whole, one at a time.  Only the text enters a score; other columns are
+kept by `keep_good`, whatever their names, and ignored by `classify`.
 """
 from __future__ import annotations
 

@@ -24,7 +24,8 @@ a third of the rows sends one row per bucket and task.
 Rows: a NULL or empty text has no words and fails the base rules; NULL
 languages and sources are groups of their own; repeated rows come back once
 each; with no base-passing row at all nothing is kept; an empty table gives
-no rows.  Other input columns are ignored.
+no rows.  Texts of any length are measured whole; a row's arrays hold its words.
+Other input columns are ignored, whatever their names.
 """
 from __future__ import annotations
 

@@ -28,7 +28,8 @@ Rows: a NULL or empty text has no candidates; a NULL path is a path of its
 own; repeated rows yield their findings each; very long
 texts and values take time in proportion to their length; with labelled findings of one
 class only, every score is that class; with none, 0.5; an empty table gives no
-rows.  Other input columns are ignored.
+rows.  Ids are read as numbers; one that is none is NULL.  Other input columns
+are ignored, whatever their names.
 """
 from __future__ import annotations
 

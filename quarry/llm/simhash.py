@@ -12,8 +12,9 @@ spanning forest of its links instead of all its pairs.
 
 Rows: a NULL or empty text has fingerprint zero and links like any other; a
 NULL doc_id takes part but never names a component unless all ids in it are
-NULL; repeated rows come back once each; an empty table gives no rows.  Other
-input columns are ignored.
+NULL; repeated rows come back once each; an empty table gives no rows.  Texts of
+any length are hashed whole, some 65,000 shingles at a time.  Other input
+columns are ignored (`keep_one` keeps them, whatever their names).
 """
 from __future__ import annotations
 

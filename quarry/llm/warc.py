@@ -19,7 +19,8 @@ Rows: a NULL html is an empty payload; payloads below `min_bytes` are always
 responses; a NULL page_id or url is written as an empty field and read back
 NULL, and a NULL page_id is never referred to; repeated rows each get a
 record, and all rows of the smallest page_id are responses; an empty table
-writes no archive and reads no rows.  Other input columns are ignored.
+writes no archive and reads no rows.  A payload of any length is one record,
+held by one task at a time.  Other input columns are ignored.
 """
 from __future__ import annotations
 

@@ -25,7 +25,8 @@ counting and occurrence lookup in `levels` steps.
 Rows: a NULL or empty text is a document of the end id alone; a NULL doc_id
 sorts first; repeated rows are stored and returned once each (equal ids next
 to each other, ordered by text); an empty table writes no file and gives no
-rows.  Other input columns are ignored.
+rows.  A text of any length is encoded whole, and lies in one shard.  Other
+input columns are ignored.
 """
 from __future__ import annotations
 
