@@ -19,7 +19,7 @@ Rows: a NULL or empty text matches nothing; NULL and empty items and those of
 fewer than `min_words` words are never matched; equal items match each for
 itself; repeated documents are reported each; an empty table on either side
 gives no matches.  Several copies of an item in one text give one row, the
-best; of equal scores the first in the text.  Texts of any length are searched
+best; of equal scores always the same one.  Texts of any length are searched
 whole, `CHUNK_WORDS` words or one text at a time.  Ids are read as numbers; one
 that is none is NULL.  Other input columns are ignored (`drop_contaminated`
 keeps them).
