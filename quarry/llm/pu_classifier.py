@@ -118,6 +118,7 @@ def _summed(train: DataFrame, terms) -> np.ndarray:
                 total = total + terms(np.stack(pdf["x"].to_numpy()), pdf["positive"].to_numpy(bool))
         if not isinstance(total, float):
             yield pd.DataFrame({"place": np.arange(len(total)), "value": total})
+        give_back()
 
     rows = train.mapInPandas(sums, "place int, value double").groupBy("place").agg(
         F.sum("value").alias("value")).collect()
@@ -225,6 +226,7 @@ def score_column(x: Column, model: Model | None) -> Column:
         for s in batches:
             z = model.z(np.stack(s.to_numpy())) if len(s) else np.zeros(0)
             yield pd.Series(1 / (1 + np.exp(-z)))
+        give_back()
     return score(x)
 
 

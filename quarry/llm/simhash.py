@@ -183,6 +183,8 @@ def _link_runs(masks: list[int], max_bits: int, small: int):
             held = [whole.iloc[tail:]]
         if held:
             yield work(pd.concat(held, ignore_index=True))
+        held.clear()
+        give_back()
 
     return link
 
