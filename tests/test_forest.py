@@ -130,3 +130,23 @@ def test_depth_and_empty(spark):
     assert model.transform(df).select("prediction").distinct().count() <= 4
     with pytest.raises(ValueError):
         fitted(df.limit(0), numTrees=1, labelCol="y")
+
+
+def test_task_takes_narrow_rows_whole(spark):
+    """A tree of few features is finished by one task beyond TASK_ROWS rows: no
+    level is grown by shuffles, and every row's own label still comes back."""
+    df = spark.range(FO.TASK_ROWS + 20_000).select(
+        F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+        F.floor(F.col("id") / 100).cast("double").alias("y"))
+    model = fitted(df, numTrees=1, labelCol="y").stages[-1]
+    assert model.splits.isEmpty() and model.subtrees.count() == 1
+    worst = FO.forest_scores(df.withColumn("x", F.array("a", "b")), F.col("x"), model.subtrees, model.splits,
+                             1, 1).agg(F.max(F.abs(F.col("value")[0] - F.floor(F.col("x")[0] / 100)))).first()[0]
+    assert worst < 1e-9
+
+
+def test_sums_in_place_equal_sorted_sums():
+    rng = np.random.default_rng(5)
+    node, code, stats = rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(1, 9, (400, 2))
+    for a, b in zip(FO._value_sums(node, 6, code, 9, stats), FO._value_sums(node, 6, code, 9000, stats)):
+        assert np.array_equal(a, b)
