@@ -85,3 +85,34 @@ def test_increases_go_on_after_a_restart(spark, tmp_path):
             ("a", 5010): (12, 3), ("a", 5030): (3, 3), ("b", 5010): (1, 0), ("b", 5030): (4, 3)}
     assert {k: v for k, v in got.items() if k[1] < 99_000} == want
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_inflight_holds_plain_columns_and_tells_in_pieces(spark, tmp_path, monkeypatch):
+    """Gauges over a restart, with a request without an id and a series without
+    a name; the state's rows reach Python as plain columns, and a series is told
+    in pieces that go on from each other."""
+    seen = []
+    plain = ST._carried
+
+    def carried(rows, *rest):
+        seen.append({t.simpleString().split("<")[0] for t in (f.dataType for f in rows.schema.fields)})
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(ST, "_carried", carried)
+    monkeypatch.setattr(ST, "TOLD_ROWS", 2)
+    schema = "k string, s double, request_id long, delta int"
+    one = [("a", 1.0, 7, 1), ("a", 2.0, 8, 1), ("a", 2.0, 7, -1), ("a", 13.0, None, 1), (None, 3.0, 2**60 + 1, 1)]
+    two = [("a", 5001.0, 8, -1), ("a", 5002.5, 9, 1), (None, 5003.0, 2**60 + 1, -1)]
+    for rows in (one, [("a", 5000.0, 3, 1)], two, [("a", 99_999.0, 1, 1)]):
+        spark.createDataFrame(rows, schema).select("k", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias(
+            "ts"), "request_id", "delta").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, ts timestamp, request_id long, delta int").parquet(
+            str(tmp_path / "in")).withWatermark("ts", "10 minutes")
+        ST.run_available_now(ST.inflight_stream(stream, ["k"]), str(tmp_path / "out"), str(tmp_path / "ck"),
+                             state=True)
+    got = {(r.k, round(r.ts.timestamp() * 10), r.request_id, r.delta, r.active)
+           for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 10, 7, 1, 1), ("a", 20, 7, -1, 0), ("a", 20, 8, 1, 1), ("a", 130, None, 1, 2),
+                   ("a", 50_000, 3, 1, 3), ("a", 50_010, 8, -1, 2), ("a", 50_025, 9, 1, 3),
+                   (None, 30, 2**60 + 1, 1, 1), (None, 50_030, 2**60 + 1, -1, 0)}
+    assert all(not kinds & {"array", "struct", "map"} for kinds in seen)
