@@ -17,7 +17,7 @@ from quarry.operators import profile as P
 from quarry.operators import scale as SC
 from quarry.operators import split as SP
 from quarry.operators import validate as V
-from quarry.session import freeze
+from quarry.session import stage
 from quarry.sources import files as IO
 
 # fixed values: 3-class raw names -> short names, class codes -> species
@@ -179,9 +179,9 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
         processed = chain_fitted_on(raw, chain, kind, class_spec, regression_spec)
     else:
         processed = chain(df)
-    # reused by profile, split and scale: cut the lineage once (reliable
-    # checkpoint in the shared checkpoint folder, survives executor loss)
-    processed = processed.transform(freeze)
+    # reused by profile, split, scale and save: written once as Parquet (a
+    # checkpoint would compute the chain twice), so each pass reads its columns
+    processed = stage(processed, "processed")
     summary = P.numeric_summary(processed.drop("is_test") if "is_test" in processed.columns
                                 else processed)
     if "is_test" in processed.columns:
@@ -193,7 +193,9 @@ def prepare(df: DataFrame, kind: str, key: str, target: str,
     train = tagged.where(~F.col("is_test")).drop("is_test")
     test = tagged.where(F.col("is_test")).drop("is_test")
     feats = [c for c in P.numeric_columns(processed) if c not in (key, target)]
+    # one row a feature, fitted once for both sides
     params = SC.fit_scaler(train, feats, scaler)
+    params = params.sparkSession.createDataFrame(params.collect(), params.schema)
     return Prepared(checks, processed, summary, SC.apply_scaler(train, params, feats),
                     SC.apply_scaler(test, params, feats), params)
 

@@ -172,3 +172,17 @@ def test_two_writers_of_one_version_get_two(spark, tmp_path):
     assert {(r.name, r.run_id) for r in reg.latest_versions().collect()} == {("m", "r3"), ("n", "r4")}
     best = spark.createDataFrame([("r5", 0.9)], "run_id string, score double")
     assert reg.register("m", best).first().version == 4
+
+
+def test_prepare_stages_once_and_fits_once(spark):
+    """The processed table is read back from files by column, and the scaler's
+    parameters are values, so neither side fits them again."""
+    from quarry.plans import prepare as PP
+    spec = PP.RegressionSpec(clip_cols=["a"], products=[], ratios=[], squares=[("a", "a2")], norms=[],
+                             interactions=[], zscore_cols=["a"], bucket_col="a", bucket_edges=[0, 50, 1000],
+                             bucket_labels=["low", "high"], target="y")
+    df = spark.range(200).selectExpr("id", "cast(id as double) a", "cast(id % 7 as double) y")
+    prep = PP.prepare(df, "regression", key="id", target="y", regression_spec=spec)
+    assert prep.processed.inputFiles() and prep.processed.count() == 200
+    assert prep.train.count() + prep.test.count() == 200
+    assert {r.feature for r in prep.scaler_params.collect()} == {"a", "a2", "a_zscore"}
