@@ -43,10 +43,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,16 +207,20 @@ def byte_contexts(data: np.ndarray, last: np.ndarray | None) -> list[np.ndarray]
     frequent word before each word; it rules the first two bytes' last
     context, which stays open without it."""
     n = len(data)
-    at = np.arange(n)
-    ends = data == 10
-    start = np.concatenate([[0], np.maximum.accumulate(np.where(ends, at + 1, 0))[:-1]])
+    sizes = np.diff(np.flatnonzero(data == 10), prepend=-1)
+    heads = np.cumsum(sizes) - sizes
+    start = np.repeat(heads, sizes)
+    inner = (np.arange(n) - start).astype(np.int32)
     x = data.astype(_U) + _U(1)
-    back = [np.where(at - k >= start, x[at - k], _U(0)) for k in (1, 2, 3, 4)]
+    back = []
+    for k in (1, 2, 3, 4):
+        before = np.zeros(n, _U)
+        before[k:] = x[:-k]
+        back.append(before * (inner >= k))
     two = back[0] | back[1] << _U(9)
     three = _mix32(two + _U(0x3000000)) + back[2]
     four = _mix32(_mix32(three + _U(0x4000000)) + back[3])
     if last is not None:
-        heads = np.flatnonzero(at == start)
         four[heads], four[heads + 1] = opening_contexts(last, data[heads])
     up, down = _POWERS.get(n + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(x.astype(np.uint64) * up[:n])])
@@ -263,9 +269,10 @@ def most_frequent(words: DataFrame, limit: int) -> list[tuple[bytes, int]]:
 
 @dataclass
 class Vocabulary:
-    """Ids, counts and trees; ids are ranks by count, the last one escapes;
-    `rank` is each byte's rank by count, the symbol of its tree."""
-    ids: dict[bytes, int]
+    """Ids (as the bytes of an int32), counts and trees; ids are ranks by count,
+    the last one escapes; `rank` is each byte's rank by count, the symbol of
+    its tree."""
+    ids: dict[bytes, bytes]
     counts: np.ndarray
     words: Tree
     bytes_: Tree
@@ -285,12 +292,16 @@ def build_vocabulary(frequent: list[tuple[bytes, int]], rest: int,
     order = np.argsort(-byte_counts, kind="stable")
     rank = np.empty(256, np.int64)
     rank[order] = np.arange(256)
-    return Vocabulary(ids, counts, Tree(counts + 0.5), Tree(byte_counts[order] + 1.0), rank)
+    codes = {w: np.int32(i).tobytes() for w, i in ids.items()}
+    return Vocabulary(codes, counts, Tree(counts + 0.5), Tree(byte_counts[order] + 1.0), rank)
 
 
-def _coded_words(vocabulary: Vocabulary, ws: list[bytes]) -> list[int]:
-    get, escape = vocabulary.ids.get, vocabulary.escape
-    return [*[get(w, escape) for w in ws], vocabulary.ids[END]]
+def _coded_words(vocabulary: Vocabulary, ws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The ids of a text's tokens, end included, and the words that escape."""
+    found = [*map(vocabulary.ids.get, ws, repeat(np.int32(vocabulary.escape).tobytes())),
+             vocabulary.ids[END]]
+    code = np.frombuffer(b"".join(found), np.int32)
+    return code, [ws[i] for i in np.flatnonzero(code == vocabulary.escape).tolist()]
 
 
 class Places:
@@ -322,7 +333,7 @@ class Places:
         self.counts = np.add.reduceat(counts, first) if len(first) else counts
         self.new, self.waiting = [], 0
 
-    def packed(self, kind: int, block: int) -> Iterator[pd.DataFrame]:
+    def packed(self, kind: int, block: int) -> Iterator[tuple]:
         """The counts, compressed block by block."""
         self._merge()
         pack = zstandard.ZstdCompressor(level=1)
@@ -335,7 +346,13 @@ class Places:
             yield _packed_row(pack, kind, n, part, c)
 
 
-def _packed(kind: int, total: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
+def _frames(rows: Iterator[tuple], most: int = 32) -> Iterator[pd.DataFrame]:
+    """Packed rows, some together."""
+    while some := list(islice(rows, most)):
+        yield pd.DataFrame(some, columns=["kind", "block", "part", "type", "data"])
+
+
+def _packed(kind: int, total: np.ndarray, block: int) -> Iterator[tuple]:
     """A task's counts of one table, compressed block by block."""
     pack = zstandard.ZstdCompressor(level=1)
     part = TaskContext.get().partitionId()
@@ -345,10 +362,9 @@ def _packed(kind: int, total: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
             yield _packed_row(pack, kind, b, part, c)
 
 
-def _packed_row(pack, kind: int, block: int, part: int, c: np.ndarray) -> pd.DataFrame:
+def _packed_row(pack, kind: int, block: int, part: int, c: np.ndarray) -> tuple:
     kind_of = next(t for t in ("u1", "<u2", "<u4", "<u8") if int(c.max()) < 256 ** int(t[-1]))
-    return pd.DataFrame({"kind": [kind], "block": [block], "part": [part], "type": [kind_of],
-                         "data": [pack.compress(c.astype(kind_of).tobytes())]})
+    return kind, block, part, kind_of, pack.compress(c.astype(kind_of).tobytes())
 
 
 def _unpacked(type_: str, data: bytes) -> np.ndarray:
@@ -363,7 +379,8 @@ def _merged(packed: DataFrame, fan_in: int = 64) -> DataFrame:
     time, so no group grows with the number of tasks."""
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpacked(t, d) for t, d in zip(pdf["type"], pdf["data"]))
-        return _packed_row(zstandard.ZstdCompressor(level=1), key[0], key[1], key[2], total)
+        row = _packed_row(zstandard.ZstdCompressor(level=1), key[0], key[1], key[2], total)
+        return next(_frames(iter([row])))
 
     rows = packed
     while True:
@@ -385,7 +402,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         n = v.words.size
         tables = {k: Places() for k in WORD_KINDS}
         opened = {BYTE_KINDS[-1]: Places()}
-        held: list[list[int]] = []
+        held: list[np.ndarray] = []
         heads: list[bytes] = []
 
         def add() -> None:
@@ -402,10 +419,9 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         words = 0
         for pdf in batches:
             for t in pdf["text"]:
-                ws = lower_words(t)
-                code = _coded_words(v, ws)
+                code, seldom = _coded_words(v, lower_words(t))
                 held.append(code)
-                heads += [(w + END)[:2] for w, i in zip(ws, code) if i == v.escape]
+                heads += [(w + END)[:2] for w in seldom]
                 words += len(code)
                 if words >= CHUNK_WORDS:
                     add()
@@ -413,9 +429,9 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         if held:
             add()
         for k, t in tables.items():
-            yield from t.packed(k, n)
+            yield from _frames(t.packed(k, n))
         for k, t in opened.items():
-            yield from t.packed(k, BLOCK)
+            yield from _frames(t.packed(k, BLOCK))
         tables.clear()
         opened.clear()
         give_back()
@@ -427,7 +443,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         def add(ws: list[bytes], n: list[int]) -> None:
             data = np.frombuffer(b"".join(ws), np.uint8)
             sizes = np.array([len(w) for w in ws])
-            weight = np.repeat(np.array(n, np.float64), sizes)
+            weight = np.repeat(np.array(n, np.int64), sizes)
             inner = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             paths, contexts = v.bytes_.paths(v.rank[data]), byte_contexts(data, None)
             _count(tables, BYTE_KINDS[:-1], paths, contexts[:-1], weight)
@@ -444,7 +460,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
                     add(held, times)
                     held, times = [], []
                 for k, t in tables.items():
-                    yield from _packed(k, t, BLOCK)
+                    yield from _frames(_packed(k, t, BLOCK))
                     t[:] = 0
                 most = 0
             if more >= 1 << 31:  # words of huge counts have wide tables for a while
@@ -452,7 +468,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
                 tables, narrow = wide, tables
                 add(words, pdf["n"].tolist())
                 for k, t in wide.items():
-                    yield from _packed(k, t, BLOCK)
+                    yield from _frames(_packed(k, t, BLOCK))
                 tables = narrow
                 continue
             most += more
@@ -464,7 +480,7 @@ def count_decisions(docs: DataFrame, text: str, rare: DataFrame,
         if held:
             add(held, times)
         for k, t in tables.items():
-            yield from _packed(k, t, BLOCK)
+            yield from _frames(_packed(k, t, BLOCK))
         tables.clear()
         give_back()
 
@@ -481,15 +497,13 @@ def _count(tables: dict[int, np.ndarray], kinds, paths, contexts, weight=None) -
         if weight is None:
             tables[k].add(at)
         else:
-            total = np.bincount(at, np.repeat(weight, lens), len(tables[k]))
-            tables[k] += np.rint(total, out=total).astype(tables[k].dtype)
+            np.add.at(tables[k], at, np.repeat(weight.astype(tables[k].dtype), lens))
 
 
-def _joined_ids(held: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _joined_ids(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lens = [len(x) for x in held]
-    ids = np.fromiter((i for x in held for i in x), np.int32, sum(lens))
     starts = np.cumsum(lens) - lens
-    return ids, np.repeat(starts, lens)
+    return np.concatenate(held), np.repeat(starts, lens)
 
 
 @dataclass
@@ -498,6 +512,16 @@ class Model:
     node: np.ndarray
     tables: dict[int, np.ndarray]
 
+    def __setstate__(self, state: dict) -> None:
+        """A task's tables lie in one array of NumPy's own, which large memory
+        pages can back (pickled ones lie in bytes objects); lookups gain by it."""
+        self.__dict__.update(state)
+        ends = np.cumsum([len(x) for x in self.tables.values()])
+        together = np.empty(ends[-1], np.int8)
+        for (k, x), end in zip(list(self.tables.items()), ends.tolist()):
+            self.tables[k] = together[end - len(x):end]
+            self.tables[k][:] = x
+
 
 def build_model(decisions: DataFrame, vocabulary: Vocabulary) -> Model:
     """Predictor tables from the staged counts: tasks make the blocks, the
@@ -536,88 +560,104 @@ def code_lengths(tree: Tree, ids: np.ndarray, per_text: np.ndarray, predict,
     ends = first[np.cumsum(per_text)]
     size = np.diff(ends, prepend=0)
     segs = -(-size // SEGMENT)
-    shift = (np.cumsum(segs) - segs) * SEGMENT - (ends - size)
-    place = np.repeat(shift, size)
-    place += np.arange(len(place))
-    cells = int(segs.sum()) * SEGMENT
-    grids = []
-    for x in predict(lens, nodes):
-        g = np.zeros(cells, np.int8)
-        g[place] = x
-        grids.append(g.reshape(-1, SEGMENT))
-    y = np.zeros(cells, np.uint8)
-    y[place] = bits
-    p = mix(grids, y.reshape(-1, SEGMENT), weights).ravel()[place]
-    out = np.zeros(len(per_text))
-    some = size > 0
-    out[some] = np.add.reduceat(-np.log2(p), (ends - size)[some], dtype=np.float64)
-    return out
-
-
-def mix(grids: list[np.ndarray], bits: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
-    """Probability given to each coded bit; rows are independent segments."""
+    text = np.repeat(np.arange(len(size)), segs)
+    begin = (ends - size)[text] + SEGMENT * (
+        np.arange(len(text)) - np.repeat(np.cumsum(segs) - segs, segs))
+    length = np.minimum(ends[text] - begin, SEGMENT)
+    order = np.argsort(-length, kind="stable")
+    found = mix([_strides(x) for x in predict(lens, nodes)], _strides(bits), begin[order],
+                length[order], weights)
+    return np.bincount(text[order], found, len(size))
+
+
+def _strides(x: np.ndarray) -> np.ndarray:
+    """The `STRIDE` values from each place on (zeros after the last), as a view."""
+    return sliding_window_view(np.concatenate([x, np.zeros(STRIDE, x.dtype)]), STRIDE)
+
+
+def mix(grids: list[np.ndarray], bits: np.ndarray, begin: np.ndarray, length: np.ndarray,
+        weights: tuple[float, ...]) -> np.ndarray:
+    """Code length of each segment of decisions, given by its begin and length,
+    the longest first.  Segments are independent; what follows a segment in its
+    last stride is not counted."""
     f = np.float32
-    s = len(bits)
+    s = len(begin)
     open_w = [np.full((s, 1), w, f) for w in weights]
     gated_w = [np.zeros((s, 1), f) for _ in weights]
     fine = 8192  # steps of the squashing table over -8 to 8
     squash = (1 / (1 + np.exp(-np.linspace(-8, 8, fine + 1)))).astype(f)
     coarse = fine // (MAP_BUCKETS - 1)
     refine = np.tile(squash[::coarse], s)
-    base = (np.arange(s, dtype=np.int64) * MAP_BUCKETS)[:, None]
-    out = np.empty(bits.shape, f)
-    for t in range(0, bits.shape[1], STRIDE):
-        xs = [g[:, t:t + STRIDE] * f(1 / STEPS) for g in grids]
+    base = (np.arange(s) * MAP_BUCKETS)[:, None]
+    some = np.empty((s, STRIDE), np.int32)
+    total = np.zeros((s, STRIDE))
+    starts = np.arange(0, SEGMENT, STRIDE)
+    # segments that reach a stride, and those that fill it
+    live, whole = (np.searchsorted(-length, -least, "right").tolist()
+                   for least in (starts + 1, starts + STRIDE))
+    for t, n, full in zip(starts.tolist(), live, whole):
+        if not n:
+            break
+        rows = begin[:n] + t
+        xs = [g[rows] * f(1 / STEPS) for g in grids]
         gate = (xs[-1] != 0).astype(f)
-        z = open_w[0] * xs[0]
-        zg = gated_w[0] * xs[0]
+        z = open_w[0][:n] * xs[0]
+        zg = gated_w[0][:n] * xs[0]
+        part = np.empty_like(z)
         for x, w, v in zip(xs[1:], open_w[1:], gated_w[1:]):
-            z += w * x
-            zg += v * x
+            z += np.multiply(w[:n], x, out=part)
+            zg += np.multiply(v[:n], x, out=part)
         zg *= gate
         z += zg
-        np.minimum(z, f(7.99), out=z)
-        np.maximum(z, f(-7.99), out=z)
+        np.clip(z, f(-7.99), f(7.99), out=z)
         z += f(8)
         z *= f(fine / 16)
-        at = z.astype(np.int64)
-        p = squash.take(at)
-        y = bits[:, t:t + STRIDE].astype(f)
-        err = y - p
+        level = some[:n]
+        np.copyto(level, z, casting="unsafe")
+        p = squash.take(level)
+        y = bits[rows].astype(f)
+        err = np.subtract(y, p, out=part)
         err *= f(RATE)
-        err_gate = err * gate
+        gate *= err
         for x, w, v in zip(xs, open_w, gated_w):
-            w += np.einsum("sb,sb->s", err, x)[:, None]
-            v += np.einsum("sb,sb->s", err_gate, x)[:, None]
-        at += coarse // 2
-        at //= coarse
-        at += base
+            w[:n, 0] += np.einsum("sb,sb->s", err, x)
+            v[:n, 0] += np.einsum("sb,sb->s", gate, x)
+        level += coarse // 2
+        level >>= coarse.bit_length() - 1
+        at = base[:n] + level
         q = refine.take(at)
         p += q
         p *= f(0.5)
         # a bucket that is met several times moves once for each time
-        flat = at.ravel()
-        moved = np.bincount(flat, (y - q).ravel(), len(refine))
-        refine += f(MAP_RATE) * moved.astype(f)
+        moved = np.bincount(at.ravel(), np.subtract(y, q, out=q).ravel(), n * MAP_BUCKETS)
+        refine[:len(moved)] += f(MAP_RATE) * moved.astype(f)
         # the probability of the bit that came: p, or 1 - p
-        out[:, t:t + STRIDE] = np.abs(y - f(1) + p)
-    return np.clip(out, f(1e-5), f(1 - 1e-5), out=out)
-
-
-def text_bits(model: Model, coded: list[list[int]], rare: list[list[bytes]]) -> np.ndarray:
-    """Total bits of texts, given as token ids and the words that escaped."""
+        y -= f(1)
+        p += y
+        np.abs(p, out=p)
+        np.clip(p, f(1e-5), f(1 - 1e-5), out=p)
+        if full < n:
+            p[full:][np.arange(t, t + STRIDE) >= length[full:n, None]] = 1
+        total[:n] -= np.log2(p, out=p)
+    return total.sum(axis=1)
+
+
+def text_bits(model: Model, coded: list[np.ndarray], rare: list[bytes]) -> np.ndarray:
+    """Total bits of texts, given as token ids and the words that escaped, each
+    with its END."""
     v, tables = model.vocabulary, model.tables
     ids, start = _joined_ids(coded)
     frequent = last_frequent(ids, start)
 
     def of_words(lens: np.ndarray, nodes: np.ndarray) -> Iterator[np.ndarray]:
+        nodes = nodes.astype(np.int64)
         yield model.node.take(nodes)
         for k, c in zip(WORD_KINDS, frequent):
             at = np.repeat(c.astype(np.int64) * v.words.size, lens)
             at += nodes
             yield tables[k].take(at)
 
-    data = np.frombuffer(b"".join([w + END for ws in rare for w in ws]), np.uint8)
+    data = np.frombuffer(b"".join(rare), np.uint8)
 
     def of_bytes(lens: np.ndarray, nodes: np.ndarray) -> Iterator[np.ndarray]:
         hashed = node_hashes(nodes)
@@ -625,8 +665,8 @@ def text_bits(model: Model, coded: list[list[int]], rare: list[list[bytes]]) ->
             yield tables[k].take(slots(c, lens, hashed))
 
     total = code_lengths(v.words, ids, np.array([len(x) for x in coded]), of_words, WORD_WEIGHTS)
-    return total + code_lengths(v.bytes_, v.rank[data], np.array(
-        [sum(len(w) + 1 for w in ws) for ws in rare], np.int64), of_bytes, BYTE_WEIGHTS)
+    return total + code_lengths(v.bytes_, v.rank[data], np.array([len(x) for x in rare], np.int64),
+                                of_bytes, BYTE_WEIGHTS)
 
 
 # --- the job ----------------------------------------------------------------
@@ -644,16 +684,14 @@ def _scored(docs: DataFrame, model: Broadcast, doc_id: str, text: str) -> DataFr
                 rows, coded, rare, size = [], [], [], 0
                 while at < len(texts) and size < CHUNK_WORDS:
                     ws = lower_words(texts[at])
-                    code = _coded_words(v, ws)
-                    seldom = [w for w, i in zip(ws, code) if i == v.escape]
+                    code, seldom = _coded_words(v, ws)
                     times = Counter(seldom)
-                    got = np.array(code)
-                    got = got[got != v.escape]
+                    got = code[code != v.escape]
                     n_bytes = sum(map(len, ws)) + len(code)
                     rows.append((ids[at], len(code), int(known[got].sum()),
                                  float(logs[got].sum()), n_bytes, list(times), [*times.values()]))
                     coded.append(code)
-                    rare.append(seldom)
+                    rare.append(END.join([*seldom, b""]))
                     size += len(code)
                     at += 1
                 out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "logs",

@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, exact parts against brute force, and
 awkward rows."""
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -145,6 +146,65 @@ def test_code_is_a_distribution():
     assert abs((2.0 ** -bits).sum() - 1) < 1e-3
 
 
+def _mixed_one_by_one(xs, bits, weights):
+    """Code length of one segment, decision by decision."""
+    m = context_mixing
+    squash = [1 / (1 + math.exp(-z)) for z in np.linspace(-8, 8, 8193)]
+    open_w, gated_w, refine = list(weights), [0.0] * len(weights), squash[::256]
+    total = 0.0
+    for t in range(0, len(bits), m.STRIDE):
+        moves, maps = [], []
+        for x, y in zip(xs[t:t + m.STRIDE] / m.STEPS, bits[t:t + m.STRIDE].tolist()):
+            gate = float(x[-1] != 0)
+            z = sum((w + gate * v) * k for w, v, k in zip(open_w, gated_w, x))
+            at = int((min(max(z, -7.99), 7.99) + 8) * 512)
+            p, bucket = squash[at], (at + 128) // 256
+            q = refine[bucket]
+            moves.append((m.RATE * (y - p) * x, gate))
+            maps.append((bucket, m.MAP_RATE * (y - q)))
+            p = (p + q) / 2
+            total -= math.log2(min(max(p if y else 1 - p, 1e-5), 1 - 1e-5))
+        for step, gate in moves:
+            open_w = [w + k for w, k in zip(open_w, step)]
+            gated_w = [v + gate * k for v, k in zip(gated_w, step)]
+        for bucket, step in maps:
+            refine[bucket] += step
+    return total
+
+
+def test_mixer_is_the_definition():
+    """Texts of no, few and many segments, against a decision-by-decision mixer."""
+    m = context_mixing
+    rng = np.random.default_rng(5)
+    v = m.build_vocabulary([(b"a", 9), (m.END, 7), (b"b", 5)], 4, np.arange(256.0))
+    per_text = np.array([3, 0, 1, 700, 40, 0, 1500, 17])
+    ids = rng.integers(0, v.words.size, per_text.sum())
+    lens, _, bits = v.words.paths(ids)
+    xs = rng.integers(-60, 60, (3, len(bits))).astype(np.int8)
+    xs[1] = np.where(rng.random(len(bits)) < .8, (bits * 2.0 - 1) * 25, xs[1])
+    xs[2] *= rng.random(len(bits)) < .6
+    got = m.code_lengths(v.words, ids, per_text, lambda *_: xs, m.WORD_WEIGHTS)
+    ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(per_text)]
+    for g, a, b in zip(got, [0, *ends], ends):
+        want = sum(_mixed_one_by_one(xs[:, t:min(t + m.SEGMENT, b)].T, bits[t:min(t + m.SEGMENT, b)],
+                                     m.WORD_WEIGHTS) for t in range(a, b, m.SEGMENT))
+        assert abs(g - want) < 1e-4 * want + 1e-9
+    assert ends[-1] - ends[-3] > 2 * m.SEGMENT
+
+
+def test_short_texts_take_no_whole_segments():
+    """Work and memory follow the decisions, not the texts' segments."""
+    m = context_mixing
+    v = m.build_vocabulary([(b"a", 9), (m.END, 7), (b"b", 5)], 4, np.arange(256.0))
+    ids = np.zeros(4000, np.int32)
+    tracemalloc.start()
+    bits = m.code_lengths(v.words, ids, np.ones(len(ids), int), lambda lens, nodes: [
+        np.ones(len(nodes), np.int8)] * 3, m.WORD_WEIGHTS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.ptp(bits) == 0 and peak < 16e6
+
+
 def test_score_does_not_depend_on_batches(spark, awkward, no_rows):
     a = context_mixing.score_documents(awkward, F.lit(True)).collect()
     b = context_mixing.score_documents(awkward.repartition(7), F.lit(True)).collect()
