@@ -150,3 +150,55 @@ def test_sums_in_place_equal_sorted_sums():
     node, code, stats = rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(1, 9, (400, 2))
     for a, b in zip(FO._value_sums(node, 6, code, 9, stats), FO._value_sums(node, 6, code, 9000, stats)):
         assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("seed", [42, -7, 1 << 40])
+def test_bag_weights_are_those_of_spark(spark, seed):
+    rows = spark.range(3000).select(F.col("id").alias("row"), F.explode(F.array(F.lit(0), F.lit(7))).alias("tree"))
+    want = rows.select("tree", "row", FO._weight(seed, True).alias("w")).orderBy("tree", "row").collect()
+    got = np.concatenate(list(FO.bag_weights(seed, [0, 7], np.arange(3000))))
+    assert got.tolist() == [r.w for r in want]
+
+
+def alike(spark):
+    """3,000 rows of 60 vectors; labels differ inside one."""
+    return spark.range(3000).select(
+        "id", (F.col("id") % 12).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+        (F.xxhash64("id") % 100 / 8.0 + F.col("id") % 12).alias("y"),
+        (F.pmod(F.xxhash64("id"), F.lit(3)) + 4.0).alias("label"))
+
+
+@pytest.mark.parametrize("kind", ["regression", "classification"])
+def test_equal_vectors_are_one_row_of_the_same_forest(spark, kind):
+    """More rows than a task takes, but few vectors: each tree is grown by one
+    task, and is the tree that its single rows give."""
+    n = 0 if kind == "regression" else 3
+    table = alike(spark).select(F.col("id").alias("row"), (F.col("label") - 4 if n else F.col("y")).alias("y"),
+                                F.array("a", "b").alias("x"))
+    subtrees, splits = FO._grow_batch(table, 3000, 60 * max(1, n), range(3), 2, [4.0, 5.0, 6.0] if n else None,
+                                      1, 42, True, None, 3000 - 1)
+    assert splits.isEmpty() and subtrees.count() == 3
+    rows = table.orderBy("row").toPandas()
+    x, y, want = np.stack(rows["x"]), rows["y"].to_numpy(), 0
+    for t, w in enumerate(FO.bag_weights(42, range(3), rows["row"].to_numpy())):
+        drawn = w > 0
+        tree = FO.grow_tree(x[drawn], y[drawn], w[drawn], n, 1, None, np.random.default_rng([42, t, 0]))
+        want = want + tree["value"].reshape(-1, max(1, n))[FO.tree_leaves(tree, x)] / 3
+    told = {tuple(r.x): r.value for r in FO.forest_scores(
+        table, F.col("x"), subtrees, splits, 3, max(1, n)).collect()}
+    assert len(told) == 60 and np.allclose([told[tuple(v)] for v in x], want, atol=1e-12)
+
+
+def test_equal_vectors_of_large_nodes(spark):
+    """With more vectors than a task takes, levels grow on the vectors' sums."""
+    df = alike(spark)
+    model = fitted(df, numTrees=1, labelCol="y", taskRows=20)
+    assert model.stages[-1].splits.count() >= 3
+    want = df.groupBy("a", "b").agg(F.avg("y").alias("mean"))
+    worst = model.transform(df).join(want, ["a", "b"]).agg(F.max(F.abs(F.col("mean") - F.col("prediction")))).first()[0]
+    assert worst < 1e-9
+    cls = fitted(df, numTrees=1, kind="classification", taskRows=20)
+    share = df.groupBy("a", "b").pivot("label", [4.0, 5.0, 6.0]).count().fillna(0)
+    for r in cls.transform(share).collect():
+        counts = np.array([r["4.0"], r["5.0"], r["6.0"]])
+        assert np.allclose(r.probability.toArray(), counts / counts.sum())

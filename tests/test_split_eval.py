@@ -56,3 +56,22 @@ def test_forests_grow_as_deep_as_the_tree(spark):
         model = make("y", ["a", "b"], numTrees=3).fit(df)
         scored = model.transform(df)
         assert scored.where(F.abs(F.col("y") - F.col("prediction")) < 0.5).count() > 0.97 * len(rows)
+
+
+def test_passes_read_equal_rows_once(spark):
+    """Fits that pass over their rows again and again get rows with equal
+    features and label once, with their number; the fit is the same."""
+    from quarry.operators import train as TR
+
+    df = spark.range(4000).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"),
+                                  (F.col("id") % 10 + 2 * (F.col("id") % 4) > 7).cast("double").alias("label"))
+    pipe = TR.logistic_regression("label", ["a", "b"], n_rows=4000)
+    same, rows = TR._for_passes(pipe, df, ["a", "b"], "label")
+    assert rows.count() == 20 and rows.agg(F.sum("rows_alike")).first()[0] == 4000
+    assert rows.rdd.getNumPartitions() == 1 and not pipe.getStages()[-1].isSet("weightCol")
+    got, want = TR.fit(pipe, df, "label").stages[-1], pipe.fit(df).stages[-1]
+    assert np.allclose(got.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), rtol=1e-3)
+    svc = TR.fit(TR.linear_svc_ovr("label", ["a", "b"]), df, "label")
+    assert TR.score(svc, df).where("label = prediction").count() > 3800
+    # few equal rows: none are merged
+    assert TR._for_passes(pipe, df.withColumn("a", F.rand(1)), ["a", "b"], "label")[1].columns == ["a", "b", "label"]
